@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from locusweave.llm import lines, mixing, sharding
+from locusweave.llm import lines, minhash, mixing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,3 +85,27 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exac
        CASE WHEN n_lines > 0 AND n_lines = n_exact + n_near THEN NULL ELSE md5(clean) END AS clean_md5
 FROM documents d LEFT JOIN docs USING (doc_id)""",
 }
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_minhash"] = op8_minhash
+ORACLE_SQL["op8_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+u AS (SELECT doc_id, unnest(s) AS x FROM s),
+meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * meet.n >= 75 * (x.n + y.n - meet.n)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM n
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept
+FROM n JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = n.doc_id"""
