@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from locusweave.llm.storage import stored
 
-#: Deletion variants are sums of one hash for each (place, character), so many bits each that a line of 2^22 characters cannot overflow.
-CHAR_BITS = 40
+#: Parts of lines longer than this are halved once more before their deletion variants are made.
+LONG = 512
 
 
-def _half_keys(line: Column, length: Column) -> Column:
-    """Keys of which two lines within one edit share at least one: an edit leaves the first or the second half as it was.
+def _halved(rows: DataFrame) -> DataFrame:
+    """(key, less, rest) for both halves of every (key, less, rest): a new key from one half, and the other half as rest.
 
-    The halves are cut by the shorter line's length, so each line has keys for its own length
-    and for one less.
+    An edit leaves one half as it was.  The halves are cut by the shorter of two lines' lengths, so
+    a row stands either for the shorter one (less 0) or for one with a character more (less 1), and two
+    texts within one edit share a new key if they shared the key before.
     """
-    keys = []
-    for less in (0, 1):
-        short = length - less
-        half = F.floor(short / 2).cast("int")
-        keys.append(F.xxhash64(short, F.lit(0), F.substring(line, F.lit(1), half)))
-        keys.append(F.xxhash64(short, F.lit(1), F.substring(line, half + less + 1, F.lit(2**31 - 1))))
-    return F.array(*keys)
+    short = F.length("rest") - F.col("less")
+    half = F.floor(short / 2).cast("int")
+    end = F.lit(2**31 - 1)
+    begin, tail = F.substring("rest", F.lit(1), half), F.substring("rest", half + F.col("less") + 1, end)
+    sides = F.array(
+        F.struct(F.xxhash64("key", short, F.lit(0), begin).alias("key"), F.substring("rest", half + 1, end).alias("rest")),
+        F.struct(F.xxhash64("key", short, F.lit(1), tail).alias("key"), F.substring("rest", F.lit(1), half + F.col("less")).alias("rest")),
+    )
+    kept = [c for c in rows.columns if c not in ("key", "rest")]
+    return rows.withColumn("side", F.explode(sides)).select("side.key", "side.rest", *kept)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Keys under which two lines may be within an edit, with what they hold: ``equal`` (two lines of the shorter length), ``longer`` (one of the other)."""
+    shorter = F.when(F.col("less") == 0, F.col("h1"))
+    keys = rows.groupBy("key").agg(F.min(shorter).alias("a"), F.max(shorter).alias("b"), F.max(F.col("less") == 1).alias("longer"))
+    return keys.select("key", (F.col("a") != F.col("b")).alias("equal"), "longer").where("a is not null and (equal or longer)")
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -35,30 +46,34 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def near_lines(lines: DataFrame) -> DataFrame:
     """(h1, h2) of distinct lines that have an earlier line within one edit.
 
-    ``lines`` holds (h1, h2, line, length, first): the distinct lines that share a half with
-    another one, and where each came first.  Every line gives its variants with one character
-    left out, hashed; the earliest line of equal variants is each other line's partner, which
-    levenshtein confirms.  Lines with an equal variant at one place differ in that character
-    only, so such a group has at most one line for each character there is.
+    ``lines`` holds (h1, h2, line, first): distinct lines and where each came first.  Halves that two
+    lines share leave a short rest in which the edit lies.  Every rest gives its variants
+    with one character left out, hashed with the place of the character for a replacement, without it
+    to meet a whole rest that is one shorter.  Equal variants are joined: of rests with an equal variant
+    at one place each is an edit away from the earliest, and a whole rest is an edit away from each longer one.
+    levenshtein confirms.  Nothing is paired within a group but with its earliest line.
     """
-    chars = lines.select("h1", "h2", "first", "length", F.posexplode(F.split("line", "")).alias("i", "c"))
-    at = lambda shift: F.shiftrightunsigned(F.xxhash64(F.col("i") - shift, "c"), 64 - CHAR_BITS)
-    run = Window.partitionBy("h1", "h2").orderBy("i")
-    before = F.coalesce(F.sum(at(0)).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.coalesce(F.sum(at(1)).over(run.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    variants = chars.select("h1", "h2", "first", "length", "i", (before + after).alias("v"))
-    # one character replaced: equal variants at one place of lines of one length
-    place = Window.partitionBy("length", "i", "v")
-    who = F.struct("first", "h1", "h2")
-    replaced = variants.select(F.col("h1"), F.col("h2"), F.col("first"), F.min(who).over(place).alias("other"))
-    # one character more: a variant equals a whole line
-    whole = chars.groupBy("h1", "h2", "first", "length").agg(F.sum(at(0)).alias("v"))
-    whole = whole.select(F.col("length").alias("short"), "v", who.alias("whole"))
-    longer = variants.select((F.col("length") - 1).alias("short"), "v", who.alias("longer")).distinct()
-    inserted = whole.join(longer, ["short", "v"])
-    one = inserted.select(F.col("longer.h1").alias("h1"), F.col("longer.h2").alias("h2"), F.col("longer.first").alias("first"), F.col("whole").alias("other"))
-    two = inserted.groupBy("whole").agg(F.min("longer").alias("other")).select("whole.h1", "whole.h2", "whole.first", "other")
-    pairs = replaced.union(one).union(two).where("other.first < first").select("h1", "h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2")).distinct()
+    both = lines.select("h1", "h2", "first", F.col("line").alias("rest"), F.lit(0).cast("long").alias("key"), F.explode(F.lit([0, 1])).alias("less"))
+    rows = _halved(both)
+    rows = stored(rows.join(_met(rows), "key"))
+    while not rows.where(F.length("rest") > LONG).isEmpty():  # as often as the longest line can be halved
+        more = _halved(rows.where(F.length("rest") > LONG).drop("equal", "longer"))
+        rows = stored(rows.where(F.length("rest") <= LONG).unionByName(more.join(_met(more), "key")))
+    n = F.length("rest")
+    without = lambda i: F.concat(F.substring("rest", F.lit(1), i), F.substring("rest", i + 2, F.lit(LONG)))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    replaced = F.when((F.col("less") == 0) & F.col("equal"), F.transform(places, lambda i: F.xxhash64("key", F.lit(0), i, without(i))))
+    whole = F.when((F.col("less") == 0) & F.col("longer"), F.array(F.xxhash64("key", F.lit(1), "rest")))
+    longer = F.when(F.col("less") == 1, F.array_distinct(F.transform(places, lambda i: F.xxhash64("key", F.lit(1), without(i)))))
+    none = F.array().cast("array<bigint>")
+    who = F.struct("first", "h1", "h2").alias("who")
+    variants = rows.select("less", who, F.lit(True).alias("place"), F.explode(F.coalesce(replaced, none)).alias("v"))
+    variants = variants.union(rows.select("less", who, F.lit(False), F.explode(F.coalesce(whole, longer, none))))
+    here = Window.partitionBy("place", "v")
+    of = lambda less: F.min(F.when(F.col("less") == less, F.col("who"))).over(here)
+    other = F.when(F.col("place") | (F.col("less") == 1), of(0)).otherwise(of(1))
+    pairs = variants.select("who", other.alias("other")).where("other.first < who.first").distinct()
+    pairs = pairs.select("who.h1", "who.h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"))
     texts = lines.select("h1", "h2", "line")
     sides = pairs.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other")), ["o1", "o2"])
     return sides.where(F.levenshtein("line", "other", 1).between(0, 1)).select("h1", "h2").distinct()
@@ -86,14 +101,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     lines = _lines(docs, doc_id, text)
     last = F.coalesce(F.col("id").cast("long"), F.lit(2**63 - 1))
     here = F.struct(last.alias("id"), "t1", "t2", "pos")
-    firsts = stored(lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"), F.max("length").alias("length")))
+    firsts = stored(lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")))
     if max_edits:
         long = lines.where(F.col("length") >= min_chars)
-        keyed = long.select("h1", F.explode(_half_keys(F.col("line"), F.col("length"))).alias("key"))
-        shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-        some = keyed.join(shared, "key", "left_semi").select("h1").distinct()
+        keyed = _halved(long.select("h1", F.col("line").alias("rest"), F.lit(0).cast("long").alias("key"), F.explode(F.lit([0, 1])).alias("less"))).drop("rest")
+        some = keyed.join(_met(keyed), "key", "left_semi").select("h1").distinct()
         texts = long.join(some, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-        some = stored(texts.join(firsts.select("h1", "h2", "first", "length"), ["h1", "h2"]))
+        some = stored(texts.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]))
         near = near_lines(some)
         firsts = firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     else:
