@@ -11,6 +11,7 @@ from itertools import chain
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from locusweave.llm.naming import free_names
 
@@ -47,7 +48,6 @@ class Vocabulary:
         # white space as Unicode has it, whatever this library takes \s for
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.bytes_back = bool(spec["decoder"])
-        self.letters = letters
 
         def as_bytes(token: str) -> bytes:
             return bytes(letters[c] for c in token)
@@ -70,14 +70,16 @@ class Vocabulary:
             self.parts.setdefault(made, (x, y, r))
         if not self.end:
             self.last = self.inner
-        self.lengths: dict[tuple[bool, bytes], list[int]] = {}
+        self.raw = {i: b for b, i in self.inner.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.lengths: dict[bool, dict[bytes, tuple[int, ...]]] = {}  # of tokens with the same last three bytes
         for ends, tokens in ((False, self.inner), (True, self.last)):
             found: dict[bytes, set[int]] = {}
             for t in tokens:
-                if len(t) > 1:
-                    found.setdefault(t[-2:], set()).add(len(t))
-            self.lengths |= {(ends, k): sorted(v, reverse=True) for k, v in found.items()}
+                if len(t) > 2:
+                    found.setdefault(t[-3:], set()).add(len(t))
+            self.lengths[ends] = {k: (*sorted(v, reverse=True), 2, 1) for k, v in found.items()}
         self.good: dict[tuple[int, int], bool] = {}
+        self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
 
     def pieces(self, text: str) -> list[str | int]:
         """The text's pieces in order; special tokens in it by their id."""
@@ -97,11 +99,14 @@ class Vocabulary:
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """From the outermost letter of a token on one side up to the token: what stands at that edge, and the rank of the merge that ends it."""
-        out, until = [(token, float("inf"))], None
-        while (p := self.parts.get(token)) is not None:
-            until, token = p[2], p[side]
-            out.append((token, until))
-        return out[::-1]
+        if (known := self.spines.get((token, side))) is not None:
+            return known
+        out, below = [(token, float("inf"))], token
+        while (p := self.parts.get(below)) is not None:
+            below = p[side]
+            out.append((below, p[2]))
+        self.spines[token, side] = out = out[::-1]
+        return out
 
     def stays(self, a: int, b: int) -> bool:
         """Whether tokens a and b next to each other are what BPE makes of their letters.
@@ -109,8 +114,6 @@ class Vocabulary:
         While both grow from letters, a merge over the boundary happens only if it ranks before the next merges of
         the two tokens that touch there.  Equal ranks go from left to right.
         """
-        if (known := self.good.get((a, b))) is not None:
-            return known
         left, right, i, j, ok = self._spine(a, 1), self._spine(b, 0), 0, 0, True
         while True:
             (x, x_until), (y, y_until) = left[i], right[j]
@@ -129,9 +132,14 @@ class Vocabulary:
 
     def _final(self, word: bytes, n: int, states: list[int], ends: bool) -> int:
         """The last token of the encoding of word[:n], given that of each shorter prefix."""
-        tokens = self.last if ends else self.inner
-        for length in (*self.lengths.get((ends, word[n - 2 : n] if n > 1 else b""), ()), 1):
-            if length <= n and (t := tokens.get(word[n - length : n])) is not None and (n == length or self.stays(states[n - length], t)):
+        tokens, good = (self.last if ends else self.inner), self.good
+        for length in self.lengths[ends].get(word[n - 3 : n], (2, 1)) if n > 2 else (2, 1):
+            if length < n:
+                if (t := tokens.get(word[n - length : n])) is not None:
+                    known = good.get((states[n - length], t))
+                    if known or known is None and self.stays(states[n - length], t):
+                        return t
+            elif length == n and (t := tokens.get(word[:n])) is not None:
                 return t
         raise ValueError(f"no token ends {word[:n]!r}")
 
@@ -173,9 +181,7 @@ class Vocabulary:
         """The text of ids, special tokens included: byte letters back to bytes where the file names a decoder, else tokens with spaces between."""
         if not self.bytes_back:
             return " ".join(map(self.text.__getitem__, ids))
-        letters = self.letters
-        raw = b"".join(bytes(letters[c] for c in self.text[i]) if self.text[i] not in self.special else self.text[i].encode() for i in ids)
-        return raw.decode("utf-8", errors="replace")
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
 def _encoder(path: str):
@@ -209,7 +215,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFr
     """
     rest = [c for c in docs.columns if c.lower() not in (text.lower(), "ids", "decoded")]
     given = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias("text"))
-    schema = given.drop("text").schema.add("ids", "array<int>").add("decoded", "string")
+    schema = given.drop("text").schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
     return given.mapInArrow(_encoder(tokenizer), schema)
 
 

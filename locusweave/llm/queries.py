@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from locusweave.llm import lines, minhash, mixing, sharding
+import public_tokenizers
+
+from locusweave.llm import bpe, lines, minhash, mixing, sharding, syncmers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,3 +111,27 @@ reach AS (
   SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
 SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept
 FROM n JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = n.doc_id"""
+
+
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = syncmers.edited_likeness(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), syncmers.as_text("sketch").alias("fingerprint"),
+        syncmers.as_text("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    out = bpe.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+QUERIES |= {"op2_syncmers": op2_syncmers, "op6_bpe": op6_bpe, "op10_token_counts": op10_token_counts}
