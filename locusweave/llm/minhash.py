@@ -16,9 +16,15 @@ WIDTH = 5
 MINIMA = 256
 BAND_ROWS = 5
 BANDS = MINIMA // BAND_ROWS
-#: Pairs estimated below this are no candidates.  At a true similarity of 0.75 the estimate from
-#: 256 bits has a standard deviation of 0.041, so this lies 4.8 of them below.
-LEAST_ESTIMATE = 0.55
+#: Low bits kept of each minimum.
+LOW_BITS = 2
+#: Pairs estimated so far below the threshold are no candidates.  At a true similarity of 0.75 the estimate from
+#: 256 pairs of bits has a standard deviation of 0.033, so this is 4.6 of them.
+MARGIN = 0.15
+#: Rounds in which every document still apart is compared with one other.
+ROUNDS = 3
+#: Documents that a task compares with so many others after that.
+TILE = 256
 #: Shingles that are worked on at once.
 BLOCK = 1 << 16
 
@@ -59,8 +65,9 @@ def signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _packed(minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lowest bit of each well-mixed minimum, 64 in a long, and one key for each band."""
-    bits = np.packbits(((minima >> np.uint32(16)) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
+    """``LOW_BITS`` bits of each minimum side by side, 64 in a long, and one key for each band."""
+    low = np.stack([(minima >> np.uint32(16 + k)) & np.uint32(1) for k in range(LOW_BITS)], axis=2)
+    bits = np.packbits(low.reshape(len(minima), -1).astype(np.uint8), axis=1).view(np.int64)
     keys = np.zeros((len(minima), BANDS), dtype=np.uint64)
     for j in range(BAND_ROWS):
         keys = (keys ^ minima[:, j : BANDS * BAND_ROWS : BAND_ROWS]) * np.uint64(0x9E3779B97F4A7C15)
@@ -113,24 +120,65 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
 
 
-def _confirm(threshold_percent: int):
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirm(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b, sa, sb) to the (a, b) whose sets are similar enough, in whole numbers."""
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= threshold_percent * max(len(x), len(y)) else 0
-                keep.append(100 * both >= threshold_percent * (len(x) + len(y) - both) and both > 0)
+            sides = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sides]
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     return confirm
 
 
+def _compared(percent: int):
+    def compare(tile: pa.Table) -> pa.Table:
+        """Links between the two sides of a tile (all pairs where there is one side) that join different components, best estimates first."""
+        node, component, side = (np.array(tile[c]) for c in ("node", "component", "side"))
+        bits = np.array(tile["bits"].to_pylist(), dtype=np.int64).view(np.uint64)
+        sets = [np.frombuffer(x, np.uint64) for x in tile["shingles"].to_pylist()]
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        one = not len(b)
+        b = a if one else b
+        rows = []
+        for i in a:
+            differ = bits[b] ^ bits[i]
+            differ = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1)
+            like = 1 - differ / (MINIMA * (1 - 0.5**LOW_BITS))
+            fit = np.flatnonzero((like >= percent / 100 - MARGIN) & (component[b] != component[i]) & ((b > i) | (not one)))
+            rows += [(-like[k], i, b[k]) for k in fit]
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        links = []
+        for _, i, j in sorted(rows):
+            x, y = top(component[i]), top(component[j])
+            if x != y and _linked(sets[i], sets[j], percent):
+                root[max(x, y)] = min(x, y)
+                links.append((node[i], node[j]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return compare
+
+
 def estimate(a: str, b: str) -> Column:
-    """Similarity from two one-bit signatures: equal bits less those that are equal by chance."""
-    differ = sum((F.bit_count(F.get(a, F.lit(j)).bitwiseXOR(F.get(b, F.lit(j)))) for j in range(MINIMA // 64)), F.lit(0))
-    return 1 - 2 * differ / F.lit(float(MINIMA))
+    """Similarity from two signatures: equal groups of bits, less those that are equal by chance."""
+    differ = F.lit(0)
+    for j in range(MINIMA * LOW_BITS // 64):
+        x = F.get(a, F.lit(j)).bitwiseXOR(F.get(b, F.lit(j)))
+        differ += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return 1 - differ / F.lit(MINIMA * (1 - 0.5**LOW_BITS))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold_percent: int = 75) -> DataFrame:
@@ -142,54 +190,71 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``kept`` says whether it is the document's own.
 
     Texts with the same words are one class from the start, so copies are never compared.  Of a class, one
-    row goes on: 256 minima, of which the low bits make the signature and bands of five make
-    candidate keys.  Two texts at the threshold share a band with probability 1 - 10^-6.
+    row goes on: 256 minima, of which two low bits each make the signature and bands of five make
+    candidate keys.  Two texts at 0.75 share a band with probability 1 - 10^-6.
 
-    Documents in one bucket are not paired with each other.  First each is compared with one document,
-    the smallest with which it shares a bucket and a high estimate.  Only candidates that the links so far leave in
-    different components are compared then, so a group of n near copies costs about n comparisons,
-    and no candidate pair whose link could matter is skipped.
+    Documents in one bucket are not paired with each other.  In ``ROUNDS`` rounds each is compared with one other, of
+    the bucket leaders outside its component the one with the best estimate, and links join components.  Buckets whose documents are then
+    still in different components are closed exactly: all documents outside the largest component of a clump of such
+    buckets are compared with all of the clump, in tiles that emit links between components only.
 
     A null or empty text, or one without words, has an empty set and links with nothing.  Rows with a
     null doc_id link with nothing and are kept, their component_id null.  Rows with one doc_id are
     one document: each keeps its own n_shingles, and their links are shared.  Other columns are not looked at.
     """
+    least = threshold_percent / 100 - MARGIN
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     sketch = stored(given.mapInArrow(_sketch, SKETCH))
     known = sketch.where("id is not null and n_shingles > 0")
     classes = known.groupBy("k1", "k2").agg(F.min("id").alias("node"))
-    members = known.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "node").distinct()
     # rows of one doc_id and different texts
+    members = known.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "node").distinct()
     same = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    tied = members.join(same.select("id"), "id", "left_semi").select(F.col("node").alias("a"), F.col("id").alias("b"))
-
-    one = known.join(classes, ["k1", "k2"]).where("id = node").dropDuplicates(["k1", "k2"])
-    bands = one.select("node", "bits", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    bucket = stored(bands.join(shared.select("key", F.col("lo").alias("leader")), "key"))
-
-    heads = bucket.where("node = leader").select("key", F.col("bits").alias("leader_bits"))
-    near = bucket.where("node <> leader").join(heads, "key").where(estimate("bits", "leader_bits") >= LEAST_ESTIMATE)
-    first = stored(near.groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b")))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = given.join(ids, "id", "left_semi").mapInArrow(_full_sets, "id long, shingles binary")
-        sides = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        sides = sides.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-        return sides.mapInArrow(_confirm(threshold_percent), "a long, b long")
-
-    links = stored(confirmed(first).union(tied))
-    found = connected_components(links)
-    placed = bucket.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = placed.join(open_keys, "key", "left_semi").select("key", "node", "component", "bits")
-    right = left.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("bits").alias("other_bits"))
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("component") < F.col("other")) & (estimate("bits", "other_bits") >= LEAST_ESTIMATE))
-    rest = rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    rest = stored(rest.join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        found = connected_components(links.union(confirmed(rest)))
+    links = stored(members.join(same.select("id"), "id", "left_semi").select(F.col("node").alias("a"), F.col("id").alias("b")))
+
+    # joins that grow with the documents are merge joins at every size
+    one = known.join(classes.hint("merge"), ["k1", "k2"]).where("id = node").dropDuplicates(["k1", "k2"])
+    bands = one.select("node", F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    bucket = stored(bands.join(shared.hint("merge"), "key", "left_semi"))
+    nodes = bucket.select("node").distinct()
+    bits = stored(one.join(nodes.hint("merge"), "node", "left_semi").select("node", "bits"))
+    sets = given.join(nodes.withColumnRenamed("node", "id").hint("merge"), "id", "left_semi").mapInArrow(_full_sets, "id long, shingles binary")
+    sets = stored(sets.withColumnRenamed("id", "node"))
+
+    placed = bucket.withColumn("component", F.col("node"))
+    for k in range(ROUNDS):
+        leader = F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node", "component"))
+        leaders = placed.groupBy("key").agg(leader.alias("leader")).select("key", F.col("leader.node").alias("a"), F.col("leader.component").alias("other"))
+        pairs = placed.join(leaders, "key").where("component <> other").select("a", F.col("node").alias("b")).distinct()
+        pairs = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
+        best = pairs.withColumn("like", estimate("x", "y")).where(F.col("like") >= least).groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a"))
+        sides = best.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+        sides = sides.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+        links = stored(links.union(sides.mapInArrow(_confirm(threshold_percent), "a long, b long")))
+        found = connected_components(links)
+        placed = bucket.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        still = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        placed = stored(placed.join(still, "key", "left_semi"))
+
+    # clumps: documents that open buckets hold together
+    heads = placed.groupBy("key").agg(F.min("node").alias("head"))
+    clumps = connected_components(placed.join(heads, "key").select(F.col("head").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "clump")
+    inside = placed.select("node", "component").distinct().join(clumps, "node")
+    sizes = inside.groupBy("clump", "component").agg(F.count(F.lit(1)).alias("n"))
+    mains = sizes.groupBy("clump").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_minor"))
+    inside = inside.join(mains, "clump").withColumn("minor", (F.col("component") != F.col("main")).cast("int"))
+    blocks = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("minor") == 1, blocks("n_minor")).otherwise(blocks("n_main"))).cast("int"))
+    minors, majors = F.sequence(F.lit(0), blocks("n_minor") - 1), F.sequence(F.lit(0), blocks("n_main") - 1)
+    cell = lambda row, main, col, side: F.struct(row.alias("row"), F.lit(main).alias("main_col"), col.alias("col"), side.alias("side"))
+    own = F.transform(minors, lambda x: cell(F.least(x, "block"), False, F.greatest(x, "block"), (F.col("block") > x).cast("int")))
+    across = F.transform(majors, lambda x: cell(F.col("block"), True, x, F.lit(0)))
+    there = F.transform(minors, lambda x: cell(x, True, F.col("block"), F.lit(1)))
+    tiles = inside.withColumn("tile", F.explode(F.when(F.col("minor") == 1, F.concat(own, across)).otherwise(there)))
+    tiles = tiles.select("node", "component", "clump", "tile.*").join(bits, "node").join(sets, "node")
+    more = tiles.groupBy("clump", "row", "main_col", "col").applyInArrow(_compared(threshold_percent), "a long, b long")
+    found = connected_components(links.union(more))
 
     # rows, classes and components together
     named = known.select("id", "k1", "k2").distinct().join(classes, ["k1", "k2"])
