@@ -1,2 +1,64 @@
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+"""A corpus through five operators: toxic documents out, repeated lines out, near copies out, sources mixed, texts encoded.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of ``documents``.
+``run`` writes the result of each as Parquet in the shared folder, and the next one reads it.  SQL cannot express
+the toxicity model, so there is no ORACLE_SQL; the tests hold each stage against brute force.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from locusweave.llm import bpe, lines, minhash, mixing, toxicity
+from locusweave.llm.queries import learnable
+from locusweave.llm.storage import stored
+
+ORACLE_SQL = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity model, fitted to labelled ones of ``docs``, gives 0.3 or more."""
+    model = toxicity.fit(docs, learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.score(docs, model, keep_text=True).where("toxicity < 0.3").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without lines that came before, or within one edit of one that did; documents of which no line stays go."""
+    out = lines.dedup_lines(docs).where("clean is not null or n_lines = 0").withColumn("text", F.col("clean"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest doc_id, of each group of near copies; rows with a null doc_id all stay."""
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources to weights 3, 1, 2 takes them, at most twice; 150 % of all words together."""
+    sized = docs.withColumn("words", mixing.count_words(F.col("text")))
+    mixed = mixing.weighted_fair_mix(sized, "source", "words", "doc_id", [3.0, 1.0, 2.0], 1.5, 2).where("taken > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div words")))
+    return mixed.select(*docs.columns, copies.alias("copy")).drop("copy")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, the ids of the text and what they decode to."""
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -156,14 +156,14 @@ FROM embeddings e JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a =
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id"""
 
 
-def _learnable(labels: DataFrame) -> DataFrame:
+def learnable(labels: DataFrame) -> DataFrame:
     """Labels that the toxicity model may see: those of a quarter of ids are held out."""
     return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, _learnable(_table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, learnable(_table(spark, sf_dir, "labels")))
     out = toxicity.score(docs, model)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"), F.col("offending.place").alias("offending"))
