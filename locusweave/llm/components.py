@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from locusweave.llm.storage import stored
 
 
-def _neighbour_minimum(edges: DataFrame, keep) -> DataFrame:
-    """(u, v, m): the edges with ``m`` the smallest of u and those neighbours for which ``keep`` holds."""
-    low = edges.where(keep).groupBy("u").agg(F.min("v").alias("low"))
+def _neighbour_minimum(edges: DataFrame) -> DataFrame:
+    """(u, v, m): the edges with ``m`` the smallest of u and its neighbours."""
+    low = edges.groupBy("u").agg(F.min("v").alias("low"))
     return edges.join(low, "u", "left").withColumn("m", F.least("u", F.coalesce("low", "u"))).drop("low")
 
 
@@ -28,9 +28,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     before = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _neighbour_minimum(both, F.lit(True)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small = _neighbour_minimum(large, F.lit(True))
+        large = _neighbour_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _neighbour_minimum(large.where("u <> v"))
         small = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         pairs = stored(small.where("u <> v").distinct())
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

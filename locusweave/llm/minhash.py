@@ -22,7 +22,7 @@ LOW_BITS = 2
 #: 256 pairs of bits has a standard deviation of 0.033, so this is 4.6 of them.
 MARGIN = 0.15
 #: Rounds in which every document still apart is compared with one other.
-ROUNDS = 3
+ROUNDS = 2
 #: Documents that a task compares with so many others after that.
 TILE = 256
 #: Shingles that are worked on at once.
@@ -231,8 +231,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         best = pairs.withColumn("like", estimate("x", "y")).where(F.col("like") >= least).groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a"))
         sides = best.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
         sides = sides.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-        links = stored(links.union(sides.mapInArrow(_confirm(threshold_percent), "a long, b long")))
+        links = links.union(sides.mapInArrow(_confirm(threshold_percent), "a long, b long"))
         found = connected_components(links)
+        links = found.select(F.col("component").alias("a"), F.col("node").alias("b"))  # stars stand for all links so far
         placed = bucket.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         still = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         placed = stored(placed.join(still, "key", "left_semi"))
