@@ -32,13 +32,16 @@ def fill_dosages(df: DataFrame, dosages: str, how: str = "mean") -> DataFrame:
 def standardize(df: DataFrame, dosages: str, flipped: str | None = None, keep_monomorphic: bool = False) -> DataFrame:
     """Adds ``std``: dosages less their mean by their population deviation, negated where ``flipped``.  Variants without variation go, or get NaN."""
     d = F.transform(dosages, lambda x: x.cast("double"))
-    out = df.withColumn("dose_mean", _sum(d) / F.size(dosages))
-    out = out.withColumn("dose_sd", F.sqrt(_sum(F.transform(d, lambda x: F.pow(x - F.col("dose_mean"), 2))) / F.size(dosages)))
+    # inline makes a row's moments once; as plain columns they would be made anew for every element
+    out = df.select("*", F.inline(F.array(F.struct((_sum(d) / F.size(dosages)).alias("dose_mean")))))
+    sd = F.sqrt(_sum(F.transform(d, lambda x: F.pow(x - F.col("dose_mean"), 2))) / F.size(dosages))
+    out = out.select("*", F.inline(F.array(F.struct(sd.alias("dose_sd")))))
     if not keep_monomorphic:
         out = out.where("dose_sd > 0")
     sign = F.when(F.col(flipped), -1.0).otherwise(1.0) if flipped else F.lit(1.0)
     std = F.transform(d, lambda x: sign * F.coalesce(F.try_divide(x - F.col("dose_mean"), F.col("dose_sd")), F.lit(float("nan"))))
-    return out.withColumn("std", std).drop("dose_mean", "dose_sd")
+    out = out.select("*", F.inline(F.array(F.struct(std.alias("std")))))
+    return out.drop("dose_mean", "dose_sd")
 
 
 def ld_pairs(genotypes: DataFrame, gene: str, variant: str, most: int) -> DataFrame:

@@ -12,19 +12,19 @@ def sed_stats(df: DataFrame, by: list[str], ref: str, alt: str, pseudo: float |
     sym_kl is half the symmetric divergence of the tracks scaled to sum 1.
     """
     r, a = F.col(ref), F.col(alt)
-    base = df.groupBy(*by).agg(F.sum(r).alias("REF"), F.sum(a).alias("ALT"), *([] if pseudo is not None else [F.percentile(r, 0.25).alias("pseudo")]))
+    base = df.groupBy(*by).agg(F.sum(r).alias("sum_ref"), F.sum(a).alias("sum_alt"), *([] if pseudo is not None else [F.percentile(r, 0.25).alias("pseudo")]))
     base = base.withColumn("pseudo", F.lit(pseudo)) if pseudo is not None else base
     rows = df.join(base, by)
     lr, la = F.log2(r + F.col("pseudo")), F.log2(a + F.col("pseudo"))
-    pr, pa = (r + F.col("pseudo")) / F.col("REF"), (a + F.col("pseudo")) / F.col("ALT")
-    out = rows.groupBy(*by, "REF", "ALT", "pseudo").agg(
+    pr, pa = (r + F.col("pseudo")) / F.col("sum_ref"), (a + F.col("pseudo")) / F.col("sum_alt")
+    out = rows.groupBy(*by, "sum_ref", "sum_alt", "pseudo").agg(
         F.sum(F.abs(a - r)).alias("D1"), F.sqrt(F.sum(F.pow(a - r, 2))).alias("D2"), F.max(F.abs(a - r)).alias("Di"),
         F.sum(F.abs(la - lr)).alias("logD1"), F.sqrt(F.sum(F.pow(la - lr, 2))).alias("logD2"),
         (0.5 * F.sum((pr - pa) * (F.log(pr) - F.log(pa)))).alias("sym_kl"),
-        F.sqrt(F.sum(F.pow(a / F.col("ALT") - r / F.col("REF"), 2))).alias("nD2"), F.max(F.abs(a / F.col("ALT") - r / F.col("REF"))).alias("nDi"),
+        F.sqrt(F.sum(F.pow(a / F.col("sum_alt") - r / F.col("sum_ref"), 2))).alias("nD2"), F.max(F.abs(a / F.col("sum_alt") - r / F.col("sum_ref"))).alias("nDi"),
     )
     log = lambda x: F.log2(F.col(x) + F.col("pseudo"))
-    return out.withColumns({"SED": F.col("ALT") - F.col("REF"), "refLog": log("REF"), "altLog": log("ALT"), "logSED": log("ALT") - log("REF")})
+    return out.withColumns({"SED": F.col("sum_alt") - F.col("sum_ref"), "refLog": log("sum_ref"), "altLog": log("sum_alt"), "logSED": log("sum_alt") - log("sum_ref")})
 
 
 def percentile_table(df: DataFrame, by: list[str], value: str, points: list[float], exact: bool = True) -> DataFrame:

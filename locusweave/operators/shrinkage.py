@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -18,26 +20,28 @@ def adaptive_shrinkage(df: DataFrame, effect: str, se: str, smallest: float, lar
     weights = [1 / len(grid)] * len(grid)
     b, s2 = F.col(effect), F.col(se) * F.col(se)
 
-    def parts(w: list[float]):
-        logs = [F.lit(max(x, 1e-300)).alias("w") for x in w]
-        each = [F.log(x) - 0.5 * F.log(s2 + g) - 0.5 * b * b / (s2 + g) for x, g in zip(logs, grid)]
-        top = F.greatest(*each)
-        raw = [F.exp(e - top) for e in each]
-        total = sum(raw[1:], raw[0])
-        return [r / total for r in raw]
+    def shares(rows: DataFrame, w: list[float]) -> DataFrame:
+        """Adds ``shares``, each row's responsibilities by component; inline keeps a row's logs from being made anew for each."""
+        logs = [F.lit(math.log(max(x, 1e-300))) - 0.5 * F.log(s2 + g) - 0.5 * b * b / (s2 + g) for x, g in zip(w, grid)]
+        out = rows.select("*", F.inline(F.array(F.struct(F.array(*logs).alias("logs")))))
+        out = out.select("*", F.inline(F.array(F.struct(F.array_max("logs").alias("top")))))
+        out = out.select("*", F.inline(F.array(F.struct(F.transform("logs", lambda x: F.exp(x - F.col("top"))).alias("raw")))))
+        out = out.select("*", F.inline(F.array(F.struct(F.aggregate("raw", F.lit(0.0), lambda t, x: t + x).alias("total")))))
+        return out.withColumn("shares", F.transform("raw", lambda x: x / F.col("total"))).drop("logs", "top", "raw", "total")
 
     rows = df.where(F.col(effect).isNotNull() & (F.col(se) > 0))
     for _ in range(rounds):
-        sums = rows.agg(F.count(F.lit(1)), *[F.sum(r) for r in parts(weights)]).first()
+        sums = shares(rows, weights).agg(F.count(F.lit(1)), *[F.sum(F.get("shares", F.lit(k))) for k in range(len(grid))]).first()
         if not sums[0]:
             break
         new = [x / sums[0] for x in sums[1:]]
         moved, weights = max(abs(x - y) for x, y in zip(new, weights)), new
         if moved < tolerance:
             break
-    r = parts(weights)
+    r = [F.get("shares", F.lit(k)) for k in range(len(grid))]
     means = [b * g / (s2 + g) for g in grid]
     variances = [s2 * g / (s2 + g) for g in grid]
     mean = sum((x * m for x, m in zip(r, means)), F.lit(0.0))
     second = sum((x * (m * m + u) for x, m, u in zip(r, means, variances)), F.lit(0.0))
-    return rows.withColumn("posterior_mean", mean).withColumn("posterior_var", second - F.col("posterior_mean") * F.col("posterior_mean")), list(zip(grid, weights))
+    out = shares(rows, weights).withColumns({"posterior_mean": mean, "posterior_second": second}).withColumn("posterior_var", F.col("posterior_second") - F.col("posterior_mean") * F.col("posterior_mean"))
+    return out.drop("shares", "posterior_second"), list(zip(grid, weights))
