@@ -117,7 +117,7 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = syncmers.edited_likeness(_table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), syncmers.as_text("sketch").alias("fingerprint"),
-        syncmers.as_text("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next",
+        syncmers.as_text("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next", "next_id", "next_n_chars",
     )
 
 

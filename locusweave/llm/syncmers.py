@@ -107,7 +107,7 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     The edited text has its last third (rounded down, in code points) replaced by as many first code points, or all, of the
     next document by descending ``doc_id``.  Returns doc_id, n_chars, edited (the text), sketch, edited_sketch, near_edited,
-    near_next.  A null text is an empty one; a null doc_id comes last; equal doc_ids are ordered by a hash; rows equal in
+    near_next, next_id, next_n_chars.  A null text is an empty one; a null doc_id comes last; equal doc_ids are ordered by a hash; rows equal in
     doc_id and text are one document with one next document, and a document alone is its own next.  Other columns are not kept.
 
     Texts are shuffled once by a hash of the row, which both the row and its neighbour use; a neighbour is sent the part of
@@ -118,13 +118,17 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = next_in_order(base.select("id", "k1", "k2", "n").distinct(), "id", ["k1", "k2"])
     links = links.select(F.col("k1").alias("to1"), F.col("k2").alias("to2"), F.col("next.k1").alias("k1"), F.col("next.k2").alias("k2"), F.floor(F.col("n") / 3).cast("int").alias("part"))
     known = fingerprints(base, "text", "sketch")
-    sent = known.select("k1", "k2", "text", "sketch").dropDuplicates(["k1", "k2"]).join(links, ["k1", "k2"])
-    sent = sent.select(F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.col("sketch").alias("next_sketch"), F.substring("text", F.lit(1), F.col("part")).alias("tail"))
-    out = known.join(sent, ["k1", "k2"])
+    # both joins read the same columns of ``known``, so its shuffle is made once and used twice
+    sent = known.join(links, ["k1", "k2"]).select(
+        F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.col("id").alias("next_id"), F.col("n").alias("next_n_chars"), F.col("sketch").alias("next_sketch"),
+        F.substring("text", F.lit(1), F.col("part")).alias("tail"),
+    )
+    out = known.join(sent.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
     head = F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 3)).cast("int"))
     out = out.withColumn("edited", F.concat(head, "tail"))
     out = fingerprints(out, "edited", "edited_sketch")
     return out.select(
         F.col("id").alias(doc_id), F.col("n").alias("n_chars"), "edited", "sketch", "edited_sketch",
         likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"),
+        F.col("next_id"), F.col("next_n_chars"),
     )
