@@ -1 +1,191 @@
-ORACLE_SQL = {}
+"""DuckDB SQL for the registered queries."""
+
+from __future__ import annotations
+
+REPS = "reps AS (SELECT l_partkey AS key, l_discount - 0.02 AS value FROM lineitem)"
+RANKP = "2.0 * (1 + least(count(*) FILTER (value >= 0), count(*) FILTER (value <= 0))) / (1 + count(value))"
+VARIANTS = """v0 AS (
+  SELECT p_partkey AS key, 'chr' || (p_partkey % 22 + 1) AS chrom, p_partkey * 97 AS pos,
+         substr('ACGT', cast(p_partkey % 4 + 1 AS int), 1) AS ref, substr('ACGT', cast((p_partkey % 4 + 1 + p_partkey % 3) % 4 + 1 AS int), 1) AS alt, p_brand, p_type, p_size, p_retailprice FROM part),
+v AS (SELECT *, ref AS a1, alt AS a2, concat_ws('_', chrom, pos, ref, alt, 'b38') AS variant FROM v0),
+vs AS (SELECT *, CASE WHEN key % 2 = 1 THEN alt ELSE ref END AS a1, CASE WHEN key % 2 = 1 THEN ref ELSE alt END AS a2 FROM v0)"""
+SUPPLIED = """s AS (
+  SELECT l_partkey AS key, p_brand AS gene, n_name AS tissue, l_discount - 0.02 AS value, l_linenumber, l_quantity, l_returnflag
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"""
+EFFECTS = """e AS (
+  SELECT l_suppkey AS gene, l_partkey AS key, l_discount - 0.05 AS beta, 0.01 + l_tax AS se, (l_partkey % 99 + 1) / 100.0::double AS af,
+         l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem)"""
+GENO = """vec AS (SELECT vec_id AS key, label AS gene, cast(embedding AS double[]) AS bs FROM embeddings),
+g AS (SELECT key, gene, bs, list_transform(bs, lambda x: CASE WHEN x < -0.05 THEN 0.0::double WHEN x < 0.05 THEN 1.0 ELSE 2.0 END) AS d FROM vec),
+std AS (
+  SELECT key, gene, bs, list_transform(d, lambda x: (x - list_avg(d)) / list_stddev_pop(d)) AS z, (key % 7 - 3) / 10.0::double AS w, (key % 11 - 5) / 2.0::double AS zz
+  FROM g WHERE list_stddev_pop(d) > 0)"""
+PART_EFFECTS = f"""{REPS},
+pe0 AS (
+  SELECT key, round(avg(value), 9) AS m, count(value) AS n_rep, count(*) FILTER (value >= 0) AS up, count(*) FILTER (value <= 0) AS down FROM reps GROUP BY key),
+pe AS (
+  SELECT pe0.*, p_size, p_retailprice, p_type, p_brand, 2.0::double * (1 + least(up, down)) / (1 + n_rep) AS p, p_size - 25.5::double AS other, cast(key % 2001 - 1000 AS double) AS dist
+  FROM pe0 JOIN part ON p_partkey = key)"""
+ENRICH = """(a::double / (a + b)) / nullif(c::double / nullif(c + d, 0), 0)"""
+
+
+def mix(x: str, seed: str) -> str:
+    return f"((({x}) * 2654435761 + ({seed}) * 40503 + 12345) % 2147483647 * 48271 + 11) % 2147483647"
+
+
+def rounded(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+ORACLE_SQL = {
+    "b_variant_keys": f"WITH {VARIANTS} SELECT key, variant, concat_ws('_', chrom, pos, a2, a1, 'b38') AS swapped, chrom, pos, a2, 'b38' AS build FROM v",
+    "b_effect_columns": f"""WITH {EFFECTS}
+SELECT gene, count(*) AS n, round(sum(CASE WHEN af > 0.5 THEN 1 - af ELSE af END), 6) AS maf, round(sum(beta / se), 6) AS z, round(sum(beta * sqrt(2 * af * (1 - af))), 6) AS std_beta,
+       round(sum(CASE WHEN l_quantity - 10 > 0 THEN CASE WHEN beta < 0 THEN -sqrt(l_quantity - 10) ELSE sqrt(l_quantity - 10) END END), 6) AS sz,
+       count(*) FILTER (l_quantity > 10) AS n_sz, max(least(greatest(l_extendedprice * 10, -65504.0::double), 65504.0::double)) AS clipped
+FROM e GROUP BY gene""",
+    "b_untransform": """SELECT l_returnflag,
+  round(sum((power((CASE WHEN l_quantity > 10 THEN 9.0::double + power(l_quantity - 9, 2) ELSE l_quantity END) + 1, 2) - 1) / 2), 6) AS "new",
+  round(sum(power(CASE WHEN l_quantity / 2 > 20 THEN power(l_quantity / 2 - 20, 2) + 20 ELSE l_quantity / 2 END, 1 / 0.75::double)), 6) AS old
+FROM lineitem GROUP BY 1""",
+    "b_tissue_names": r"""SELECT p_partkey, regexp_replace(replace(p_brand || ' - ' || p_type, ')', ''), '\s+-\s+|\s*\(|\s+', '_', 'g') AS tissue, split_part(p_brand || '.' || p_type, '.', 1) AS sample, split_part(p_name || '.7', '.', 1) AS gene FROM part""",
+    "b_array_codec": """WITH v AS (SELECT vec_id AS key, cast(embedding AS double[]) AS bs FROM embeddings),
+c AS (SELECT key, list_avg(bs) AS m, list_stddev_pop(bs) AS sp, list_stddev_samp(bs) AS ss, len(bs) AS n, len(list_filter(bs, lambda x: x >= 0)) AS up, len(list_filter(bs, lambda x: x <= 0)) AS down,
+  len(list_filter(bs, lambda x: x >= -0.01)) AS up1, len(list_filter(bs, lambda x: x <= 0.01)) AS down1, len(list_filter(bs, lambda x: abs(x - list_avg(bs)) >= abs(list_avg(bs)))) AS far,
+  len(list_filter(bs, lambda x: x > 0)) AS pos, len(list_filter(bs, lambda x: x < 0)) AS neg FROM v)
+SELECT key, round(m, 6) AS mean, round(sp, 6) AS sd_pop, round(ss, 6) AS sd_samp, round(2.0::double * (1 + least(up, down)) / (1 + n), 6) AS p, round(2.0::double * (1 + least(up1, down1)) / (1 + n), 6) AS p_margin,
+  round((far + 1)::double / (n + 1), 6) AS p_centred, least(pos, neg)::bigint AS minority, least(pos, n - pos) <= 25 AS same FROM c""",
+    "b_effect_weights": f"""WITH {REPS}, m AS (SELECT key, avg(value) AS m, var_samp(value) AS v FROM reps GROUP BY key)
+SELECT key, round(m / sqrt(v), 6) AS z, round(m * 0.001 / (0.001 + v), 6) AS ridge, round(m / (1 + v / (m * m)), 6) AS sign FROM m WHERE abs(m) > 1e-9""",
+    "b_remap": "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'liver' WHEN 'MACHINERY' THEN 'lung' ELSE 'brain' END AS tissue FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')",
+    "c_variant_filters": f"""WITH {VARIANTS}, f AS (SELECT chrom, (key % 101) / 100.0::double AS af FROM v)
+SELECT chrom, CASE WHEN af <= 0.01 OR af >= 0.99 THEN 'rare' WHEN (CASE WHEN af > 0.5 THEN 1 - af ELSE af END) >= 0.05 THEN 'common' ELSE 'low' END AS kind, count(*) AS n FROM f GROUP BY ALL""",
+    "c_min_rows": f"WITH {REPS} SELECT key, count(*) AS n, round(sum(value), 6) AS total FROM reps GROUP BY key HAVING count(*) >= 30",
+    "c_bonferroni_top": f"""WITH {REPS}, g AS (SELECT key, round(avg(value), 9) AS m, exp(-abs(round(avg(value), 9) / (stddev_samp(value) / sqrt(count(value)))) * 3) AS p FROM reps GROUP BY key)
+SELECT key, m FROM g WHERE p * (SELECT count(*) FROM g) <= 0.05 ORDER BY abs(m) DESC, p, key LIMIT 20""",
+    "c_named_tests": """SELECT p_partkey, 'burden' AS kind, cast(p_size AS varchar) AS af, p_brand AS gene FROM part WHERE p_size % 2 = 0""",
+    "c_discordant": f"WITH {EFFECTS} SELECT gene, count(*) AS n FROM e WHERE se * 10 <= 0.5 AND beta * (af - 0.5) < 0 GROUP BY gene",
+    "c_aligned_significance": """WITH p AS (SELECT p_size / 50.0::double <= 0.2 AS l, (p_partkey % 50) / 50.0::double <= 0.2 AS r FROM part)
+SELECT unnest(['left', 'right', 'either', 'both']) AS mode, unnest([count(*) FILTER (l), count(*) FILTER (r), count(*) FILTER (l OR r), count(*) FILTER (l AND r)]) AS n FROM p""",
+    "d_orientation_join": f"""WITH {VARIANTS} SELECT v.variant, vs.p_brand, v.a1 <> vs.a1 AS flipped FROM v JOIN vs ON v.chrom = vs.chrom AND v.pos = vs.pos AND ((v.a1 = vs.a1 AND v.a2 = vs.a2) OR (v.a1 = vs.a2 AND v.a2 = vs.a1))""",
+    "d_ambiguous": f"""WITH {VARIANTS}, u AS (SELECT chrom, pos, a1, a2 FROM v UNION ALL SELECT chrom, pos, a1, a2 FROM vs)
+SELECT chrom, pos, least(a1, a2) AS lo, greatest(a1, a2) AS hi, count(*) AS n FROM u GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT a1) > 1""",
+    "d_left_orientation": f"""WITH {VARIANTS} SELECT v.key, vs.p_size / 100.0::double AS maf, v.a1 <> vs.a1 AS flipped
+FROM v LEFT JOIN (SELECT * FROM vs WHERE p_size > 25) vs ON v.chrom = vs.chrom AND v.pos = vs.pos AND least(v.a1, v.a2) = least(vs.a1, vs.a2) AND greatest(v.a1, v.a2) = greatest(vs.a1, vs.a2)""",
+    "d_triple_lookup": f"""WITH {SUPPLIED}, m AS (SELECT key, gene, tissue, avg(value) AS mean FROM s GROUP BY ALL)
+SELECT tissue, count(*) AS n, round(sum(mean), 6) AS total FROM s JOIN m USING (key, gene, tissue) WHERE l_quantity > 45 GROUP BY tissue""",
+    "d_required_lookup": "SELECT n_name AS tissue, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
+    "d_window_join": """WITH o AS (SELECT o_custkey AS c, date_diff('day', DATE '1970-01-01', o_orderdate::date) AS pos, o_orderkey FROM orders)
+SELECT g.o_orderkey AS gene, count(*) AS n, cast(sum(abs(o.pos - g.pos)) AS bigint) AS total FROM o JOIN o g ON o.c = g.c AND abs(o.pos - g.pos) <= 30 WHERE g.o_orderkey % 3 = 0 GROUP BY 1""",
+    "d_overlap_join": """WITH o AS (SELECT o_custkey AS c, date_diff('day', DATE '1970-01-01', o_orderdate::date) AS s, o_orderkey AS k FROM orders),
+p AS (SELECT a.k, b.k AS rk, greatest(0, floor((b.s - a.s) / 8.0)) AS lo, least(4, ceil((b.s + 15 - a.s) / 8.0)) AS hi FROM o a JOIN o b ON a.c = b.c AND a.k <> b.k AND a.s < b.s + 15 AND b.s < a.s + 20 + a.k % 7)
+SELECT k AS o_orderkey, cast(sum(hi - lo) AS bigint) AS n_bins, count(DISTINCT rk) AS n_windows FROM p WHERE hi > lo GROUP BY k""",
+    "d_reference_and_lift": f"""WITH {VARIANTS},
+l AS (SELECT key, chrom, key % 5000 + 1 + 3 AS pos, a1, a2, (p_size - 25) / 10.0::double AS beta FROM v WHERE (key % 5000 + 1) % 50 <> 0),
+r AS (SELECT *, substr('ACGT', cast((pos - 1) % 4 + 1 AS int), 1) AS base FROM l WHERE pos <= 5200)
+SELECT key, chrom, pos, CASE WHEN a1 = base THEN a1 ELSE a2 END AS a1, CASE WHEN a1 = base THEN a2 ELSE a1 END AS a2, round(CASE WHEN a1 = base THEN beta ELSE -beta END, 6) + 0.0 AS beta FROM r WHERE a1 = base OR a2 = base""",
+    "d_tissue_pairs": f"""WITH {SUPPLIED}, x AS (SELECT DISTINCT key, tissue FROM s WHERE value > 0.06)
+SELECT a.tissue AS t1, b.tissue AS t2, count(*) AS n FROM x a JOIN x b ON a.key = b.key AND a.tissue < b.tissue GROUP BY 1, 2""",
+    "d_label_members": "SELECT p_partkey, cast(p_size <= 10 AS int) AS label FROM part",
+    "d_align_replicates": """WITH r AS (SELECT l_partkey AS key, l_discount - 0.02 AS value, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount) AS rep FROM lineitem)
+SELECT key, count(*) AS n, round(arg_min(value, rep), 6) AS first, round(arg_max(value, rep), 6) AS last FROM r GROUP BY key HAVING count(*) = 30""",
+    "d_align_samples": "SELECT c_custkey AS iid, c_nationkey AS at, NOT (c_acctbal < 0 OR c_acctbal > 5000) AS missing, CASE WHEN c_acctbal < 0 OR c_acctbal > 5000 THEN c_acctbal END AS value FROM customer",
+    "e_organize_replicates": """WITH x AS (SELECT label AS gene, vec_id % 7 AS rep, cast(unnest(embedding) AS double) AS v, generate_subscripts(embedding, 1) - 1 AS idx FROM embeddings),
+r AS (SELECT gene, CASE WHEN idx % 3 <> 0 THEN 'liver' ELSE 'lung' END AS tissue, rep, avg(v) AS v FROM x GROUP BY ALL)
+SELECT gene, tissue, round(avg(v), 6) AS mean, count(*) AS n, round(arg_min(v, rep), 6) AS first FROM r GROUP BY ALL""",
+    "e_rank_pvalues": f"WITH {REPS} SELECT key, count(value) AS n, round({RANKP}, 6)::double AS p FROM reps GROUP BY key",
+    "e_sign_interval": f"""WITH {REPS}, q AS (SELECT key, 2.0::double * least(count(*) FILTER (value >= 0), count(*) FILTER (value <= 0)) / count(value) AS sp, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM reps GROUP BY key)
+SELECT key, round(sp, 6) AS sign_p, round(lo, 6) AS lower, round(hi, 6) AS upper, lo > 0 OR hi < 0 AS excludes_zero FROM q""",
+    "e_roll_up_classes": f"""WITH {SUPPLIED}, p AS (SELECT key, tissue, {RANKP} AS p FROM s GROUP BY ALL), r AS (SELECT key, max(cast(p <= 0.4 AS int)) AS any_significant, min(p)::double AS min_p FROM p GROUP BY key)
+SELECT key, any_significant, round(min_p, 6) AS min_p, cast(min_p <= 0.3 AS int) AS class1, cast(min_p > 0.3 AND min_p <= 0.5 AS int) AS class2, cast(min_p > 0.5 AND min_p <= 0.8 AS int) AS class3, cast(min_p > 0.8 AS int) AS class4 FROM r""",
+    "e_flat_mean": "WITH x AS (SELECT label AS gene, cast(unnest(embedding) AS double) AS v FROM embeddings) SELECT gene, round(avg(v), 6) AS mean FROM x GROUP BY gene",
+    "e_jaccard": f"""WITH {SUPPLIED}, h AS (SELECT key, tissue FROM s GROUP BY ALL HAVING {RANKP} <= 0.7), n AS (SELECT tissue, count(*) AS n FROM h GROUP BY 1),
+m AS (SELECT a.tissue AS t1, b.tissue AS t2, count(*) AS shared FROM h a JOIN h b ON a.key = b.key AND a.tissue < b.tissue GROUP BY ALL)
+SELECT a.tissue AS t1, b.tissue AS t2, coalesce(shared, 0) AS shared, round(coalesce(shared, 0)::double / (a.n + b.n - coalesce(shared, 0)), 6) AS jaccard FROM n a JOIN n b ON a.tissue < b.tissue LEFT JOIN m ON m.t1 = a.tissue AND m.t2 = b.tissue""",
+    "e_corr_by_threshold": f"WITH {EFFECTS}, t AS (SELECT unnest([0.0::double, 1.0, 2.0, 3.0]) AS threshold) SELECT threshold, count(*) AS n, round(corr(beta, af), 6) AS corr FROM e JOIN t ON abs(beta / se) > threshold OR threshold <= 0 GROUP BY 1",
+    "e_sign_concordance": f"""WITH {EFFECTS}, c AS (SELECT gene, count(*) AS n, avg(cast(beta * (af - 0.5) >= 0 AS double)) AS concordance FROM e GROUP BY gene), d AS (SELECT *, sqrt(concordance * (1 - concordance) / n) AS se FROM c)
+SELECT gene, n, round(concordance, 6) AS concordance, round(se, 6) AS se, round(concordance - 1.96 * se, 6) AS lower, round(concordance + 1.96 * se, 6) AS upper FROM d""",
+    "e_smallest_p_concordance": f"""WITH {PART_EFFECTS}, t AS (SELECT DISTINCT p AS cut FROM pe ORDER BY 1 LIMIT 10),
+l AS (SELECT cut, count(*) AS n, avg(cast(m * other >= 0 AS double)) AS by_p FROM pe JOIN t ON p <= cut GROUP BY cut),
+r AS (SELECT m, other, row_number() OVER (ORDER BY abs(m) DESC, key) AS rk FROM pe)
+SELECT round(cut, 6) AS cut, n, round(any_value(by_p), 6) AS by_p, round(avg(cast(m * other >= 0 AS double)), 6) AS by_effect FROM l JOIN r ON rk <= n GROUP BY cut, n""",
+    "e_binned_concordance": f"""WITH {PART_EFFECTS},
+b AS (SELECT unnest([0.0::double, 0.3, 0.6, 0.0]) AS bin_from, unnest([0.3::double, 0.6, 1.0, 1.0]) AS bin_to), t AS (SELECT unnest([-1001.0::double, -500, 0, 500]) AS stratum_from, unnest([-500.0::double, 0, 500, 1001]) AS stratum_to),
+c AS (SELECT bin_from, bin_to, stratum_from, stratum_to, count(*) AS n, 100 * avg(cast(m * other >= 0 AS double)) AS percent FROM pe JOIN b ON p > bin_from AND p <= bin_to JOIN t ON dist >= stratum_from AND dist < stratum_to GROUP BY ALL)
+SELECT bin_from, bin_to, stratum_from, stratum_to, n, round(percent, 6) AS percent, round(greatest(percent - 196 * sqrt(percent / 100 * (1 - percent / 100) / n), 0), 6) AS lower, round(least(percent + 196 * sqrt(percent / 100 * (1 - percent / 100) / n), 100), 6) AS upper FROM c""",
+    "e_power_by_distance": f"""WITH {PART_EFFECTS}, b AS (SELECT unnest([0.0::double, 250, 500]) AS bin_from, unnest([250.0::double, 500, 1001]) AS bin_to)
+SELECT bin_from, bin_to, count(*) AS n, round(avg(cast(p <= 0.4 AS double)), 6) AS power FROM pe JOIN b ON abs(dist) >= bin_from AND abs(dist) < bin_to GROUP BY ALL""",
+    "e_topn_compare": f"""WITH {PART_EFFECTS}, r AS (SELECT cast(m * other >= 0 AS double) AS agree, row_number() OVER (ORDER BY p, key) AS r1, row_number() OVER (ORDER BY -abs(m), key) AS r2 FROM pe), t AS (SELECT unnest([50, 100, 150]) AS top)
+SELECT top, round(avg(agree) FILTER (r1 <= top), 6) AS by_p, round(avg(agree) FILTER (r2 <= top), 6) AS by_effect, count(*) FILTER (r1 <= top AND r2 <= top) AS shared FROM r, t GROUP BY top""",
+    "e_meta_analysis": f"""WITH {EFFECTS}, m AS (SELECT gene, count(*) AS n, sum(beta / (se * se)) / sum(1 / (se * se)) AS meta, sqrt(1 / sum(1 / (se * se))) AS s FROM e GROUP BY gene HAVING count(*) >= 5)
+SELECT gene, n AS n_studies, round(meta, 6) AS meta, round(s, 6) AS meta_se, round(meta - 1.96 * s, 6) AS meta_lower, round(meta + 1.96 * s, 6) AS meta_upper FROM m""",
+    "e_mean_sem": f"""WITH {PART_EFFECTS}, t AS (SELECT unnest([1.0::double, 0.5, 0.4, 0.3, 0.2]) AS cut), c AS (SELECT cut, count(*) AS n, avg(m) AS mean, stddev_samp(m) AS sd FROM pe JOIN t ON p <= cut GROUP BY cut)
+SELECT cut, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean - 1.96 * sd / sqrt(n), 6) AS lower, round(mean + 1.96 * sd / sqrt(n), 6) AS upper FROM c""",
+    "e_histogram": "SELECT cast(least(floor(o_totalprice / 20000) + 1, 30) AS int) AS bin, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 0 AND 600000 GROUP BY 1",
+    "e_finemap": f"""WITH {EFFECTS}, a AS (SELECT *, 0.5 * ln(1 - 0.01 / (se * se + 0.01)) + 0.5 * (0.01 / (se * se + 0.01)) * beta * beta / (se * se) AS log_abf FROM e),
+w AS (SELECT *, exp(log_abf - max(log_abf) OVER (PARTITION BY gene)) AS w FROM a)
+SELECT gene, l_orderkey, l_linenumber, key, round(log_abf, 6) AS log_abf, round(w / sum(w) OVER (PARTITION BY gene), 6) AS pip FROM w""",
+    "e_best_and_credible": f"""WITH {EFFECTS}, m AS (SELECT gene, key, round(avg(beta), 6) AS beta, round(avg(se), 6) AS se FROM e GROUP BY ALL),
+a AS (SELECT gene, key, 0.5 * ln(1 - 0.01 / (se * se + 0.01)) + 0.5 * (0.01 / (se * se + 0.01)) * beta * beta / (se * se) AS l FROM m),
+w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY gene)) AS w FROM a), p AS (SELECT gene, key, round(w / sum(w) OVER (PARTITION BY gene), 9) AS pip FROM w),
+o AS (SELECT *, coalesce(sum(pip) OVER (PARTITION BY gene ORDER BY pip DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY gene ORDER BY pip DESC, key) AS rk FROM p)
+SELECT gene, max(key) FILTER (rk = 1) AS best, round(max(pip), 6) AS pip, count(*) FILTER (before < 0.95) AS credible FROM o GROUP BY gene""",
+    "e_extremes": f"WITH {EFFECTS} SELECT gene, round(max(abs(beta / se)), 6) AS max_z, round(max(abs(beta)), 6) AS max_effect, round(min(se), 6) AS min_p FROM e GROUP BY gene",
+    "e_ld_pairs": f"WITH {GENO} SELECT a.gene, a.key AS v1, b.key AS v2, round(list_inner_product(a.z, b.z) / 64, 6) + 0.0 AS r FROM std a JOIN std b ON a.gene = b.gene AND a.key < b.key WHERE a.key < 160 AND b.key < 160",
+    "e_twas": f"""WITH {GENO}, l AS (SELECT gene, w, unnest(z) AS g, generate_subscripts(z, 1) AS i FROM std), s AS (SELECT gene, i, sum(w * g) AS s FROM l GROUP BY ALL), v AS (SELECT gene, avg(s * s) AS wrw FROM s GROUP BY 1),
+t AS (SELECT gene, count(*) AS n, sum(w * zz) AS wz FROM std GROUP BY 1 HAVING count(*) >= 5)
+SELECT gene, n AS n_variants, round(wz / sqrt(wrw), 6) AS twas_z, round(wrw, 6) AS wrw FROM t JOIN v USING (gene)""",
+    "e_expression_correlation": f"""WITH {GENO}, l AS (SELECT gene, w, zz / 10 AS m, unnest(z) AS g, generate_subscripts(z, 1) AS i FROM std), s AS (SELECT gene, i, sum(w * g) AS s, sum(m * g) AS t FROM l GROUP BY ALL),
+v AS (SELECT gene, avg(s * s) AS var_predicted, avg(t * t) AS var_measured, avg(s * t) AS covariance FROM s GROUP BY 1), t AS (SELECT gene, count(*) AS n, max(abs(w)) AS max_effect FROM std GROUP BY 1)
+SELECT gene, n AS n_variants, {rounded("max_effect", "var_predicted", "var_measured", "covariance")}, round(covariance / sqrt(var_predicted * var_measured), 6) AS correlation FROM t JOIN v USING (gene)""",
+    "e_allele_frequency": f"WITH {GENO} SELECT key, round(list_sum(d) / 128, 6) AS af FROM g",
+    "e_percentiles": """WITH p AS (SELECT l_returnflag AS target, quantile_cont(l_extendedprice, [0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0]) AS q FROM lineitem GROUP BY 1)
+SELECT target, cast(generate_subscripts(q, 1) - 1 AS int) AS at, round(unnest(q), 6) AS value FROM p""",
+    "e_expressed_genes": """WITH x AS (SELECT o_custkey, l_partkey AS gene, sum(l_quantity) AS tpm FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT gene, round(avg(cast(tpm <= 10 AS double)), 6) AS low FROM x GROUP BY gene HAVING avg(cast(tpm <= 10 AS double)) <= 0.2""",
+    "e_matched_tissues": f"""WITH {SUPPLIED}, h AS (SELECT DISTINCT key, tissue AS t1 FROM s WHERE value > 0.05), o AS (SELECT DISTINCT key, tissue AS t2 FROM s WHERE l_quantity > 30), n AS (SELECT t2, count(*) AS n2 FROM o GROUP BY 1),
+c AS (SELECT t1, t2, count(*) AS cases FROM h JOIN o USING (key) GROUP BY ALL), p AS (SELECT t1, t2, cases::double / n2 AS value FROM c JOIN n USING (t2) WHERE cases > 2),
+f AS (SELECT t1, max(value) FILTER (t1 = t2) AS matched, quantile_cont(value, 0.5) FILTER (t1 <> t2) AS median_other FROM p GROUP BY t1)
+SELECT t1, round(matched, 6) AS matched, round(median_other, 6) AS median_other, round(matched - median_other, 6) AS gain FROM f""",
+    "f_global_rank": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders",
+    "f_split_even": "WITH b AS (SELECT o_orderkey, cast(ntile(7) OVER (ORDER BY o_orderkey) AS int) AS block FROM orders) SELECT block, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM b GROUP BY block",
+    "f_value_at_rank": "SELECT min(o_totalprice) AS threshold FROM (SELECT o_totalprice FROM orders ORDER BY 1 DESC LIMIT 50)",
+    "f_first_source": "SELECT o_custkey, o_orderpriority AS source, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS r FROM orders) WHERE r = 1",
+    "g_first_variants": f"WITH {VARIANTS} SELECT chrom, pos, variant FROM v ORDER BY chrom, pos, variant LIMIT 100",
+    "h_set_operations": """WITH o AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 48), f AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 48)
+SELECT l_partkey, 'both' AS kind FROM (SELECT * FROM o INTERSECT SELECT * FROM f) UNION ALL SELECT l_partkey, 'either' AS kind FROM (SELECT * FROM o UNION SELECT * FROM f)""",
+    "h_merge_intervals": """WITH e AS (SELECT user_id, cast(floor(epoch(ts)) AS bigint) AS s FROM events), r AS (SELECT *, max(s + 600) OVER (PARTITION BY user_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT user_id, min(s) AS start, max(s) + 600 AS "end" FROM i GROUP BY user_id, island""",
+    "i_fold_totals": f"""WITH slots AS (SELECT range AS slot, seed FROM range(8), (SELECT unnest([1, 2, 3]) AS seed)), d AS (SELECT seed, {mix("slot", "seed")} % 8 AS fold, CASE WHEN slot >= 7 THEN 'valid' ELSE 'train' END AS role FROM slots),
+k AS (SELECT * FROM d WHERE role = 'train' OR NOT EXISTS (SELECT 1 FROM d t WHERE t.role = 'train' AND t.seed = d.seed AND t.fold = d.fold))
+SELECT cast(seed AS int) AS seed, role, count(*) AS sequences, cast(sum(cast(round(o_totalprice) AS bigint)) AS bigint) AS bases FROM k JOIN orders ON o_orderkey % 8 = fold GROUP BY ALL""",
+    "i_cross_fold": "SELECT CASE o_orderkey % 8 WHEN 7 THEN 'test' WHEN 0 THEN 'valid' ELSE 'train' END AS role, count(*) AS n FROM orders GROUP BY 1",
+    "i_share_split": f"SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY {mix('c_custkey', '5')}, c_custkey) <= floor((SELECT count(*) FROM customer) * 0.8) THEN 'train' ELSE 'test' END AS role FROM customer",
+    "i_background_sample": f"SELECT p_partkey, p_size FROM part WHERE p_size <= 5 OR {mix('p_partkey', '11')} % 20 = 0",
+    "q1_fine_mapped": f"""WITH {VARIANTS}, l AS (SELECT l_partkey AS key, max(l_discount) AS pip, avg(l_tax) AS af FROM lineitem GROUP BY 1)
+SELECT chrom, pos, variant, p_brand, CASE WHEN af * 12 > 0.5 THEN a1 ELSE a2 END AS minor, round(pip, 6) AS pip FROM v JOIN l USING (key) WHERE pip >= 0.09""",
+    "q2_common_variants": f"""WITH {VARIANTS}, c AS (SELECT pos, variant FROM v WHERE least((key % 101) / 100.0::double, 1 - (key % 101) / 100.0::double) >= 0.05 AND key IN (SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey))
+SELECT variant, cast(ntile(4) OVER (ORDER BY pos, variant) AS int) AS part_no FROM c""",
+    "q3_organize": f"""WITH {SUPPLIED}, r AS (SELECT key, gene, tissue, l_linenumber AS rep, round(avg(value), 9) AS value FROM s GROUP BY ALL)
+SELECT key, gene, tissue, round(avg(value), 6) + 0.0 AS mean, count(*) AS n, round({RANKP}, 6)::double AS p FROM r GROUP BY key, gene, tissue""",
+    "q4_fine_mapped_effects": f"""WITH {VARIANTS}, {REPS}, m AS (SELECT key, avg(value) AS mean, stddev_samp(value) AS sd FROM reps GROUP BY key), g AS (SELECT p_brand, min(p_partkey * 97) AS tss, CASE WHEN min(p_size) % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part GROUP BY 1)
+SELECT key, round(mean, 6) AS mean, round(sd, 6) AS sd, CASE WHEN strand = '+' THEN pos - tss ELSE tss - pos END AS dist FROM v JOIN m USING (key) JOIN g USING (p_brand) WHERE p_size <= 10""",
+    "q5_annotation_enrichment": f"""WITH {REPS}, p AS (SELECT key, {RANKP} AS p FROM reps GROUP BY key), x AS (SELECT p_type AS annotation, p <= 0.4 AS e, p_size <= 10 AS o FROM p JOIN part ON p_partkey = key),
+t AS (SELECT annotation, count(*) FILTER (e AND o) AS a, count(*) FILTER (e AND NOT o) AS b, count(*) FILTER (NOT e AND o) AS c, count(*) FILTER (NOT e AND NOT o) AS d FROM x GROUP BY 1),
+k AS (SELECT *, unnest(range(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1)) AS i FROM t),
+h AS (SELECT *, -(lgamma(i + 1) + lgamma(a + b - i + 1) + lgamma(a + c - i + 1) + lgamma(d - a + i + 1)) AS lp, -(lgamma(a + 1) + lgamma(b + 1) + lgamma(c + 1) + lgamma(d + 1)) AS lo FROM k),
+f AS (SELECT annotation, sum(exp(lp - lo)) FILTER (exp(lp - lo) <= 1 + 1e-7) / sum(exp(lp - lo)) AS fp FROM h GROUP BY 1),
+n AS (SELECT t.*, least(fp, 1.0) AS fp, {ENRICH} AS fold, sqrt(1.0::double / nullif(a, 0) - 1.0::double / nullif(a + b, 0) + 1.0::double / nullif(c, 0) - 1.0::double / nullif(c + d, 0)) AS se FROM t JOIN f USING (annotation))
+SELECT annotation, a, b, c, d, round(fold, 6) AS enrichment, round(se, 6) AS log_se, round(fold * exp(-1.96 * se), 6) AS lower, round(fold * exp(1.96 * se), 6) AS upper, round((a + 0.1::double) * (d + 0.1) / ((b + 0.1) * (c + 0.1)), 6) AS odds, round(fp, 6) AS fisher_p FROM n""",
+    "q8_cross_tissue": f"""WITH {SUPPLIED}, p AS (SELECT key, tissue AS t1, {RANKP} <= 0.7 AS e FROM s GROUP BY ALL), q AS (SELECT key, tissue AS t2, max(l_quantity) > 40 AS o FROM s GROUP BY ALL),
+t AS (SELECT t1, t2, count(*) FILTER (e AND o) AS a, count(*) FILTER (e AND NOT o) AS b, count(*) FILTER (NOT e AND o) AS c, count(*) FILTER (NOT e AND NOT o) AS d FROM p JOIN q USING (key) GROUP BY ALL)
+SELECT t1, t2, a, b, c, d, round((a::double / nullif(a + b, 0)) / nullif(c::double / nullif(c + d, 0), 0), 6) AS enrichment, round((a + 0.1::double) * (d + 0.1) / ((b + 0.1) * (c + 0.1)), 6) AS odds FROM t""",
+    "q9_tss_summary": f"""WITH {PART_EFFECTS} SELECT p <= 0.4 AS label, cast(floor((dist + 1000) / 100) AS int) AS bin, count(*) AS n FROM pe WHERE p <= 0.4 OR {mix('key', '3')} % 5 = 0 GROUP BY ALL""",
+    "q18_mutagenesis": f"""WITH {VARIANTS}, {REPS}, m AS (SELECT key, avg(value) AS predicted FROM reps GROUP BY key),
+x AS (SELECT CASE split_part(p_type, ' ', 1) WHEN 'STANDARD' THEN 'liver' WHEN 'SMALL' THEN 'lung' WHEN 'MEDIUM' THEN 'brain' WHEN 'PROMO' THEN 'skin' WHEN 'ECONOMY' THEN 'heart' WHEN 'LARGE' THEN 'colon' END AS tissue, predicted * (p_retailprice - 1400) >= 0 AS ok FROM v JOIN m USING (key) WHERE p_size / 50.0::double <= 0.5),
+c AS (SELECT tissue, count(*) AS n, avg(cast(ok AS double)) AS k FROM x WHERE tissue IS NOT NULL GROUP BY 1)
+SELECT tissue, n, round(k, 6) AS concordance, round(sqrt(k * (1 - k) / n), 6) AS se FROM c""",
+    "q22_targets": r"""WITH h AS (SELECT DISTINCT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT regexp_replace(n_name, '\s+', '_', 'g') AS tissue, count(*) AS n, min(split_part(c_name, '.', 1)) AS first FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN (SELECT n_name FROM h) GROUP BY 1""",
+}

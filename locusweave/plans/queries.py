@@ -214,7 +214,7 @@ def d_reference_and_lift(spark: SparkSession, sf: str) -> DataFrame:
     blocks = v.select("chrom").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(51).cast("bigint"))))
     genome = blocks.withColumn("seq", F.expr("array_join(transform(sequence(0, 99), i -> substring('ACGT', cast((block * 100 + i) % 4 + 1 as int), 1)), '')"))
     out = joins.lift_and_orient(v, lifted, genome, 100, "beta")
-    return out.select("key", "chrom", "pos", "a1", "a2", r6("beta").alias("beta"))
+    return out.select("key", "chrom", "pos", "a1", "a2", (r6("beta") + 0.0).alias("beta"))
 
 
 @query
@@ -399,7 +399,7 @@ def _standardized(spark: SparkSession, sf: str) -> DataFrame:
 def e_ld_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Correlations of the first sixteen variants of each gene."""
     near = P.genotypes(spark, sf).where("key < 160")
-    return association.ld_pairs(association.standardize(near, "dosages"), "gene", "key", 1000).select("gene", "v1", "v2", r6("r").alias("r"))
+    return association.ld_pairs(association.standardize(near, "dosages"), "gene", "key", 1000).select("gene", "v1", "v2", (r6("r") + 0.0).alias("r"))
 
 
 @query
@@ -615,10 +615,10 @@ def q2_common_variants(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def q3_organize(spark: SparkSession, sf: str) -> DataFrame:
     """Per variant, gene and tissue: the mean of replicate means, and how many replicates."""
-    s = P.supplied(spark, sf).groupBy("key", "gene", "tissue", F.col("l_linenumber").alias("rep")).agg(F.avg("value").alias("v"))
+    s = P.supplied(spark, sf).groupBy("key", "gene", "tissue", F.col("l_linenumber").alias("rep")).agg(F.round(F.avg("value"), 9).alias("v"))
     vec = F.transform(F.array_sort(F.collect_list(F.struct("rep", "v"))), lambda x: x["v"])
     out = s.groupBy("key", "gene", "tissue").agg(F.avg("v").alias("mean"), vec.alias("bs"))
-    return out.select("key", "gene", "tissue", r6("mean").alias("mean"), F.size("bs").cast("bigint").alias("n"), r6(replicates.rank_pvalue(F.col("bs"))).alias("p"))
+    return out.select("key", "gene", "tissue", (r6("mean") + 0.0).alias("mean"), F.size("bs").cast("bigint").alias("n"), r6(replicates.rank_pvalue(F.col("bs"))).alias("p"))
 
 
 @query
