@@ -7,9 +7,10 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
@@ -26,7 +27,7 @@ def _fisher(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, float(p[p <= p[ks == a][0] * (1 + 1e-7)].sum() / p.sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided Fisher exact p of 2x2 counts; meant for aggregated tables."""
     return pd.Series([None if any(pd.isna(v) for v in x) else _fisher(*map(int, x)) for x in zip(a, b, c, d)], dtype="float64")
