@@ -115,7 +115,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     # lines that lose a place somewhere: repeated ones and near ones
     losing = firsts.where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     lost = lines.select("id", "t1", "t2", "pos", "h1", "h2", here.alias("here")).join(losing, ["h1", "h2"]).where("near or here > first")
-    lost = lost.groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("gone"), F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_exact"))
+    lost = lost.groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("pos")))).alias("n_near"))
+    lost = lost.withColumn("n_exact", F.size("gone") - F.col("n_near"))
     lost = lost.withColumnsRenamed({"id": "lost_id", "t1": "lost_t1", "t2": "lost_t2"})
     same = F.col(doc_id).eqNullSafe(F.col("lost_id")) & (F.xxhash64(text) == F.col("lost_t1")) & (F.xxhash64(F.lit(1), text) == F.col("lost_t2"))
     parts = F.split(text, "\n")
