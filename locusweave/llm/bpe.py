@@ -219,7 +219,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFr
     return given.mapInArrow(_encoder(tokenizer), schema)
 
 
-def _counter(path: str):
+def _counter(path: str, name: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the number of tokens to batches whose last column is the text."""
         vocabulary, known = Vocabulary(path), {}
@@ -233,7 +233,7 @@ def _counter(path: str):
                 vocabulary.learn({p for f in frequencies for p in f if p not in known}, encoded)
                 known.update((p, len(ids)) for p, ids in encoded.items())
                 totals = [sum(n * known[p] for p, n in f.items()) for f in frequencies]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(totals, pa.int64())], [*part.schema.names[:-1], "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(totals, pa.int64())], [*part.schema.names[:-1], name])
 
     return count
 
@@ -250,4 +250,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", name: str
     own = free_names(docs.select(*[F.col(f"`{c}`") for c in rest]), name)[0]
     given = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias("text"))
     schema = given.drop("text").schema.add(own, "long")
-    return given.mapInArrow(_counter(tokenizer), schema)
+    return given.mapInArrow(_counter(tokenizer, own), schema)
