@@ -17,7 +17,7 @@ from locusweave.llm.naming import free_names
 
 #: Documents that are worked on together, and distinct pieces that a task remembers before it starts anew.
 DOCS = 256
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: The split of a byte-level pre-tokenizer that brings its own pattern.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -173,6 +173,8 @@ class Vocabulary:
 
     def learn(self, pieces: set[str | int], known: dict) -> None:
         """Put what each new piece encodes to in ``known``."""
+        if len(self.good) > REMEMBERED:
+            self.good.clear()
         new = sorted((p.encode(), p) for p in pieces if p not in known and not isinstance(p, int))
         known.update(zip((p for _, p in new), map(tuple, self.encode_sorted([b for b, _ in new]))))
         known.update((p, (p,)) for p in pieces if isinstance(p, int))
@@ -200,6 +202,7 @@ def _encoder(path: str):
                     [*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(map(vocabulary.decode, ids), pa.string())],
                     [*part.schema.names[:-1], "ids", "decoded"],
                 )
+            pa.default_memory_pool().release_unused()  # an executor's tasks share its memory
 
     return encode
 
