@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -19,8 +20,13 @@ SLOT_BITS = (20, 22, 22)
 #: Counters that travel together, and blocks of one part that a task adds up.
 BLOCK = 1 << 14
 FAN_IN = 64
-#: Training documents that the mixing weights and the refinement are learned from; the counts are from all.
-MIXER_DOCS = 1_000
+#: Rounds in which the mixing weights are fitted to all training documents, and the pull to where they start, in bits' worth.
+ROUNDS = 2
+PULL = 50
+#: How far a weight moves in a round at most: a full Newton step overshoots where predictions are sure.
+STRIDE = 0.5
+#: Sums of learning travel in whole steps of 1/FIXED, so that the order in which they are added does not matter.
+FIXED = 1 << 16
 #: Bytes that are worked on at once.
 CHUNK = 1 << 16
 #: Words whose training counts every task knows; the others' are joined.
@@ -28,7 +34,6 @@ COMMON = 1 << 16
 REMEMBERED = 400_000
 #: With the line end before it, as many bytes as the longest context has.
 START = b"\n\n\n\n"
-RATE = 0.05
 LEVELS, CONFIDENCES = 8, 4
 GATES = LEVELS * CONFIDENCES * CONFIDENCES
 LOGIT_STEP, LOGIT_LIMIT = 8, 12
@@ -252,35 +257,97 @@ class Mixer:
         at = (np.clip(z, -LOGIT_LIMIT, LOGIT_LIMIT) * LOGIT_STEP + (LOGIT_LIMIT * LOGIT_STEP + 0.5)).astype(np.int32)
         return at + min(level, LEVELS - 1) * self.buckets
 
-    def learn(self, counts: np.ndarray, flats: list[np.ndarray], rounds: int = 2) -> None:
-        """Online gradient steps on the weights, chunk by chunk, then the refinement.
-
-        Every bit is taken out of the counts before it is predicted, since it is one of those counted.
-        """
-        at = np.cumsum([0, *(2 << b for b in SLOT_BITS[:-1])])
-        seen, ones = np.zeros(LEVELS * self.buckets), np.zeros(LEVELS * self.buckets)
-        moved = np.ones_like(self.weights, dtype=np.float64)
-        for step in range(rounds + 1):
-            for flat in flats:
-                for level, _, bits, slots in _decisions(flat, self.code):
-                    inputs = []
-                    for start, s in zip(at, slots):
-                        s = start + s.astype(np.int64) * 2
-                        zeros, one = counts.take(s).astype(np.int64) - (bits == 0), counts.take(s + 1).astype(np.int64) - (bits == 1)
-                        logit, sure = _entries(np.maximum(zeros, 0), np.maximum(one, 0))
-                        inputs.append(logit // 4 * 4 + sure)
-                    gate, z = self.mixed(level, inputs)
-                    if step == rounds:
-                        cell = self._cell(level, z)
-                        seen += np.bincount(cell, minlength=len(seen))
-                        ones += np.bincount(cell, bits, len(seen))
-                        continue
-                    miss = bits - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                    for k, x in enumerate([*inputs, np.full(len(z), 256, np.int16)]):
-                        pull = np.bincount(gate, miss * x, GATES) / 256
-                        moved[k] += pull * pull
-                        self.weights[k] += (RATE / 256 * pull / np.sqrt(moved[k])).astype(np.float32)
-        self.refine(seen.reshape(LEVELS, -1), ones.reshape(LEVELS, -1))
+    def rule(self) -> Mixer:
+        """Weights and code without the predictors."""
+        out = copy.copy(self)
+        out.entries = []
+        return out
+
+
+def _left_out(counts: np.ndarray) -> np.ndarray:
+    """The entry of each slot once a zero, or a one, is taken out: a bit that is learned from is one of those counted."""
+    pairs = counts.reshape(-1, 2)
+    out = np.empty(pairs.shape, np.int16)
+    for at in range(0, len(pairs), 1 << 20):
+        some = pairs[at : at + (1 << 20)]
+        for bit in (0, 1):
+            rest = [np.maximum(some[:, k], 1) - 1 if k == bit else some[:, k] for k in (0, 1)]
+            logit, sure = _entries(*rest)
+            out[at : at + len(some), bit] = logit // 4 * 4 + sure
+    return out.reshape(-1)
+
+
+def _sums(rule: Mixer, left_out, last: bool) -> Callable:
+    """Sums over a task's texts, of fixed size: each gate's curvature and slope, or at ``last`` what came of each mixed log-odds."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text) to (place, steps)."""
+        n, tables, at = len(CONTEXTS) + 1, [], 0
+        for b in SLOT_BITS:
+            tables.append(left_out.value[at : at + (2 << b)])
+            at += 2 << b
+        total = np.zeros((2, LEVELS * rule.buckets)) if last else np.zeros((GATES, n, n + 1))
+        for flat, starts in _streams(t.as_py() for batch in batches for t in batch.column(0).cast(pa.binary())):
+            scored = np.ones(len(flat))
+            for k in range(len(START)):
+                scored[np.array(starts) + k] = 0
+            for level, active, bits, slots in _decisions(flat, rule.code):
+                counts = scored.take(active)
+                inputs = [t.take(s * np.uint32(2) + bits) for t, s in zip(tables, slots)]
+                gate, z = rule.mixed(level, inputs)
+                if last:
+                    cell = rule._cell(level, z)
+                    total[0] += np.bincount(cell, counts, total.shape[1])
+                    total[1] += np.bincount(cell, bits * counts, total.shape[1])
+                    continue
+                order = np.argsort(gate.astype(np.uint8), kind="stable")
+                x = np.empty((len(z), n))
+                for k, entries in enumerate(inputs):
+                    x[:, k] = entries.take(order)
+                x[:, :-1] /= 256
+                x[:, -1] = 1
+                p = 1 / (1 + np.exp(-np.clip(z.take(order), -30, 30)))
+                counts = counts.take(order)
+                miss, curved = (bits.take(order) - p) * counts, x * (p * (1 - p) * counts)[:, None]
+                sizes = np.bincount(gate, minlength=GATES)
+                ends = np.cumsum(sizes)
+                for g in np.flatnonzero(sizes):
+                    mine = slice(ends[g] - sizes[g], ends[g])
+                    total[g, :, :-1] += curved[mine].T @ x[mine]
+                    total[g, :, -1] += miss[mine] @ x[mine]
+        steps = np.round(total.reshape(-1) * FIXED).astype(np.int64)
+        used = np.flatnonzero(steps)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(steps[used], pa.int64())], ["place", "steps"])
+
+    return sums
+
+
+def _summed(training: DataFrame, mixer: Mixer, left_out, last: bool, shape: tuple[int, ...]) -> np.ndarray:
+    """The sums of ``_sums`` over ``training`` (text); the driver gets one row for each place."""
+    rows = training.select("text").mapInArrow(_sums(mixer.rule(), left_out, last), "place int, steps long")
+    rows = rows.groupBy("place").agg(F.sum(F.col("steps").cast("decimal(20,0)")).alias("steps"))
+    out = np.zeros(int(np.prod(shape)))
+    for place, steps in rows.collect():
+        out[place] = float(steps) / FIXED
+    return out.reshape(shape)
+
+
+def learn(mixer: Mixer, counts: np.ndarray, training: DataFrame) -> np.ndarray:
+    """Fits the weights of ``mixer`` to all of ``training`` (text) in ``ROUNDS`` Newton steps, then its refinement; returns how often each mixed log-odds was seen, by level."""
+    left_out = training.sparkSession.sparkContext.broadcast(_left_out(counts))
+    n = len(CONTEXTS) + 1
+    start = mixer.weights.astype(np.float64) * 256
+    weights = start.copy()
+    for _ in range(ROUNDS):
+        sums = _summed(training, mixer, left_out, False, (GATES, n, n + 1))
+        slope = sums[:, :, -1] - PULL * (weights - start).T
+        step = np.linalg.solve(sums[:, :, :-1] + PULL * np.eye(n), slope[:, :, None])[:, :, 0].T
+        weights += step / np.maximum(np.abs(step).max(axis=0) / STRIDE, 1)
+        mixer.weights = (weights / 256).astype(np.float32)
+    seen, ones = _summed(training, mixer, left_out, True, (2, LEVELS, mixer.buckets))
+    mixer.refine(seen, ones)
+    left_out.destroy()
+    return seen
 
 
 def _scorer(mixer: Mixer, common: dict[int, float]) -> Callable:
@@ -323,9 +390,8 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
     Learns from the rows for which ``training`` holds (null: does not).  A text's words, lower-cased in A-Z, with single spaces between and
     an end form a stream of bytes, coded in bits by their frequency.  For every bit, predictors give the log-odds that
     counts over all training texts have for its context: three or five bytes before it, or the word so far.  Weights chosen by
-    the level in the code and by how often the longer contexts were seen mix them; they are learned online, from
-    ``MIXER_DOCS`` training documents, as is the last table, which refines what mixed log-odds turn out to mean.  ``score`` is the log10
-    probability of the whole stream.
+    the level in the code and by how often the longer contexts were seen mix them; they are fitted to all training texts, as
+    is the last table, which refines what mixed log-odds turn out to mean.  ``score`` is the log10 probability of the whole stream.
 
     base_score is the sum over words and the end of log10((c + 0.5) / (N + 0.5 (V + 1))), c being the word's count, N all
     and V distinct training tokens; n_known counts tokens with c > 0.
@@ -350,10 +416,8 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
     code = Code(bytes_seen)
     bits = bit_counts(train, code)
     mixer = Mixer(bits, code)
-    some = train.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(MIXER_DOCS)
-    flats = [flat for flat, _ in _streams(r[0].encode() for r in some.toLocalIterator())]
-    if flats:
-        mixer.learn(bits, flats)
+    learn(mixer, bits, train)
+    del bits
     floor = np.log10(total + 0.5 * (distinct + 1))
     common = {k: float(np.log10(n + 0.5) - floor) for k, n in words.orderBy(F.desc("n"), "key").limit(COMMON).select("key", "n").toLocalIterator()}
     schema = "row long, id {}, n_tokens long, common_known long, common_score double, rare array<long>, score double".format(given.schema["id"].dataType.simpleString())

@@ -247,3 +247,18 @@ def test_bit_costs_are_probabilities():
     assert np.allclose((10.0**-cost).sum(axis=1), 1.0, atol=1e-4)
     every = np.array([c for b in range(256) for c in (104, 105, b)], np.uint8)
     assert (10.0 ** -mixer.costs(every).astype(float).reshape(-1, 3)[:, 2]).sum() == pytest.approx(1.0, abs=0.05)
+
+
+def test_mixing_is_learned_from_every_training_text(spark):
+    rnd = random.Random(9)
+    docs = ["the same text again"] * 1_100 + [" ".join("".join(rnd.choice("abcde") for _ in range(4)) for _ in range(30)) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in docs], "text string")
+    code = langmodel.Code([1 + (97 <= b <= 122) * 1000 for b in range(256)])
+    bits = langmodel.bit_counts(df, code)
+    learned = []
+    for parts in (1, 5):
+        mixer = langmodel.Mixer(bits, code)
+        seen = langmodel.learn(mixer, bits, df.repartition(parts))
+        assert seen.sum() == sum(int(code.length[b]) for t in docs for b in t.encode() + b"\n")
+        learned.append(mixer.weights)
+    assert abs(learned[0] - learned[1]).max() * 256 < 1e-3 and abs(learned[0] * 256 - 0.3).max() < 2
