@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from locusweave.llm.naming import free_names
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Texts up to so many code points are cut in code points, longer ones in words; up to TINY, k-mers are shorter.
+#: Texts up to so many code points are cut in code points, longer ones in words; up to TINY, k-mers are shorter.  Shorter texts are
+#: cut in the coarser ways too, to be compared with longer ones.
 SHORT = 512
 TINY = 48
 #: (k, s): tokens in a k-mer and in the inner substrings that are compared.
@@ -41,24 +42,44 @@ def anchors(hashes: str, inner: str, size: tuple[int, int]) -> Column:
     return F.transform(F.filter(starts, edge), kmer)
 
 
+def _sketch(hashes: str, inner: str, size: tuple[int, int]) -> Column:
+    """The ``KEPT`` smallest 32-bit hashes of the distinct anchors, sorted; fewer tokens than a k-mer are one anchor."""
+    few = F.when(F.size(hashes) > 0, F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(hashes).alias("hash"))))
+    found = F.when(F.size(hashes) < size[0], few).otherwise(anchors(hashes, inner, size))
+    cut = F.transform(found, lambda a: F.shiftright(a["hash"], 32).cast("int"))
+    return F.coalesce(F.slice(F.array_sort(F.array_distinct(cut)), 1, KEPT), F.array().cast("array<int>"))
+
+
 def fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``name`` (array of int): the ``KEPT`` smallest 32-bit hashes of the text's distinct anchors, sorted.
+    """Add ``name``: sketches (array of int) in short k-mers of code points, in k-mers of code points and in words.
 
-    A text of fewer tokens than a k-mer has one anchor, all of it; an empty or null text, or one of only white
-    space, none.  Every token of the text is looked at.
+    A text has that of its length and all coarser ones, null before; ``own`` is the first that it has.  So any two texts can be
+    compared in the kind that the longer one's length asks for.  A text of fewer tokens than a k-mer has one anchor, all of it;
+    an empty or null text, or one of only white space, none.  Every token of the text is looked at.
     """
-    h, s = free_names(docs, "sync_hashes", "sync_inner")
+    h, w, few, some, s = free_names(docs, "sync_points", "sync_words", "sync_few", "sync_some", "sync_inner")
     short, tiny = F.length(text) <= SHORT, F.length(text) <= TINY
-    out = docs.withColumn(h, F.transform(tokens(F.coalesce(F.col(text), F.lit(""))), lambda x: F.xxhash64(x)))
-    pair = F.transform(h, lambda x, i: F.xxhash64(x, F.get(F.col(h), i + 1)))
+    points = F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.split(text, "")).otherwise(F.array().cast("array<string>"))
+    words = F.filter(F.split(text, SPACE), lambda x: x != "")
+    out = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumns({h: F.when(short, F.transform(points, lambda x: F.xxhash64(x))), w: F.transform(words, lambda x: F.xxhash64(x))})
+    pair = F.transform(w, lambda x, i: F.xxhash64(x, F.get(F.col(w), i + 1)))
     triple = F.transform(h, lambda x, i: F.xxhash64(x, F.get(F.col(h), i + 1), F.get(F.col(h), i + 2)))
-    out = out.withColumn(s, F.when(tiny, F.transform(h, lambda x: F.xxhash64(F.lit(1), x))).when(short, triple).otherwise(pair))
-    few = F.when(F.size(h) > 0, F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h).alias("hash"))))
-    found = F.when(F.size(h) < F.when(tiny, FEW[0]).when(short, CODE_POINTS[0]).otherwise(WORDS[0]), few)
-    found = found.when(tiny, anchors(h, s, FEW)).when(short, anchors(h, s, CODE_POINTS)).otherwise(anchors(h, s, WORDS))
-    hashes = F.transform(found, lambda a: F.shiftright(a["hash"], 32).cast("int"))
-    sketch = F.slice(F.array_sort(F.array_distinct(hashes)), 1, KEPT)
-    return out.withColumn(name, F.coalesce(sketch, F.array().cast("array<int>"))).drop(h, s)
+    out = out.withColumns({few: F.when(tiny, F.transform(h, lambda x: F.xxhash64(F.lit(1), x))), some: F.when(short, triple), s: pair})
+    sketches = F.array(F.when(tiny, _sketch(h, few, FEW)), F.when(short, _sketch(h, some, CODE_POINTS)), _sketch(w, s, WORDS))
+    return out.withColumn(name, sketches).drop(h, w, few, some, s)
+
+
+def own(sketches: str) -> Column:
+    """The sketch of the kind that the text's length asks for."""
+    return F.coalesce(*[F.get(F.col(sketches), F.lit(k)) for k in range(3)])
+
+
+def near(a: str, b: str) -> Column:
+    """``likeness`` in the finest kind that both have, which is that of the longer text."""
+    x, y = ([F.get(F.col(c), F.lit(k)) for k in range(3)] for c in (a, b))
+    both = [p.isNotNull() & q.isNotNull() for p, q in zip(x, y)]
+    return F.when(both[0], likeness(x[0], y[0])).when(both[1], likeness(x[1], y[1])).otherwise(likeness(x[2], y[2]))
 
 
 def as_text(sketch: str) -> Column:
@@ -66,7 +87,7 @@ def as_text(sketch: str) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), "")
 
 
-def likeness(a: str, b: str) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     """0 to 1: the share of common anchors (Dice), from the smallest hashes of both sets together; 1 for two empty ones."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, KEPT)
     both = F.size(F.array_intersect(F.array_intersect(a, b), union))
@@ -117,18 +138,18 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = base.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64(F.lit(1), "id", "text"), "n": F.length("text").cast("long")})
     links = next_in_order(base.select("id", "k1", "k2", "n").distinct(), "id", ["k1", "k2"])
     links = links.select(F.col("k1").alias("to1"), F.col("k2").alias("to2"), F.col("next.k1").alias("k1"), F.col("next.k2").alias("k2"), F.floor(F.col("n") / 3).cast("int").alias("part"))
-    known = fingerprints(base, "text", "sketch")
+    known = fingerprints(base, "text", "prints")
     # both joins read the same columns of ``known``, so its shuffle is made once and used twice
     sent = known.join(links, ["k1", "k2"]).select(
-        F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.col("id").alias("next_id"), F.col("n").alias("next_n_chars"), F.col("sketch").alias("next_sketch"),
+        F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.col("id").alias("next_id"), F.col("n").alias("next_n_chars"), F.col("prints").alias("next_prints"),
         F.substring("text", F.lit(1), F.col("part")).alias("tail"),
     )
     out = known.join(sent.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
     head = F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 3)).cast("int"))
     out = out.withColumn("edited", F.concat(head, "tail"))
-    out = fingerprints(out, "edited", "edited_sketch")
+    out = fingerprints(out, "edited", "edited_prints")
     return out.select(
-        F.col("id").alias(doc_id), F.col("n").alias("n_chars"), "edited", "sketch", "edited_sketch",
-        likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"),
+        F.col("id").alias(doc_id), F.col("n").alias("n_chars"), "edited", own("prints").alias("sketch"), own("edited_prints").alias("edited_sketch"),
+        near("prints", "edited_prints").alias("near_edited"), near("prints", "next_prints").alias("near_next"),
         F.col("next_id"), F.col("next_n_chars"),
     )

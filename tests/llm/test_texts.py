@@ -262,3 +262,13 @@ def test_mixing_is_learned_from_every_training_text(spark):
         assert seen.sum() == sum(int(code.length[b]) for t in docs for b in t.encode() + b"\n")
         learned.append(mixer.weights)
     assert abs(learned[0] - learned[1]).max() * 256 < 1e-3 and abs(learned[0] * 256 - 0.3).max() < 2
+
+
+def test_likeness_across_the_borders_of_length(spark):
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    long, tiny = " ".join(word() for _ in range(120)), " ".join(word() for _ in range(10))
+    docs = [(9, long[:584]), (8, word()), (7, long[:515]), (6, long[:509]), (5, tiny[:50]), (4, tiny[:47]), (3, "other words of no text")]
+    by = {r["doc_id"]: r for r in syncmers.edited_likeness(spark.createDataFrame(docs, DOCS)).collect()}
+    assert by[9]["near_edited"] > 0.5 and by[7]["near_next"] > 0.9 and by[5]["near_next"] > 0.7
+    assert by[6]["near_next"] < 0.2 and by[4]["near_next"] < 0.2
