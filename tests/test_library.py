@@ -191,3 +191,18 @@ def test_entry_module_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_ld_pairs_of_a_gene_in_several_blocks(spark):
+    rows = [(g, v, [float((v * k) % 5 - 2) for k in range(1, 5)]) for g, n in (("hot", 23), ("cold", 3)) for v in range(n)]
+    got = association.ld_pairs(spark.createDataFrame(rows, "gene string, v long, std array<double>"), "gene", "v", 4).collect()
+    std = {(g, v): x for g, v, x in rows}
+    assert len(got) == 23 * 22 // 2 + 3 == len({(r["gene"], r["v1"], r["v2"]) for r in got})
+    assert all(r["v1"] < r["v2"] and r["r"] == pytest.approx(sum(x * y for x, y in zip(std[r["gene"], r["v1"]], std[r["gene"], r["v2"]])) / 4) for r in got)
+
+
+def test_twas_replicates_takes_all_replicates(spark):
+    from locusweave.plans import queries
+
+    ps = [r["p"] * 65 / 2 for r in queries.QUERIES["e_twas_replicates"](spark, "/root/testdata/sf0.001").collect()]
+    assert ps and all(abs(p - round(p)) < 1e-3 for p in ps)
