@@ -1,11 +1,10 @@
-"""Language-model scores: bit predictors for hashed contexts, mixed by gated logistic weights and refined, beside a word baseline."""
+"""Language-model scores: bit predictors for hashed contexts, mixed by gated logistic weights that are refined while a text is coded, beside a word baseline."""
 
 from __future__ import annotations
 
-import copy
 import heapq
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,29 +13,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from locusweave.llm.storage import stored
 
-#: Contexts of the predictors, the bytes before or the word so far, and log2 of the slots of each one's table.
-CONTEXTS = ("3 bytes", "5 bytes", "word")
-SLOT_BITS = (20, 22, 22)
+#: Contexts of the predictors: three bytes before; the word's beginning with the end of the word before, later on five bytes; the word so far.
+CONTEXTS = ("near", "far", "word")
+#: Bytes of a word that are predicted with the end of the word before, and bytes of that end.
+HEAD, BEFORE = 3, 3
+#: log2 of each table's slots: so much over the bits of the number of distinct training words, between these bounds.  The upper ones
+#: are what a task can hold; README has what they cost.
+MORE_BITS, LEAST_BITS, MOST_BITS = (2, 3, 4), (14, 14, 14), (20, 22, 23)
 #: Counters that travel together, and blocks of one part that a task adds up.
 BLOCK = 1 << 14
 FAN_IN = 64
-#: Rounds in which the mixing weights are fitted to all training documents, and the pull to where they start, in bits' worth.
-ROUNDS = 2
-PULL = 50
-#: How far a weight moves in a round at most: a full Newton step overshoots where predictions are sure.
-STRIDE = 0.5
-#: Sums of learning travel in whole steps of 1/FIXED, so that the order in which they are added does not matter.
-FIXED = 1 << 16
-#: Bytes that are worked on at once.
-CHUNK = 1 << 16
+#: Newton rounds in which the weights that every text starts with are fitted, their pull to the first guess in bits' worth, and how far one moves in a round.
+ROUNDS, PULL, STRIDE = 8, 50, 0.5
+#: Bytes of words that are worked on at once, in learning and in scoring, and what a longer word is cut in.
+CHUNK, GROUP, LONGEST = 1 << 16, 1 << 18, 1 << 16
+#: Words of a text that are scored at once.
+PART = 1 << 16
+#: A text's own refinement moves after so many words, and after twice as many each time up to the last.
+FIRST_UPDATE, LAST_UPDATE = 32, 1 << 12
+#: Its step, and bits' worth of trust in where it starts from.
+RATE, TRUST = 3.0, 100.0
 #: Words whose training counts every task knows; the others' are joined.
 COMMON = 1 << 16
-REMEMBERED = 400_000
-#: With the line end before it, as many bytes as the longest context has.
-START = b"\n\n\n\n"
+#: Words that a task remembers, to count them, and heads and tails, to score.
+REMEMBERED, KEPT = 400_000, 300_000
 LEVELS, CONFIDENCES = 8, 4
 GATES = LEVELS * CONFIDENCES * CONFIDENCES
 LOGIT_STEP, LOGIT_LIMIT = 8, 12
+#: Logits that a predictor's state tells apart, in whole steps from minus to plus, by confidence.
+SPANS = (0, 2, 4, 7)
+STATES = sum(2 * s + 1 for s in SPANS)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -44,6 +50,29 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def coded_words(words: list[bytes]) -> list[bytes]:
+    """``words``, those over LONGEST bytes in several, of which all but the last end in a tab."""
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[k : k + LONGEST] + b"\t" * (k + LONGEST < len(w)) for w in words for k in range(0, len(w), LONGEST)]
+
+
+def heads_of(words: list[bytes], before: bytes = b"", end: bytes = b"\t") -> Iterator[bytes]:
+    """For each word, and for the text's end, the end of the word before, a line end, and the first bytes of its own."""
+    return map(b"\n".join, zip([before, *[w[-BEFORE:] for w in words]], [*[w[:HEAD] for w in words], end]))
+
+
+def head_string(head: bytes) -> bytes:
+    """BEFORE bytes and a space that are known, then the bytes to code: the first of a word, with the space after a shorter one, or a line end for the end."""
+    before, first = head.split(b"\n")
+    return (b"\n" * BEFORE + before)[-BEFORE:] + b" " + (b"\n" if first == b"\t" else first if len(first) == HEAD else first + b" ")
+
+
+def tail_string(word: bytes) -> bytes:
+    """Two spaces and HEAD bytes that are known, then the bytes to code: the rest of the word and the space after it; none of a word shorter than HEAD."""
+    return b"  " + word + b" " * (word[-1:] != b"\t")
+
+
 class Code:
     """A binary code for bytes, shorter for more frequent ones (Huffman's): a path of nodes and bits for each byte."""
 
@@ -73,362 +102,513 @@ class Code:
                 self.node[d, b], self.bit[d, b] = n * 0x9E3779B1 & 0xFFFFFFFF, bit
 
 
-def _contexts(flat: np.ndarray) -> list[np.ndarray]:
-    """A 32-bit hash of each context for each byte; documents end in a line end, and the first starts after one."""
-    wide = np.concatenate([np.full(5, 10, np.uint32), flat.astype(np.uint32)])
-    n = len(flat)
-    before = [wide[5 - k : 5 - k + n] for k in range(1, 6)]
-    three = before[0] | before[1] << np.uint32(8) | before[2] << np.uint32(16)
-    five = (three * np.uint32(0x9E3779B1)) ^ ((before[3] | before[4] << np.uint32(8)) * np.uint32(0x85EBCA77))
-    place = np.arange(n, dtype=np.uint32)
-    starts = np.where((before[0] == 32) | (before[0] == 10), place, np.uint32(0))
-    starts = np.maximum.accumulate(starts)
+def slot_bits(distinct: int) -> tuple[int, ...]:
+    """log2 of the slots of each table for a corpus of so many distinct words."""
+    return tuple(min(max(least, int(distinct).bit_length() + more), most) for least, more, most in zip(LEAST_BITS, MORE_BITS, MOST_BITS))
+
+
+def _mixed_up(c: np.ndarray) -> np.ndarray:
+    c = (c ^ c >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    return c ^ c >> np.uint32(13)
+
+
+def _so_far(flat: np.ndarray, place: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each byte a 32-bit hash of the bytes from the place in ``starts`` up to it."""
     inside = place - starts
     each = (flat.astype(np.uint32) + np.uint32(1)) * (inside * np.uint32(0x9E3779B2) + np.uint32(0x7FEB352D))
     each ^= each >> np.uint32(15)
     upto = np.concatenate([np.zeros(1, np.uint32), np.cumsum(each * np.uint32(0x846CA68B), dtype=np.uint32)[:-1]])
-    word = upto - upto.take(starts) + inside
-    mixed = []
-    for c in (three, five, word):
-        c = (c ^ c >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-        mixed.append(c ^ c >> np.uint32(13))
-    return mixed
+    return _mixed_up(upto - upto.take(starts) + inside)
+
 
+def _laid_out(strings: list[bytes], heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Strings, each head or tail, side by side: their bytes, the places to code, the string of each byte, and for each byte the hashes of its contexts."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    flat = np.frombuffer(b"".join(strings), np.uint8)
+    n, of = len(flat), np.repeat(np.arange(len(strings)), sizes)
+    place = np.arange(n, dtype=np.uint32)
+    first = (np.cumsum(sizes) - sizes).astype(np.uint32).take(of)
+    head = heads.take(of)
+    word = first + np.where(head, np.uint32(BEFORE + 1), np.uint32(2))
+    wide = np.concatenate([np.full(5, 10, np.uint32), flat.astype(np.uint32)])
+    before = [wide[5 - k : 5 - k + n] for k in range(1, 6)]
+    three = before[0] | before[1] << np.uint32(8) | before[2] << np.uint32(16)
+    five = (three * np.uint32(0x9E3779B1)) ^ ((before[3] | before[4] << np.uint32(8)) * np.uint32(0x85EBCA77))
+    active = np.flatnonzero(place >= np.where(head, word, word + np.uint32(HEAD)))
+    word = np.minimum(word, np.uint32(n - 1))
+    return flat, active, of, [_mixed_up(three), np.where(head, _so_far(flat, place, first), _mixed_up(five)), _so_far(flat, place, word)]
 
-def _decisions(flat: np.ndarray, code: Code) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """For each level of the code: (level, places of the bytes with a decision there, their bits, the slot in each table)."""
-    contexts, symbols, active = _contexts(flat), flat, np.arange(len(flat))
+
+def _decisions(flat: np.ndarray, active: np.ndarray, code: Code, contexts: list[np.ndarray], bits: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """For each level of the code: (level, those of the places ``active`` with a decision there, their bits, the slot in each table)."""
+    symbols, contexts = flat.take(active), [c.take(active) for c in contexts]
     for level in range(len(code.node)):
         if level:
-            more = code.length.take(symbols) > level
-            active, symbols = active[more], symbols[more]
-            contexts = [c[more] for c in contexts]
-            if not len(active):
+            more = np.flatnonzero(code.length.take(symbols) > level)
+            if not len(more):
                 return
+            active, symbols = active.take(more), symbols.take(more)
+            contexts = [c.take(more) for c in contexts]
         node = code.node[level].take(symbols)
-        slots = [((c + node) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - b) for c, b in zip(contexts, SLOT_BITS)]
+        slots = [(((c + node) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - b)).astype(np.intp) for c, b in zip(contexts, bits)]
         yield level, active, code.bit[level].take(symbols), slots
 
 
-def _streams(texts: Iterator[bytes | None]) -> Iterator[tuple[np.ndarray, list[int]]]:
-    """Chunks of whole documents: their bytes, and where each starts.  A document is its words with spaces between and a line end.
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes | None]:
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()):
+            yield text.as_py()
+        pa.default_memory_pool().release_unused()  # an executor's tasks share its memory
 
-    ``START`` stands before each, so that no context reaches into the document before; it is not part of the score.
-    """
-    parts, starts, size = [], [], 0
-    for text in texts:
-        part = START + b" ".join(words_of(text)) + b"\n"
-        parts.append(part)
-        starts.append(size)
-        size += len(part)
-        if size >= CHUNK:
-            yield np.frombuffer(b"".join(parts), np.uint8), starts
-            parts, starts, size = [], [], 0
-    if parts:
-        yield np.frombuffer(b"".join(parts), np.uint8), starts
+
+def token_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (kind, key, n): 0 words by hash, 1 bytes, 2 documents; summed over some documents at a time."""
+    """(text) to (kind, key, string, n): 0 words, by hash; 1 heads, by hash; 2 texts; summed over some texts at a time."""
 
     def out() -> pa.RecordBatch:
-        table = np.bincount(np.frombuffer(b"".join(w + b" " for w in words) or b" ", np.uint8), np.repeat([*words.values()], [len(w) + 1 for w in words]) if words else None, 256).astype(int)
-        kinds = [0] * len(words) + [1] * 256 + [2]
-        keys = [*map(token_hash, words), *range(256), 0]
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array([*words.values(), *table.tolist(), docs], pa.int64())], ["kind", "key", "n"])
-
-    words, docs = Counter(), 0
-    for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            words.update(words_of(text.as_py()))
-            docs += 1
-            if len(words) > REMEMBERED:
-                yield out()
-                words, docs = Counter(), 0
+        strings = [*words, *map(head_string, heads)]
+        kinds = [0] * len(words) + [1] * len(heads) + [2]
+        counts = [*words.values(), *heads.values(), texts]
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([*map(token_hash, strings), 0], pa.int64()), pa.array([*strings, None], pa.binary()), pa.array(counts, pa.int64())], ["kind", "key", "string", "n"])
+
+    words, heads, texts = Counter(), Counter(), 0
+    for text in _texts(batches):
+        found = words_of(text)
+        words.update(found)
+        heads.update(heads_of(coded_words(found)))
+        texts += 1
+        if len(words) + len(heads) > REMEMBERED:
+            yield out()
+            words, heads, texts = Counter(), Counter(), 0
     yield out()
 
 
-def token_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+def _packed_blocks(tables: list[np.ndarray], group: int) -> Iterator[pa.RecordBatch]:
+    """(part, grp, counts): blocks of counters that are not all zero, in the narrowest whole numbers that hold them."""
+    blocks = np.concatenate([t.reshape(-1) for t in tables]).reshape(-1, BLOCK)
+    used = np.flatnonzero(blocks.any(axis=1))
+    for some in np.array_split(used, max(1, len(used) // 64)):
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([group] * len(some), pa.int32()), pa.array([_narrow(blocks[k]) for k in some], pa.binary())], ["part", "grp", "counts"])
 
 
-def _bit_counts(code: Code) -> Callable:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(part, text) to (part, group, counts): how often each slot saw each bit, in blocks of counters as bytes."""
-        tables = [np.zeros(2 << b, np.uint32) for b in SLOT_BITS]
-        waiting: list[list[np.ndarray]] = [[] for _ in SLOT_BITS]
-        size, group = 0, 0
+def _narrow(counts: np.ndarray) -> bytes:
+    most = int(counts.max(initial=0))
+    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max)).tobytes()
 
-        def add() -> None:
-            for t, w in zip(tables, waiting):
-                t += np.bincount(np.concatenate(w), minlength=len(t)).astype(np.uint32)
-                w.clear()
 
-        def texts():
-            nonlocal group
+def _wide(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(counts) // BLOCK]).astype(np.uint64)
+
+
+def _decided(batches: Iterator[pa.RecordBatch], code: Code, bits: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(kind, string, n) of words and heads: (level, how often, bit, slots) for what is coded of them."""
+    for batch in batches:
+        rows = zip(*(batch.column(k).to_pylist() for k in range(3)))
+        strings, heads, n, size = [], [], [], 0
+
+        def done():
+            flat, active, of, contexts = _laid_out(strings, np.array(heads))
+            times = np.array(n, np.float32)
+            for level, place, seen, slots in _decisions(flat, active, code, contexts, bits):
+                yield level, times.take(of.take(place)), seen, slots
+
+        for kind, string, count in rows:
+            parts = [string] if kind else [tail_string(w) for w in coded_words([string]) if len(w) >= HEAD]
+            strings += parts
+            heads += [bool(kind)] * len(parts)
+            n += [count] * len(parts)
+            size += len(string)
+            if size > CHUNK and strings:
+                yield from done()
+                strings, heads, n, size = [], [], [], 0
+        if strings:
+            yield from done()
+
+
+def _bit_counts(code: Code, bits: tuple[int, ...]) -> Callable:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(kind, string, n, task) to (part, grp, counts): how often each slot of the tables saw each bit."""
+        tables, group = [np.zeros(2 << b, np.float32) for b in bits], [0]
+
+        def marked():
             for batch in batches:
-                for part, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                    group = part
-                    yield text.as_py()
-
-        for flat, _ in _streams(texts()):
-            for _, active, bits, slots in _decisions(flat, code):
-                for w, s in zip(waiting, slots):
-                    w.append(s * np.uint32(2) + bits)
-                size += len(active)
-            if size > 1 << 23:
-                add()
-                size = 0
-        if size:
-            add()
-        blocks = np.concatenate(tables).reshape(-1, BLOCK)
-        used = np.flatnonzero(blocks.any(axis=1))
-        for some in np.array_split(used, max(1, len(used) // 64)):
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([group] * len(some), pa.int32()), pa.array([blocks[k].tobytes() for k in some], pa.binary())], ["part", "grp", "counts"])
+                group[0] = batch.column(3)[0].as_py() if batch.num_rows else group[0]
+                yield batch
+
+        for _, n, seen, slots in _decided(marked(), code, bits):
+            for t, s in zip(tables, slots):
+                np.add.at(t, s * 2 + seen, n)
+        yield from _packed_blocks(tables, group[0])
 
     return count
 
 
 def _added(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.uint32) for x in rows["counts"].to_pylist())
-    return pa.table({"part": rows["part"][:1].cast(pa.int32()), "grp": rows["grp"][:1].cast(pa.int32()), "counts": pa.array([np.asarray(total, np.uint32).tobytes()], pa.binary())})
+    total = sum(map(_wide, rows["counts"].to_pylist()), np.zeros(BLOCK, np.uint64))
+    return pa.table({"part": rows["part"][:1].cast(pa.int32()), "grp": rows["grp"][:1].cast(pa.int32()), "counts": pa.array([_narrow(total)], pa.binary())})
+
+
+def _bytes_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(string, n) to (byte, n): bytes of words and the spaces after them."""
+    total = np.zeros(256)
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        times = np.repeat(np.array(batch.column(1), np.float64), [len(w) + 1 for w in words])
+        total += np.bincount(np.frombuffer(b"".join(w + b" " for w in words), np.uint8), times, 256)
+    yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total.astype(np.int64), pa.int64())], ["byte", "n"])
+
+
+def byte_counts(words: DataFrame) -> list[int]:
+    """How often each byte is in ``words`` (string, n) and the spaces after them."""
+    rows = words.select("string", "n").mapInArrow(_bytes_met, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+    found = dict(rows.collect())  # 256 rows
+    return [found.get(b, 0) for b in range(256)]
 
 
-def bit_counts(training: DataFrame, code: Code) -> np.ndarray:
-    """Counts of all slots and bits over ``training`` (text).  Its size is fixed by ``SLOT_BITS``; blocks are added up FAN_IN at a time."""
+def bit_counts(strings: DataFrame, code: Code, bits: tuple[int, ...]) -> np.ndarray:
+    """Counts of all slots and bits over ``strings`` (kind, string, n), the distinct words and heads of all training texts.
+
+    A task has tables of the size that ``bits`` gives (exact below 2^24 a slot, to seven digits above); blocks of them are added up FAN_IN at a time.
+    """
     schema = "part int, grp int, counts binary"
-    rows = stored(training.select(F.spark_partition_id().alias("part"), "text").mapInArrow(_bit_counts(code), schema))
+    rows = stored(strings.select("kind", "string", "n", F.spark_partition_id()).mapInArrow(_bit_counts(code, bits), schema))
     while (rows.groupBy("part").count().agg(F.max("count")).first()[0] or 0) > 1:
         rows = rows.withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("int"))
         rows = stored(rows.groupBy("part", "grp").applyInArrow(_added, schema))
-    counts = np.zeros((sum(2 << b for b in SLOT_BITS) // BLOCK, BLOCK), np.uint32)
+    counts = np.zeros((sum(2 << b for b in bits) // BLOCK, BLOCK), np.float32)
     for part, _, block in rows.toLocalIterator():
-        counts[part] = np.frombuffer(block, np.uint32)
+        counts[part] = _wide(bytes(block))
     return counts.reshape(-1)
 
 
 def _entries(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of a one in steps of 1/256, and confidence 0 to 3 by the number of bits seen."""
-    zeros, ones = zeros.astype(np.float32), ones.astype(np.float32)
+    """Log-odds of a one, and confidence 0 to 3 by the number of bits seen."""
     seen = zeros + ones
     logit = np.clip(np.log((ones + 0.3) / (zeros + 0.3)), -LOGIT_LIMIT, LOGIT_LIMIT)
-    return np.round(logit * 256).astype(np.int16), ((seen > 0).astype(np.int16) + (seen > 3) + (seen > 30)).astype(np.int16)
-
+    return logit, (seen > 0).astype(np.int16) + (seen > 3) + (seen > 30)
 
-class Mixer:
-    """Frozen predictors, the gated weights that mix them, and the refined cost of each mixed log-odds."""
 
-    def __init__(self, counts: np.ndarray, code: Code):
-        self.code, self.entries, at = code, [], 0
-        for b in SLOT_BITS:
-            pairs = counts[at : at + (2 << b)].reshape(-1, 2)
-            at += 2 << b
-            logit, sure = _entries(pairs[:, 0], pairs[:, 1])
-            self.entries.append(logit // 4 * 4 + sure)  # confidence in the low bits
-        self.weights = np.full((len(CONTEXTS) + 1, GATES), 0.3 / 256, np.float32)  # entries are in steps of 1/256
-        self.weights[-1] = 0
-        z = (np.arange(2 * LOGIT_LIMIT * LOGIT_STEP + 1) - LOGIT_LIMIT * LOGIT_STEP) / LOGIT_STEP
-        self.refine(np.zeros((LEVELS, len(z))), np.zeros((LEVELS, len(z))))
-
-    def refine(self, seen: np.ndarray, ones: np.ndarray) -> None:
-        """Costs in log10 of a zero and a one by level and mixed log-odds: what came of it, with 50 bits' worth of what it says."""
-        z = (np.arange(seen.shape[1]) - LOGIT_LIMIT * LOGIT_STEP) / LOGIT_STEP
-        p = (ones + 50 / (1 + np.exp(-z))) / (seen + 50)
-        self.cost = np.stack([-np.log10(1 - p), -np.log10(p)], axis=2).astype(np.float32).reshape(-1)
-        self.buckets = seen.shape[1]
-
-    def mixed(self, level: int, inputs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Gate and log-odds from the entries of the slots."""
-        gate = (inputs[-1] & 3) * CONFIDENCES + (inputs[-2] & 3) + min(level, LEVELS - 1) * CONFIDENCES * CONFIDENCES
-        z = self.weights[-1].take(gate) * np.float32(256)
-        for w, x in zip(self.weights, inputs):
-            z += w.take(gate) * x
-        return gate, z
-
-    def costs(self, flat: np.ndarray) -> np.ndarray:
-        """log10 cost of each byte."""
-        out = np.zeros(len(flat), np.float32)
-        for level, active, bits, slots in _decisions(flat, self.code):
-            _, z = self.mixed(level, [e.take(s) for e, s in zip(self.entries, slots)])
-            out[active] += self.cost.take(self._cell(level, z) * 2 + bits)
-        return out
-
-    def _cell(self, level: int, z: np.ndarray) -> np.ndarray:
-        at = (np.clip(z, -LOGIT_LIMIT, LOGIT_LIMIT) * LOGIT_STEP + (LOGIT_LIMIT * LOGIT_STEP + 0.5)).astype(np.int32)
-        return at + min(level, LEVELS - 1) * self.buckets
-
-    def rule(self) -> Mixer:
-        """Weights and code without the predictors."""
-        out = copy.copy(self)
-        out.entries = []
-        return out
-
-
-def _left_out(counts: np.ndarray) -> np.ndarray:
-    """The entry of each slot once a zero, or a one, is taken out: a bit that is learned from is one of those counted."""
+def states_left(counts: np.ndarray) -> np.ndarray:
+    """The state of each slot (confidence, rounded log-odds) once a zero, or a one, is taken out: a bit that is learned from is one of those counted."""
     pairs = counts.reshape(-1, 2)
-    out = np.empty(pairs.shape, np.int16)
+    out = np.empty(pairs.shape, np.uint8)
+    spans = np.array(SPANS)
+    firsts = np.cumsum(2 * spans + 1) - (2 * spans + 1)
     for at in range(0, len(pairs), 1 << 20):
         some = pairs[at : at + (1 << 20)]
         for bit in (0, 1):
-            rest = [np.maximum(some[:, k], 1) - 1 if k == bit else some[:, k] for k in (0, 1)]
+            rest = [np.maximum(some[:, k] - 1, 0) if k == bit else some[:, k] for k in (0, 1)]
             logit, sure = _entries(*rest)
-            out[at : at + len(some), bit] = logit // 4 * 4 + sure
+            span = spans.take(sure)
+            out[at : at + len(some), bit] = firsts.take(sure) + span + np.clip(np.round(logit), -span, span)
     return out.reshape(-1)
 
 
-def _sums(rule: Mixer, left_out, last: bool) -> Callable:
-    """Sums over a task's texts, of fixed size: each gate's curvature and slope, or at ``last`` what came of each mixed log-odds."""
+#: What each state stands for.
+STATE_LOGITS = np.concatenate([np.arange(-s, s + 1) for s in SPANS]).astype(np.float64)
+STATE_SURE = np.repeat(np.arange(len(SPANS)), [2 * s + 1 for s in SPANS])
+
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(text) to (place, steps)."""
-        n, tables, at = len(CONTEXTS) + 1, [], 0
-        for b in SLOT_BITS:
-            tables.append(left_out.value[at : at + (2 << b)])
+def _met_states(code: Code, bits: tuple[int, ...], left) -> Callable:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(kind, string, n) to (cell, n): how often each level, state of the three predictors, and bit met."""
+        ends = np.cumsum([2 << b for b in bits])
+        tables = [left.value[e - (2 << b) : e] for e, b in zip(ends, bits)]
+        total, cells, times, size = np.zeros(LEVELS * STATES**3 * 2), [], [], 0
+
+        def add() -> None:
+            total[:] += np.bincount(np.concatenate(cells), np.concatenate(times), len(total))
+
+        for level, n, seen, slots in _decided(batches, code, bits):
+            cell = np.full(len(seen), min(level, LEVELS - 1), np.int32)
+            for t, s in zip(tables, slots):
+                cell = cell * np.int32(STATES) + t.take(s * 2 + seen)
+            cells.append(cell * np.int32(2) + seen)
+            times.append(n)
+            size += len(cell)
+            if size > 1 << 20:
+                add()
+                cells, times, size = [], [], 0
+        if size:
+            add()
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used].astype(np.int64), pa.int64())], ["cell", "n"])
+
+    return meet
+
+
+def met_states(strings: DataFrame, code: Code, bits: tuple[int, ...], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, n) over all ``strings`` (kind, string, n): at most LEVELS * STATES^3 * 2 cells, summed in Spark."""
+    left = strings.sparkSession.sparkContext.broadcast(states_left(counts))
+    rows = strings.select("kind", "string", "n").mapInArrow(_met_states(code, bits, left), "cell int, n long")
+    got = rows.groupBy("cell").agg(F.sum(F.col("n").cast("decimal(20,0)")).cast("double").alias("n")).toArrow()
+    left.destroy()
+    cells, n = np.array(got["cell"], np.int64), np.array(got["n"], np.float64)
+    order = np.argsort(cells)
+    return cells[order], n[order]
+
+
+class Mixer:
+    """Predictors, the gated weights and the table of mixed log-odds that every text starts from, and how a text refines them."""
+
+    def __init__(self, counts: np.ndarray, code: Code, bits: tuple[int, ...]):
+        self.code, self.bits, self.entries, at = code, bits, [], 0
+        for b in bits:
+            pairs = counts[at : at + (2 << b)].reshape(-1, 2)
             at += 2 << b
-        total = np.zeros((2, LEVELS * rule.buckets)) if last else np.zeros((GATES, n, n + 1))
-        for flat, starts in _streams(t.as_py() for batch in batches for t in batch.column(0).cast(pa.binary())):
-            scored = np.ones(len(flat))
-            for k in range(len(START)):
-                scored[np.array(starts) + k] = 0
-            for level, active, bits, slots in _decisions(flat, rule.code):
-                counts = scored.take(active)
-                inputs = [t.take(s * np.uint32(2) + bits) for t, s in zip(tables, slots)]
-                gate, z = rule.mixed(level, inputs)
-                if last:
-                    cell = rule._cell(level, z)
-                    total[0] += np.bincount(cell, counts, total.shape[1])
-                    total[1] += np.bincount(cell, bits * counts, total.shape[1])
-                    continue
-                order = np.argsort(gate.astype(np.uint8), kind="stable")
-                x = np.empty((len(z), n))
-                for k, entries in enumerate(inputs):
-                    x[:, k] = entries.take(order)
-                x[:, :-1] /= 256
-                x[:, -1] = 1
-                p = 1 / (1 + np.exp(-np.clip(z.take(order), -30, 30)))
-                counts = counts.take(order)
-                miss, curved = (bits.take(order) - p) * counts, x * (p * (1 - p) * counts)[:, None]
-                sizes = np.bincount(gate, minlength=GATES)
-                ends = np.cumsum(sizes)
-                for g in np.flatnonzero(sizes):
-                    mine = slice(ends[g] - sizes[g], ends[g])
-                    total[g, :, :-1] += curved[mine].T @ x[mine]
-                    total[g, :, -1] += miss[mine] @ x[mine]
-        steps = np.round(total.reshape(-1) * FIXED).astype(np.int64)
-        used = np.flatnonzero(steps)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(steps[used], pa.int64())], ["place", "steps"])
-
-    return sums
-
-
-def _summed(training: DataFrame, mixer: Mixer, left_out, last: bool, shape: tuple[int, ...]) -> np.ndarray:
-    """The sums of ``_sums`` over ``training`` (text); the driver gets one row for each place."""
-    rows = training.select("text").mapInArrow(_sums(mixer.rule(), left_out, last), "place int, steps long")
-    rows = rows.groupBy("place").agg(F.sum(F.col("steps").cast("decimal(20,0)")).alias("steps"))
-    out = np.zeros(int(np.prod(shape)))
-    for place, steps in rows.collect():
-        out[place] = float(steps) / FIXED
-    return out.reshape(shape)
-
-
-def learn(mixer: Mixer, counts: np.ndarray, training: DataFrame) -> np.ndarray:
-    """Fits the weights of ``mixer`` to all of ``training`` (text) in ``ROUNDS`` Newton steps, then its refinement; returns how often each mixed log-odds was seen, by level."""
-    left_out = training.sparkSession.sparkContext.broadcast(_left_out(counts))
-    n = len(CONTEXTS) + 1
-    start = mixer.weights.astype(np.float64) * 256
-    weights = start.copy()
-    for _ in range(ROUNDS):
-        sums = _summed(training, mixer, left_out, False, (GATES, n, n + 1))
-        slope = sums[:, :, -1] - PULL * (weights - start).T
-        step = np.linalg.solve(sums[:, :, :-1] + PULL * np.eye(n), slope[:, :, None])[:, :, 0].T
-        weights += step / np.maximum(np.abs(step).max(axis=0) / STRIDE, 1)
-        mixer.weights = (weights / 256).astype(np.float32)
-    seen, ones = _summed(training, mixer, left_out, True, (2, LEVELS, mixer.buckets))
-    mixer.refine(seen, ones)
-    left_out.destroy()
-    return seen
+            logit, sure = _entries(pairs[:, 0], pairs[:, 1])
+            self.entries.append(np.round(logit * 256).astype(np.int16) // 4 * 4 + sure)  # confidence in the low bits
+        self.weights = np.full((len(CONTEXTS) + 1, GATES), 0.3, np.float32)
+        self.weights[-1] = 0
+        self.buckets = 2 * LOGIT_LIMIT * LOGIT_STEP + 1
+        self.settle(np.zeros(self.buckets), np.zeros(self.buckets))
+
+    def settle(self, seen: np.ndarray, ones: np.ndarray) -> None:
+        """What mixed log-odds mean: what came of them, with 50 bits' worth of what they say."""
+        z = (np.arange(self.buckets) - LOGIT_LIMIT * LOGIT_STEP) / LOGIT_STEP
+        p = (ones + 50 / (1 + np.exp(-z))) / (seen + 50)
+        self.p = p.astype(np.float32)
+        self.cost = np.stack([-np.log10(1 - p), -np.log10(p)], axis=1).astype(np.float32).reshape(-1)
+
+    def bucket(self, z: np.ndarray) -> np.ndarray:
+        """The place of mixed log-odds in the table."""
+        return (np.clip(z, -LOGIT_LIMIT, LOGIT_LIMIT) * LOGIT_STEP + (LOGIT_LIMIT * LOGIT_STEP + 0.5)).astype(np.intp)
+
+    def learn(self, cells: np.ndarray, n: np.ndarray) -> None:
+        """Fits weights, then the table, to how often states met (``met_states``)."""
+        bit, rest, states = cells & 1, cells >> 1, []
+        for _ in CONTEXTS:
+            states.insert(0, rest % STATES)
+            rest = rest // STATES
+        level, k = rest, len(CONTEXTS) + 1
+        gate = (level * CONFIDENCES + STATE_SURE[states[2]]) * CONFIDENCES + STATE_SURE[states[1]]
+        x = np.stack([*(STATE_LOGITS[s] for s in states), np.ones(len(cells))])
+        start = self.weights.astype(np.float64)
+        weights = start.copy()
+        for _ in range(ROUNDS):
+            p = 1 / (1 + np.exp(-np.clip((weights[:, gate] * x).sum(axis=0), -30, 30)))
+            slope = np.stack([np.bincount(gate, (bit - p) * n * x[i], GATES) for i in range(k)], axis=1) - PULL * (weights - start).T
+            curve = np.stack([[np.bincount(gate, p * (1 - p) * n * x[i] * x[j], GATES) for j in range(k)] for i in range(k)]).transpose(2, 0, 1)
+            step = np.linalg.solve(curve + PULL * np.eye(k), slope[:, :, None])[:, :, 0].T
+            weights += step / np.maximum(np.abs(step).max(axis=0) / STRIDE, 1)
+        self.weights = weights.astype(np.float32)
+        at = self.bucket((self.weights[:, gate] * x).sum(axis=0))
+        self.settle(np.bincount(at, n, self.buckets), np.bincount(at, n * bit, self.buckets))
+
+
+class Coder(dict):
+    """Codes texts with a mixer, each from the same start; remembers what it makes of heads and tails of words."""
+
+    def __init__(self, mixer: Mixer):
+        super().__init__()
+        self.mixer = mixer
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        #: Where each head's or tail's decisions are and how many, and per decision the mixed log-odds and the bit.
+        self.first, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.z, self.bit = np.zeros(0, np.float32), np.zeros(0, np.uint8)
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = at = len(self)
+        self.new.append(key)
+        return at
+
+    def look_up(self) -> None:
+        """Mixes what the predictors say of the new heads and tails."""
+        if not self.new:
+            return
+        mixer = self.mixer
+        heads = np.array([b"\n" in k for k in self.new])
+        flat, active, of, contexts = _laid_out([head_string(k) if h else tail_string(k) for h, k in zip(heads, self.new)], heads)
+        owners, zs, seens = [], [], []
+        for level, place, seen, slots in _decisions(flat, active, mixer.code, contexts, mixer.bits):
+            inputs = [e.take(s) for e, s in zip(mixer.entries, slots)]
+            gate = (inputs[2] & 3) * CONFIDENCES + (inputs[1] & 3) + np.int16(min(level, LEVELS - 1) * CONFIDENCES * CONFIDENCES)
+            z = mixer.weights[-1].take(gate)
+            for w, i in zip(mixer.weights, inputs):
+                z += w.take(gate) * (i * np.float32(1 / 256))
+            owners.append(of.take(place))
+            zs.append(z)
+            seens.append(seen)
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        sizes = np.bincount(owner, minlength=len(self.new))
+        self.first = np.concatenate([self.first, len(self.z) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.z = np.concatenate([self.z, np.concatenate(zs).take(order)])
+        self.bit = np.concatenate([self.bit, np.concatenate(seens).take(order)])
+        self.new = []
+
+    def costs(self, texts: Iterable[list[bytes]]) -> list[float]:
+        """log10 cost of each text, given as its words."""
+        out, units, size = [], [], 0
+        for k, words in enumerate(texts):
+            out.append(0.0)
+            words, at, before, carried, ends = coded_words(words), 0, b"", None, False
+            while not ends:
+                part = words[at : at + PART]
+                at += len(part)
+                ends = at >= len(words)
+                heads = heads_of(part, before) if ends else heads_of(part[:-1], before, part[-1][:HEAD])
+                ids = np.empty((len(part) + ends, 2), np.int64)
+                ids[:, 0] = np.fromiter(map(self.__getitem__, heads), np.int64, len(ids))
+                ids[:, 1] = np.fromiter(map(self.__getitem__, [*part, b""] if ends else part), np.int64, len(ids))
+                units.append((k, ids, carried))
+                size += sum(map(len, part))
+                if size >= GROUP or not ends:
+                    carried = self._coded(units, out, not ends)
+                    before, units, size = part[-1][-BEFORE:], [], 0
+        if units:
+            self._coded(units, out, False)
+        return out
+
+    def _coded(self, units: list[tuple[int, np.ndarray, np.ndarray | None]], out: list[float], more: bool) -> np.ndarray:
+        """Adds the costs of parts of different texts to ``out``; returns the last one's refinement and what it rests on, as there is ``more`` of its text.
+
+        A text's refinement is a scale for mixed log-odds and what is added to them.  In rounds each text codes its next
+        words with its own as it is, then moves it along the gradient by what came: one round serves all
+        texts, as far as they go, and none sees another's.
+        """
+        self.look_up()
+        mixer, n = self.mixer, len(units)
+        ids = np.concatenate([u for _, u, _ in units])
+        end = np.cumsum([len(u) for _, u, _ in units])
+        begin = end - [len(u) for _, u, _ in units]
+        own = np.tile(np.array([1.0, 0.0, 0.0]), (n, 1))
+        for lane, (_, _, carried) in enumerate(units):
+            if carried is not None:
+                own[lane] = carried
+        at, length = 0, FIRST_UPDATE
+        while True:
+            lo = np.minimum(begin + at, end)
+            counts = np.minimum(lo + length, end) - lo
+            lanes = np.flatnonzero(counts)
+            if not len(lanes):
+                break
+            lo, counts = lo[lanes], counts[lanes]
+            which = ids.take(np.arange(counts.sum()) + np.repeat(lo - (np.cumsum(counts) - counts), counts), axis=0).reshape(-1)
+            sizes = self.sizes.take(which)
+            upto = np.cumsum(sizes)
+            event = np.arange(upto[-1]) + np.repeat(self.first.take(which) - (upto - sizes), sizes)
+            begins = np.concatenate([[0], upto.take(2 * np.cumsum(counts)[:-1] - 1)])
+            each = np.diff(begins, append=upto[-1])
+            z, seen, mine = self.z.take(event), self.bit.take(event), own[lanes].astype(np.float32)
+            cell = mixer.bucket(z * np.repeat(mine[:, 0], each) + np.repeat(mine[:, 1], each))
+            for lane, cost in zip(lanes, np.add.reduceat(mixer.cost.take(cell * 2 + seen), begins, dtype=np.float64)):
+                out[units[lane][0]] += float(cost)
+            if more or (end > begin + at + length).any():
+                miss = seen - mixer.p.take(cell)
+                own[lanes, 2] += each
+                slope = np.stack([np.add.reduceat(miss * z, begins, dtype=np.float64), np.add.reduceat(miss, begins, dtype=np.float64)], axis=1)
+                own[lanes, :2] += RATE * slope / (TRUST + own[lanes, 2:])
+            at += length
+            if at > FIRST_UPDATE:
+                length = min(2 * length, LAST_UPDATE)
+        if len(self) > KEPT:
+            self.forget()
+        return own[-1]
 
 
 def _scorer(mixer: Mixer, common: dict[int, float]) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(.., text) to (.., n_tokens, common_known, common_score, rare, score): base scores of common words and hashes of the others."""
+        """(.., text) to (.., n_tokens, common_known, common_score, rare, score, stream_bytes): base scores of common words, and hashes and counts of the others."""
         hashes: dict[bytes, int] = {}
+        coder = Coder(mixer)
         for batch in batches:
             texts = [t.as_py() for t in batch.column(batch.num_columns - 1).cast(pa.binary())]
-            tokens, known, base, rare = [], [], [], []
+            tokens, known, base, rare, sizes = [], [], [], [], []
             for text in texts:
                 words = words_of(text)
-                for w in set(words).difference(hashes):
+                found = Counter(words)
+                for w in found.keys() - hashes.keys():
                     hashes[w] = token_hash(w)
-                found = [*map(hashes.__getitem__, words)]
-                costs = [*map(common.get, found)]
-                rest = [h for h, c in zip(found, costs) if c is None]
+                rest, n_rest, total = [], 0, 0.0
+                for w, n in found.items():
+                    gain = common.get(h := hashes[w])
+                    if gain is None:
+                        rest.append({"key": h, "n": n})
+                        n_rest += n
+                    else:
+                        total += n * gain
                 tokens.append(len(words) + 1)
-                known.append(len(words) - len(rest))
-                base.append(sum(c for c in costs if c is not None))
+                known.append(len(words) - n_rest)
+                base.append(total)
                 rare.append(rest)
+                sizes.append(sum(map(len, words)) + len(words) + 1)
             if len(hashes) > REMEMBERED:
                 hashes.clear()
-            scores: list[float] = []
-            for flat, starts in _streams(texts):
-                costs = mixer.costs(flat).astype(np.float64)
-                for k in range(len(START)):
-                    costs[np.array(starts) + k] = 0.0
-                scores += (-np.add.reduceat(costs, starts)).tolist()
+            scores = [-c for c in coder.costs(map(words_of, texts))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(scores, pa.float64())],
-                [*batch.schema.names[:-1], "n_tokens", "common_known", "common_score", "rare", "score"],
+                [*batch.columns[:-1], pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, RARE), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
+                [*batch.schema.names[:-1], "n_tokens", "common_known", "common_score", "rare", "score", "stream_bytes"],
             )
+            pa.default_memory_pool().release_unused()  # an executor's tasks share its memory
 
     return score
 
 
+RARE = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
+
+
 def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score), one row for each row of ``docs``.
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row for each row of ``docs``.
+
+    Learns from the rows for which ``training`` holds (null: does not).  A text's words, lower-cased in A-Z, each with a space after
+    it, and an end form a stream of bytes, coded in bits by their frequency.  For every bit, predictors give the log-odds that
+    counts over all training texts have for its context: the three bytes before it; the beginning of the word with the end of the word
+    before (in the first ``HEAD`` bytes) or five bytes before (later); the word so far.  Weights chosen by the level in
+    the code and by how often the longer contexts were seen mix them, and a table says what mixed log-odds turn out to mean;
+    all training texts count in both, each bit predicted without itself.  While a text is coded, mixed log-odds pass a
+    logistic unit of its own, which starts neutral and moves along its gradient after ``FIRST_UPDATE`` words and ever twice as many:
+    it adapts online, and no score depends on other scored texts.  ``score`` is the log10 probability of the stream,
+    ``bits_per_byte`` the same per byte of it.
 
-    Learns from the rows for which ``training`` holds (null: does not).  A text's words, lower-cased in A-Z, with single spaces between and
-    an end form a stream of bytes, coded in bits by their frequency.  For every bit, predictors give the log-odds that
-    counts over all training texts have for its context: three or five bytes before it, or the word so far.  Weights chosen by
-    the level in the code and by how often the longer contexts were seen mix them; they are fitted to all training texts, as
-    is the last table, which refines what mixed log-odds turn out to mean.  ``score`` is the log10 probability of the whole stream.
+    Since contexts end at the end of the word before, a bit and its contexts depend on a word, or on a word's head and the end
+    of the word before.  So training texts are read once, to count these; all learning is over the distinct ones, which grow with the corpus.
 
     base_score is the sum over words and the end of log10((c + 0.5) / (N + 0.5 (V + 1))), c being the word's count, N all
     and V distinct training tokens; n_known counts tokens with c > 0.
 
-    A null text is an empty one: only the end.  Repeated rows are scored each, and learned from each.  An empty table gives an
-    empty one; without training rows all words are unknown.  Other columns are not kept.
+    A null text is an empty one: only the end.  Very long texts are coded in parts of ``PART`` words that carry the refinement on;
+    a word over ``LONGEST`` bytes is coded as several.  Repeated rows are scored each, and learned from each.  An empty table
+    gives an empty one; without training rows all words are unknown.  Other columns are not kept.
 
-    Predictor tables have a fixed number of slots whatever the input, so they can be broadcast, as can the ``COMMON`` most
-    frequent words; all other words meet their counts in a join, in which no word can be frequent.
+    The predictors' tables grow with the number of distinct training words up to ``MOST_BITS``, what a task can hold, so they can be
+    broadcast, as can the ``COMMON`` most frequent words; all other words meet their counts in a join, once for each text and word.
     """
     given = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     train = given.where("train")
-    counts = stored(train.select("text").mapInArrow(_token_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words = counts.where("kind = 0")
+    counts = train.select("text").mapInArrow(_token_counts, "kind int, key long, string binary, n long")
+    counts = stored(counts.groupBy("kind", "key").agg(F.first("string").alias("string"), F.sum("n").alias("n")))
+    words, strings = counts.where("kind = 0"), counts.where("kind < 2").select("kind", "string", "n")
     n_docs = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)
-    bytes_seen = [0] * 256
-    for _, key, n in counts.where("kind = 1").collect():  # 256 rows
-        bytes_seen[key] = n
-    bytes_seen[10] += n_docs
-    code = Code(bytes_seen)
-    bits = bit_counts(train, code)
-    mixer = Mixer(bits, code)
-    learn(mixer, bits, train)
-    del bits
+    met = byte_counts(words)
+    met[10] += n_docs
+    code, bits = Code(met), slot_bits(distinct)
+    seen = bit_counts(strings, code, bits)
+    mixer = Mixer(seen, code, bits)
+    mixer.learn(*met_states(strings, code, bits, seen))
+    del seen
     floor = np.log10(total + 0.5 * (distinct + 1))
     common = {k: float(np.log10(n + 0.5) - floor) for k, n in words.orderBy(F.desc("n"), "key").limit(COMMON).select("key", "n").toLocalIterator()}
-    schema = "row long, id {}, n_tokens long, common_known long, common_score double, rare array<long>, score double".format(given.schema["id"].dataType.simpleString())
+    schema = "row long, id {}, n_tokens long, common_known long, common_score double, rare array<struct<key: long, n: long>>, score double, stream_bytes long".format(given.schema["id"].dataType.simpleString())
     numbered = given.select(F.monotonically_increasing_id().alias("row"), "id", "text")
     scored = stored(numbered.mapInArrow(_scorer(mixer, common), schema))
-    rare = scored.select("row", F.explode("rare").alias("key")).join(words.select("key", "n"), "key", "left")
+    rare = scored.select("row", F.inline("rare")).withColumnRenamed("n", "times").join(words.select("key", "n"), "key", "left")
     gain = F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(float(floor))
-    rare = rare.groupBy("row").agg(F.count("n").alias("rare_known"), F.sum(gain).alias("rare_score"))
+    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"), F.sum(F.col("times") * gain).alias("rare_score"))
     end = float(np.log10(n_docs + 0.5) - floor)
     out = scored.drop("rare").join(rare, "row", "left")
     return out.select(
         F.col("id").alias(doc_id), "n_tokens", (F.col("common_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(n_docs > 0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0)) + F.lit(end)).alias("base_score"), "score",
+        (-F.col("score") / F.lit(float(np.log10(2))) / F.col("stream_bytes")).alias("bits_per_byte"),
     )

@@ -238,30 +238,131 @@ def test_byte_code_is_a_prefix_code():
     assert sum(2.0 ** -int(n) for n in code.length) == pytest.approx(1.0)
 
 
-def test_bit_costs_are_probabilities():
+def _learned(spark, texts, parts=1):
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+    strings = df.mapInArrow(langmodel._token_counts, "kind int, key long, string binary, n long").groupBy("kind", "string").agg(F.sum("n").alias("n")).where("kind < 2").cache()
+    code = langmodel.Code(langmodel.byte_counts(strings.where("kind = 0")))
+    bits = langmodel.slot_bits(strings.where("kind = 0").count())
+    counts = langmodel.bit_counts(strings, code, bits)
+    return strings, code, bits, counts
+
+
+def test_bit_costs_are_probabilities(spark):
     import numpy as np
 
-    code = langmodel.Code([1] * 256)
-    mixer = langmodel.Mixer(np.zeros(sum(2 << b for b in langmodel.SLOT_BITS), np.uint32), code)
-    cost = mixer.cost.reshape(-1, 2).astype(float)
-    assert np.allclose((10.0**-cost).sum(axis=1), 1.0, atol=1e-4)
-    every = np.array([c for b in range(256) for c in (104, 105, b)], np.uint8)
-    assert (10.0 ** -mixer.costs(every).astype(float).reshape(-1, 3)[:, 2]).sum() == pytest.approx(1.0, abs=0.05)
+    _, code, bits, counts = _learned(spark, ["the cat and the hat", "a cat"])
+    mixer = langmodel.Mixer(counts, code, bits)
+    assert np.allclose((10.0 ** -mixer.cost.reshape(-1, 2).astype(float)).sum(axis=1), 1.0, atol=1e-4)
+    # the end, or any first byte of a word (bytes that are no word, as white space and capitals, count too)
+    coder = langmodel.Coder(mixer)
+    coder.update({})
+    first = [b"\n\t", *(b"\n" + bytes([b]) * langmodel.HEAD for b in range(256) if b != 10)]
+    ids = [coder[k] for k in first]
+    coder.look_up()
+    total = 0.0
+    for k, i in zip(first, ids):
+        size = int(code.length[10 if k == b"\n\t" else k[1]])
+        # decisions of the first byte come level by level, each level's bytes in order
+        flat, active, of, contexts = langmodel._laid_out([langmodel.head_string(k)], np.array([True]))
+        place = [p[0] for _, p, _, _ in langmodel._decisions(flat, active[:1], code, contexts, bits)]
+        assert len(place) == size
+        z = []
+        for level, _, seen, slots in langmodel._decisions(flat, active[:1], code, contexts, bits):
+            inputs = [e.take(s) for e, s in zip(mixer.entries, slots)]
+            gate = (inputs[2] & 3) * 4 + (inputs[1] & 3) + min(level, 7) * 16
+            z.append(sum(w[gate] * x / 256 for w, x in zip(mixer.weights, inputs))[0] + mixer.weights[-1][gate][0])
+            total_bits = mixer.cost[mixer.bucket(np.array(z[-1:])) * 2 + seen]
+            z[-1] = float(total_bits[0])
+        total += 10.0 ** -sum(z)
+    assert total == pytest.approx(1.0, abs=0.02)
 
 
 def test_mixing_is_learned_from_every_training_text(spark):
     rnd = random.Random(9)
     docs = ["the same text again"] * 1_100 + [" ".join("".join(rnd.choice("abcde") for _ in range(4)) for _ in range(30)) for _ in range(200)]
-    df = spark.createDataFrame([(t,) for t in docs], "text string")
-    code = langmodel.Code([1 + (97 <= b <= 122) * 1000 for b in range(256)])
-    bits = langmodel.bit_counts(df, code)
     learned = []
     for parts in (1, 5):
-        mixer = langmodel.Mixer(bits, code)
-        seen = langmodel.learn(mixer, bits, df.repartition(parts))
-        assert seen.sum() == sum(int(code.length[b]) for t in docs for b in t.encode() + b"\n")
+        strings, code, bits, counts = _learned(spark, docs, parts)
+        cells, n = langmodel.met_states(strings.repartition(parts), code, bits, counts)
+        assert n.sum() == sum(int(code.length[b]) for t in docs for b in t.encode() + b" \n")
+        mixer = langmodel.Mixer(counts, code, bits)
+        mixer.learn(cells, n)
         learned.append(mixer.weights)
-    assert abs(learned[0] - learned[1]).max() * 256 < 1e-3 and abs(learned[0] * 256 - 0.3).max() < 2
+    assert abs(learned[0] - learned[1]).max() < 1e-6 and 0.01 < abs(learned[0] - 0.3).max() < 4
+
+
+def test_scores_match_a_coder_that_goes_bit_by_bit(spark, monkeypatch):
+    """One text at a time, one decision at a time: counts in dictionaries by context, the same weights, and refinement by hand."""
+    import numpy as np
+
+    monkeypatch.setattr(langmodel, "LEAST_BITS", (20, 20, 20))  # hardly a slot that two contexts share
+
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choice(["ba", "ko", "lim", "ne", "ru"]) for _ in range(rnd.randrange(1, 5))) for _ in range(60)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(1, 120))) for _ in range(60)]
+    strings, code, bits, counts = _learned(spark, texts, 3)
+    mixer = langmodel.Mixer(counts, code, bits)
+    mixer.learn(*langmodel.met_states(strings, code, bits, counts))
+
+    def decisions(words):
+        """Per word (contexts, node, bit) of its decisions."""
+        for k, w in enumerate([*words, None]):
+            before = (b"\n" * 9 + (words[k - 1] if k else b""))[-langmodel.BEFORE :]
+            coded = b"\n" if w is None else w + b" "
+            out = []
+            for p, byte in enumerate(coded):
+                past = before + b" " + coded[:p]
+                near = past[-3:] if p < langmodel.HEAD else (b"  " + coded[:p])[-3:]
+                far = ("h", past) if p < langmodel.HEAD else ("t", (b"  " + coded[:p])[-5:])
+                for level in range(code.length[byte]):
+                    out.append((level, (near, far, coded[:p]), int(code.node[level, byte]), int(code.bit[level, byte])))
+            yield out
+
+    seen = [Counter() for _ in langmodel.CONTEXTS]
+    for t in texts:
+        for word in decisions(t.encode().split()):
+            for _, contexts, node, bit in word:
+                for c, x in zip(seen, contexts):
+                    c[x, node, bit] += 1
+
+    def cost(words):
+        a, b, n, total, since, step = 1.0, 0.0, 0, 0.0, [], langmodel.FIRST_UPDATE
+        done = 0
+        for k, word in enumerate(decisions(words), 1):
+            for level, contexts, node, bit in word:
+                pairs = [(np.float32(c[x, node, 0]), np.float32(c[x, node, 1])) for c, x in zip(seen, contexts)]
+                logit, sure = zip(*(langmodel._entries(*map(np.array, p)) for p in pairs))
+                gate = min(level, 7) * 16 + sure[2] * 4 + sure[1]
+                z = sum(float(w[gate]) * float(x) for w, x in zip(mixer.weights, logit)) + float(mixer.weights[-1][gate])
+                cell = mixer.bucket(np.array([a * z + b]))[0]
+                total += float(mixer.cost[cell * 2 + bit])
+                since.append((z, bit - float(mixer.p[cell])))
+            if k == done + step:
+                n += len(since)
+                a, b = a + langmodel.RATE * sum(z * m for z, m in since) / (langmodel.TRUST + n), b + langmodel.RATE * sum(m for _, m in since) / (langmodel.TRUST + n)
+                step, done, since = (step if not done else min(2 * step, langmodel.LAST_UPDATE)), k, []
+        return total
+
+    coder = langmodel.Coder(mixer)
+    words = [t.encode().split() for t in [*texts[:12], "new words bakolimzz x", ""]]
+    for got, w in zip(coder.costs(words), words):
+        assert got == pytest.approx(cost(w), rel=0.02)
+    alone = [langmodel.Coder(mixer).costs([w])[0] for w in words]
+    assert coder.costs(words) == pytest.approx(alone, rel=1e-9)
+
+
+def test_long_texts_carry_their_refinement_on(spark, monkeypatch):
+    texts = ["ba ko lim ne ru " * 400, "x" * 500 + " ba " + "y" * 70]
+    _, code, bits, counts = _learned(spark, texts)
+    mixer = langmodel.Mixer(counts, code, bits)
+    whole = langmodel.Coder(mixer).costs([t.encode().split() for t in texts])
+    monkeypatch.setattr(langmodel, "PART", 32)
+    monkeypatch.setattr(langmodel, "LAST_UPDATE", 32)
+    parts = langmodel.Coder(mixer).costs([t.encode().split() for t in texts])
+    assert all(p == pytest.approx(w, rel=0.2) for p, w in zip(parts, whole))
+    monkeypatch.setattr(langmodel, "LONGEST", 64)
+    cut = langmodel.coded_words([b"x" * 130, b"ab"])
+    assert cut == [b"x" * 64 + b"\t", b"x" * 64 + b"\t", b"xx", b"ab"] and all(c > 0 for c in langmodel.Coder(mixer).costs([cut]))
 
 
 def test_likeness_across_the_borders_of_length(spark):
