@@ -399,6 +399,14 @@ class Mixer:
         self.settle(np.bincount(at, n, self.buckets), np.bincount(at, n * bit, self.buckets))
 
 
+def _put(array: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+    """``array`` with ``more`` from place ``at`` on, made twice as long when it is full."""
+    if at + len(more) > len(array):
+        array = np.concatenate([array[:at], np.empty(max(at, len(more)), array.dtype)])
+    array[at : at + len(more)] = more
+    return array
+
+
 class Coder(dict):
     """Codes texts with a mixer, each from the same start; remembers what it makes of heads and tails of words."""
 
@@ -410,6 +418,7 @@ class Coder(dict):
     def forget(self) -> None:
         self.clear()
         self.new: list[bytes] = []
+        self.used = 0
         #: Where each head's or tail's decisions are and how many, and per decision the mixed log-odds and the bit.
         self.first, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.z, self.bit = np.zeros(0, np.float32), np.zeros(0, np.uint8)
@@ -438,12 +447,12 @@ class Coder(dict):
             seens.append(seen)
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        sizes = np.bincount(owner, minlength=len(self.new))
-        self.first = np.concatenate([self.first, len(self.z) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.z = np.concatenate([self.z, np.concatenate(zs).take(order)])
-        self.bit = np.concatenate([self.bit, np.concatenate(seens).take(order)])
-        self.new = []
+        sizes, at = np.bincount(owner, minlength=len(self.new)), len(self) - len(self.new)
+        self.first = _put(self.first, at, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = _put(self.sizes, at, sizes)
+        self.z = _put(self.z, self.used, np.concatenate(zs).take(order))
+        self.bit = _put(self.bit, self.used, np.concatenate(seens).take(order))
+        self.used, self.new = self.used + len(owner), []
 
     def costs(self, texts: Iterable[list[bytes]]) -> list[float]:
         """log10 cost of each text, given as its words."""
@@ -526,8 +535,9 @@ def _scorer(mixer: Mixer, common: dict[int, float]) -> Callable:
             for text in texts:
                 words = words_of(text)
                 found = Counter(words)
-                for w in found.keys() - hashes.keys():
-                    hashes[w] = token_hash(w)
+                for w in found:
+                    if w not in hashes:
+                        hashes[w] = token_hash(w)
                 rest, n_rest, total = [], 0, 0.0
                 for w, n in found.items():
                     gain = common.get(h := hashes[w])
