@@ -1,10 +1,11 @@
-"""Language-model scores: bit predictors for hashed contexts, mixed by gated logistic weights that are refined while a text is coded, beside a word baseline."""
+"""Language-model scores: bit predictors for hashed contexts, mixed by gated logistic weights and refined while a text is coded, beside a word baseline."""
 
 from __future__ import annotations
 
 import heapq
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +26,16 @@ BLOCK = 1 << 14
 FAN_IN = 64
 #: Newton rounds in which the weights that every text starts with are fitted, their pull to the first guess in bits' worth, and how far one moves in a round.
 ROUNDS, PULL, STRIDE = 8, 50, 0.5
-#: Bytes of words that are worked on at once, in learning and in scoring, and what a longer word is cut in.
-CHUNK, GROUP, LONGEST = 1 << 16, 1 << 18, 1 << 16
-#: Words of a text that are scored at once.
+#: Bytes of words that are learned at once, and what a longer word is cut in.
+CHUNK, LONGEST = 1 << 16, 1 << 16
+#: Words that are scored at once.
 PART = 1 << 16
-#: A text's own refinement moves after so many words, and after twice as many each time up to the last.
-FIRST_UPDATE, LAST_UPDATE = 32, 1 << 12
-#: Its step, and bits' worth of trust in where it starts from.
-RATE, TRUST = 3.0, 100.0
+#: Mixed log-odds are taken at each of these scales; a text weighs them by how well they have served it so far.
+SCALES = (0.8, 1.0, 1.25)
 #: Words whose training counts every task knows; the others' are joined.
 COMMON = 1 << 16
 #: Words that a task remembers, to count them, and heads and tails, to score.
-REMEMBERED, KEPT = 400_000, 300_000
+REMEMBERED, KEPT = 300_000, 400_000
 LEVELS, CONFIDENCES = 8, 4
 GATES = LEVELS * CONFIDENCES * CONFIDENCES
 LOGIT_STEP, LOGIT_LIMIT = 8, 12
@@ -370,8 +369,17 @@ class Mixer:
         """What mixed log-odds mean: what came of them, with 50 bits' worth of what they say."""
         z = (np.arange(self.buckets) - LOGIT_LIMIT * LOGIT_STEP) / LOGIT_STEP
         p = (ones + 50 / (1 + np.exp(-z))) / (seen + 50)
-        self.p = p.astype(np.float32)
-        self.cost = np.stack([-np.log10(1 - p), -np.log10(p)], axis=1).astype(np.float32).reshape(-1)
+        scaled = p[self.bucket(np.outer(z, SCALES))]
+        self.cost = np.stack([-np.log10(1 - scaled), -np.log10(scaled)], axis=1).astype(np.float32).reshape(-1, len(SCALES))
+
+    def mixed(self, level: int, slots: list[np.ndarray]) -> np.ndarray:
+        """Mixed log-odds of decisions at one level, given their slots."""
+        inputs = [e.take(s) for e, s in zip(self.entries, slots)]
+        gate = (inputs[2] & 3) * CONFIDENCES + (inputs[1] & 3) + np.int16(min(level, LEVELS - 1) * CONFIDENCES * CONFIDENCES)
+        z = self.weights[-1].take(gate)
+        for w, x in zip(self.weights, inputs):
+            z += w.take(gate) * (x * np.float32(1 / 256))
+        return z
 
     def bucket(self, z: np.ndarray) -> np.ndarray:
         """The place of mixed log-odds in the table."""
@@ -399,29 +407,14 @@ class Mixer:
         self.settle(np.bincount(at, n, self.buckets), np.bincount(at, n * bit, self.buckets))
 
 
-def _put(array: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
-    """``array`` with ``more`` from place ``at`` on, made twice as long when it is full."""
-    if at + len(more) > len(array):
-        array = np.concatenate([array[:at], np.empty(max(at, len(more)), array.dtype)])
-    array[at : at + len(more)] = more
-    return array
-
-
 class Coder(dict):
-    """Codes texts with a mixer, each from the same start; remembers what it makes of heads and tails of words."""
+    """Codes texts with a mixer; remembers the costs of heads and tails of words."""
 
     def __init__(self, mixer: Mixer):
         super().__init__()
         self.mixer = mixer
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
         self.new: list[bytes] = []
-        self.used = 0
-        #: Where each head's or tail's decisions are and how many, and per decision the mixed log-odds and the bit.
-        self.first, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.z, self.bit = np.zeros(0, np.float32), np.zeros(0, np.uint8)
+        self.known = np.zeros((0, len(SCALES)))
 
     def __missing__(self, key: bytes) -> int:
         self[key] = at = len(self)
@@ -429,99 +422,55 @@ class Coder(dict):
         return at
 
     def look_up(self) -> None:
-        """Mixes what the predictors say of the new heads and tails."""
+        """Costs in log10 of the new heads and tails, at each scale."""
         if not self.new:
             return
-        mixer = self.mixer
+        mixer, n = self.mixer, len(self.new)
         heads = np.array([b"\n" in k for k in self.new])
         flat, active, of, contexts = _laid_out([head_string(k) if h else tail_string(k) for h, k in zip(heads, self.new)], heads)
-        owners, zs, seens = [], [], []
+        out = np.zeros((n, len(SCALES)))
         for level, place, seen, slots in _decisions(flat, active, mixer.code, contexts, mixer.bits):
-            inputs = [e.take(s) for e, s in zip(mixer.entries, slots)]
-            gate = (inputs[2] & 3) * CONFIDENCES + (inputs[1] & 3) + np.int16(min(level, LEVELS - 1) * CONFIDENCES * CONFIDENCES)
-            z = mixer.weights[-1].take(gate)
-            for w, i in zip(mixer.weights, inputs):
-                z += w.take(gate) * (i * np.float32(1 / 256))
-            owners.append(of.take(place))
-            zs.append(z)
-            seens.append(seen)
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        sizes, at = np.bincount(owner, minlength=len(self.new)), len(self) - len(self.new)
-        self.first = _put(self.first, at, self.used + np.cumsum(sizes) - sizes)
-        self.sizes = _put(self.sizes, at, sizes)
-        self.z = _put(self.z, self.used, np.concatenate(zs).take(order))
-        self.bit = _put(self.bit, self.used, np.concatenate(seens).take(order))
-        self.used, self.new = self.used + len(owner), []
+            cost, owner = mixer.cost.take(mixer.bucket(mixer.mixed(level, slots)) * 2 + seen, axis=0), of.take(place)
+            for k in range(len(SCALES)):
+                out[:, k] += np.bincount(owner, cost[:, k], n)
+        at = len(self) - n
+        if len(self) > len(self.known):
+            self.known = np.concatenate([self.known[:at], np.empty((max(at, n), len(SCALES)))])
+        self.known[at : at + n], self.new = out, []
 
     def costs(self, texts: Iterable[list[bytes]]) -> list[float]:
-        """log10 cost of each text, given as its words."""
-        out, units, size = [], [], 0
+        """log10 cost of each text, given as its words: that of the mean of its probabilities at all scales."""
+        found, size = [], 0
+        totals: list[np.ndarray] = []
+
+        def add_up() -> None:
+            self.look_up()
+            ids = np.concatenate([i for i, _ in found])
+            starts = np.cumsum([0] + [len(i) for i, _ in found[:-1]])
+            for (_, k), row in zip(found, np.add.reduceat(self.known.take(ids, axis=0), starts)):
+                totals[k] += row
+            found.clear()
+            if len(self) > KEPT:
+                self.clear()
+
         for k, words in enumerate(texts):
-            out.append(0.0)
-            words, at, before, carried, ends = coded_words(words), 0, b"", None, False
+            totals.append(np.zeros(len(SCALES)))
+            words, at, before, ends = coded_words(words), 0, b"", False
             while not ends:
                 part = words[at : at + PART]
                 at += len(part)
                 ends = at >= len(words)
                 heads = heads_of(part, before) if ends else heads_of(part[:-1], before, part[-1][:HEAD])
-                ids = np.empty((len(part) + ends, 2), np.int64)
-                ids[:, 0] = np.fromiter(map(self.__getitem__, heads), np.int64, len(ids))
-                ids[:, 1] = np.fromiter(map(self.__getitem__, [*part, b""] if ends else part), np.int64, len(ids))
-                units.append((k, ids, carried))
-                size += sum(map(len, part))
-                if size >= GROUP or not ends:
-                    carried = self._coded(units, out, not ends)
-                    before, units, size = part[-1][-BEFORE:], [], 0
-        if units:
-            self._coded(units, out, False)
-        return out
-
-    def _coded(self, units: list[tuple[int, np.ndarray, np.ndarray | None]], out: list[float], more: bool) -> np.ndarray:
-        """Adds the costs of parts of different texts to ``out``; returns the last one's refinement and what it rests on, as there is ``more`` of its text.
-
-        A text's refinement is a scale for mixed log-odds and what is added to them.  In rounds each text codes its next
-        words with its own as it is, then moves it along the gradient by what came: one round serves all
-        texts, as far as they go, and none sees another's.
-        """
-        self.look_up()
-        mixer, n = self.mixer, len(units)
-        ids = np.concatenate([u for _, u, _ in units])
-        end = np.cumsum([len(u) for _, u, _ in units])
-        begin = end - [len(u) for _, u, _ in units]
-        own = np.tile(np.array([1.0, 0.0, 0.0]), (n, 1))
-        for lane, (_, _, carried) in enumerate(units):
-            if carried is not None:
-                own[lane] = carried
-        at, length = 0, FIRST_UPDATE
-        while True:
-            lo = np.minimum(begin + at, end)
-            counts = np.minimum(lo + length, end) - lo
-            lanes = np.flatnonzero(counts)
-            if not len(lanes):
-                break
-            lo, counts = lo[lanes], counts[lanes]
-            which = ids.take(np.arange(counts.sum()) + np.repeat(lo - (np.cumsum(counts) - counts), counts), axis=0).reshape(-1)
-            sizes = self.sizes.take(which)
-            upto = np.cumsum(sizes)
-            event = np.arange(upto[-1]) + np.repeat(self.first.take(which) - (upto - sizes), sizes)
-            begins = np.concatenate([[0], upto.take(2 * np.cumsum(counts)[:-1] - 1)])
-            each = np.diff(begins, append=upto[-1])
-            z, seen, mine = self.z.take(event), self.bit.take(event), own[lanes].astype(np.float32)
-            cell = mixer.bucket(z * np.repeat(mine[:, 0], each) + np.repeat(mine[:, 1], each))
-            for lane, cost in zip(lanes, np.add.reduceat(mixer.cost.take(cell * 2 + seen), begins, dtype=np.float64)):
-                out[units[lane][0]] += float(cost)
-            if more or (end > begin + at + length).any():
-                miss = seen - mixer.p.take(cell)
-                own[lanes, 2] += each
-                slope = np.stack([np.add.reduceat(miss * z, begins, dtype=np.float64), np.add.reduceat(miss, begins, dtype=np.float64)], axis=1)
-                own[lanes, :2] += RATE * slope / (TRUST + own[lanes, 2:])
-            at += length
-            if at > FIRST_UPDATE:
-                length = min(2 * length, LAST_UPDATE)
-        if len(self) > KEPT:
-            self.forget()
-        return own[-1]
+                found.append((np.fromiter(map(self.__getitem__, chain(heads, part)), np.int64, 2 * len(part) + ends), k))
+                size += len(found[-1][0])
+                if size >= PART:
+                    add_up()
+                    size = 0
+                before = part[-1][-BEFORE:] if part else b""
+        if found:
+            add_up()
+        least = [t.min() for t in totals]
+        return [float(m - np.log10((10.0 ** (m - t)).mean())) for m, t in zip(least, totals)]
 
 
 def _scorer(mixer: Mixer, common: dict[int, float]) -> Callable:
@@ -574,10 +523,10 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
     counts over all training texts have for its context: the three bytes before it; the beginning of the word with the end of the word
     before (in the first ``HEAD`` bytes) or five bytes before (later); the word so far.  Weights chosen by the level in
     the code and by how often the longer contexts were seen mix them, and a table says what mixed log-odds turn out to mean;
-    all training texts count in both, each bit predicted without itself.  While a text is coded, mixed log-odds pass a
-    logistic unit of its own, which starts neutral and moves along its gradient after ``FIRST_UPDATE`` words and ever twice as many:
-    it adapts online, and no score depends on other scored texts.  ``score`` is the log10 probability of the stream,
-    ``bits_per_byte`` the same per byte of it.
+    all training texts count in both, each bit predicted without itself.  The result is refined while a text is coded: mixed
+    log-odds are taken at three scales, and each scale weighs as much as the probability it gave to the text so far.  Such weights
+    start equal, adapt after every bit and no score depends on other scored texts; over a whole text they come to the mean of
+    its probabilities at the three scales.  ``score`` is the log10 probability of the stream, ``bits_per_byte`` the same per byte of it.
 
     Since contexts end at the end of the word before, a bit and its contexts depend on a word, or on a word's head and the end
     of the word before.  So training texts are read once, to count these; all learning is over the distinct ones, which grow with the corpus.
@@ -585,8 +534,7 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
     base_score is the sum over words and the end of log10((c + 0.5) / (N + 0.5 (V + 1))), c being the word's count, N all
     and V distinct training tokens; n_known counts tokens with c > 0.
 
-    A null text is an empty one: only the end.  Very long texts are coded in parts of ``PART`` words that carry the refinement on;
-    a word over ``LONGEST`` bytes is coded as several.  Repeated rows are scored each, and learned from each.  An empty table
+    A null text is an empty one: only the end.  Very long texts are coded in parts of ``PART`` words; a word over ``LONGEST`` bytes is coded as several.  Repeated rows are scored each, and learned from each.  An empty table
     gives an empty one; without training rows all words are unknown.  Other columns are not kept.
 
     The predictors' tables grow with the number of distinct training words up to ``MOST_BITS``, what a task can hold, so they can be
@@ -595,7 +543,7 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
     given = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     train = given.where("train")
     counts = train.select("text").mapInArrow(_token_counts, "kind int, key long, string binary, n long")
-    counts = stored(counts.groupBy("kind", "key").agg(F.first("string").alias("string"), F.sum("n").alias("n")))
+    counts = stored(counts.groupBy("kind", "key", "string").agg(F.sum("n").alias("n")))
     words, strings = counts.where("kind = 0"), counts.where("kind < 2").select("kind", "string", "n")
     n_docs = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()

@@ -252,28 +252,15 @@ def test_bit_costs_are_probabilities(spark):
 
     _, code, bits, counts = _learned(spark, ["the cat and the hat", "a cat"])
     mixer = langmodel.Mixer(counts, code, bits)
-    assert np.allclose((10.0 ** -mixer.cost.reshape(-1, 2).astype(float)).sum(axis=1), 1.0, atol=1e-4)
-    # the end, or any first byte of a word (bytes that are no word, as white space and capitals, count too)
-    coder = langmodel.Coder(mixer)
-    coder.update({})
-    first = [b"\n\t", *(b"\n" + bytes([b]) * langmodel.HEAD for b in range(256) if b != 10)]
-    ids = [coder[k] for k in first]
-    coder.look_up()
+    assert np.allclose((10.0 ** -mixer.cost.reshape(-1, 2, len(langmodel.SCALES)).astype(float)).sum(axis=1), 1.0, atol=1e-4)
+    # every first byte of a text
     total = 0.0
-    for k, i in zip(first, ids):
-        size = int(code.length[10 if k == b"\n\t" else k[1]])
-        # decisions of the first byte come level by level, each level's bytes in order
-        flat, active, of, contexts = langmodel._laid_out([langmodel.head_string(k)], np.array([True]))
-        place = [p[0] for _, p, _, _ in langmodel._decisions(flat, active[:1], code, contexts, bits)]
-        assert len(place) == size
-        z = []
+    for byte in range(256):
+        flat, active, _, contexts = langmodel._laid_out([langmodel.head_string(b"\n" + bytes([byte]) * langmodel.HEAD) if byte != 10 else langmodel.head_string(b"\n\t")], np.array([True]))
+        cost = 0.0
         for level, _, seen, slots in langmodel._decisions(flat, active[:1], code, contexts, bits):
-            inputs = [e.take(s) for e, s in zip(mixer.entries, slots)]
-            gate = (inputs[2] & 3) * 4 + (inputs[1] & 3) + min(level, 7) * 16
-            z.append(sum(w[gate] * x / 256 for w, x in zip(mixer.weights, inputs))[0] + mixer.weights[-1][gate][0])
-            total_bits = mixer.cost[mixer.bucket(np.array(z[-1:])) * 2 + seen]
-            z[-1] = float(total_bits[0])
-        total += 10.0 ** -sum(z)
+            cost += float(mixer.cost[mixer.bucket(mixer.mixed(level, slots)) * 2 + seen][0, 1])
+        total += 10.0**-cost
     assert total == pytest.approx(1.0, abs=0.02)
 
 
@@ -326,21 +313,16 @@ def test_scores_match_a_coder_that_goes_bit_by_bit(spark, monkeypatch):
                     c[x, node, bit] += 1
 
     def cost(words):
-        a, b, n, total, since, step = 1.0, 0.0, 0, 0.0, [], langmodel.FIRST_UPDATE
-        done = 0
-        for k, word in enumerate(decisions(words), 1):
+        weights, total = [1 / 3] * 3, 0.0
+        for word in decisions(words):
             for level, contexts, node, bit in word:
                 pairs = [(np.float32(c[x, node, 0]), np.float32(c[x, node, 1])) for c, x in zip(seen, contexts)]
                 logit, sure = zip(*(langmodel._entries(*map(np.array, p)) for p in pairs))
                 gate = min(level, 7) * 16 + sure[2] * 4 + sure[1]
                 z = sum(float(w[gate]) * float(x) for w, x in zip(mixer.weights, logit)) + float(mixer.weights[-1][gate])
-                cell = mixer.bucket(np.array([a * z + b]))[0]
-                total += float(mixer.cost[cell * 2 + bit])
-                since.append((z, bit - float(mixer.p[cell])))
-            if k == done + step:
-                n += len(since)
-                a, b = a + langmodel.RATE * sum(z * m for z, m in since) / (langmodel.TRUST + n), b + langmodel.RATE * sum(m for _, m in since) / (langmodel.TRUST + n)
-                step, done, since = (step if not done else min(2 * step, langmodel.LAST_UPDATE)), k, []
+                each = [w * 10.0 ** -float(c) for w, c in zip(weights, mixer.cost[mixer.bucket(np.array([z]))[0] * 2 + bit])]
+                total -= math.log10(sum(each))
+                weights = [e / sum(each) for e in each]
         return total
 
     coder = langmodel.Coder(mixer)
@@ -349,17 +331,9 @@ def test_scores_match_a_coder_that_goes_bit_by_bit(spark, monkeypatch):
         assert got == pytest.approx(cost(w), rel=0.02)
     alone = [langmodel.Coder(mixer).costs([w])[0] for w in words]
     assert coder.costs(words) == pytest.approx(alone, rel=1e-9)
-
-
-def test_long_texts_carry_their_refinement_on(spark, monkeypatch):
-    texts = ["ba ko lim ne ru " * 400, "x" * 500 + " ba " + "y" * 70]
-    _, code, bits, counts = _learned(spark, texts)
-    mixer = langmodel.Mixer(counts, code, bits)
-    whole = langmodel.Coder(mixer).costs([t.encode().split() for t in texts])
-    monkeypatch.setattr(langmodel, "PART", 32)
-    monkeypatch.setattr(langmodel, "LAST_UPDATE", 32)
-    parts = langmodel.Coder(mixer).costs([t.encode().split() for t in texts])
-    assert all(p == pytest.approx(w, rel=0.2) for p, w in zip(parts, whole))
+    monkeypatch.setattr(langmodel, "PART", 7)
+    monkeypatch.setattr(langmodel, "KEPT", 20)
+    assert langmodel.Coder(mixer).costs(words) == pytest.approx(alone, rel=1e-9)
     monkeypatch.setattr(langmodel, "LONGEST", 64)
     cut = langmodel.coded_words([b"x" * 130, b"ab"])
     assert cut == [b"x" * 64 + b"\t", b"x" * 64 + b"\t", b"xx", b"ab"] and all(c > 0 for c in langmodel.Coder(mixer).costs([cut]))
