@@ -65,7 +65,7 @@ def _line_docs():
     return docs
 
 
-def _clean(docs, least=16):
+def _clean(docs, least=1):
     ordered = sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0))
     first, order = {}, []
     for d, t in ordered:
@@ -98,7 +98,7 @@ def _clean(docs, least=16):
 
 def test_lines_match_brute_force(spark):
     docs = _line_docs()
-    got = lines.dedup_lines(spark.createDataFrame([(*d, 1, "x") for d in docs], DOCS + ", line int, clean string")).collect()
+    got = lines.dedup_lines(spark.createDataFrame([(*d, 1, "x") for d in docs], DOCS + ", line int, gone string")).collect()
     want = _clean(docs)
     assert len(got) == len(docs)
     for r in got:
@@ -142,6 +142,29 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert all(got[n + k][0] == 0 for k in (2, 3, 4, 5, 6, 9, 10))
 
 
+def test_one_vec_id_in_two_labels(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0, 0.0], 1), (2, [0.0, 1.0, 0.01, 0.0], 0)]
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1, True), (1, 0, 1, True), (2, 0, 2, True)]
+    rows += [(3, [0.0, 1.0, 0.02, 0.0], 1)]
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1, True), (1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False)]
+
+
+def test_vectors_recall_as_stated():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for n in (5_000, 3_000_000):
+        tables, projections = embeddings.tables_for(n)
+        a = embeddings._unit(rng.normal(size=(2000, 64)))
+        b = rng.normal(size=a.shape)
+        b = embeddings._unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+        x, y = (embeddings.bucket_keys(v, tables, projections) for v in (a, 0.93 * a + (1 - 0.93**2) ** 0.5 * b))
+        assert (x == y).any(axis=1).mean() > 0.985
+        assert (embeddings.bucket_keys(b, tables, projections) == x).mean() < 2 / n + 1e-4
+
+
 def test_lines_near_filter_loses_no_pair(spark):
     rnd = random.Random(9)
     texts = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(16, 20))) for _ in range(400)]
