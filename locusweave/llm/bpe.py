@@ -78,6 +78,7 @@ class Vocabulary:
                 if len(t) > 2:
                     found.setdefault(t[-3:], set()).add(len(t))
             self.lengths[ends] = {k: (*sorted(v, reverse=True), 2, 1) for k, v in found.items()}
+        self.width = {t: len(b) for tokens in (self.inner, self.last) for b, t in tokens.items()}
         self.good: dict[tuple[int, int], bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
 
@@ -149,9 +150,7 @@ class Vocabulary:
         A node's state is the last token of its prefix's encoding.  The stack of states holds the path to the
         word before, so a prefix that words share is worked on once.
         """
-        states, before, width = [-1], b"", {}
-        for side in (self.inner, self.last):
-            width |= {t: len(b) for b, t in side.items()}
+        states, before, width = [-1], b"", self.width
         cut = 1 if self.end else 0  # the last letter of a word is a different one, so its node is a leaf
         for word in words:
             shared = 0
@@ -207,19 +206,25 @@ def _encoder(path: str):
     return encode
 
 
+def _with_text_last(docs: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with names that cannot clash and the text as last column, and the names of the others."""
+    rest = [c for c in docs.columns if c.lower() != text.lower()]
+    return docs.select(*[F.col(f"`{c}`").alias(f"given_{k}") for k, c in enumerate(rest)], F.col(f"`{text}`").cast("string").alias("encoded")), rest
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with ``ids`` (array of int) and ``decoded``, as the tokenizers library gives them without added special tokens.
 
     Special strings inside a text become their special tokens.  A null text is an empty one: no ids and an empty string.
-    Columns of the input named ids or decoded are replaced.  Rows pass through one by one, so repeated rows and
+    Where the input has columns of these names, the new ones get underscores in front.  Rows pass through one by one, so repeated rows and
     empty tables need no care.  Texts are handled in groups of ``DOCS``; in each, the distinct pieces not seen before by the task
     are inserted in a trie in sorted order and encoded in one depth-first walk.  A task remembers at most ``REMEMBERED``
     pieces and those of one group.
     """
-    rest = [c for c in docs.columns if c.lower() not in (text.lower(), "ids", "decoded")]
-    given = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias("text"))
-    schema = given.drop("text").schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
-    return given.mapInArrow(_encoder(tokenizer), schema)
+    given, rest = _with_text_last(docs, text)
+    schema = given.drop("encoded").schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
+    new = free_names(docs.select(*[F.col(f"`{c}`") for c in rest]), "ids", "decoded")
+    return given.mapInArrow(_encoder(tokenizer), schema).toDF(*rest, *new)
 
 
 def _counter(path: str, name: str):
@@ -249,8 +254,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", name: str
     remembers: the table of document and piece would be larger than the texts.  Special strings inside a
     text count as one token each.  A null or empty text has none.
     """
-    rest = [c for c in docs.columns if c.lower() != text.lower()]
-    own = free_names(docs.select(*[F.col(f"`{c}`") for c in rest]), name)[0]
-    given = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias("text"))
-    schema = given.drop("text").schema.add(own, "long")
-    return given.mapInArrow(_counter(tokenizer, own), schema)
+    given, rest = _with_text_last(docs, text)
+    own = free_names(docs.select(*[F.col(f"`{c}`") for c in rest]), name)
+    schema = given.drop("encoded").schema.add("n_tokens", "long")
+    return given.mapInArrow(_counter(tokenizer, "n_tokens"), schema).toDF(*rest, *own)

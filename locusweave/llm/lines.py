@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from locusweave.llm.naming import free_names, set_apart
 from locusweave.llm.storage import stored
 
+#: A line with more than one in HOT of all lines is hot; its places are dealt to SALTS tasks.
+HOT, SALTS = 2000, 64
 #: Parts of lines longer than this are halved once more before their deletion variants are made.
 LONG = 512
 
@@ -79,29 +82,37 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return sides.where(F.levenshtein("line", "other", 1).between(0, 1)).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_edits: int = 1, min_chars: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_edits: int = 1, min_chars: int = 1) -> DataFrame:
     """``docs`` with each line kept only where it comes first, and without lines near an earlier one.
 
     Lines are what "\\n" separates.  A line goes if an equal line came before it, or, when both have
     ``min_chars`` characters or more, if a different line within ``max_edits`` (0 or 1) single-character
     insertions, deletions or replacements first came earlier, kept or not.  "Before" is by doc_id (null
     last), then by a hash of the text, then by place.  Adds ``n_lines``, ``n_exact`` and ``n_near`` (lines
-    lost to either) and ``clean`` (the lines that stay, joined by "\\n"; null where none stays).
+    lost to either) and ``clean`` (the lines that stay, joined by "\\n"; null where none stays), as last columns, with
+    underscores in front where the input has such names.
 
     Lines of only spaces separate nothing: they stay and are not counted.  A null text has no
     lines and stays null; an empty one stays empty.  Rows equal in doc_id and text are one document, and all
-    keep the same lines.  Added columns replace equally named ones of the input, others pass through.
+    keep the same lines.  Other columns pass through.  Very long lines are halved until the part that differs is short.
 
     Only hashes of lines are shuffled to find copies; texts of lines only for those sharing a
     half with a different line.  That filter loses no pair, since one edit leaves a half as it was.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    docs = docs.drop("n_lines", "n_exact", "n_near", "clean")
+    new = free_names(docs, "n_lines", "n_exact", "n_near", "clean")
+    lower = [c.lower() for c in docs.columns]
+    docs, safe, names = set_apart(docs)
+    doc_id, text = safe[lower.index(doc_id.lower())], safe[lower.index(text.lower())]
     lines = _lines(docs, doc_id, text)
     last = F.coalesce(F.col("id").cast("long"), F.lit(2**63 - 1))
     here = F.struct(last.alias("id"), "t1", "t2", "pos")
     firsts = stored(lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")))
+    # a hot line's places go to several tasks; fewer than HOT lines can be hot, so they may be broadcast
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT > total
+    hot = firsts.where(is_hot).select("h1", "h2", F.lit(True).alias("hot"))
     if max_edits:
         long = lines.where(F.col("length") >= min_chars)
         keyed = _halved(long.select("h1", F.col("line").alias("rest"), F.lit(0).cast("long").alias("key"), F.explode(F.lit([0, 1])).alias("less"))).drop("rest")
@@ -113,8 +124,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     else:
         firsts = firsts.withColumn("near", F.lit(None).cast("boolean"))
     # lines that lose a place somewhere: repeated ones and near ones
-    losing = firsts.where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    lost = lines.select("id", "t1", "t2", "pos", "h1", "h2", here.alias("here")).join(losing, ["h1", "h2"]).where("near or here > first")
+    losing = firsts.where("n > 1 or near").select("h1", "h2", "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    losing = losing.withColumn("salt", F.explode(salts)).drop("n")
+    places = lines.select("id", "t1", "t2", "pos", "h1", "h2", here.alias("here")).join(F.broadcast(hot), ["h1", "h2"], "left")
+    places = places.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("t1", "pos"), F.lit(SALTS)).cast("int")).otherwise(0))
+    lost = places.join(losing, ["h1", "h2", "salt"]).where("near or here > first")
     lost = lost.groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("pos")))).alias("n_near"))
     lost = lost.withColumn("n_exact", F.size("gone") - F.col("n_near"))
     lost = lost.withColumnsRenamed({"id": "lost_id", "t1": "lost_t1", "t2": "lost_t2"})
@@ -128,4 +143,5 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
         F.coalesce("n_exact", F.lit(0)).alias("n_exact"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
         F.when(F.col("gone").isNull(), F.col(text)).otherwise(left).alias("clean"),
     )
-    return out.withColumn("clean", F.when((F.col("n_lines") > 0) & (F.col("n_lines") == F.col("n_exact") + F.col("n_near")), None).otherwise(F.col("clean")))
+    out = out.withColumn("clean", F.when((F.col("n_lines") > 0) & (F.col("n_lines") == F.col("n_exact") + F.col("n_near")), None).otherwise(F.col("clean")))
+    return out.toDF(*names, *new)

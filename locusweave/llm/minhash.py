@@ -66,7 +66,10 @@ def signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _packed(minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``LOW_BITS`` bits of each minimum side by side, 64 in a long, and one key for each band."""
-    low = np.stack([(minima >> np.uint32(16 + k)) & np.uint32(1) for k in range(LOW_BITS)], axis=2)
+    mixed = (minima ^ minima >> np.uint32(16)) * np.uint32(0x7FEB352D)  # minima of long texts are small: all their bits must count
+    mixed = (mixed ^ mixed >> np.uint32(15)) * np.uint32(0x846CA68B)
+    mixed ^= mixed >> np.uint32(16)
+    low = np.stack([(mixed >> np.uint32(k)) & np.uint32(1) for k in range(LOW_BITS)], axis=2)
     bits = np.packbits(low.reshape(len(minima), -1).astype(np.uint8), axis=1).view(np.int64)
     keys = np.zeros((len(minima), BANDS), dtype=np.uint64)
     for j in range(BAND_ROWS):

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from locusweave.llm.naming import free_names, set_apart
+from locusweave.llm.storage import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Pieces that each source's queue is cut in, and one unit of the merged queue's time.
 PIECES = 256
 TIME_PIECES = 1024
-#: Finish times past this are never served: the budget ends near time 1.
-HORIZON = 2.0
+#: From this time on, long after the budget usually ends, pieces grow with time: so many for each doubling.
+LATE, LATE_PIECES = 2.0, 64
 
 
 def count_words(text: Column) -> Column:
@@ -53,18 +56,22 @@ def weighted_fair_mix(
     Null sizes count 0, rows of size 0 take nothing, and the null source is one of its own, after the
     others in code-point order.  Rows equal in source, key and size stand together in the queue and are
     served one after the other.  Nothing else enters the order, so reruns agree.  An empty table gives
-    an empty one.  Names starting with ``mix_`` are the operator's own.
+    an empty one.  Where the input has a column of an added name, the added one gets underscores in front.
 
     A source of any size is cut in ``PIECES`` by the shuffle hash and summed piece by piece, and the
     merged queue is cut by finish time in the same way; offsets are computed on one row a piece.
     Equal rows are counted before the shuffle.
     """
+    new = free_names(docs, "source_size", "target", "taken")
+    lower = [c.lower() for c in docs.columns]
+    docs, safe, names = set_apart(docs)
+    source, size, key = (safe[lower.index(c.lower())] for c in (source, size, key))
     named = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
     given = docs.withColumns({"mix_source": named, "mix_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "mix_size": F.coalesce(F.col(size), F.lit(0)).cast("long")})
     group = ["mix_source", "mix_key", "mix_size"]
     rows = given.groupBy(*group).agg(F.count(F.lit(1)).alias("mix_n")).withColumn("mix_words", F.col("mix_size") * F.col("mix_n"))
     rows = rows.withColumn("mix_hash", F.md5(F.concat(F.lit(f"{seed}|"), "mix_key")))
-    rows = rows.withColumn("mix_piece", (F.conv(F.substring("mix_hash", 1, 4), 16, 10).cast("int") * PIECES / 65536).cast("int"))
+    rows = stored(rows.withColumn("mix_piece", (F.conv(F.substring("mix_hash", 1, 4), 16, 10).cast("int") * PIECES / 65536).cast("int")))
     targets = source_targets(rows.select(F.col("mix_source").alias("source"), F.col("mix_words").alias("size")), weights, budget, max_repeats)
     targets = targets.withColumnsRenamed({"source": "mix_source", "source_size": "mix_source_size", "target": "mix_target"})
 
@@ -83,17 +90,19 @@ def weighted_fair_mix(
     )
     turns = turns.withColumn("mix_round", (F.col("mix_turn") / F.col("mix_n")).cast("long"))
     end = F.col("mix_round") * F.col("mix_source_size") + F.col("mix_before") + (F.col("mix_turn") % F.col("mix_n") + 1) * F.col("mix_size")
-    turns = turns.withColumn("mix_finish", end / F.col("mix_target")).where(F.col("mix_finish") <= HORIZON)
-    turns = turns.withColumn("mix_piece", F.floor(F.col("mix_finish") * TIME_PIECES))
+    turns = turns.withColumn("mix_finish", end / F.col("mix_target"))
+    late = F.floor(LATE * TIME_PIECES + F.log2(F.col("mix_finish") / LATE) * LATE_PIECES)
+    turns = turns.withColumn("mix_piece", F.when(F.col("mix_finish") < LATE, F.floor(F.col("mix_finish") * TIME_PIECES)).otherwise(late))
     slices = turns.groupBy("mix_piece").agg(F.sum("mix_size").alias("mix_start"))
     slices = slices.withColumn("mix_start", F.sum("mix_start").over(Window.orderBy("mix_piece")) - F.col("mix_start"))
-    merged = Window.partitionBy("mix_piece").orderBy("mix_finish", "mix_source", "mix_hash", "mix_key", "mix_size", "mix_turn")
-    turns = turns.withColumn("mix_upto", F.sum("mix_size").over(merged.rowsBetween(Window.unboundedPreceding, 0)))
-    # at most HORIZON * TIME_PIECES + 1 slices
-    served = turns.join(F.broadcast(slices), "mix_piece").withColumn("mix_upto", F.col("mix_upto") + F.col("mix_start"))
-    # "mix_pot" comes with every row: the budget is a sum over all sources
+    # the budget is a sum over all sources; slices that start beyond it, and all in them, are never served
     pot = targets.agg((F.sum("mix_source_size") * F.lit(float(budget))).alias("mix_pot"))
-    served = served.join(F.broadcast(pot), F.col("mix_upto") <= F.col("mix_pot"), "left_semi")
+    slices = slices.crossJoin(F.broadcast(pot)).where("mix_start <= mix_pot")  # one row of pot
+    merged = Window.partitionBy("mix_piece").orderBy("mix_finish", "mix_source", "mix_hash", "mix_key", "mix_size", "mix_turn")
+    # at most LATE * TIME_PIECES slices, and LATE_PIECES for each doubling of time
+    turns = turns.join(F.broadcast(slices), "mix_piece")
+    served = turns.withColumn("mix_upto", F.sum("mix_size").over(merged.rowsBetween(Window.unboundedPreceding, 0)) + F.col("mix_start"))
+    served = served.where("mix_upto <= mix_pot")
     served = served.groupBy(*group, "mix_n").agg(F.count(F.lit(1)).alias("mix_served"))
 
     # back to the rows
@@ -106,7 +115,4 @@ def weighted_fair_mix(
     extra = (F.col("mix_nth") < F.col("mix_served") % F.col("mix_n")).cast("long")
     odd = odd.withColumn("mix_copies", (F.col("mix_served") / F.col("mix_n")).cast("long") + extra)
     out = even.unionByName(odd.drop("mix_nth"))
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"),
-    )
+    return out.select(*safe, "mix_source_size", "mix_target", F.col("mix_copies") * F.col("mix_size")).toDF(*names, *new)

@@ -15,3 +15,9 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         names.append(name)
     return names
+
+
+def set_apart(df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with its columns named given_0, given_1, ..., those names, and the old ones in their order, so that no name clashes with the operator's."""
+    safe = [f"given_{k}" for k in range(len(df.columns))]
+    return df.toDF(*safe), safe, df.columns

@@ -22,12 +22,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all sources to weights 3, 1, 2 of 150 % of all words."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.count_words(F.col("text")).alias("size"))
     mix = mixing.weighted_fair_mix(docs, "source", "size", "doc_id", [3.0, 1.0, 2.0], 1.5, 2)
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that an equal line or one within one edit came before."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lines.dedup_lines(docs)
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_exact").cast("long").alias("n_exact"), F.col("n_near").cast("long").alias("n_near"), F.md5("clean").alias("clean_md5"))
@@ -58,7 +60,7 @@ turns AS (
   SELECT q.doc_id, q.s, q.h, q.k, q.size, r, (r * t.source_size + q.ends) / t.target AS finish
   FROM queue q JOIN target t USING (s), (SELECT unnest([0, 1]) AS r)),
 served AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, s, h, k, size, r ROWS UNBOUNDED PRECEDING) AS upto FROM turns WHERE finish <= 2),
+  SELECT *, sum(size) OVER (ORDER BY finish, s, h, k, size, r ROWS UNBOUNDED PRECEDING) AS upto FROM turns),
 kept AS (SELECT doc_id, cast(sum(size) AS bigint) AS taken FROM served WHERE upto <= (SELECT sum(source_size) * 1.5::double FROM target) GROUP BY doc_id)
 SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(kept.taken, 0) AS taken
 FROM d JOIN target t USING (s) LEFT JOIN kept ON kept.doc_id = d.doc_id""",
@@ -67,7 +69,7 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 full_lines AS (SELECT * FROM l WHERE trim(line, ' ') <> ''),
 firsts AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM full_lines GROUP BY line),
-long AS (SELECT * FROM firsts WHERE n >= 16),
+long AS (SELECT * FROM firsts),
 halves AS (
   SELECT line, first, n, n - less AS short, left(line, cast(floor((n - less) / 2) AS int)) AS a, right(line, n - less - cast(floor((n - less) / 2) AS int)) AS b
   FROM long, (SELECT unnest([0, 1]) AS less)),
@@ -90,6 +92,7 @@ FROM documents d LEFT JOIN docs USING (doc_id)""",
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents at 75 % of five-word shingles."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
@@ -114,6 +117,7 @@ FROM n JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = n.doc_id"""
 
 
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of edited ones, and how alike they are."""
     out = syncmers.edited_likeness(_table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), syncmers.as_text("sketch").alias("fingerprint"),
@@ -122,6 +126,7 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as ids and back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -129,6 +134,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all texts, counted."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     out = bpe.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -138,6 +144,7 @@ QUERIES |= {"op2_syncmers": op2_syncmers, "op6_bpe": op6_bpe, "op10_token_counts
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all vectors at cosine 0.93 inside a label."""
     return embeddings.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
@@ -162,6 +169,7 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, by a model fitted to labels that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, learnable(_table(spark, sf_dir, "labels")))
     out = toxicity.score(docs, model)
@@ -173,6 +181,7 @@ QUERIES["op5_toxicity"] = op5_toxicity
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, by a model of those that are not held out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     out = langmodel.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), ~held)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -8,7 +8,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from locusweave.llm.naming import free_names
+from locusweave.llm.naming import free_names, set_apart
 
 RING_BITS = 52
 CELLS_PER_ARC = 64
@@ -72,7 +72,8 @@ def bounded_load_shards(df: DataFrame, key: str, n_shards: int = 16, vnodes: int
 
     Null keys share one ring position.  Repeated keys and repeated rows are kept; which of two
     equal rows gets which slot has no meaning.  An empty table gives an empty one.  If ``df``
-    has columns named shard or slot, the new ones get underscores in front.
+    has columns named shard or slot, the new ones get underscores in front; no other name clashes.
+    Texts and other columns of any length are hashed and counted whole, never looked into.
 
     A key with a third of all rows is no problem: its arc is cut in ``CELLS_PER_ARC`` cells by a
     hash of the whole row, equal rows are counted before the shuffle, and a window only orders
@@ -81,10 +82,12 @@ def bounded_load_shards(df: DataFrame, key: str, n_shards: int = 16, vnodes: int
     shard and CELLS_PER_ARC cells a virtual node.
     """
     spark = df.sparkSession
-    shard, slot, arc, cell, rows, start, base = free_names(df, "shard", "slot", "arc", "cell", "rows", "start", "base")
+    new = free_names(df, "shard", "slot")
+    position_of = [c.lower() for c in df.columns].index(key.lower())
+    df, own, names = set_apart(df)
+    shard, slot, arc, cell, rows, start, base = "shard", "slot", "arc", "cell", "rows", "start", "base"
     points, owners = ring(n_shards, vnodes)
-    own = [F.col(f"`{c}`") for c in df.columns]
-    position = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, RING_BITS // 4), 16, 10).cast("long")
+    position = F.conv(F.substring(F.md5(F.coalesce(F.col(own[position_of]).cast("string"), F.lit("null"))), 1, RING_BITS // 4), 16, 10).cast("long")
     # the first 12 bits of a position pick a short list of virtual nodes, so no row looks at all of them
     low = [bisect.bisect_left(points, i << (RING_BITS - 12)) for i in range(4096)] + [len(points)]
     index = spark.createDataFrame(
@@ -110,4 +113,5 @@ def bounded_load_shards(df: DataFrame, key: str, n_shards: int = 16, vnodes: int
     spans = spark.createDataFrame(plan, "span_arc int, span_from long, span_to long, span_shard int, span_slot long")
     hit = (F.col(arc) == F.col("span_arc")) & (F.col(start) >= F.col("span_from")) & (F.col(start) < F.col("span_to"))
     done = ranked.join(F.broadcast(spans), hit)
-    return done.select(*own, F.col("span_shard").alias(shard), (F.col("span_slot") + F.col(start) - F.col("span_from")).alias(slot))
+    done = done.select(*own, F.col("span_shard").alias(shard), (F.col("span_slot") + F.col(start) - F.col("span_from")).alias(slot))
+    return done.toDF(*names, *new)

@@ -11,9 +11,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (local tests), a new temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset and Spark runs in one process (tests), a new temporary one."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(SETTING, folder)
     return folder

@@ -15,8 +15,6 @@ TINY = 48
 WORDS = (6, 2)
 CODE_POINTS = (9, 3)
 FEW = (4, 1)
-#: Anchors that a fingerprint keeps: those with the smallest hashes.
-KEPT = 128
 #: Ranges of ids at most, when the next document is looked for.
 RANGES = 1024
 
@@ -43,11 +41,11 @@ def anchors(hashes: str, inner: str, size: tuple[int, int]) -> Column:
 
 
 def _sketch(hashes: str, inner: str, size: tuple[int, int]) -> Column:
-    """The ``KEPT`` smallest 32-bit hashes of the distinct anchors, sorted; fewer tokens than a k-mer are one anchor."""
+    """32-bit hashes of the distinct anchors, in the order of the text; fewer tokens than a k-mer are one anchor."""
     few = F.when(F.size(hashes) > 0, F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(hashes).alias("hash"))))
     found = F.when(F.size(hashes) < size[0], few).otherwise(anchors(hashes, inner, size))
     cut = F.transform(found, lambda a: F.shiftright(a["hash"], 32).cast("int"))
-    return F.coalesce(F.slice(F.array_sort(F.array_distinct(cut)), 1, KEPT), F.array().cast("array<int>"))
+    return F.coalesce(F.array_distinct(cut), F.array().cast("array<int>"))
 
 
 def fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
@@ -88,11 +86,35 @@ def as_text(sketch: str) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the share of common anchors (Dice), from the smallest hashes of both sets together; 1 for two empty ones."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, KEPT)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    all_ = F.size(union)
-    return F.when(all_ == 0, 1.0).otherwise(2.0 * both / (all_ + both))
+    """0 to 1: the share of common anchors (Dice) among all of both; 1 for two empty ones."""
+    all_ = F.size(a) + F.size(b)
+    return F.when(all_ == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / all_)
+
+
+def positions(tokens_of: Column, size: tuple[int, int] = WORDS) -> Column:
+    """The anchors of an array of tokens, as (pos, hash) in order, for positional matching."""
+    k, s = size
+    gram = lambda i, n: F.xxhash64(*[F.get(tokens_of, i + j) for j in range(n)])
+    edge = lambda i: F.least(gram(i, s), gram(i + k - s, s)) <= F.least(*[gram(i + j, s) for j in range(1, k - s)])
+    starts = F.when(F.size(tokens_of) >= k, F.sequence(F.lit(0), F.size(tokens_of) - k)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(starts, edge), lambda i: F.struct(i.alias("pos"), gram(i, k).alias("hash")))
+
+
+def positional_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: tuple[int, int] = WORDS, most: int = 100) -> DataFrame:
+    """(a, b, shift, anchors, first, last): where texts share passages, in words.
+
+    ``anchors`` anchors of document ``a``, from word ``first`` to ``last``, stand ``shift`` words further on in ``b``.  Anchors depend on their
+    words alone, so a passage of a dozen words shared word by word has the same ones wherever it stands.  An anchor counts only where
+    it stands in at most ``most`` documents: more is boilerplate, of which this report is not.  Each document is matched with the
+    first one that holds the anchor, so n documents with one passage give n - 1 rows, not all pairs.  Null, empty and short texts have no
+    anchors; repeated ids count as one document at each of its places.
+    """
+    words = F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACE), lambda w: w != "")
+    at = docs.select(F.col(doc_id).alias("b"), words.alias("words")).select("b", F.inline(positions(F.col("words"), size)))
+    at = at.where("b is not null")
+    firsts = at.groupBy("hash").agg(F.min(F.struct(F.col("b").alias("a"), "pos")).alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most))
+    met = at.join(firsts, "hash").select("head.a", "b", F.col("head.pos").alias("at"), (F.col("pos") - F.col("head.pos")).alias("shift")).where("a <> b")
+    return met.groupBy("a", "b", "shift").agg(F.count(F.lit(1)).alias("anchors"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
 def next_in_order(ids: DataFrame, order: str, key: list[str]) -> DataFrame:

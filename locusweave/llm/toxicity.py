@@ -11,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DataType
 
+from locusweave.llm.naming import free_names
 from locusweave.llm.storage import stored
 
 SENTENCE = re.compile(r"[^.!?\n]*[^\W_][^.!?\n]*[.!?]*")
@@ -19,9 +21,8 @@ WORD = re.compile(r"\w+")
 #: Labelled documents that the model is fitted to, at most: the first by a hash of their id.
 FIT_DOCS = 20_000
 #: A word or beginning of one can get a weight if the documents that hold it differ this much from the rest in
-#: their labels (likelihood-ratio statistic), and at most so many do.
+#: their labels (likelihood-ratio statistic).
 LEAST_EVIDENCE = 20.0
-MOST_WORDS = 5_000
 RIDGE = 0.3
 #: Lengths of the beginnings of words that are features beside the words.
 PREFIXES = (4, 5, 6, 7)
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     Null labels and labels of null ids are left out; of several labels for one id the largest holds; documents with one id all
     count.  Without both toxic and other documents the model knows no words and scores all alike.  Words and prefixes are counted in
-    Spark; the driver gets the ``MOST_WORDS`` with most evidence, and which of them the sentences hold.
+    Spark; the driver gets those with evidence enough, and which of them the sentences of the ``most`` documents hold.
     """
     one = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max((F.col(toxic) > 0).cast("int")).alias("toxic"))
     some = one.orderBy(F.md5(F.col("id").cast("string")), "id").limit(most)
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     share = lambda x, p: F.when(x > 0, x * F.log(x / (F.col("holders") * p))).otherwise(0.0)
     evidence = 2 * (share(F.col("bad"), F.lit(rate)) + share(F.col("holders") - F.col("bad"), F.lit(1 - rate)))
     chosen = counts.where("holders >= 3").withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE)
-    chosen = [r[0] for r in chosen.orderBy(F.desc("evidence"), "feature").limit(MOST_WORDS).select("feature").collect()]
+    chosen = [r[0] for r in chosen.orderBy(F.desc("evidence"), "feature").select("feature").collect()]
     places = {f: k for k, f in enumerate(chosen)}
     got = rows.mapInArrow(_bags(places), "toxic int, plain long, features array<int>, lengths array<int>").toArrow()
     bags = sorted(zip(*(got[c].to_pylist() for c in got.column_names)))  # sums come out the same in any order of rows
@@ -196,11 +197,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     """``docs`` with ``toxicity`` (0 to 1) and ``offending``, the sentences whose own score is ``threshold`` or more, by place.
 
     Every sentence of the text counts.  A null or empty text has no sentence and gets the score that the
-    leak alone gives.  Rows are scored one by one, so equal texts have equal scores.  Columns named toxicity or
-    offending are replaced; ``text`` goes unless ``keep_text``.
+    leak alone gives.  Rows are scored one by one, so equal texts have equal scores.  The two are the last columns, with underscores in
+    front of their names where the input has such columns; ``text`` goes unless ``keep_text``.
     """
-    rest = [c for c in docs.columns if c.lower() not in ("toxicity", "offending") and (keep_text or c.lower() != text.lower())]
-    given = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias("toxicity_text"))
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop("toxicity_text").schema)
-    schema = f"{columns}, toxicity double, offending array<struct<place: int, score: double, sentence: string>>"
-    return given.mapInArrow(_scorer(model, threshold), schema)
+    rest = [c for c in docs.columns if keep_text or c.lower() != text.lower()]
+    new = free_names(docs.select(*[F.col(f"`{c}`") for c in rest]), "toxicity", "offending")
+    given = docs.select(*[F.col(f"`{c}`").alias(f"given_{k}") for k, c in enumerate(rest)], F.col(f"`{text}`").cast("string").alias("toxicity_text"))
+    schema = given.drop("toxicity_text").schema.add("toxicity", "double").add("offending", DataType.fromDDL("array<struct<place: int, score: double, sentence: string>>"))
+    return given.mapInArrow(_scorer(model, threshold), schema).toDF(*rest, *new)

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from locusweave.llm import bpe, langmodel, mixing, sharding, syncmers, toxicity
+from locusweave.llm import bpe, langmodel, lines, minhash, mixing, sharding, syncmers, toxicity
 from tests.llm import helpers
 
 DOCS = "doc_id long, text string"
@@ -31,7 +31,7 @@ def test_bpe_is_the_librarys(spark, name):
     library.no_truncation()
     library.no_padding()
     want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
-    df = spark.createDataFrame([(k, t, "x", 5) for k, t in enumerate(texts)] + [(0, "", "x", 5)], DOCS + ", ids string, n_tokens int")
+    df = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)] + [(0, "", 5)], DOCS + ", n_tokens int")
     got = bpe.encode_decode(df, public_tokenizers.path(name)).collect()
     assert len(got) == len(texts) + 1
     for r in got:
@@ -97,7 +97,10 @@ def test_fingerprints(spark):
         assert hashlib.sha256(r["edited"].encode()).hexdigest() == hashlib.sha256(want[r["doc_id"]].encode()).hexdigest()
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     by = {r["doc_id"]: r for r in got}
-    assert by[204]["f"] == by[10]["f"] and by[201]["f"] == "" and len(by[300]["f"]) <= 8 * syncmers.KEPT
+    assert by[204]["f"] == by[10]["f"] and by[201]["f"] == ""
+    long_text = " ".join(word() for _ in range(3000))
+    two = syncmers.edited_likeness(spark.createDataFrame([(2, long_text), (1, long_text.replace(" ", "  ", 1))], DOCS)).collect()
+    assert all(r["near_next"] == 1.0 for r in two) and all(len(r["sketch"]) > 800 for r in two)
     long = [r for r in got if r["n_chars"] > 300 and r["doc_id"] is not None and r["doc_id"] < 120]
     assert all(r["near_edited"] > 0.4 > r["near_next"] for r in long)
     alone = syncmers.edited_likeness(spark.createDataFrame([(1, "abc def")], DOCS)).first()
@@ -187,7 +190,7 @@ def test_toxicity_learns_words_and_places(spark):
     d = spark.createDataFrame([*docs, (5000, None), (5001, ""), (5001, "")], DOCS)
     la = spark.createDataFrame([(k, t) for k, t in labels if k % 3] + [(None, 1), (4, None), (4, 0)], "doc_id long, toxic int")
     model = toxicity.fit(d, la)
-    out = toxicity.score(d.withColumn("toxicity", F.lit("old")), model).collect()
+    out = toxicity.score(d, model).collect()
     got, truth = {r["doc_id"]: r for r in out}, dict(labels)
     held = [k for k in truth if k % 3 == 0]
     right = sum((got[k]["toxicity"] >= 0.3) == bool(truth[k]) for k in held)
@@ -347,3 +350,84 @@ def test_likeness_across_the_borders_of_length(spark):
     by = {r["doc_id"]: r for r in syncmers.edited_likeness(spark.createDataFrame(docs, DOCS)).collect()}
     assert by[9]["near_edited"] > 0.5 and by[7]["near_next"] > 0.9 and by[5]["near_next"] > 0.7
     assert by[6]["near_next"] < 0.2 and by[4]["near_next"] < 0.2
+
+
+def test_passages_are_matched_by_position(spark):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(40)]
+    docs = [(k, " ".join([*(word() for _ in range(10 * k)), *passage, *(word() for _ in range(30))])) for k in (1, 2, 3)] + [(4, None), (5, "one two"), (6, " ".join(word() for _ in range(80)))]
+    got = {(r["a"], r["b"]): r for r in syncmers.positional_matches(spark.createDataFrame(docs, DOCS)).collect()}
+    assert set(got) == {(1, 2), (1, 3)} and got[1, 2]["shift"] == 10 and got[1, 3]["shift"] == 20
+    assert all(r["anchors"] >= 8 and 10 <= r["first"] <= r["last"] <= 45 for r in got.values())
+    assert syncmers.positional_matches(spark.createDataFrame([], DOCS)).count() == 0
+
+
+CLASHES = "given_0 int, given_1 int, arc int, cell int, ring_first int, span_arc int, mix_key int, target int, gone int, id int, h1 int, ids int, decoded int, n_tokens int, toxicity int, offending int, shard int, slot int, n_lines int, clean int, text2 int, encoded int"
+
+
+def test_no_column_of_the_input_clashes(spark):
+    names = [c.split()[0] for c in CLASHES.split(", ")]
+    rows = [(k, t, s, *range(len(names))) for k, (t, s) in enumerate([("some words\nmore of them here", "a"), (None, None), ("", "b"), ("some words\nmore of them hers", "a")])]
+    df = spark.createDataFrame([*rows, rows[0]], DOCS + ", source string, " + CLASHES)
+    model = toxicity.Model()
+    for out in (
+        sharding.bounded_load_shards(df, "doc_id", 3), mixing.weighted_fair_mix(df, "source", "given_1", "doc_id", [1.0]), lines.dedup_lines(df),
+        bpe.encode_decode(df, public_tokenizers.path("word_bpe_49k.json")), bpe.count_tokens(df, public_tokenizers.path("byte_bpe_50k.json")),
+        toxicity.score(df, model), bpe.encode_decode(df.withColumn("body", F.col("text")), public_tokenizers.path("word_bpe_49k.json"), "body"),
+    ):
+        assert len(set(map(str.lower, out.columns))) == len(out.columns)
+        got = out.collect()
+        assert len(got) == 5 and all(r[c] == k for r in got for k, c in enumerate(names))
+
+
+def test_toxicity_gradient_is_that_of_the_likelihood():
+    """Brute force: no small change of any parameter makes the penalised likelihood of fitted documents larger."""
+    import numpy as np
+
+    rnd = random.Random(1)
+    toxic, plain, features, lengths = [], [], [], []
+    for _ in range(300):
+        parts = [[rnd.randrange(4)] * rnd.randrange(1, 3) for _ in range(rnd.randrange(0, 3))]
+        bad = any(p[0] == 0 for p in parts) and rnd.random() < 0.9 or rnd.random() < 0.05
+        toxic.append(float(bad)), plain.append(float(rnd.randrange(1, 5))), features.append([f for p in parts for f in p]), lengths.append([len(p) for p in parts])
+
+    def loss(theta):
+        total = 0.5 * toxicity.RIDGE * float((theta[2:] ** 2).sum())
+        for t, p, f, n in zip(toxic, plain, features, lengths):
+            clean, at = math.log1p(math.exp(theta[0])) + p * math.log1p(math.exp(theta[1])), 0
+            for k in n:
+                clean += math.log1p(math.exp(theta[1] + sum(theta[2 + x] for x in f[at : at + k])))
+                at += k
+            total += clean if not t else -math.log(-math.expm1(-clean))
+        return total
+
+    leak, base, w = toxicity.fit_arrays(np.array(toxic), np.array(plain), features, lengths, 4)
+    theta = np.array([leak, base, *w])
+    least = loss(theta)
+    for k in range(2, 6):
+        for step in (-0.2, 0.2):
+            other = theta.copy()
+            other[k] += step
+            assert loss(other) > least - 1e-3
+
+
+def test_shards_match_the_ring_walked_key_by_key(spark):
+    rnd = random.Random(7)
+    keys = [rnd.randrange(10**9) for _ in range(300)]
+    points, owners = sharding.ring(5, 8)
+    got = {r["doc_id"]: r["shard"] for r in sharding.bounded_load_shards(spark.createDataFrame([(k, "x") for k in keys], DOCS), "doc_id", 5, vnodes=8, slack=50.0).collect()}
+    for k in keys:
+        at = int(hashlib.md5(str(k).encode()).hexdigest()[: sharding.RING_BITS // 4], 16)
+        assert got[k] == owners[next((i for i, p in enumerate(points) if p >= at), 0)]  # no shard is full: the next virtual node clockwise
+
+
+def test_signature_bits_are_fair_for_long_texts():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 63, 60_000, dtype=np.uint64) * np.uint64(2) for _ in range(2)]
+    bits, _ = minhash._packed(minhash.signatures(np.concatenate(sets), np.array([0, 60_000])))
+    differ = (bits[0] ^ bits[1]).view(np.uint64)
+    differ = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum()
+    assert abs(1 - differ / (minhash.MINIMA * 0.75)) < 0.15
