@@ -17,7 +17,7 @@ from locusweave.llm.storage import stored
 #: Contexts of the predictors: three bytes before; the word's beginning with the end of the word before, later on five bytes; the word so far.
 CONTEXTS = ("near", "far", "word")
 #: Bytes of a word that are predicted with the end of the word before, and bytes of that end.
-HEAD, BEFORE = 3, 3
+HEAD, BEFORE = 3, 2
 #: log2 of each table's slots: so much over the bits of the number of distinct training words, between these bounds.  The upper ones
 #: are what a task can hold; README has what they cost.
 MORE_BITS, LEAST_BITS, MOST_BITS = (2, 3, 4), (14, 14, 14), (20, 22, 23)
@@ -35,7 +35,9 @@ SCALES = (0.8, 1.0, 1.25)
 #: Words whose training counts every task knows; the others' are joined.
 COMMON = 1 << 16
 #: Words that a task remembers, to count them, and heads and tails, to score.
-REMEMBERED, KEPT = 300_000, 400_000
+REMEMBERED, KEPT = 200_000, 200_000
+#: Texts that are scored at once.
+ROWS = 1_000
 LEVELS, CONFIDENCES = 8, 4
 GATES = LEVELS * CONFIDENCES * CONFIDENCES
 LOGIT_STEP, LOGIT_LIMIT = 8, 12
@@ -478,43 +480,43 @@ def _scorer(mixer: Mixer, common: dict[int, float]) -> Callable:
         """(.., text) to (.., n_tokens, common_known, common_score, rare, score, stream_bytes): base scores of common words, and hashes and counts of the others."""
         hashes: dict[bytes, int] = {}
         coder = Coder(mixer)
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(batch.num_columns - 1).cast(pa.binary())]
-            tokens, known, base, rare, sizes = [], [], [], [], []
-            for text in texts:
-                words = words_of(text)
-                found = Counter(words)
-                for w in found:
-                    if w not in hashes:
-                        hashes[w] = token_hash(w)
-                rest, n_rest, total = [], 0, 0.0
-                for w, n in found.items():
-                    gain = common.get(h := hashes[w])
-                    if gain is None:
-                        rest.append({"key": h, "n": n})
-                        n_rest += n
-                    else:
-                        total += n * gain
-                tokens.append(len(words) + 1)
-                known.append(len(words) - n_rest)
-                base.append(total)
-                rare.append(rest)
-                sizes.append(sum(map(len, words)) + len(words) + 1)
-            if len(hashes) > REMEMBERED:
-                hashes.clear()
-            scores = [-c for c in coder.costs(map(words_of, texts))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, RARE), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
-                [*batch.schema.names[:-1], "n_tokens", "common_known", "common_score", "rare", "score", "stream_bytes"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                tokens, known, base, sizes, keys, times, ends, texts = [], [], [], [], [], [], [0], []
+                for text in batch.column(batch.num_columns - 1).cast(pa.binary()):
+                    words = words_of(text.as_py())
+                    texts.append(words)
+                    n_known, total = len(words), 0.0
+                    for w, n in Counter(words).items():
+                        h = hashes.get(w)
+                        if h is None:
+                            h = hashes[w] = token_hash(w)
+                        gain = common.get(h)
+                        if gain is None:
+                            keys.append(h)
+                            times.append(n)
+                            n_known -= n
+                        else:
+                            total += n * gain
+                    tokens.append(len(words) + 1)
+                    known.append(n_known)
+                    base.append(total)
+                    ends.append(len(keys))
+                    sizes.append(sum(map(len, words)) + len(words) + 1)
+                if len(hashes) > KEPT:
+                    hashes.clear()
+                scores = [-c for c in coder.costs(texts)]
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.int64())], ["key", "n"]))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-1], pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), rare, pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
+                    [*batch.schema.names[:-1], "n_tokens", "common_known", "common_score", "rare", "score", "stream_bytes"],
+                )
             pa.default_memory_pool().release_unused()  # an executor's tasks share its memory
 
     return score
 
 
-RARE = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
-
-
 def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row for each row of ``docs``.
 
