@@ -77,7 +77,10 @@ pairs AS (
   SELECT x.line, x.first, y.line AS other, y.first AS other_first FROM halves x JOIN halves y ON x.short = y.short AND x.a = y.a AND x.line <> y.line AND abs(x.n - y.n) <= 1
   UNION
   SELECT x.line, x.first, y.line, y.first FROM halves x JOIN halves y ON x.short = y.short AND x.b = y.b AND x.line <> y.line AND abs(x.n - y.n) <= 1),
-near AS (SELECT DISTINCT line FROM pairs WHERE other_first < first AND length(line) > 0 AND levenshtein(line, other) <= 1),
+near AS (SELECT DISTINCT line FROM pairs WHERE other_first < first AND CASE
+    WHEN length(line) = length(other) THEN len(list_filter(range(1, length(line) + 1), lambda i: substring(line, i, 1) <> substring(other, i, 1))) <= 1
+    WHEN length(line) > length(other) THEN len(list_filter(range(0, length(line)), lambda i: left(line, i) || substring(line, i + 2) = other)) > 0
+    ELSE len(list_filter(range(0, length(other)), lambda i: left(other, i) || substring(other, i + 2) = line)) > 0 END),
 marked AS (
   SELECT l.doc_id, l.line, l.pos, trim(l.line, ' ') <> '' AS counts, n.line IS NOT NULL AS near, n.line IS NULL AND (l.doc_id, l.pos) > f.first AS exact
   FROM l LEFT JOIN firsts f ON f.line = l.line LEFT JOIN near n ON n.line = l.line),
