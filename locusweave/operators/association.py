@@ -78,11 +78,21 @@ def twas_replicates(df: DataFrame, gene: str, weights: str, z: str) -> DataFrame
     return both.groupBy(gene).agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "t"))), lambda x: x["t"]).alias("twas_bs"))
 
 
-def expression_correlation(df: DataFrame, gene: str, weight: str, measured: str) -> DataFrame:
-    """Per gene: variants, genetic variance under predicted and measured effects, their covariance and correlation, and the largest |R w|."""
-    both = df.select(gene, F.col(weight).alias("w"), F.col(measured).alias("m"), F.posexplode("std").alias("sample", "g"))
-    scores = both.groupBy(gene, "sample").agg(F.sum(F.col("w") * F.col("g")).alias("s"), F.sum(F.col("m") * F.col("g")).alias("t"))
-    out = scores.groupBy(gene).agg(F.avg(F.col("s") * F.col("s")).alias("var_predicted"), F.avg(F.col("t") * F.col("t")).alias("var_measured"), F.avg(F.col("s") * F.col("t")).alias("covariance"))
-    out = out.withColumn("correlation", F.try_divide(F.col("covariance"), F.sqrt(F.col("var_predicted") * F.col("var_measured"))))
-    n = df.groupBy(gene).agg(F.count(F.lit(1)).alias("n_variants"), F.max(F.abs(weight)).alias("max_effect"))
-    return n.join(out, gene)
+def expression_correlation(df: DataFrame, gene: str, weight: str, beta: str, z: str | None = None, p: str | None = None) -> DataFrame:
+    """Per gene, how predicted effects w of its variants agree with measured marginal effects b, R being the variants' correlation.
+
+    ``df`` has a row per variant: gene, w, b, standardised genotype ``std`` and, where given, the z-score and the predictions' p-value.
+    Returns n_variants, signal_variance (w'Rw), expression_correlation (w'b / root of w'Rw), max_abs_effect, max_abs_beta, max_abs_z,
+    min_p, best_marginal (b of the variant with the smallest p, signed as w), and sign_agreement (share of variants where w and b have one sign).
+    w'Rw is the mean square of per-sample scores, so R is never made.
+    """
+    w, b = F.col(weight), F.col(beta)
+    var = gene_scores(df, [gene], weight).groupBy(gene).agg(F.avg(F.col("score") * F.col("score")).alias("signal_variance"))
+    none = F.lit(None).cast("double")
+    top = df.groupBy(gene).agg(
+        F.count(F.lit(1)).alias("n_variants"), F.sum(w * b).alias("wb"), F.max(F.abs(w)).alias("max_abs_effect"), F.max(F.abs(b)).alias("max_abs_beta"),
+        (F.max(F.abs(F.col(z))) if z else none).alias("max_abs_z"), (F.min(F.col(p)) if p else none).alias("min_p"),
+        (F.min_by(b * F.signum(w), F.struct(F.col(p), -F.abs(w), -F.abs(b), b)) if p else none).alias("best_marginal"),
+        F.avg((F.signum(w) == F.signum(b)).cast("double")).alias("sign_agreement"),
+    )
+    return top.join(var, gene).withColumn("expression_correlation", F.try_divide(F.col("wb"), F.sqrt("signal_variance"))).drop("wb")

@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def sed_stats(df: DataFrame, by: list[str], ref: str, alt: str, pseudo: float | None = None) -> DataFrame:
+def sed_stats(df: DataFrame, by: list[str], ref: str, alt: str, pseudo: Column | float | None = None) -> DataFrame:
     """Per variant, gene and target (``by``) over its bins: sums, differences and distances of the two tracks.
 
-    ``pseudo`` is added before logarithms; without one it is the 25th percentile of the group's reference bins.
-    sym_kl is half the symmetric divergence of the tracks scaled to sum 1.
+    Logarithms are log2(x + 1), of bins and of sums.  Normalised tracks are (x + c) / sum(x + c): nD2 and nDi are the root of the summed
+    squares and the largest of their differences, JS half the sum of the relative entropies both ways.  ``pseudo`` gives c, a number or a
+    column that is constant in each group, such as the 25th percentile of the whole predicted window; without it c is that of the
+    group's own reference bins.
     """
     r, a = F.col(ref), F.col(alt)
-    base = df.groupBy(*by).agg(F.sum(r).alias("sum_ref"), F.sum(a).alias("sum_alt"), *([] if pseudo is not None else [F.percentile(r, 0.25).alias("pseudo")]))
-    base = base.withColumn("pseudo", F.lit(pseudo)) if pseudo is not None else base
+    c = F.percentile(r, 0.25) if pseudo is None else F.first(pseudo) if isinstance(pseudo, Column) else F.lit(float(pseudo))
+    base = df.groupBy(*by).agg(F.sum(r).alias("sum_ref"), F.sum(a).alias("sum_alt"), c.alias("pseudo"), F.count(F.lit(1)).alias("bins"))
     rows = df.join(base, by)
-    lr, la = F.log2(r + F.col("pseudo")), F.log2(a + F.col("pseudo"))
-    pr, pa = (r + F.col("pseudo")) / F.col("sum_ref"), (a + F.col("pseudo")) / F.col("sum_alt")
+    lr, la = F.log2(r + 1), F.log2(a + 1)
+    pr = (r + F.col("pseudo")) / (F.col("sum_ref") + F.col("bins") * F.col("pseudo"))
+    pa = (a + F.col("pseudo")) / (F.col("sum_alt") + F.col("bins") * F.col("pseudo"))
+    entropy = lambda x, y: F.when(x == 0, 0.0).when(y == 0, float("inf")).otherwise(x * F.log(x / y))
     out = rows.groupBy(*by, "sum_ref", "sum_alt", "pseudo").agg(
         F.sum(F.abs(a - r)).alias("D1"), F.sqrt(F.sum(F.pow(a - r, 2))).alias("D2"), F.max(F.abs(a - r)).alias("Di"),
         F.sum(F.abs(la - lr)).alias("logD1"), F.sqrt(F.sum(F.pow(la - lr, 2))).alias("logD2"),
-        (0.5 * F.sum((pr - pa) * (F.log(pr) - F.log(pa)))).alias("sym_kl"),
-        F.sqrt(F.sum(F.pow(a / F.col("sum_alt") - r / F.col("sum_ref"), 2))).alias("nD2"), F.max(F.abs(a / F.col("sum_alt") - r / F.col("sum_ref"))).alias("nDi"),
+        ((F.sum(entropy(pr, pa)) + F.sum(entropy(pa, pr))) / 2).alias("JS"),
+        F.sqrt(F.sum(F.pow(pa - pr, 2))).alias("nD2"), F.max(F.abs(pa - pr)).alias("nDi"),
     )
-    log = lambda x: F.log2(F.col(x) + F.col("pseudo"))
+    log = lambda x: F.log2(F.col(x) + 1)
     return out.withColumns({"SED": F.col("sum_alt") - F.col("sum_ref"), "refLog": log("sum_ref"), "altLog": log("sum_alt"), "logSED": log("sum_alt") - log("sum_ref")})
 
 

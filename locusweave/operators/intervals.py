@@ -16,23 +16,31 @@ def merge_intervals(df: DataFrame, by: list[str], start: str = "start", end: str
     return named.groupBy(*by, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
 
 
-def squash(x: Column, power: float, clip: float | None) -> Column:
-    """(x + 1)^power - 1, above ``clip`` growing like a square root only."""
-    y = F.pow(x + 1, power) - 1
-    return F.when(y > clip, clip - 1 + F.sqrt(y - clip + 1)).otherwise(y) if clip is not None else y
+def squash(x: Column, soft: float | None = None, old: bool = False) -> Column:
+    """sqrt(1 + x) - 1, above ``soft`` growing like a square root of that; ``old``: x^0.75 with its own soft clip."""
+    if old:
+        y = F.pow(x, 0.75)
+        return y if soft is None else F.when(y > soft, soft + F.sqrt(y - soft)).otherwise(y)
+    y = F.sqrt(1 + x) - 1
+    return y if soft is None else F.when(y > soft, soft - 1 + F.sqrt(y - soft + 1)).otherwise(y)
 
 
-def pool_coverage(coverage: DataFrame, width: int, blacklist: DataFrame | None = None, scale: float = 1.0, power: float = 0.75, clip: float | None = None, bin_block: int = 1 << 16) -> DataFrame:
-    """Coverage (track, chrom, pos, cov) summed in bins of ``width``; blacklisted positions count at most the track's median.
+def pool_coverage(coverage: DataFrame, width: int, blacklist: DataFrame | None = None, scale: float = 1.0, soft: float | None = None, clip: float | None = None, old: bool = False, bin_block: int = 1 << 16) -> DataFrame:
+    """Coverage (track, chrom, pos, cov) summed in bins of ``width`` and squashed; blacklisted positions stay within plus and minus the track's median.
 
-    Then scaled and squashed.  The blacklist (chrom, r_start, r_end) is met by an interval join in blocks.
+    Scaled before sums and roots, or with ``old`` after all; ``clip`` bounds the squashed value both ways.  Unknown (NaN) coverage counts
+    as the median if there is a blacklist, else as 0.  The blacklist (chrom, r_start, r_end) is met by an interval join in blocks.
     """
     rows = coverage
     if blacklist is not None:
-        base = coverage.groupBy("track").agg(F.percentile("cov", 0.5).alias("base"))
+        base = coverage.groupBy("track").agg(F.percentile(F.when(~F.isnan("cov"), F.col("cov")), 0.5).alias("base"))
         spots = coverage.select("track", "chrom", "pos", "cov", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
         hit = overlap_join(spots, blacklist, bin_block).select("track", "chrom", "pos").distinct().withColumn("black", F.lit(True))
         rows = coverage.join(hit, ["track", "chrom", "pos"], "left").join(base, "track")
-        rows = rows.withColumn("cov", F.when(F.col("black"), F.least("cov", "base")).otherwise(F.col("cov")))
-    pooled = rows.groupBy("track", "chrom", F.floor(F.col("pos") / width).alias("bin")).agg(F.sum("cov").alias("cov"))
-    return pooled.withColumn("cov", squash(F.col("cov") * scale, power, clip))
+        known = F.when(F.isnan("cov"), F.col("base")).otherwise(F.col("cov"))
+        rows = rows.withColumn("cov", F.when(F.col("black"), F.greatest(F.least(known, "base"), -F.col("base"))).otherwise(known))
+    each = F.nanvl(F.col("cov").cast("double"), F.lit(0.0)) * (1.0 if old else scale)
+    pooled = rows.groupBy("track", "chrom", F.floor(F.col("pos") / width).alias("bin")).agg(F.sum(each).alias("cov"))
+    value = squash(F.col("cov"), soft, old)
+    value = value if clip is None else F.greatest(F.least(value, F.lit(float(clip))), F.lit(-float(clip)))
+    return pooled.withColumn("cov", value * scale if old else value)

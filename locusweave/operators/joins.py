@@ -40,10 +40,12 @@ def require_all(left: DataFrame, dim: DataFrame, key: str, value: str) -> DataFr
 
 
 def first_orientation(left: DataFrame, panel: DataFrame, annotations: DataFrame, outer: bool = False) -> DataFrame:
-    """Variants to the panel's rsid (either orientation), then to its annotations; ``outer`` keeps every SNP of the panel."""
-    if outer:
-        return join_variants(panel, left, "left").join(annotations, "rsid", "left")
-    return join_variants(left, panel).join(annotations, "rsid")
+    """Variants to the panel's rsid, in the panel's orientation where it has that, else in the other, then to its annotations; ``outer`` keeps every SNP of the panel."""
+    both = join_variants(panel, left, "left") if outer else join_variants(left, panel)
+    key = [c for c in both.columns if c != "flipped"] if outer else left.columns
+    kept = [c for c in both.columns if c not in key]
+    first = F.min_by(F.struct(*kept), F.struct("flipped", *(["rsid"] if "rsid" in kept else []))).alias("first")
+    return both.groupBy(*key).agg(first).select(*key, "first.*").join(annotations, "rsid", "left" if outer else "inner")
 
 
 def triple_lookup(left: DataFrame, right: DataFrame, keys: list[str], on_duplicate: str = "error", order: str | None = None) -> DataFrame:

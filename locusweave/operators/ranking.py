@@ -10,8 +10,8 @@ def global_rank(df: DataFrame, value: str, tie: list[str], descending: bool = Fa
 
     Rows are cut in pieces at quantiles of the value and ranked inside each; the counts of the pieces before
     are added.  The pieces are as many as there are shuffle partitions, so the table of counts that is broadcast is small.
-    Many equal values share a piece, so ``tie`` also cuts it by a hash when a value is heavier than a piece: equal values may then
-    be in an order by hash, not by ``tie``.
+    A value heavier than a piece, and null, is cut once more, at some values of the first ``tie`` column.  Where cuts lie
+    decides how even the pieces are, not the ranks.
     """
     n = pieces or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [k / n for k in range(1, n)], 10 * n)).first()[0] or []
@@ -22,7 +22,9 @@ def global_rank(df: DataFrame, value: str, tie: list[str], descending: bool = Fa
     piece = F.when(x.isNull(), 2 * len(set(cuts)) + 3).otherwise(2 * below + alone.cast("int"))
     # values up to a cut and the cut itself share a count of smaller cuts: a heavy cut's own piece comes after them
     piece = F.when(x.isNull(), piece).otherwise(-piece if descending else piece)
-    part = F.when(alone | x.isNull(), F.pmod(F.xxhash64(*tie), F.lit(64))).otherwise(0) if n > 8 else F.lit(0)
+    some = df.where(alone | x.isNull()).select(tie[0]).where(F.col(tie[0]).isNotNull()).orderBy(F.xxhash64(tie[0])).limit(64).collect()
+    bounds = sorted({r[0] for r in some})
+    part = F.when(alone | x.isNull(), F.size(F.filter(F.array(*map(F.lit, bounds)), lambda c: c < F.col(tie[0])))).otherwise(0) if bounds else F.lit(0)
     cut = df.withColumns({"rank_piece": piece, "rank_part": part.cast("int")})
     counts = cut.groupBy("rank_piece", "rank_part").agg(F.count(F.lit(1)).alias("rank_n"))
     order = Window.orderBy("rank_piece", "rank_part")

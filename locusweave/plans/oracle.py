@@ -76,7 +76,7 @@ FROM v LEFT JOIN (SELECT * FROM vs WHERE p_size > 25) vs ON v.chrom = vs.chrom A
 SELECT tissue, count(*) AS n, round(sum(mean), 6) AS total FROM s JOIN m USING (key, gene, tissue) WHERE l_quantity > 45 GROUP BY tissue""",
     "d_required_lookup": "SELECT n_name AS tissue, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
     "d_window_join": """WITH o AS (SELECT o_custkey AS c, date_diff('day', DATE '1970-01-01', o_orderdate::date) AS pos, o_orderkey FROM orders)
-SELECT g.o_orderkey AS gene, count(*) AS n, cast(sum(abs(o.pos - g.pos)) AS bigint) AS total FROM o JOIN o g ON o.c = g.c AND abs(o.pos - g.pos) <= 30 WHERE g.o_orderkey % 3 = 0 GROUP BY 1""",
+SELECT g.o_orderkey AS gene, count(*) AS n, cast(sum(abs(o.pos - g.pos)) AS bigint) AS total FROM o JOIN o g ON o.c = g.c AND abs(o.pos - g.pos) <= 30 GROUP BY 1""",
     "d_overlap_join": """WITH o AS (SELECT o_custkey AS c, date_diff('day', DATE '1970-01-01', o_orderdate::date) AS s, o_orderkey AS k FROM orders),
 p AS (SELECT a.k, b.k AS rk, greatest(0, floor((b.s - a.s) / 8.0)) AS lo, least(4, ceil((b.s + 15 - a.s) / 8.0)) AS hi FROM o a JOIN o b ON a.c = b.c AND a.k <> b.k AND a.s < b.s + 15 AND b.s < a.s + 20 + a.k % 7)
 SELECT k AS o_orderkey, cast(sum(hi - lo) AS bigint) AS n_bins, count(DISTINCT rk) AS n_windows FROM p WHERE hi > lo GROUP BY k""",
@@ -131,13 +131,25 @@ w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY gene)) AS w FROM a), p AS (SEL
 o AS (SELECT *, coalesce(sum(pip) OVER (PARTITION BY gene ORDER BY pip DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY gene ORDER BY pip DESC, key) AS rk FROM p)
 SELECT gene, max(key) FILTER (rk = 1) AS best, round(max(pip), 6) AS pip, count(*) FILTER (before < 0.95) AS credible FROM o GROUP BY gene""",
     "e_extremes": f"WITH {EFFECTS} SELECT gene, round(max(abs(beta / se)), 6) AS max_z, round(max(abs(beta)), 6) AS max_effect, round(min(se), 6) AS min_p FROM e GROUP BY gene",
-    "e_ld_pairs": f"WITH {GENO} SELECT a.gene, a.key AS v1, b.key AS v2, round(list_inner_product(a.z, b.z) / 64, 6) + 0.0 AS r FROM std a JOIN std b ON a.gene = b.gene AND a.key < b.key WHERE a.key < 160 AND b.key < 160",
+    "e_ld_pairs": f"WITH {GENO} SELECT a.gene, a.key AS v1, b.key AS v2, round(list_inner_product(a.z, b.z) / 64, 6) + 0.0 AS r FROM std a JOIN std b ON a.gene = b.gene AND a.key < b.key",
     "e_twas": f"""WITH {GENO}, l AS (SELECT gene, w, unnest(z) AS g, generate_subscripts(z, 1) AS i FROM std), s AS (SELECT gene, i, sum(w * g) AS s FROM l GROUP BY ALL), v AS (SELECT gene, avg(s * s) AS wrw FROM s GROUP BY 1),
 t AS (SELECT gene, count(*) AS n, sum(w * zz) AS wz FROM std GROUP BY 1 HAVING count(*) >= 5)
 SELECT gene, n AS n_variants, round(wz / sqrt(wrw), 6) AS twas_z, round(wrw, 6) AS wrw FROM t JOIN v USING (gene)""",
-    "e_expression_correlation": f"""WITH {GENO}, l AS (SELECT gene, w, zz / 10 AS m, unnest(z) AS g, generate_subscripts(z, 1) AS i FROM std), s AS (SELECT gene, i, sum(w * g) AS s, sum(m * g) AS t FROM l GROUP BY ALL),
-v AS (SELECT gene, avg(s * s) AS var_predicted, avg(t * t) AS var_measured, avg(s * t) AS covariance FROM s GROUP BY 1), t AS (SELECT gene, count(*) AS n, max(abs(w)) AS max_effect FROM std GROUP BY 1)
-SELECT gene, n AS n_variants, {rounded("max_effect", "var_predicted", "var_measured", "covariance")}, round(covariance / sqrt(var_predicted * var_measured), 6) AS correlation FROM t JOIN v USING (gene)""",
+    "e_expression_correlation": f"""WITH {GENO}, l AS (SELECT gene, w, unnest(z) AS g, generate_subscripts(z, 1) AS i FROM std), s AS (SELECT gene, i, sum(w * g) AS s FROM l GROUP BY ALL), v AS (SELECT gene, avg(s * s) AS signal_variance FROM s GROUP BY 1),
+t AS (SELECT gene, count(*) AS n_variants, sum(w * zz / 10) AS wb, max(abs(w)) AS max_abs_effect, max(abs(zz / 10)) AS max_abs_beta, max(abs(zz)) AS max_abs_z, min((key % 97 + 1) / 98.0::double) AS min_p, avg(cast(sign(w) = sign(zz) AS double)) AS sign_agreement FROM std GROUP BY 1)
+SELECT gene, n_variants, {rounded("signal_variance", "max_abs_effect", "max_abs_beta", "max_abs_z", "min_p", "sign_agreement")}, round(wb / sqrt(signal_variance), 6) AS expression_correlation FROM t JOIN v USING (gene)""",
+    "e_sed_stats": """WITH p AS (SELECT l_partkey AS variant, l_returnflag AS target, l_extendedprice::double AS r, (l_extendedprice * (1 - l_discount))::double AS a FROM lineitem),
+b AS (SELECT variant, target, sum(r) AS sr, sum(a) AS sa, quantile_cont(r, 0.25) AS c, count(*) AS n FROM p GROUP BY ALL),
+x AS (SELECT p.*, sr, sa, (r + c) / (sr + n * c) AS pr, (a + c) / (sa + n * c) AS pa FROM p JOIN b USING (variant, target))
+SELECT variant, target, round(any_value(sr), 4) AS sum_ref_stat, round(any_value(sa), 4) AS sum_alt_stat, round(any_value(sa - sr), 4) AS sed_stat, round(any_value(log2(sa + 1) - log2(sr + 1)), 4) AS logsed_stat,
+       round(sum(abs(a - r)), 4) AS d1_stat, round(sqrt(sum((a - r) ** 2)), 4) AS d2_stat, round(max(abs(a - r)), 4) AS di_stat, round(sum(abs(log2(a + 1) - log2(r + 1))), 4) AS logd1_stat, round(sqrt(sum((log2(a + 1) - log2(r + 1)) ** 2)), 4) AS logd2_stat,
+       round((sum(pr * ln(pr / pa)) + sum(pa * ln(pa / pr))) / 2, 4) + 0.0 AS js_stat, round(sqrt(sum((pa - pr) ** 2)), 4) AS nd2_stat, round(max(abs(pa - pr)), 4) AS ndi_stat
+FROM x GROUP BY variant, target""",
+    "e_coverage": """WITH o AS (SELECT o_orderpriority AS track, cast(date_diff('day', DATE '1970-01-01', cast(o_orderdate AS date)) AS bigint) AS pos, sum(o_totalprice)::double AS cov FROM orders GROUP BY ALL),
+m AS (SELECT track, quantile_cont(cov, 0.5) AS base FROM o GROUP BY 1), b AS (SELECT DISTINCT pos // 90 * 90 AS lo FROM o),
+k AS (SELECT o.track, pos // 7 AS bin, CASE WHEN pos - pos // 90 * 90 < 14 THEN greatest(least(cov, base), -base) ELSE cov END AS cov FROM o JOIN m USING (track)),
+y AS (SELECT track, bin, sqrt(1 + sum(cov * 0.001)) - 1 AS y FROM k GROUP BY ALL)
+SELECT track, bin, round(least(CASE WHEN y > 20 THEN 19 + sqrt(y - 19) ELSE y END, 100), 4) AS cov FROM y""",
     "e_allele_frequency": f"WITH {GENO} SELECT key, round(list_sum(d) / 128, 6) AS af FROM g",
     "e_percentiles": """WITH p AS (SELECT l_returnflag AS target, quantile_cont(l_extendedprice, [0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0]) AS q FROM lineitem GROUP BY 1)
 SELECT target, cast(generate_subscripts(q, 1) - 1 AS int) AS at, round(unnest(q), 6) AS value FROM p""",

@@ -188,9 +188,9 @@ def d_required_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def d_window_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders within 3 days of a customer's shipped lines; counts by nation-like bucket."""
+    """Orders within 30 days of each order of the same customer: how many, and the days between."""
     o = P.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("chrom"), P.days(F.col("o_orderdate")).alias("pos"), "o_orderkey")
-    g = P.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("chrom"), P.days(F.col("o_orderdate")).alias("tss"), F.col("o_orderkey").alias("gene"))
+    g = P.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("chrom"), P.days(F.col("o_orderdate")).alias("tss"), F.col("o_orderkey").alias("gene"))
     out = joins.window_join(o, g, 30)
     return out.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("pos") - F.col("tss"))).alias("total"))
 
@@ -397,9 +397,8 @@ def _standardized(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def e_ld_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Correlations of the first sixteen variants of each gene."""
-    near = P.genotypes(spark, sf).where("key < 160")
-    return association.ld_pairs(association.standardize(near, "dosages"), "gene", "key", 1000).select("gene", "v1", "v2", (r6("r") + 0.0).alias("r"))
+    """Correlations of all pairs of variants of each gene."""
+    return association.ld_pairs(association.standardize(P.genotypes(spark, sf), "dosages"), "gene", "key", 1000).select("gene", "v1", "v2", (r6("r") + 0.0).alias("r"))
 
 
 @query
@@ -418,8 +417,9 @@ def e_twas_replicates(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def e_expression_correlation(spark: SparkSession, sf: str) -> DataFrame:
     d = _standardized(spark, sf).withColumn("measured", F.col("z") / 10)
-    out = association.expression_correlation(d, "gene", "w", "measured")
-    return out.select("gene", "n_variants", *[r6(c).alias(c) for c in ("max_effect", "var_predicted", "var_measured", "covariance", "correlation")])
+    d = d.withColumn("p", (F.col("key") % 97 + 1) / 98.0)
+    out = association.expression_correlation(d, "gene", "w", "measured", "z", "p")
+    return out.select("gene", "n_variants", *[r6(c).alias(c) for c in ("signal_variance", "expression_correlation", "max_abs_effect", "max_abs_beta", "max_abs_z", "min_p", "sign_agreement")])
 
 
 @query
@@ -431,7 +431,7 @@ def e_allele_frequency(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def e_sed_stats(spark: SparkSession, sf: str) -> DataFrame:
     out = effects.sed_stats(P.predictions(spark, sf), ["variant", "target"], "ref", "alt")
-    return out.select("variant", "target", *[F.round(c, 4).alias(c.lower() + "_stat") for c in ("sum_ref", "sum_alt", "SED", "logSED", "D1", "D2", "Di", "logD1", "logD2", "sym_kl", "nD2", "nDi")])
+    return out.select("variant", "target", *[F.round(c, 4).alias(c.lower() + "_stat") for c in ("sum_ref", "sum_alt", "SED", "logSED", "D1", "D2", "Di", "logD1", "logD2", "JS", "nD2", "nDi")])
 
 
 @query
@@ -446,7 +446,7 @@ def e_coverage(spark: SparkSession, sf: str) -> DataFrame:
     o = P.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("track"), P.days(F.col("o_orderdate")).alias("pos")).agg(F.sum("o_totalprice").alias("cov"))
     o = o.withColumn("chrom", F.lit("chr1"))
     black = o.select("chrom", (F.floor(F.col("pos") / 90) * 90).alias("r_start")).distinct().withColumn("r_end", F.col("r_start") + 14)
-    return intervals.pool_coverage(o, 7, black, 0.001, 0.75, 100.0, 1024).select("track", "bin", F.round("cov", 4).alias("cov"))
+    return intervals.pool_coverage(o, 7, black, 0.001, 20.0, 100.0, bin_block=1024).select("track", "bin", F.round("cov", 4).alias("cov"))
 
 
 @query

@@ -48,9 +48,9 @@ def read_frq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gene_bed(spark: SparkSession, path: str) -> DataFrame:
-    """Gene starts: chrom, tss, gene, strand; rows with another id than an Ensembl gene or another strand than + or - are left out."""
+    """Gene starts: chrom, tss, gene (without its version), strand; rows with another id than an Ensembl gene or another strand than + or - are left out."""
     raw = spark.read.csv(path, sep="\t", schema="chrom string, tss bigint, tss_end bigint, gene string, score string, strand string")
-    return raw.where(F.col("gene").startswith("ENSG") & F.col("strand").isin("+", "-")).select("chrom", "tss", "gene", "strand")
+    return raw.where(F.col("gene").startswith("ENSG") & F.col("strand").isin("+", "-")).select("chrom", "tss", F.regexp_replace("gene", r"\.\d+$", "").alias("gene"), "strand")
 
 
 def read_gtf_intervals(spark: SparkSession, path: str, feature: str = "exon") -> DataFrame:

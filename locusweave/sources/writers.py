@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def write_variants(variants: DataFrame, path: str, distinct: bool = True) -> DataFrame:
-    """Five columns (chrom, pos, variant, ref, alt) as tab-separated text without header, one row a variant; returns what is written."""
-    out = variants.select("chrom", "pos", "variant", "ref", "alt")
-    out = out.dropDuplicates(["variant"]) if distinct else out
+def write_variants(variants: DataFrame, path: str, distinct: bool = True, order: list[str] | None = None) -> DataFrame:
+    """Five columns (chrom, pos, variant, ref, alt) as tab-separated text without header, one row a variant, the first by ``order`` (without it by the columns); returns what is written."""
+    row = ["chrom", "pos", "variant", "ref", "alt"]
+    out = variants.select(*row) if not distinct else variants.groupBy("variant").agg(F.min_by(F.struct(*row), F.struct(*(order or []), *row)).alias("row")).select("row.*")
     out.write.csv(path, sep="\t", mode="overwrite")
     return out
 

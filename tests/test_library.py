@@ -206,3 +206,51 @@ def test_twas_replicates_takes_all_replicates(spark):
 
     ps = [r["p"] * 65 / 2 for r in queries.QUERIES["e_twas_replicates"](spark, "/root/testdata/sf0.001").collect()]
     assert ps and all(abs(p - round(p)) < 1e-3 for p in ps)
+
+
+def test_global_rank_does_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(k, 7.0 if k % 11 else float(k), f"t{k * 7919 % 1100:04d}") for k in range(1100)] + [(2000 + k, None, f"n{k}") for k in range(40)], "k int, v double, t string")
+    order = [r["k"] for r in sorted(df.collect(), key=lambda r: (r["v"] is None, r["v"] or 0.0, r["t"]))]
+    for pieces in (4, 16, 211):
+        got = {r["k"]: r["rank"] for r in ranking.global_rank(df, "v", ["t"], pieces=pieces).collect()}
+        assert got == {k: i + 1 for i, k in enumerate(order)}
+
+
+def test_track_statistics_by_hand(spark):
+    from locusweave.operators import effects
+
+    df = spark.createDataFrame([("v", 1.0, 3.0), ("v", 3.0, 1.0)], "v string, r double, a double")
+    got = effects.sed_stats(df, ["v"], "r", "a", 1.0).first()
+    # logs of bins are 1 and 2; normalised tracks with 1 added are (1/3, 2/3) and (2/3, 1/3)
+    assert (got["SED"], got["D1"], got["Di"], got["logD1"], got["refLog"]) == (0.0, 4.0, 2.0, 2.0, pytest.approx(math.log2(5)))
+    assert got["nDi"] == pytest.approx(1 / 3) and got["nD2"] == pytest.approx(math.sqrt(2) / 3) and got["JS"] == pytest.approx(math.log(2) / 3) and got["logD2"] == pytest.approx(math.sqrt(2))
+    own = effects.sed_stats(df, ["v"], "r", "a").first()
+    assert own["pseudo"] == 1.5
+
+
+def test_expression_correlation_by_hand(spark):
+    genotype = [[-1.0, 1.0, -1.0, 1.0], [-1.0, -1.0, 1.0, 1.0]]
+    df = spark.createDataFrame([("g", 1.0, 0.5, 2.0, 0.1, genotype[0]), ("g", -2.0, 0.25, -3.0, 0.01, genotype[1])], "gene string, w double, b double, z double, p double, std array<double>")
+    got = association.expression_correlation(df, "gene", "w", "b", "z", "p").first()
+    assert got["signal_variance"] == pytest.approx(5.0) and got["expression_correlation"] == pytest.approx((0.5 - 0.5) / math.sqrt(5))
+    assert (got["max_abs_effect"], got["max_abs_z"], got["min_p"], got["best_marginal"], got["sign_agreement"]) == (2.0, 3.0, 0.01, -0.25, 0.5)
+
+
+def test_coverage_in_both_forms(spark):
+    cov = spark.createDataFrame([("t", "c", k, float(v)) for k, v in enumerate([3, 5, 7, 100])], "track string, chrom string, pos long, cov double")
+    black = spark.createDataFrame([("c", 3, 4)], "chrom string, r_start long, r_end long")
+    new = {r["bin"]: r["cov"] for r in intervals.pool_coverage(cov, 2, black, 3.0, 4.0).collect()}
+    assert new[0] == pytest.approx(4.0) and new[1] == pytest.approx(4.0 - 1 + math.sqrt(math.sqrt(1 + 3 * 13) - 1 - 4 + 1))
+    old = {r["bin"]: r["cov"] for r in intervals.pool_coverage(cov, 2, None, 2.0, 10.0, old=True).collect()}
+    assert old[0] == pytest.approx(2 * 8**0.75) and old[1] == pytest.approx(2 * (10 + math.sqrt(107**0.75 - 10)))
+
+
+def test_panel_with_both_spellings_gives_one_row(spark):
+    from locusweave.operators import joins
+
+    left = spark.createDataFrame([("c", 5, "A", "G")], "chrom string, pos long, a1 string, a2 string")
+    panel = spark.createDataFrame([("c", 5, "G", "A", "rs2"), ("c", 5, "A", "G", "rs1")], "chrom string, pos long, a1 string, a2 string, rsid string")
+    notes = spark.createDataFrame([("rs1", 1), ("rs2", 2)], "rsid string, note int")
+    got = joins.first_orientation(left, panel, notes).collect()
+    assert [(r["rsid"], r["note"], r["flipped"]) for r in got] == [("rs1", 1, False)]
+    assert joins.first_orientation(left, panel, notes, outer=True).count() == 2
