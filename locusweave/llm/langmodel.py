@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,8 @@ from locusweave.llm.storage import stored
 CONTEXTS = ("near", "far", "word")
 #: Bytes of a word that are predicted with the end of the word before, and bytes of that end.
 HEAD, BEFORE = 3, 2
+#: What stands after a text's last word, and the base in which bytes of heads are digits.
+END, DIGIT = b"\t", 512
 #: log2 of each table's slots: so much over the bits of the number of distinct training words, between these bounds.  The upper ones
 #: are what a task can hold; README has what they cost.
 MORE_BITS, LEAST_BITS, MOST_BITS = (2, 3, 4), (14, 14, 14), (20, 22, 23)
@@ -58,15 +59,48 @@ def coded_words(words: list[bytes]) -> list[bytes]:
     return [w[k : k + LONGEST] + b"\t" * (k + LONGEST < len(w)) for w in words for k in range(0, len(w), LONGEST)]
 
 
-def heads_of(words: list[bytes], before: bytes = b"", end: bytes = b"\t") -> Iterator[bytes]:
-    """For each word, and for the text's end, the end of the word before, a line end, and the first bytes of its own."""
-    return map(b"\n".join, zip([before, *[w[-BEFORE:] for w in words]], [*[w[:HEAD] for w in words], end]))
+def _packed(some: bytes) -> int:
+    """Bytes as digits of a number, each one more than it is, so that none is a zero."""
+    out = 0
+    for byte in some:
+        out = out * DIGIT + byte + 1
+    return out
 
 
-def head_string(head: bytes) -> bytes:
-    """BEFORE bytes and a space that are known, then the bytes to code: the first of a word, with the space after a shorter one, or a line end for the end."""
-    before, first = head.split(b"\n")
-    return (b"\n" * BEFORE + before)[-BEFORE:] + b" " + (b"\n" if first == b"\t" else first if len(first) == HEAD else first + b" ")
+def head_keys(words: list[bytes], before: bytes = b"") -> np.ndarray:
+    """For each word a number for its head: the last bytes of the word before, and its own first bytes.
+
+    Texts follow each other in ``words``, each with END after its last word; a text's first word has none before it, but for
+    ``before``, which is what came before ``words`` in the same text.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    lasts, own, last = starts + sizes - 1, np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    for k in range(HEAD):
+        own = own * DIGIT + np.where(sizes > k, flat.take(starts + k, mode="clip").astype(np.int64) + 1, 0)
+    for k in reversed(range(BEFORE)):
+        last = last * DIGIT + np.where(sizes > k, flat.take(lasts - k, mode="clip").astype(np.int64) + 1, 0)
+    last[(sizes == 1) & (flat.take(starts) == END[0])] = 0
+    return np.concatenate([[_packed(before[-BEFORE:])], last[:-1]]) * DIGIT**HEAD + own
+
+
+def head_strings(keys: np.ndarray) -> list[bytes]:
+    """For numbers from ``head_keys``: BEFORE bytes and a space that are known, then the bytes to code: the first of a word, with the space after a shorter one, or a line end for END."""
+    digits = np.stack([keys // DIGIT**k % DIGIT for k in reversed(range(HEAD + BEFORE))], axis=1)
+    last, own = digits[:, :BEFORE], digits[:, BEFORE:]
+    own = np.where((own[:, :1] == END[0] + 1) & (np.arange(HEAD) == 0), ord("\n") + 1, own)
+    size = (own > 0).sum(axis=1)
+    ends = size + (own[:, 0] != ord("\n") + 1)
+    flat = np.concatenate([np.where(last > 0, last - 1, ord("\n")), np.full((len(keys), 1), ord(" ")), np.where(own > 0, own - 1, ord(" "))], axis=1).astype(np.uint8)
+    width, joined = flat.shape[1], flat.tobytes()
+    return [joined[at : at + n] for at, n in zip(range(0, len(joined), width), (BEFORE + 1 + np.minimum(ends, HEAD)).tolist())]
+
+
+def inner_heads(word: bytes) -> list[int]:
+    """Heads of the parts after the first that a word over LONGEST bytes is coded in."""
+    parts = coded_words([word])
+    return [_packed(a[-BEFORE:]) * DIGIT**HEAD + _packed(b[:HEAD]) * DIGIT ** (HEAD - len(b[:HEAD])) for a, b in zip(parts, parts[1:])]
 
 
 def tail_string(word: bytes) -> bytes:
@@ -166,33 +200,64 @@ def token_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts."""
+    found, which = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(which, np.concatenate(n), len(found)).astype(np.int64)
+
+
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to (kind, key, string, n): 0 words, by hash; 1 heads, by hash; 2 texts; summed over some texts at a time."""
 
+    def add_heads() -> None:
+        """Counts the heads of ``tokens``, and joins counts once they are many."""
+        nonlocal heads, pending
+        if tokens:
+            keys, n = np.unique(head_keys(tokens), return_counts=True)
+            pending.append((keys, n))
+            tokens.clear()
+        if pending and (sum(len(k) for k, _ in pending) > REMEMBERED or ends):
+            heads = _summed([heads[0], *(k for k, _ in pending)], [heads[1], *(n for _, n in pending)])
+            pending = []
+
     def out() -> pa.RecordBatch:
-        strings = [*words, *map(head_string, heads)]
-        kinds = [0] * len(words) + [1] * len(heads) + [2]
-        counts = [*words.values(), *heads.values(), texts]
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([*map(token_hash, strings), 0], pa.int64()), pa.array([*strings, None], pa.binary()), pa.array(counts, pa.int64())], ["kind", "key", "string", "n"])
+        strings = [*words, *head_strings(heads[0])]
+        kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(words), len(heads[0]), 1])
+        counts = np.concatenate([np.fromiter(words.values(), np.int64, len(words)), heads[1], [texts]])
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([*map(token_hash, strings), 0], pa.int64()), pa.array([*strings, None], pa.binary()), pa.array(counts, pa.int64())], ["kind", "key", "string", "n"])
 
-    words, heads, texts = Counter(), Counter(), 0
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words, heads, pending, texts, tokens, ends = Counter(), none, [], 0, [], False
     for text in _texts(batches):
         found = words_of(text)
         words.update(found)
-        heads.update(heads_of(coded_words(found)))
+        tokens += found
+        tokens.append(END)
         texts += 1
-        if len(words) + len(heads) > REMEMBERED:
+        if max(map(len, found), default=0) > LONGEST:
+            inner = np.array([k for w in found for k in inner_heads(w)], np.int64)
+            pending.append((inner, np.ones(len(inner), np.int64)))
+        if len(tokens) > PART:
+            add_heads()
+        if len(words) + len(heads[0]) > REMEMBERED:
+            ends = True
+            add_heads()
             yield out()
-            words, heads, texts = Counter(), Counter(), 0
+            words, heads, texts, ends = Counter(), none, 0, False
+    ends = True
+    add_heads()
     yield out()
 
 
 def _packed_blocks(tables: list[np.ndarray], group: int) -> Iterator[pa.RecordBatch]:
     """(part, grp, counts): blocks of counters that are not all zero, in the narrowest whole numbers that hold them."""
-    blocks = np.concatenate([t.reshape(-1) for t in tables]).reshape(-1, BLOCK)
-    used = np.flatnonzero(blocks.any(axis=1))
-    for some in np.array_split(used, max(1, len(used) // 64)):
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([group] * len(some), pa.int32()), pa.array([_narrow(blocks[k]) for k in some], pa.binary())], ["part", "grp", "counts"])
+    first = 0
+    for table in tables:
+        blocks = table.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        for some in np.array_split(used, max(1, len(used) // 64)):
+            yield pa.RecordBatch.from_arrays([pa.array(some + first, pa.int32()), pa.array([group] * len(some), pa.int32()), pa.array([_narrow(blocks[k]) for k in some], pa.binary())], ["part", "grp", "counts"])
+        first += len(blocks)
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -409,107 +474,142 @@ class Mixer:
         self.settle(np.bincount(at, n, self.buckets), np.bincount(at, n * bit, self.buckets))
 
 
-class Coder(dict):
-    """Codes texts with a mixer; remembers the costs of heads and tails of words."""
+class Numbers(dict):
+    """Numbers words as they come; ``new`` are those not yet looked up."""
 
-    def __init__(self, mixer: Mixer):
+    def __init__(self):
         super().__init__()
-        self.mixer = mixer
         self.new: list[bytes] = []
-        self.known = np.zeros((0, len(SCALES)))
 
-    def __missing__(self, key: bytes) -> int:
-        self[key] = at = len(self)
-        self.new.append(key)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
         return at
 
-    def look_up(self) -> None:
-        """Costs in log10 of the new heads and tails, at each scale."""
-        if not self.new:
+
+class Coder:
+    """Codes texts with a mixer and takes base scores from ``common``; remembers what it found for words and heads."""
+
+    def __init__(self, mixer: Mixer, common: dict[int, float] | None = None):
+        self.mixer, self.common = mixer, common or {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.rest, self.gains, self.hashes = Numbers(), np.zeros((0, len(SCALES))), np.zeros(0), np.zeros(0, np.int64)
+        self.heads, self.starts = np.zeros(0, np.int64), np.zeros((0, len(SCALES)))
+
+    def bits_of(self, strings: list[bytes], heads: bool) -> np.ndarray:
+        """Costs in log10 of strings, all heads or all tails, at each scale; some at a time, so that what is made fits a cache."""
+        mixer, out, at = self.mixer, np.zeros((len(strings), len(SCALES))), 0
+        upto = np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))
+        while at < len(strings):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
+            flat, active, of, contexts = _laid_out(strings[at:end], np.full(end - at, heads))
+            for level, place, seen, slots in _decisions(flat, active, mixer.code, contexts, mixer.bits):
+                cost, owner = mixer.cost.take(mixer.bucket(mixer.mixed(level, slots)) * 2 + seen, axis=0), of.take(place)
+                for k in range(len(SCALES)):
+                    out[at:end, k] += np.bincount(owner, cost[:, k], end - at)
+            at = end
+        return out
+
+    def add_heads(self, keys: np.ndarray) -> None:
+        """Looks up those of the distinct heads ``keys``, in order, that are not known."""
+        at = np.searchsorted(self.heads, keys)
+        new = np.flatnonzero(self.heads.take(at, mode="clip") != keys) if len(self.heads) else np.arange(len(keys))
+        if len(new):
+            costs = self.bits_of(head_strings(keys.take(new)), True)
+            self.starts = np.insert(self.starts, at.take(new), costs, axis=0)
+            self.heads = np.insert(self.heads, at.take(new), keys.take(new))
+
+    def add_words(self) -> None:
+        """Looks up the new words: what their tails cost, what they add to a base score (NaN: not common), their hashes."""
+        new = self.words.new
+        if not new:
             return
-        mixer, n = self.mixer, len(self.new)
-        heads = np.array([b"\n" in k for k in self.new])
-        flat, active, of, contexts = _laid_out([head_string(k) if h else tail_string(k) for h, k in zip(heads, self.new)], heads)
-        out = np.zeros((n, len(SCALES)))
-        for level, place, seen, slots in _decisions(flat, active, mixer.code, contexts, mixer.bits):
-            cost, owner = mixer.cost.take(mixer.bucket(mixer.mixed(level, slots)) * 2 + seen, axis=0), of.take(place)
-            for k in range(len(SCALES)):
-                out[:, k] += np.bincount(owner, cost[:, k], n)
-        at = len(self) - n
-        if len(self) > len(self.known):
-            self.known = np.concatenate([self.known[:at], np.empty((max(at, n), len(SCALES)))])
-        self.known[at : at + n], self.new = out, []
+        costs = self.bits_of([tail_string(w[:LONGEST] + b"\t" if len(w) > LONGEST else w) for w in new], False)
+        for k in np.flatnonzero(np.fromiter(map(len, new), np.int64, len(new)) > LONGEST):
+            inner, which = np.unique(np.array(inner_heads(new[k])), return_inverse=True)
+            self.add_heads(inner)
+            costs[k] += self.starts.take(np.searchsorted(self.heads, inner), axis=0).take(which, axis=0).sum(axis=0)
+            costs[k] += self.bits_of([tail_string(w) for w in coded_words([new[k]])[1:]], False).sum(axis=0)
+        hashes = [*map(token_hash, new)]
+        gains = np.array([0.0 if w == END else self.common.get(h, np.nan) for w, h in zip(new, hashes)])
+        self.rest, self.gains, self.hashes = np.concatenate([self.rest, costs]), np.concatenate([self.gains, gains]), np.concatenate([self.hashes, np.array(hashes, np.int64)])
+        self.words.new = []
+
+    def measure(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """For each text, given as its words: log10 cost at each scale, base score and number of common words; and (text, hash, n) of the others, a text's in one or several pieces."""
+        costs, base, known, rare = np.zeros((len(texts), len(SCALES))), np.zeros(len(texts)), np.zeros(len(texts), np.int64), []
+        tokens: list[bytes] = []
+        pieces: list[tuple[int, int]] = []
+
+        def add_up(before: bytes) -> None:
+            ids = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
+            heads, which = np.unique(head_keys(tokens, before), return_inverse=True)
+            self.add_words()
+            self.add_heads(heads)
+            owner, sizes = np.array(pieces).T
+            first = np.cumsum(sizes) - sizes
+            each = self.rest.take(ids, axis=0) + self.starts.take(np.searchsorted(self.heads, heads), axis=0).take(which, axis=0)
+            costs[owner] += np.add.reduceat(each, first, axis=0)
+            gain = self.gains.take(ids)
+            other = np.isnan(gain)
+            base[owner] += np.add.reduceat(np.where(other, 0.0, gain), first)
+            known[owner] += np.add.reduceat((~other).astype(np.int64), first)
+            pairs, n = np.unique(np.repeat(owner, sizes)[other] * len(self.words) + ids[other], return_counts=True)
+            rare.append((pairs // len(self.words), self.hashes.take(pairs % len(self.words)), n))
+            tokens.clear()
+            pieces.clear()
+            if len(self.words) + len(self.heads) > KEPT:
+                self.forget()
+
+        before = b""
+        for k, words in enumerate(texts):
+            at = 0
+            while at <= len(words):
+                some = words[at : at + PART - len(tokens)] if at or len(words) >= PART else words
+                ends = at + len(some) == len(words)
+                tokens += some
+                if ends:
+                    tokens.append(END)
+                if some or ends:
+                    pieces.append((k, len(some) + ends))
+                at += len(some) + ends
+                if len(tokens) >= PART:
+                    follows = b"" if ends else tokens[-1]
+                    add_up(before)
+                    before = follows
+        if tokens:
+            add_up(before)
+        return costs, base, known - 1, rare
+
+    def probabilities(self, costs: np.ndarray) -> np.ndarray:
+        """log10 of the mean of the probabilities at all scales, given their costs."""
+        least = costs.min(axis=1)
+        return np.log10((10.0 ** (least[:, None] - costs)).mean(axis=1)) - least
 
     def costs(self, texts: Iterable[list[bytes]]) -> list[float]:
         """log10 cost of each text, given as its words: that of the mean of its probabilities at all scales."""
-        found, size = [], 0
-        totals: list[np.ndarray] = []
-
-        def add_up() -> None:
-            self.look_up()
-            ids = np.concatenate([i for i, _ in found])
-            starts = np.cumsum([0] + [len(i) for i, _ in found[:-1]])
-            for (_, k), row in zip(found, np.add.reduceat(self.known.take(ids, axis=0), starts)):
-                totals[k] += row
-            found.clear()
-            if len(self) > KEPT:
-                self.clear()
-
-        for k, words in enumerate(texts):
-            totals.append(np.zeros(len(SCALES)))
-            words, at, before, ends = coded_words(words), 0, b"", False
-            while not ends:
-                part = words[at : at + PART]
-                at += len(part)
-                ends = at >= len(words)
-                heads = heads_of(part, before) if ends else heads_of(part[:-1], before, part[-1][:HEAD])
-                found.append((np.fromiter(map(self.__getitem__, chain(heads, part)), np.int64, 2 * len(part) + ends), k))
-                size += len(found[-1][0])
-                if size >= PART:
-                    add_up()
-                    size = 0
-                before = part[-1][-BEFORE:] if part else b""
-        if found:
-            add_up()
-        least = [t.min() for t in totals]
-        return [float(m - np.log10((10.0 ** (m - t)).mean())) for m, t in zip(least, totals)]
+        return (-self.probabilities(self.measure(list(texts))[0])).tolist()
 
 
 def _scorer(mixer: Mixer, common: dict[int, float]) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(.., text) to (.., n_tokens, common_known, common_score, rare, score, stream_bytes): base scores of common words, and hashes and counts of the others."""
-        hashes: dict[bytes, int] = {}
-        coder = Coder(mixer)
+        coder = Coder(mixer, common)
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                tokens, known, base, sizes, keys, times, ends, texts = [], [], [], [], [], [], [0], []
-                for text in batch.column(batch.num_columns - 1).cast(pa.binary()):
-                    words = words_of(text.as_py())
-                    texts.append(words)
-                    n_known, total = len(words), 0.0
-                    for w, n in Counter(words).items():
-                        h = hashes.get(w)
-                        if h is None:
-                            h = hashes[w] = token_hash(w)
-                        gain = common.get(h)
-                        if gain is None:
-                            keys.append(h)
-                            times.append(n)
-                            n_known -= n
-                        else:
-                            total += n * gain
-                    tokens.append(len(words) + 1)
-                    known.append(n_known)
-                    base.append(total)
-                    ends.append(len(keys))
-                    sizes.append(sum(map(len, words)) + len(words) + 1)
-                if len(hashes) > KEPT:
-                    hashes.clear()
-                scores = [-c for c in coder.costs(texts)]
-                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.int64())], ["key", "n"]))
+                texts = [words_of(text.as_py()) for text in batch.column(batch.num_columns - 1).cast(pa.binary())]
+                sizes = [sum(map(len, words)) + len(words) + 1 for words in texts]
+                tokens = [len(words) + 1 for words in texts]
+                costs, base, known, others = coder.measure(texts)
+                del texts
+                of, keys, times = (np.concatenate(c).astype(np.int64) for c in zip(*others))
+                ends = np.searchsorted(of, np.arange(batch.num_rows + 1))  # pieces come in the order of texts
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(keys), pa.array(times)], ["key", "n"]))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), rare, pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
+                    [*batch.columns[:-1], pa.array(tokens, pa.int64()), pa.array(known), pa.array(base), rare, pa.array(coder.probabilities(costs)), pa.array(sizes, pa.int64())],
                     [*batch.schema.names[:-1], "n_tokens", "common_known", "common_score", "rare", "score", "stream_bytes"],
                 )
             pa.default_memory_pool().release_unused()  # an executor's tasks share its memory

@@ -236,6 +236,13 @@ def test_language_model(spark, monkeypatch):
     assert all(r["n_known"] == 0 for r in langmodel.score_documents(df.limit(5), F.lit(False)).collect())
 
 
+def test_heads_follow_from_their_numbers():
+    words = [b"ab", b"\xc3\xa9", b"\x00", b"\xff\xff\xff\xff", langmodel.END, langmodel.END, b"abcd", langmodel.END]
+    want = [b"\n\n ab ", b"ab \xc3\xa9 ", b"\xc3\xa9 \x00 ", b"\n\x00 \xff\xff\xff", b"\xff\xff \n", b"\n\n \n", b"\n\n abc", b"cd \n"]
+    assert langmodel.head_strings(langmodel.head_keys(words)) == want
+    assert langmodel.head_strings(langmodel.head_keys(words[1:], words[0])) == want[1:]
+
+
 def test_byte_code_is_a_prefix_code():
     code = langmodel.Code([k * k for k in range(256)])
     assert sum(2.0 ** -int(n) for n in code.length) == pytest.approx(1.0)
@@ -259,7 +266,7 @@ def test_bit_costs_are_probabilities(spark):
     # every first byte of a text
     total = 0.0
     for byte in range(256):
-        flat, active, _, contexts = langmodel._laid_out([langmodel.head_string(b"\n" + bytes([byte]) * langmodel.HEAD) if byte != 10 else langmodel.head_string(b"\n\t")], np.array([True]))
+        flat, active, _, contexts = langmodel._laid_out([*langmodel.head_strings(langmodel.head_keys([bytes([byte]) * langmodel.HEAD if byte != 10 else langmodel.END]))], np.array([True]))
         cost = 0.0
         for level, _, seen, slots in langmodel._decisions(flat, active[:1], code, contexts, bits):
             cost += float(mixer.cost[mixer.bucket(mixer.mixed(level, slots)) * 2 + seen][0, 1])
