@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from locusweave.operators.ranking import global_rank
+from locusweave.operators.ranking import global_rank, split_even
 
 
 def mix(x: Column, seed: Column | int) -> Column:
@@ -14,11 +14,15 @@ def mix(x: Column, seed: Column | int) -> Column:
     return (h * 48271 + 11) % 2147483647
 
 
-def bootstrap_folds(spark: SparkSession, n: int, seeds: list[int], allow_overlap: bool = True) -> DataFrame:
-    """(seed, fold, multiplicity, role): n folds drawn with replacement for each seed; the last ceil(n / 8) draws are for validation."""
+def bootstrap_folds(spark: SparkSession, n: int, seeds: list[int], allow_overlap: bool = True, n_train: int | None = None) -> DataFrame:
+    """(seed, fold, multiplicity, role): n folds drawn with replacement for each seed; the draws after the first ``n_train`` (all but the last ceil(n / 8)) are for validation.
+
+    Without overlap, draws for validation that are also drawn for training go.
+    """
+    first = n - -(-n // 8) if n_train is None else n_train
     slots = spark.range(n).select(F.col("id").alias("slot"), F.explode(F.lit(seeds)).alias("seed"))
     draws = slots.withColumn("fold", mix(F.col("slot"), F.col("seed").cast("bigint")) % n)
-    draws = draws.withColumn("role", F.when(F.col("slot") >= n - -(-n // 8), "valid").otherwise("train"))
+    draws = draws.withColumn("role", F.when(F.col("slot") >= first, "valid").otherwise("train"))
     if not allow_overlap:
         train = draws.where("role = 'train'").select("seed", "fold").distinct().withColumn("taken", F.lit(True))
         draws = draws.join(train, ["seed", "fold"], "left").where("role = 'train' or taken is null").drop("taken")
@@ -37,6 +41,18 @@ def split_totals(sequences: DataFrame, folds: DataFrame, length: str, fold: str
     return out.groupBy("seed", "role").agg(F.sum(F.col("n") * F.col("multiplicity")).alias("sequences"), F.sum(F.col("bases") * F.col("multiplicity")).alias("bases"))
 
 
+def block_bootstrap(genes: DataFrame, chrom: str, pos: str, tie: list[str], blocks: int, seeds: list[int], train: float = 0.8) -> DataFrame:
+    """Genes with seed, role and multiplicity, from a bootstrap of contiguous blocks along the genome.
+
+    Genes in order of (``chrom``, a number; ``pos``) are cut in ``blocks`` of equal length, as many blocks are drawn with replacement, the first
+    share ``train`` of the draws is for training, and the others, as far as they are not among those, for validation.
+    """
+    placed = genes.withColumn("block_at", F.col(chrom).cast("double") * 10_000_000_000 + F.col(pos))
+    placed = split_even(placed, blocks, "block_at", tie, "fold").withColumn("fold", F.col("fold") - 1).drop("block_at")
+    folds = bootstrap_folds(genes.sparkSession, blocks, seeds, False, int(train * blocks))
+    return placed.join(F.broadcast(folds), "fold").drop("fold")  # a row for each block and seed
+
+
 def cross_fold(df: DataFrame, fold: str, n: int, test: int, shift: int = 0) -> DataFrame:
     """role: test for one fold, valid for (test + 1 + shift) mod n, train for the rest."""
     return df.withColumn("role", F.when(F.col(fold) == test, "test").when(F.col(fold) == (test + 1 + shift) % n, "valid").otherwise("train"))

@@ -33,6 +33,15 @@ def mix(x: str, seed: str) -> str:
     return f"((({x}) * 2654435761 + ({seed}) * 40503 + 12345) % 2147483647 * 48271 + 11) % 2147483647"
 
 
+def undone(x: str) -> str:
+    return f"(power((CASE WHEN {x} > 10 THEN 9.0::double + power({x} - 9, 2) ELSE {x} END) + 1, 2) - 1) / 2"
+
+
+GWAS = f"""gm AS (SELECT l_partkey AS key, avg(l_discount - 0.02) AS mean, var_samp(l_discount - 0.02) AS var FROM lineitem GROUP BY 1),
+gl AS (SELECT DISTINCT vec_id AS key, label AS gene FROM embeddings WHERE label IS NOT NULL),
+ge AS (SELECT gm.key, gene, mean, var, CASE WHEN gm.key % 2 = 1 THEN -(p_size - 25) / 10.0::double ELSE (p_size - 25) / 10.0::double END + 0.0 AS z FROM gm JOIN part ON p_partkey = gm.key JOIN gl ON gl.key = gm.key WHERE p_size > 5)"""
+
+
 def rounded(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
@@ -200,4 +209,44 @@ c AS (SELECT tissue, count(*) AS n, avg(cast(ok AS double)) AS k FROM x WHERE ti
 SELECT tissue, n, round(k, 6) AS concordance, round(sqrt(k * (1 - k) / n), 6) AS se FROM c""",
     "q22_targets": r"""WITH h AS (SELECT DISTINCT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT regexp_replace(n_name, '\s+', '_', 'g') AS tissue, count(*) AS n, min(split_part(c_name, '.', 1)) AS first FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN (SELECT n_name FROM h) GROUP BY 1""",
+    "c_last_sites": """WITH s AS (SELECT p_partkey, p_brand || '_' || p_type AS gene, CASE p_size % 3 WHEN 0 THEN 'intron' WHEN 1 THEN 'NoPAS' ELSE 'last' END AS kind FROM part),
+l AS (SELECT gene, max(p_partkey) FILTER (kind <> 'intron') AS last_site FROM s GROUP BY gene)
+SELECT p_partkey, gene, CASE kind WHEN 'NoPAS' THEN 'none' ELSE kind END AS kind FROM s JOIN l USING (gene) WHERE kind = 'intron' OR p_partkey = last_site""",
+    "d_gwas_effects": f"""WITH {GWAS} SELECT key, gene, round(mean, 6) AS mean, z FROM ge""",
+    "q7_cell_type_odds": f"""WITH {VARIANTS}, {REPS}, p AS (SELECT key, {RANKP} <= 0.4 AS e FROM reps GROUP BY key),
+x AS (SELECT p_brand, e, CASE WHEN key % 10 = 5 THEN p_size > 40 ELSE p_size <= 10 END AS o FROM p JOIN v USING (key) WHERE key % 9 <> 0),
+t AS (SELECT p_brand, count(*) FILTER (e AND o) AS a, count(*) FILTER (e AND NOT o) AS b, count(*) FILTER (NOT e AND o) AS c, count(*) FILTER (NOT e AND NOT o) AS d FROM x GROUP BY 1)
+SELECT p_brand, a, b, c, d, round((a + 0.1::double) * (d + 0.1) / ((b + 0.1) * (c + 0.1)), 6) AS odds FROM t""",
+    "q10_tissue_overlap": f"""WITH {SUPPLIED}, r AS (SELECT key, gene, tissue, l_linenumber, round(avg(value), 9) AS value FROM s GROUP BY ALL), h AS (SELECT key, gene, tissue FROM r GROUP BY ALL HAVING {RANKP} <= 0.7), n AS (SELECT tissue, count(*) AS n FROM h GROUP BY 1),
+m AS (SELECT a.tissue AS t1, b.tissue AS t2, count(*) AS shared FROM h a JOIN h b ON a.key = b.key AND a.gene = b.gene AND a.tissue < b.tissue GROUP BY ALL)
+SELECT a.tissue AS t1, b.tissue AS t2, coalesce(shared, 0) AS shared, round(coalesce(shared, 0)::double / (a.n + b.n - coalesce(shared, 0)), 6) AS jaccard FROM n a JOIN n b ON a.tissue < b.tissue LEFT JOIN m ON m.t1 = a.tissue AND m.t2 = b.tissue""",
+    "q11_class_annotations": f"""WITH {VARIANTS}, {SUPPLIED}, p AS (SELECT key, tissue, {RANKP} AS p FROM s GROUP BY ALL), r AS (SELECT key, min(p)::double AS min_p FROM p WHERE key % 3 <> 0 GROUP BY key)
+SELECT chrom, pos, 'rs' || v.key AS rsid, p_size AS cm, coalesce(cast(min_p <= 0.3 AS int), 0) AS class1, coalesce(cast(min_p > 0.3 AND min_p <= 0.5 AS int), 0) AS class2, coalesce(cast(min_p > 0.5 AND min_p <= 0.8 AS int), 0) AS class3, coalesce(cast(min_p > 0.8 AS int), 0) AS class4
+FROM v LEFT JOIN r ON r.key = v.key""",
+    "q13_twas": f"""WITH {GENO}, {GWAS}, k AS (SELECT ge.key, ge.gene, ge.z, std.z AS g, mean, var FROM ge JOIN std ON std.key = ge.key AND std.gene = ge.gene),
+a AS (SELECT *, 'z' AS kind, mean / sqrt(nullif(var, 0)) AS w FROM k UNION ALL SELECT *, 'ridge' AS kind, mean * 0.001 / (0.001 + var) AS w FROM k UNION ALL SELECT *, 'sign' AS kind, mean / (1 + var / nullif(mean * mean, 0)) AS w FROM k),
+u AS (SELECT * FROM a WHERE w IS NOT NULL), l AS (SELECT kind, gene, w, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM u), s AS (SELECT kind, gene, i, sum(w * g) AS s FROM l GROUP BY ALL), q AS (SELECT kind, gene, avg(s * s) AS wrw FROM s GROUP BY ALL),
+t AS (SELECT kind, gene, count(*) AS n, sum(w * z) AS wz FROM u GROUP BY ALL HAVING count(*) >= 5)
+SELECT kind, gene, n AS n_variants, round(wz / sqrt(nullif(wrw, 0)), 5) AS twas_z FROM t JOIN q USING (kind, gene)""",
+    "q17_fine_map_and_lift": f"""WITH {VARIANTS}, {EFFECTS}, m AS (SELECT gene, key, round(avg(beta), 6) AS beta, round(avg(se), 6) AS se FROM e GROUP BY ALL),
+a AS (SELECT gene, key, beta, 0.5 * ln(1 - 0.01 / (se * se + 0.01)) + 0.5 * (0.01 / (se * se + 0.01)) * beta * beta / (se * se) AS l FROM m),
+w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY gene)) AS w FROM a), p AS (SELECT gene, key, beta, round(w / sum(w) OVER (PARTITION BY gene), 9) AS pip FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY pip DESC, key) AS rk FROM p),
+r AS (SELECT gene, key, chrom, key % 5000 + 4 AS pos, a1, a2, beta, pip, CASE WHEN p_size > 25 THEN p_size / 100.0::double END AS maf, substr('ACGT', cast((key % 5000 + 3) % 4 + 1 AS int), 1) AS base FROM o JOIN v USING (key) WHERE rk = 1 AND (key % 5000 + 1) % 50 <> 0)
+SELECT gene, key, chrom, pos, CASE WHEN a1 = base THEN a1 ELSE a2 END AS a1, CASE WHEN a1 = base THEN a2 ELSE a1 END AS a2, round(CASE WHEN a1 = base THEN beta ELSE -beta END, 6) + 0.0 AS beta, round(pip, 6) AS pip, maf FROM r WHERE (a1 = base OR a2 = base) AND pos <= 5200""",
+    "q19_effect_scores": f"""WITH t AS (SELECT l_partkey AS variant, l_linenumber - 1 AS bin, l_returnflag AS target, {undone("(l_quantity / 3.1415926::double)")} AS r, {undone("(l_quantity / 3.1415926::double * (1 - l_discount))")} AS a FROM lineitem),
+x AS (SELECT t.*, p_brand AS gene FROM t JOIN part ON p_partkey = variant WHERE bin >= p_partkey % 4 AND bin < ceil(p_partkey % 4 + 2.5)),
+b AS (SELECT variant, gene, target, sum(r) AS sr, sum(a) AS sa, count(*) AS n FROM x GROUP BY ALL)
+SELECT variant, gene, target, round(any_value(sr), 4) AS sum_ref_stat, round(any_value(sa), 4) AS sum_alt_stat, round(any_value(log2(sa + 1) - log2(sr + 1)), 4) + 0.0 AS logsed_stat, round(sum(abs(a - r)), 4) AS d1_stat,
+       round(sqrt(sum((log2(a + 1) - log2(r + 1)) ** 2)), 4) AS logd2_stat, round(max(abs((a + 1) / (sa + n) - (r + 1) / (sr + n))), 4) AS ndi_stat
+FROM x JOIN b USING (variant, gene, target) GROUP BY variant, gene, target""",
+    "q21_block_bootstrap": f"""WITH g AS (SELECT c_custkey, cast(round(c_acctbal * 100) AS bigint) AS tss, ntile(50) OVER (ORDER BY c_nationkey, cast(round(c_acctbal * 100) AS bigint), c_custkey) - 1 AS fold FROM customer),
+slots AS (SELECT range AS slot, seed FROM range(50), (SELECT unnest([1, 2, 3]) AS seed)), d AS (SELECT seed, {mix("slot", "seed")} % 50 AS fold, CASE WHEN slot >= 40 THEN 'valid' ELSE 'train' END AS role FROM slots),
+k AS (SELECT * FROM d WHERE role = 'train' OR NOT EXISTS (SELECT 1 FROM d t WHERE t.role = 'train' AND t.seed = d.seed AND t.fold = d.fold))
+SELECT cast(seed AS int) AS seed, role, count(DISTINCT c_custkey) AS genes, count(*) AS draws, cast(sum(tss) AS bigint) AS total FROM k JOIN g USING (fold) GROUP BY ALL""",
+    "q23_delta_scores": f"""WITH {VARIANTS}, t AS (SELECT p_brand, max(p_partkey) * 48 AS tss FROM part GROUP BY 1 HAVING avg(p_size) > 25),
+n AS (SELECT key, p_size - 25.0::double AS beta FROM v JOIN t USING (p_brand) WHERE key % 7 <> 0 AND abs(pos - tss) <= 50000),
+a AS (SELECT l_partkey AS key, l_linenumber, sum(l_quantity) FILTER (l_linestatus = 'O') - sum(l_quantity) FILTER (l_linestatus <> 'O') AS delta FROM lineitem GROUP BY ALL HAVING count(*) FILTER (l_linestatus = 'O') = 1 AND count(*) FILTER (l_linestatus <> 'O') = 1),
+m AS (SELECT key, avg(delta)::double AS d FROM a GROUP BY 1), c AS (SELECT unnest([0.0::double, 5.0, 10.0]) AS threshold)
+SELECT threshold, count(*) AS n, round(corr(d, beta), 6) AS corr FROM n JOIN m USING (key) JOIN c ON abs(beta) > threshold OR threshold <= 0 GROUP BY 1""",
 }

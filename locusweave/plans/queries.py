@@ -590,6 +590,29 @@ def i_background_sample(spark: SparkSession, sf: str) -> DataFrame:
     return resample.background_sample(p, F.col("p_size") <= 5, "p_partkey", 11, 20).select("p_partkey", "p_size")
 
 
+@query
+def c_last_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as sites: the last ones of their genes and intronic ones, without a name for those of no site."""
+    kind = F.when(F.col("p_size") % 3 == 0, "intron").when(F.col("p_size") % 3 == 1, "NoPAS").otherwise("last")
+    sites = P.table(spark, sf, "part").select("p_partkey", F.concat_ws("_", "p_brand", "p_type").alias("gene"), kind.alias("kind"))
+    return filters.last_site_or_intronic(sites, "gene", "kind", F.col("p_partkey")).select("p_partkey", "gene", "kind")
+
+
+@query
+def d_gwas_effects(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted mean effects with the association z of a table that spells half the variants the other way round, where genotypes have the variant."""
+    return _gwas_effects(spark, sf).select("key", "gene", r6("mean").alias("mean"), "z")
+
+
+def _gwas_effects(spark: SparkSession, sf: str) -> DataFrame:
+    """(key, gene, mean, var, z): z turned where the table has the alleles the other way round."""
+    means = P.replicates(spark, sf).groupBy("key").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
+    left = P.variants(spark, sf).select("chrom", "pos", "a1", "a2", "key").join(means, "key")
+    z = P.variants(spark, sf, True).where("p_size > 5").select("chrom", "pos", "a1", "a2", ((F.col("p_size") - 25) / 10.0).alias("z"))
+    both = joins.join_variants(left, z).withColumn("z", F.when(F.col("flipped"), -F.col("z")).otherwise(F.col("z")) + 0.0)
+    return both.join(P.genotypes(spark, sf).select("key", "gene").where("gene is not null").distinct(), "key")
+
+
 # --- composites --------------------------------------------------------------------------------------
 
 
@@ -710,3 +733,111 @@ def q22_targets(spark: SparkSession, sf: str) -> DataFrame:
     named = joins.require_all(c.select("c_custkey", "c_nationkey", C.sample_short_name(F.col("c_name")).alias("sample")), dim, "c_nationkey", "tissue")
     have = P.table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(C.tissue_name(F.col("n_name")).alias("tissue")).distinct()
     return named.join(have, "tissue", "left_semi").groupBy("tissue").agg(F.count(F.lit(1)).alias("n"), F.min("sample").alias("first"))
+
+
+@query
+def q7_cell_type_odds(spark: SparkSession, sf: str) -> DataFrame:
+    """Odds of annotation among significant variants outside coding sequence, by cell type, over a panel that has some variants in both orientations."""
+    rolled = replicates.roll_up(replicates.rank_pvalues(P.replicates(spark, sf), ["key"], "value"), "key", "p", 0.4)
+    v = filters.without_coding(P.variants(spark, sf).withColumn("coding", (F.col("key") % 9 == 0).cast("int")), ["coding"])
+    left = v.join(rolled, "key").select("chrom", "pos", "a1", "a2", "any_significant")
+    one, two = P.variants(spark, sf, True), P.variants(spark, sf).where("key % 5 = 0")
+    cols = ["chrom", "pos", "a1", "a2", "rsid", "p_brand", "label"]
+    one = one.withColumns({"rsid": F.concat(F.lit("rs"), F.col("key")), "label": (F.col("p_size") <= 10).cast("int")})
+    two = two.withColumns({"rsid": F.concat(F.lit("rs"), F.col("key"), F.lit("b")), "label": (F.col("p_size") > 40).cast("int")})
+    panel = one.select(cols).union(two.select(cols))
+    rows = joins.first_orientation(left, panel.drop("p_brand", "label"), panel.select("rsid", "p_brand", "label"))
+    cells = enrichment.enrichment(enrichment.contingency(rows, ["p_brand"], "any_significant", "label"), fisher=False)
+    return cells.select("p_brand", "a", "b", "c", "d", r6("odds").alias("odds"))
+
+
+@query
+def q10_tissue_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Jaccard index of significant variant-gene pairs for all pairs of tissues, from organised replicates."""
+    s = P.supplied(spark, sf).groupBy("key", "gene", "tissue", "l_linenumber").agg(F.round(F.avg("value"), 9).alias("v"))
+    hits = replicates.rank_pvalues(s, ["key", "gene", "tissue"], "v").where("p <= 0.7")
+    return enrichment.jaccard_pairs(hits, ["key", "gene"], "tissue").select("t1", "t2", "shared", r6("jaccard").alias("jaccard"))
+
+
+@query
+def q11_class_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every variant of a panel with its significance classes, all 0 where no effect is predicted."""
+    pairs = replicates.rank_pvalues(P.supplied(spark, sf), ["key", "tissue"], "value")
+    rolled = replicates.roll_up(pairs, "key", "p", 0.4).where("key % 3 <> 0")  # effects are not predicted for all of the panel
+    left = P.variants(spark, sf).join(rolled, "key").select("chrom", "pos", "a1", "a2", "min_p")
+    panel = P.variants(spark, sf, True).withColumn("rsid", F.concat(F.lit("rs"), F.col("key")))
+    rows = joins.first_orientation(left, panel.select("chrom", "pos", "a1", "a2", "rsid"), panel.select("rsid", F.col("p_size").alias("cm")), outer=True)
+    return replicates.significance_classes(rows, "min_p", (0.3, 0.5, 0.8)).select("chrom", "pos", "rsid", "cm", "class1", "class2", "class3", "class4")
+
+
+@query
+def q13_twas(spark: SparkSession, sf: str) -> DataFrame:
+    """Gene-level association from uncertain effects: three weightings of predicted effects, association z and genotypes."""
+    g = association.standardize(P.genotypes(spark, sf), "dosages").select("key", "gene", "std")
+    rows = g.join(_gwas_effects(spark, sf), ["key", "gene"])
+    out = None
+    for kind in ("z", "ridge", "sign"):
+        one = association.twas(rows.withColumn("w", C.effect_weights(kind, F.col("mean"), F.col("var"), 0.001)).where("w is not null"), "gene", "w", "z", 5)
+        one = one.select(F.lit(kind).alias("kind"), "gene", "n_variants", F.round("twas_z", 5).alias("twas_z"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def q17_fine_map_and_lift(spark: SparkSession, sf: str) -> DataFrame:
+    """Best variant of each gene with its posterior, a frequency where a panel has one, lifted over and turned to the reference base."""
+    means = P.effects(spark, sf).groupBy("gene", "key").agg(F.round(F.avg("beta"), 6).alias("beta"), F.round(F.avg("se"), 6).alias("se"))
+    pips = finemap.single_causal_pips(means, "gene", "beta", "se").withColumn("pip", F.round("pip", 9))
+    v = P.variants(spark, sf).select("key", "chrom", (F.col("key") % 5000 + 1).alias("pos"), "a1", "a2", "p_size")
+    best = finemap.best_variants(pips, "gene", ["key"], 0.0).select("gene", "key", "beta", "pip").join(v.drop("p_size"), "key")
+    panel = P.variants(spark, sf, True).where("p_size > 25").select("chrom", (F.col("key") % 5000 + 1).alias("pos"), "a1", "a2", "key", (F.col("p_size") / 100.0).alias("maf"))
+    best = joins.join_variants(best, panel, "left", ["key"]).drop("flipped")
+    lifted = v.select("chrom", "pos").distinct().select("chrom", "pos", F.when(F.col("pos") % 50 == 0, "chrX").otherwise(F.col("chrom")).alias("new_chrom"), (F.col("pos") + 3).alias("new_pos"))
+    blocks = v.select("chrom").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(51).cast("bigint"))))
+    genome = blocks.withColumn("seq", F.expr("array_join(transform(sequence(0, 99), i -> substring('ACGT', cast((block * 100 + i) % 4 + 1 as int), 1)), '')"))
+    out = joins.lift_and_orient(best, lifted, genome, 100, "beta")
+    return out.select("gene", "key", "chrom", "pos", "a1", "a2", (r6("beta") + 0.0).alias("beta"), r6("pip").alias("pip"), "maf")
+
+
+@query
+def q19_effect_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted tracks with squashing undone, over the bins of each variant's gene: sums, their log ratio and distances."""
+    li = P.table(spark, sf, "lineitem")
+    x = F.col("l_quantity") / 3.1415926  # sums of plain quantities would lie midway between rounded values
+    tracks = li.select(F.col("l_partkey").alias("variant"), (F.col("l_linenumber") - 1).cast("bigint").alias("bin"), F.col("l_returnflag").alias("target"), C.untransform(x, clip=10.0, scale=2.0).alias("ref"), C.untransform(x * (1 - F.col("l_discount")), clip=10.0, scale=2.0).alias("alt"))
+    genes = P.table(spark, sf, "part").select(F.col("p_partkey").alias("variant"), F.col("p_brand").alias("gene"), F.lit(0).cast("bigint").alias("seq_start"), (F.col("p_partkey") % 4 * 10).alias("start"))
+    bins = joins.bin_range(genes.withColumn("end", F.col("start") + 25), "seq_start", "start", "end", 10, 7).select("variant", "gene", "bin")
+    out = effects.sed_stats(tracks.join(bins, ["variant", "bin"]), ["variant", "gene", "target"], "ref", "alt", 1.0)
+    return out.select("variant", "gene", "target", *[F.round(c, 4).alias(c.lower() + "_stat") for c in ("sum_ref", "sum_alt", "logSED", "D1", "logD2", "nDi")])
+
+
+@query
+def q20_expression(spark: SparkSession, sf: str) -> DataFrame:
+    """Expressed genes, their logarithms, and what is left of them without two components."""
+    long = P.vectors(spark, sf).select("key", F.posexplode("bs").alias("sample", "value")).withColumn("tpm", F.exp(F.col("value") * 4))
+    rows = long.join(expression.expressed_genes(long, "key", "tpm", 0.6, 0.2).select("key"), "key", "left_semi").withColumn("log_tpm", C.log_expression(F.col("tpm")))
+    out = expression.regress_out_pcs(rows, "key", "sample", "log_tpm", 2)
+    return out.groupBy("key").agg(F.round(F.sum("residual"), 4).alias("total"), F.round(F.sum(F.col("residual") * F.col("residual")), 4).alias("square"))
+
+
+@query
+def q21_block_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers along nations and balances in 50 blocks, bootstrapped: different ones and draws of each split."""
+    genes = P.table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.round(F.col("c_acctbal") * 100).cast("bigint").alias("tss"))
+    out = resample.block_bootstrap(genes, "c_nationkey", "tss", ["c_custkey"], 50, [1, 2, 3])
+    return out.groupBy("seed", "role").agg(F.count(F.lit(1)).alias("genes"), F.sum("multiplicity").alias("draws"), F.sum(F.col("tss") * F.col("multiplicity")).alias("total"))
+
+
+@query
+def q23_delta_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean delta scores of variants near genes of a set, against measured effects over thresholds; from lines of text."""
+    fields = [F.col("key"), F.col("pos"), F.when(F.col("key") % 7 != 0, F.col("p_brand")), F.col("p_size") - 25]
+    lines = P.variants(spark, sf).select(F.concat_ws("\t", *[f.cast("string") for f in fields]).alias("line"))
+    f = filters.well_formed(lines, "line", 4).select(*[F.get("fields", F.lit(k)).alias(c) for k, c in enumerate(("key", "pos", "gene", "beta"))])
+    f = f.select(F.col("key").cast("bigint").alias("key"), F.col("pos").cast("bigint").alias("pos"), "gene", F.col("beta").cast("double").alias("beta"))
+    part = P.table(spark, sf, "part")
+    tss = part.groupBy(F.col("p_brand").alias("gene")).agg((F.max("p_partkey") * 48).alias("tss"), F.avg("p_size").alias("size")).where("size > 25").drop("size")
+    near = f.join(tss, "gene").where(filters.within(F.col("pos") - F.col("tss"), 100_000))
+    li = P.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_linenumber").alias("rep"), F.when(F.col("l_linestatus") == "O", "alt").otherwise("ref").alias("allele"), F.col("l_quantity").alias("pred"))
+    rows = near.join(replicates.delta_scores(li, ["key"], "rep", "allele", "pred"), "key")
+    return concordance.corr_by_threshold(rows, "mean_delta", "beta", "beta", [0, 5, 10]).select("threshold", "n", r6("corr").alias("corr"))

@@ -254,3 +254,39 @@ def test_panel_with_both_spellings_gives_one_row(spark):
     got = joins.first_orientation(left, panel, notes).collect()
     assert [(r["rsid"], r["note"], r["flipped"]) for r in got] == [("rs1", 1, False)]
     assert joins.first_orientation(left, panel, notes, outer=True).count() == 2
+
+
+def test_block_bootstrap_draws_whole_blocks(spark):
+    from locusweave.operators import resample
+
+    genes = spark.createDataFrame([(g, g % 3, 1_000 - g) for g in range(103)], "gene long, chrom long, tss long")
+    rows = resample.block_bootstrap(genes, "chrom", "tss", ["gene"], 10, [4, 9]).collect()
+    order = sorted(range(103), key=lambda g: (g % 3, 1_000 - g))
+    blocks = [order[11 * k : 11 * (k + 1)] if k < 3 else order[33 + 10 * (k - 3) : 43 + 10 * (k - 3)] for k in range(10)]
+    for seed in (4, 9):
+        draws = [((slot * 2654435761 + seed * 40503 + 12345) % 2147483647 * 48271 + 11) % 2147483647 % 10 for slot in range(10)]
+        want = {}
+        for at, block in enumerate(draws):
+            role = "train" if at < 8 else "valid"
+            if role == "train" or block not in draws[:8]:
+                for gene in blocks[block]:
+                    want[gene, role] = want.get((gene, role), 0) + 1
+        assert {(r["gene"], r["role"]): r["multiplicity"] for r in rows if r["seed"] == seed} == want
+
+
+def test_expression_chain(spark):
+    import numpy as np
+
+    from locusweave.functions import columns
+    from locusweave.operators import expression
+
+    tpm = np.random.default_rng(5).lognormal(1, 1, (30, 12))
+    tpm[:4] = 0.01
+    long = spark.createDataFrame([(g, k, float(tpm[g, k])) for g in range(30) for k in range(12)], "gene int, sample int, tpm double")
+    kept = long.join(expression.expressed_genes(long, "gene", "tpm", 0.1, 0.2), "gene", "left_semi").withColumn("log_tpm", columns.log_expression(F.col("tpm")))
+    got = {(r["gene"], r["sample"]): r["residual"] for r in expression.regress_out_pcs(kept, "gene", "sample", "log_tpm", 2).collect()}
+    x = np.log(tpm[4:] + 0.01)
+    z = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, keepdims=True)
+    top = np.linalg.svd(z, full_matrices=False)[2][:2]
+    want = (z - z @ top.T @ top) * x.std(axis=1, keepdims=True) + x.mean(axis=1, keepdims=True)
+    assert len(got) == 26 * 12 and all(abs(got[g + 4, k] - want[g, k]) < 1e-8 for g in range(26) for k in range(12))
