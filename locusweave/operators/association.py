@@ -96,3 +96,71 @@ def expression_correlation(df: DataFrame, gene: str, weight: str, beta: str, z:
         F.avg((F.signum(w) == F.signum(b)).cast("double")).alias("sign_agreement"),
     )
     return top.join(var, gene).withColumn("expression_correlation", F.try_divide(F.col("wb"), F.sqrt("signal_variance"))).drop("wb")
+
+
+def correlation_suite(
+    df: DataFrame, gene: str, variant: str, weight: str, beta: str, z: str, replicates: str,
+    alpha: float = 0.05, alpha_variant: float = 0.025, most_r: float = 0.8, ridge: float = 1e-10, block: int = 1000,
+) -> DataFrame:
+    """Per gene, thirteen figures on how an ensemble of predicted effects agrees with measured marginal effects b, R being the variants' correlation.
+
+    ``df`` has a row per variant: gene, variant, the mean prediction w, b, its z-score, standardised genotype ``std``, and w's replicates (an array,
+    as long in every row).  A prediction u has the correlation u'b / root of u'Ru, null where that root is 0.
+
+    expression_correlation, signal_variance (w'Rw), max_abs_effect and max_abs_z are of w and z.  noise_variance is the trace of R times the replicates'
+    sample covariance, correlation_p the rank p of the replicates' correlations, min_p the least rank p of a variant's replicates, and
+    correlation_uncertainty has the mean of the replicates' variances below the root.  The other correlations are of w changed:
+    correlation_z_scored takes mean by deviation of the replicates (0 where they do not vary), correlation_ridge the mean shrunk by ridge / (ridge + variance),
+    correlation_best_marginal only variants whose marginal predictions R u have a rank p under ``alpha``, correlation_sign_weighted w / (1 + variance / w^2),
+    and correlation_low_ld only variants with a rank p under ``alpha_variant`` and |r| under ``most_r`` with each other one.
+
+    R itself is only made for the largest |r| of each variant.  A gene's scores, replicates by samples, are one array: its size does not grow with the variants.
+    """
+    from locusweave.operators.replicates import rank_pvalue
+
+    rows = df.select(F.col(gene).alias("gene"), F.col(variant).alias("variant"), F.col(weight).alias("w"), F.col(beta).alias("b"), F.col(z).alias("z"), F.col(replicates).alias("bs"), "std")
+    rows = rows.select("*", F.inline(F.array(F.struct((_sum(F.col("bs")) / F.size("bs")).alias("bs_mean"), rank_pvalue(F.col("bs")).alias("p")))))
+    rows = rows.select("*", F.inline(F.array(F.struct((_sum(F.transform("bs", lambda x: F.pow(x - F.col("bs_mean"), 2))) / F.size("bs")).alias("bs_var")))))
+
+    each = rows.select("gene", "b", "std", F.posexplode("bs").alias("rep", "w"))
+    tops = each.groupBy("gene", "rep").agg(F.sum(F.col("w") * F.col("b")).alias("wb"))
+    scores = gene_scores(each, ["gene", "rep"], "w").groupBy("gene", "rep")
+    scores = scores.agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "score"))), lambda x: x["score"]).alias("scores"), F.avg(F.col("score") * F.col("score")).alias("wrw"))
+    ensembles = scores.join(tops, ["gene", "rep"]).groupBy("gene").agg(
+        F.collect_list("scores").alias("scores"), F.sum("wrw").alias("sum_wrw"), F.count(F.lit(1)).alias("reps"),
+        rank_pvalue(F.collect_list(F.try_divide(F.col("wb"), F.sqrt("wrw")))).alias("correlation_p"),
+    )
+
+    marginal = F.transform("scores", lambda s: _sum(F.zip_with(s, "std", lambda x, y: x * y)))
+    marginals = rows.select("gene", "variant", "std").join(ensembles.select("gene", "scores"), "gene").select("gene", "variant", F.inline(F.array(F.struct(marginal.alias("marginal")))))
+    marginals = marginals.select("gene", "variant", rank_pvalue(F.col("marginal")).alias("marginal_p"))
+    pairs = ld_pairs(rows, "gene", "variant", block).select("gene", F.explode(F.array("v1", "v2")).alias("variant"), F.abs("r").alias("r"))
+    rows = rows.join(marginals, ["gene", "variant"]).join(pairs.groupBy("gene", "variant").agg(F.max("r").alias("max_r")), ["gene", "variant"], "left")
+
+    w, mean, var = F.col("w"), F.col("bs_mean"), F.col("bs_var")
+    changed = F.array(
+        w, mean, F.coalesce(F.try_divide(mean, F.sqrt(var)), F.lit(0.0)), mean * ridge / (ridge + var), F.when(F.col("marginal_p") < alpha, w).otherwise(0.0),
+        F.when(w == 0, 0.0).otherwise(w / (1 + var / (w * w))), F.when((F.col("p") < alpha_variant) & (F.coalesce("max_r", F.lit(0.0)) < most_r), w).otherwise(0.0),
+    )
+    named = ["expression_correlation", "mean", "correlation_z_scored", "correlation_ridge", "correlation_best_marginal", "correlation_sign_weighted", "correlation_low_ld"]
+    each = rows.select("gene", "b", "std", F.posexplode(changed).alias("kind", "w"))
+    tops = each.groupBy("gene", "kind").agg(F.sum(F.col("w") * F.col("b")).alias("wb"))
+    kinds = gene_scores(each, ["gene", "kind"], "w").groupBy("gene", "kind").agg(F.avg(F.col("score") * F.col("score")).alias("wrw")).join(tops, ["gene", "kind"])
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, c))
+    found = kinds.groupBy("gene").agg(
+        *[of(k, F.try_divide(F.col("wb"), F.sqrt("wrw"))).alias(name) for k, name in enumerate(named) if name != "mean"],
+        of(0, F.col("wb")).alias("wb"), of(0, F.col("wrw")).alias("signal_variance"), of(1, F.col("wrw")).alias("mean_wrw"),
+    )
+    plain = rows.groupBy("gene").agg(F.count(F.lit(1)).alias("n_variants"), F.max(F.abs("w")).alias("max_abs_effect"), F.max(F.abs("z")).alias("max_abs_z"), F.min("p").alias("min_p"))
+    out = plain.join(found, "gene").join(ensembles.drop("scores"), "gene").withColumns({
+        "noise_variance": F.try_divide(F.col("sum_wrw") - F.col("reps") * F.col("mean_wrw"), F.col("reps") - 1),
+        "correlation_uncertainty": F.try_divide(F.col("wb"), F.sqrt(F.col("sum_wrw") / F.col("reps"))),
+    })
+    return out.select(F.col("gene").alias(gene), "n_variants", *SUITE)
+
+
+#: The thirteen figures of ``correlation_suite``.
+SUITE = [
+    "expression_correlation", "max_abs_z", "signal_variance", "noise_variance", "max_abs_effect", "correlation_p", "correlation_z_scored", "correlation_ridge", "min_p",
+    "correlation_uncertainty", "correlation_best_marginal", "correlation_sign_weighted", "correlation_low_ld",
+]

@@ -249,4 +249,63 @@ n AS (SELECT key, p_size - 25.0::double AS beta FROM v JOIN t USING (p_brand) WH
 a AS (SELECT l_partkey AS key, l_linenumber, sum(l_quantity) FILTER (l_linestatus = 'O') - sum(l_quantity) FILTER (l_linestatus <> 'O') AS delta FROM lineitem GROUP BY ALL HAVING count(*) FILTER (l_linestatus = 'O') = 1 AND count(*) FILTER (l_linestatus <> 'O') = 1),
 m AS (SELECT key, avg(delta)::double AS d FROM a GROUP BY 1), c AS (SELECT unnest([0.0::double, 5.0, 10.0]) AS threshold)
 SELECT threshold, count(*) AS n, round(corr(d, beta), 6) AS corr FROM n JOIN m USING (key) JOIN c ON abs(beta) > threshold OR threshold <= 0 GROUP BY 1""",
+    "e_twas_replicates": f"""WITH {GENO}, g1 AS (SELECT key, gene, unnest(z) AS g, generate_subscripts(z, 1) AS i FROM std), r AS (SELECT key, gene, zz, unnest(bs) AS w, generate_subscripts(bs, 1) AS k FROM std),
+s AS (SELECT r.gene, k, i, sum(w * g) AS s FROM r JOIN g1 ON r.key = g1.key AND r.gene = g1.gene GROUP BY ALL), q AS (SELECT gene, k, avg(s * s) AS wrw FROM s GROUP BY ALL), a AS (SELECT gene, k, sum(w * zz) AS wz FROM r GROUP BY ALL),
+t AS (SELECT gene, k, wz / sqrt(nullif(wrw, 0)) AS t FROM a JOIN q USING (gene, k))
+SELECT gene, round({RANKP.replace("value", "t")}, 6) AS p, round(any_value(t) FILTER (k = 1), 6) AS t0, round(any_value(t) FILTER (k = 8), 6) AS t7 FROM t GROUP BY gene""",
+    "e_delta_scores": """WITH a AS (SELECT l_suppkey, l_partkey, l_linenumber, sum(l_quantity) FILTER (l_linestatus = 'O') - sum(l_quantity) FILTER (l_linestatus <> 'O') AS delta FROM lineitem GROUP BY 1, 2, 3
+HAVING count(*) FILTER (l_linestatus = 'O') = 1 AND count(*) FILTER (l_linestatus <> 'O') = 1)
+SELECT l_suppkey, l_partkey, count(*) AS n, round(avg(delta), 6) AS mean_delta FROM a GROUP BY 1, 2""",
+    "e_permutation": f"""WITH {PART_EFFECTS}, a AS (SELECT key, cast(m * other >= 0 AS int) AS agree, row_number() OVER (ORDER BY p, key) <= 100 AS in_p, row_number() OVER (ORDER BY -abs(m), key) <= 100 AS in_x FROM pe),
+t AS (SELECT a.*, turn FROM a, (SELECT unnest(range(21)) AS turn) WHERE in_p OR in_x),
+f AS (SELECT turn, agree, row_number() OVER (PARTITION BY turn ORDER BY CASE WHEN turn = 0 THEN key ELSE (key * 7919 + turn * 104729) % 1000003 END, key) AS place FROM t),
+l AS (SELECT turn, in_p, in_x, row_number() OVER (PARTITION BY turn ORDER BY key) AS place FROM t)
+SELECT cast(turn AS int) AS round, round(avg(agree) FILTER (in_p) - avg(agree) FILTER (in_x), 6) + 0.0 AS difference FROM f JOIN l USING (turn, place) GROUP BY turn""",
+    "e_replicate_curves": f"""WITH c AS (SELECT n, iter, rep FROM (SELECT unnest([3, 5]) AS n), (SELECT unnest(range(4)) AS iter), (SELECT unnest(range(64)) AS rep)),
+d AS (SELECT n, iter, rep FROM c QUALIFY row_number() OVER (PARTITION BY n, iter ORDER BY {mix("rep + n * 1009 + iter * 100003", "7")}, rep) <= n),
+v AS (SELECT vec_id AS key, vec_id % 9 - 4.0::double AS truth, unnest(cast(embedding AS double[])) AS value, generate_subscripts(embedding, 1) - 1 AS rep FROM embeddings),
+r AS (SELECT n, iter, key, truth, avg(value) AS mean, count(*) FILTER (value > 0) AS up, count(*) FILTER (value < 0) AS down FROM v JOIN d USING (rep) GROUP BY ALL)
+SELECT cast(n AS int) AS n, cast(iter AS int) AS iter, count(*) AS hits, round(corr(mean, truth), 6) AS corr, round(avg(cast(mean * truth >= 0 AS int)), 6) AS concordance FROM r WHERE up = 0 OR down = 0 GROUP BY 1, 2""",
+    "q6_binarised_enrichment": """WITH v AS (SELECT p_size <= 10 AS e, 'size' AS annotation, p_size::double AS value FROM part UNION ALL SELECT p_size <= 10, 'price', p_retailprice::double FROM part UNION ALL SELECT p_size <= 10, 'even', (p_partkey % 2)::double FROM part),
+m AS (SELECT annotation, avg(value) AS cut, count(*) FILTER (value NOT IN (0, 1)) AS other FROM v GROUP BY 1), x AS (SELECT annotation, e, CASE WHEN other > 0 THEN value > cut ELSE value = 1 END AS o FROM v JOIN m USING (annotation)),
+t AS (SELECT annotation, count(*) FILTER (e AND o) AS a, count(*) FILTER (e AND NOT o) AS b, count(*) FILTER (NOT e AND o) AS c, count(*) FILTER (NOT e AND NOT o) AS d FROM x GROUP BY 1),
+k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS i FROM t),
+h AS (SELECT *, -(lgamma(i + 1) + lgamma(a + b - i + 1) + lgamma(a + c - i + 1) + lgamma(d - a + i + 1)) AS lp, -(lgamma(a + 1) + lgamma(b + 1) + lgamma(c + 1) + lgamma(d + 1)) AS lo FROM k),
+j AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY annotation)) AS p FROM h)
+SELECT annotation, a, b, c, d, round((a + 0.1::double) * (d + 0.1) / ((b + 0.1) * (c + 0.1)), 6) AS odds, round(least(sum(p) FILTER (lp <= lo + 1e-7) / sum(p), 1.0), 6) AS fisher_p FROM j GROUP BY annotation, a, b, c, d""",
+    "q12_meta_of_enrichment": f"""WITH {PART_EFFECTS}, x AS (SELECT p_brand, p_type, p <= 0.4 AS e, p_size <= 20 AS o FROM pe),
+t AS (SELECT p_brand, p_type, count(*) FILTER (e AND o)::double AS a, count(*) FILTER (e AND NOT o)::double AS b, count(*) FILTER (NOT e AND o)::double AS c, count(*) FILTER (NOT e AND NOT o)::double AS d FROM x GROUP BY ALL),
+f AS (SELECT p_type, (a / nullif(a + b, 0)) / nullif(c / nullif(c + d, 0), 0) AS fold, sqrt(1 / nullif(a, 0) - 1 / nullif(a + b, 0) + 1 / nullif(c, 0) - 1 / nullif(c + d, 0)) AS se FROM t),
+l AS (SELECT p_type, ln(fold) AS fold, se FROM f WHERE fold > 0 AND se > 0)
+SELECT p_type, count(*) AS n_studies, round(sum(fold / (se * se)) / sum(1 / (se * se)), 6) AS meta, round(sqrt(1 / sum(1 / (se * se))), 6) AS meta_se FROM l GROUP BY 1""",
+    "q14_expression_correlation": f"""WITH {GENO}, j AS (SELECT key, gene, z, bs, list_avg(bs) AS m, (p_size - 25) / 10.0::double AS b, (p_size - 25) / 2.0::double AS mz FROM std JOIN part ON p_partkey = key),
+v AS (SELECT * FROM j WHERE gene IN (SELECT gene FROM j GROUP BY 1 HAVING count(*) >= 5)), g1 AS (SELECT key, gene, unnest(z) AS g, generate_subscripts(z, 1) AS i FROM v), r AS (SELECT key, gene, b, m, unnest(bs) AS w, generate_subscripts(bs, 1) AS k FROM v),
+s AS (SELECT r.gene, k, i, sum(w * g) AS s FROM r JOIN g1 ON r.key = g1.key AND r.gene = g1.gene GROUP BY ALL), q AS (SELECT gene, k, avg(s * s) AS wrw FROM s GROUP BY ALL), a AS (SELECT gene, k, sum(w * b) AS wb FROM r GROUP BY ALL),
+e AS (SELECT gene, count(*) AS n, avg(wrw) AS total, {RANKP.replace("value", "(wb / sqrt(nullif(wrw, 0)))")} AS cp FROM q JOIN a USING (gene, k) GROUP BY gene),
+mm AS (SELECT g1.key, g1.gene, k, avg(s * g) AS value FROM g1 JOIN s ON s.gene = g1.gene AND s.i = g1.i GROUP BY ALL), mp AS (SELECT key, gene, {RANKP} AS mp FROM mm GROUP BY ALL),
+vp AS (SELECT key, gene, {RANKP.replace("value", "w")} AS vp, sum((w - m) ** 2) / count(*) AS var FROM r GROUP BY ALL), ld AS (SELECT x.key, x.gene, max(abs(list_inner_product(x.z, y.z) / 64)) AS r FROM v x JOIN v y ON x.gene = y.gene AND x.key <> y.key GROUP BY ALL),
+y AS (SELECT v.key, v.gene, b, m, mz, var, vp, mp, coalesce(r, 0) AS r FROM v JOIN mp USING (key, gene) JOIN vp USING (key, gene) LEFT JOIN ld USING (key, gene)),
+u AS (SELECT key, gene, b, unnest([m, coalesce(m / nullif(sqrt(var), 0), 0), m * 1e-10 / (1e-10 + var), CASE WHEN mp < 0.9 THEN m ELSE 0 END, CASE WHEN m = 0 THEN 0 ELSE m / (1 + var / (m * m)) END, CASE WHEN vp < 0.9 AND r < 0.4 THEN m ELSE 0 END]) AS w, unnest(range(6)) AS t FROM y),
+us AS (SELECT u.gene, t, i, sum(w * g) AS s FROM u JOIN g1 ON u.key = g1.key AND u.gene = g1.gene GROUP BY ALL), uq AS (SELECT gene, t, avg(s * s) AS wrw FROM us GROUP BY ALL), ub AS (SELECT gene, t, sum(w * b) AS wb FROM u GROUP BY ALL),
+o AS (SELECT gene, t, wrw, wb, wb / sqrt(nullif(wrw, 0)) AS c FROM uq JOIN ub USING (gene, t)),
+p AS (SELECT gene, count(*) AS n_variants, max(abs(mz)) AS max_abs_z, max(abs(m)) AS max_abs_effect, min(vp) AS min_p FROM y GROUP BY 1)
+SELECT gene, any_value(n_variants) AS n_variants, round(any_value(c) FILTER (t = 0), 6) + 0.0 AS expression_correlation, round(any_value(max_abs_z), 6) + 0.0 AS max_abs_z, round(any_value(wrw) FILTER (t = 0), 6) + 0.0 AS signal_variance,
+       round(any_value(n / (n - 1) * total) - any_value(n / (n - 1) * wrw) FILTER (t = 0), 6) + 0.0 AS noise_variance, round(any_value(max_abs_effect), 6) + 0.0 AS max_abs_effect, round(any_value(cp), 6) + 0.0 AS correlation_p,
+       round(any_value(c) FILTER (t = 1), 6) + 0.0 AS correlation_z_scored, round(any_value(c) FILTER (t = 2), 6) + 0.0 AS correlation_ridge, round(any_value(min_p), 6) + 0.0 AS min_p, round(any_value(wb / sqrt(total)) FILTER (t = 0), 6) + 0.0 AS correlation_uncertainty,
+       round(any_value(c) FILTER (t = 3), 6) + 0.0 AS correlation_best_marginal, round(any_value(c) FILTER (t = 4), 6) + 0.0 AS correlation_sign_weighted, round(any_value(c) FILTER (t = 5), 6) + 0.0 AS correlation_low_ld
+FROM o JOIN e USING (gene) JOIN p USING (gene) GROUP BY gene""",
+    "q15_concordance_report": f"""WITH {PART_EFFECTS}, ps AS (SELECT key, 2.0::double * (1 + least(count(*) FILTER (value >= -0.01), count(*) FILTER (value <= 0.01))) / (1 + count(value)) AS pm FROM reps GROUP BY key),
+g AS (SELECT m, other, pm AS p, abs(dist) AS apart, key, cast(m * other >= 0 AS double) AS agree FROM pe JOIN ps USING (key)), c AS (SELECT unnest([0.2::double, 0.4, 0.6, 2.0]) AS cut),
+a AS (SELECT cut, count(*) AS n, avg(agree) AS k FROM g JOIN c ON p < cut GROUP BY 1), b AS (SELECT unnest([0.0::double, 0.4]) AS low, unnest([0.4::double, 2.0]) AS high), l AS (SELECT unnest([0, 1, 2]) AS layer, unnest([0.0::double, 250, 500]) AS l_low, unnest([250.0::double, 500, 1001]) AS l_high),
+s AS (SELECT layer, low, high, count(*) AS n, 100 * avg(agree) AS k FROM g JOIN b ON p > low AND p <= high JOIN l ON apart >= l_low AND apart < l_high GROUP BY ALL),
+r AS (SELECT agree, row_number() OVER (ORDER BY p, key) AS r1, row_number() OVER (ORDER BY -abs(m), key) AS r2 FROM g),
+t AS (SELECT top, avg(agree) FILTER (r1 <= top) AS by_p, avg(agree) FILTER (r2 <= top) AS by_effect, count(*) FILTER (r1 <= top AND r2 <= top) AS n FROM r, (SELECT unnest([50, 100, 150]) AS top) GROUP BY top)
+SELECT 'concordance' AS part, 0.0::double AS low, cut AS high, n, round(k, 6) AS value, round(k - 1.96 * sqrt(k * (1 - k) / n), 6) AS lower, round(k + 1.96 * sqrt(k * (1 - k) / n), 6) AS upper FROM a
+UNION ALL SELECT 'concordance ' || layer, low, high, n, round(k, 6), round(greatest(k - 196 * sqrt(k / 100 * (1 - k / 100) / n), 0), 6), round(least(k + 196 * sqrt(k / 100 * (1 - k / 100) / n), 100), 6) FROM s
+UNION ALL SELECT 'power', l_low, l_high, count(*), round(avg(cast(p <= 0.4 AS double)), 6), NULL, NULL FROM g JOIN l ON apart >= l_low AND apart < l_high GROUP BY l_low, l_high
+UNION ALL SELECT 'top by_p', 0, top, n, round(by_p, 6), NULL, NULL FROM t UNION ALL SELECT 'top by_effect', 0, top, n, round(by_effect, 6), NULL, NULL FROM t""",
+    "q16_burden": f"""WITH {REPS}, t AS (SELECT p_brand AS gene, p_type AS trait, min(p_size) / 50.0::double AS pv, min(p_partkey) AS row FROM part GROUP BY 1, 2),
+g AS (SELECT gene, min(trait) AS trait FROM t WHERE pv <= 0.1 GROUP BY 1), s AS (SELECT p_brand AS gene, min(p_partkey) AS tss FROM part GROUP BY 1), m AS (SELECT key, avg(value) AS mean FROM reps GROUP BY 1),
+v AS (SELECT p_partkey AS pos FROM part WHERE p_partkey % 101 / 100.0::double <= 0.01 OR p_partkey % 101 / 100.0::double >= 0.99)
+SELECT gene, trait, count(*) AS n, round(avg(mean), 6) AS mean FROM v JOIN s ON abs(pos - tss) <= 250 JOIN g USING (gene) JOIN m ON m.key = pos GROUP BY ALL""",
 }

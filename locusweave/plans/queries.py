@@ -466,7 +466,7 @@ def e_regress_out_pcs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def e_replicate_curves(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors whose 5 or 10 drawn replicates agree in sign."""
+    """Vectors whose 3 or 5 drawn replicates agree in sign."""
     long = P.vectors(spark, sf).select("key", ((F.col("key") % 9) - 4.0).alias("truth"), F.posexplode("bs").alias("replicate", "value"))
     draws = resample.column_draws(spark, 64, [3, 5], 4, 7)
     out = replicates.replicate_curves(long, draws, "key", "replicate", "value", "truth")
@@ -701,6 +701,42 @@ def q12_meta_of_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("p_type", "n_studies", r6("meta").alias("meta"), r6("meta_se").alias("meta_se"))
 
 
+@query
+def q14_expression_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted effects with replicates joined to measured ones, genes with five variants or more, thirteen figures per gene."""
+    measured = P.table(spark, sf, "part").select(F.col("p_partkey").alias("key"), ((F.col("p_size") - 25) / 10.0).alias("beta"), ((F.col("p_size") - 25) / 2.0).alias("measured_z"))
+    rows = filters.min_rows(_standardized(spark, sf).join(measured, "key"), ["gene"], 5).withColumn("mean", F.aggregate("bs", F.lit(0.0), lambda a, x: a + x) / F.size("bs"))
+    # the ensembles here are noise, so all but the most even ones pass
+    out = association.correlation_suite(rows, "gene", "key", "mean", "beta", "measured_z", "bs", alpha=0.9, alpha_variant=0.9, most_r=0.4)
+    return out.select("gene", "n_variants", *[(r6(c) + 0.0).alias(c) for c in association.SUITE])
+
+
+@query
+def q15_concordance_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Replicates to rank p with a margin, then concordance by p, by bin of p and distance, power by distance, and the top lists, as one table."""
+    p = replicates.rank_pvalues(P.replicates(spark, sf), ["key"], "value", 0.01).select("key", "p")
+    g = _part_effects(spark, sf).drop("p").join(p, "key").withColumn("apart", F.abs("dist"))
+    cuts = F.explode(F.array(*[F.lit(c) for c in (0.2, 0.4, 0.6, 2.0)]))
+    by_p = concordance.sign_concordance(g.withColumn("cut", cuts).where(F.col("p") < F.col("cut")), ["cut"], "m", "other")
+    bins, layers = [(0, 0.4), (0.4, 2.0)], [(0, 250), (250, 500), (500, 1001)]
+    by_bin = concordance.binned_concordance(g, "m", "other", "p", bins, "apart", layers)
+    power = concordance.power_by_bin(g, "p", 0.4, "apart", layers)
+    tops = concordance.topn_compare(g, "p", "m", "other", "key", [50, 100, 150])
+    none = F.lit(None).cast("double")
+
+    def part(df, name, low, high, n, value, lower=none, upper=none):
+        return df.select(F.lit(name).alias("part"), F.col(low).cast("double").alias("low"), F.col(high).cast("double").alias("high"), n.cast("bigint").alias("n"), r6(value).alias("value"), r6(lower).alias("lower"), r6(upper).alias("upper"))
+
+    n, lower, upper = F.col("n"), F.col("lower"), F.col("upper")
+    out = part(by_p.withColumn("zero", F.lit(0)), "concordance", "zero", "cut", n, F.col("concordance"), lower, upper)
+    for k, (a, _) in enumerate(layers):
+        out = out.unionByName(part(by_bin.where(F.col("stratum_from") == a), f"concordance {k}", "bin_from", "bin_to", n, F.col("percent"), lower, upper))
+    out = out.unionByName(part(power, "power", "bin_from", "bin_to", n, F.col("power")))
+    for c in ("by_p", "by_effect"):
+        out = out.unionByName(part(tops.withColumn("zero", F.lit(0)), f"top {c}", "zero", "top", F.col("shared"), F.col(c)))
+    return out
+
+
 @query
 def q16_burden(spark: SparkSession, sf: str) -> DataFrame:
     """Significant genes by the first of ordered traits, rare variants near them, and their mean effect."""

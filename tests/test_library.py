@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +291,35 @@ def test_expression_chain(spark):
     top = np.linalg.svd(z, full_matrices=False)[2][:2]
     want = (z - z @ top.T @ top) * x.std(axis=1, keepdims=True) + x.mean(axis=1, keepdims=True)
     assert len(got) == 26 * 12 and all(abs(got[g + 4, k] - want[g, k]) < 1e-8 for g in range(26) for k in range(12))
+
+
+def test_correlation_suite(spark):
+    """Against the matrices themselves: one gene of six variants, one of one."""
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 3, (7, 40)).astype(float)
+    g[1] = g[0]  # in full correlation
+    std = (g - g.mean(1, keepdims=True)) / g.std(1, keepdims=True)
+    bs = rng.normal(0.3, 1.0, (7, 9))
+    bs[2] += 3
+    b = rng.normal(size=7)
+    rows = [("a" if k < 6 else "b", k, float(bs[k].mean()), float(b[k]), float(b[k] * 4), bs[k].tolist(), std[k].tolist()) for k in range(7)]
+    df = spark.createDataFrame(rows, "gene string, v long, w double, b double, z double, bs array<double>, std array<double>")
+    found = {r["gene"]: r for r in association.correlation_suite(df, "gene", "v", "w", "b", "z", "bs", 0.5, 0.5, 0.8, 0.1, 2).collect()}
+
+    def rank_p(x):
+        return 2 * (1 + np.minimum((x >= 0).sum(-1), (x <= 0).sum(-1))) / (1 + x.shape[-1])
+
+    for gene, at in (("a", slice(0, 6)), ("b", slice(6, 7))):
+        s, u, y = std[at], bs[at], b[at]
+        r, w, var = s @ s.T / 40, u.mean(1), u.var(1)
+        corr = lambda x: x @ y / np.sqrt(x @ r @ x) if np.abs(x).sum() else None  # noqa: B023, E731
+        apart = np.abs(r - np.eye(len(r))).max(1) < 0.8
+        expected = {
+            "expression_correlation": corr(w), "max_abs_z": np.abs(y * 4).max(), "signal_variance": w @ r @ w, "noise_variance": np.trace(r @ np.atleast_2d(np.cov(u))), "max_abs_effect": np.abs(w).max(),
+            "correlation_p": rank_p(np.array([corr(x) for x in u.T])), "correlation_z_scored": corr(w / np.sqrt(var)), "correlation_ridge": corr(w * 0.1 / (0.1 + var)), "min_p": rank_p(u).min(),
+            "correlation_uncertainty": w @ y / np.sqrt(np.mean([x @ r @ x for x in u.T])), "correlation_best_marginal": corr(np.where(rank_p(r @ u) < 0.5, w, 0)),
+            "correlation_sign_weighted": corr(w / (1 + var / w**2)), "correlation_low_ld": corr(np.where((rank_p(u) < 0.5) & apart, w, 0)),
+        }
+        assert set(expected) == set(association.SUITE)
+        for name, value in expected.items():
+            assert found[gene][name] == (None if value is None else pytest.approx(value)), name
