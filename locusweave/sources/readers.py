@@ -20,9 +20,12 @@ def file_part(pattern: str, group: int = 1):
 def read_allpairs(spark: SparkSession, path: str, tissues: list[str] | None = None, chroms: list[str] | None = None) -> DataFrame:
     """All-pairs association tables in Parquet, one file per tissue and chromosome, named ``<tissue>.<...>.<chrom>.parquet``.
 
-    Adds tissue and chrom from the name; with lists, only files of those are kept.
+    Adds tissue and chrom from the name; with lists, only files of those are listed and read, none if there is none.
     """
-    df = spark.read.parquet(path)
+    names = f"{{{','.join(tissues)}}}.*" if tissues else "*."
+    names += f"{{{','.join(chroms)}}}.parquet" if chroms else "parquet"
+    schema = spark.read.parquet(path).schema
+    df = spark.read.schema(schema).option("pathGlobFilter", names).parquet(path)
     df = df.withColumns({"tissue": file_part(r"([^/.]+)\.[^/]*$"), "chrom": file_part(r"\.(chr[0-9XYM]+)\.parquet$")})
     if tissues:
         df = df.where(F.col("tissue").isin(tissues))

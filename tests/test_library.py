@@ -323,3 +323,57 @@ def test_correlation_suite(spark):
         assert set(expected) == set(association.SUITE)
         for name, value in expected.items():
             assert found[gene][name] == (None if value is None else pytest.approx(value)), name
+
+
+def _lay(spark, folder, name, rows, schema):
+    """One Parquet file of a given name."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / "made" / name))
+    (folder / "named").mkdir(exist_ok=True)
+    next((folder / "made" / name).glob("*.parquet")).rename(folder / "named" / name)
+
+
+def test_allpairs(spark, tmp_path):
+    for k, name in enumerate(["Lung.v8.allpairs.chr1.parquet", "Lung.v8.allpairs.chr10.parquet", "Skin.v8.allpairs.chr1.parquet"]):
+        _lay(spark, tmp_path, name, [(f"g{k}", k)], "gene string, n int")
+    path = str(tmp_path / "named")
+    read = lambda *a: sorted(tuple(r) for r in readers.read_allpairs(spark, path, *a).select("gene", "tissue", "chrom").collect())
+    assert read() == [("g0", "Lung", "chr1"), ("g1", "Lung", "chr10"), ("g2", "Skin", "chr1")]
+    assert read(["Lung"]) == [("g0", "Lung", "chr1"), ("g1", "Lung", "chr10")]
+    assert read(None, ["chr1"]) == [("g0", "Lung", "chr1"), ("g2", "Skin", "chr1")]
+    assert read(["Lung", "Skin"], ["chr1"]) == [("g0", "Lung", "chr1"), ("g2", "Skin", "chr1")]
+    assert read(["Liver"]) == []
+    assert readers.read_allpairs(spark, path, ["Lung"], ["chr1"]).inputFiles() == [f"file://{tmp_path}/named/Lung.v8.allpairs.chr1.parquet"]
+
+
+def test_text_tables(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "t.tsv.gz", "wt") as f:
+        f.write("a\tb\nx\t1\ny\tNA\n")
+    df = readers.read_tsv(spark, str(tmp_path / "t.tsv.gz"), "a string, b double", partitions=3)
+    assert df.rdd.getNumPartitions() == 3 and sorted(map(tuple, df.collect())) == [("x", 1.0), ("y", None)]
+    (tmp_path / "p.bim").write_text("chr1\trs1\t0.5\t10\tA\tG\n")
+    assert tuple(readers.read_bim(spark, str(tmp_path / "p.bim")).first()) == ("chr1", "rs1", 0.5, 10, "A", "G")
+    head = "Category\tProp._SNPs\tProp._h2\tProp._h2_std_error\tEnrichment\tEnrichment_std_error\tEnrichment_p\n"
+    (tmp_path / "h").mkdir()
+    for trait in ("height", "bmi"):
+        (tmp_path / "h" / f"{trait}.results").write_text(head + "baseL2_0\t1\t1\t0\t1\t0\tNA\ncodingL2_0\t.1\t.2\t.01\t2.5\t.5\t.01\n")
+    assert [tuple(r) for r in readers.read_heritability(spark, str(tmp_path / "h"), ["bmi"]).collect()] == [("bmi", "coding", 2.5, 0.5)]
+
+
+def test_sinks(spark, tmp_path):
+    e = spark.createDataFrame([("lung", "v1", 0.5), ("skin", "v2", 1.5)], "tissue string, variant string, mean double")
+    writers.write_effects(e, str(tmp_path / "e"))
+    back = spark.read.parquet(str(tmp_path / "e"))
+    assert sorted(map(tuple, back.select("tissue", "variant", "mean").collect())) == sorted(map(tuple, e.collect()))
+    a = spark.createDataFrame([("c1", "chr1", "rs1", 1), ("c2", "chr2", "rs2", 0)], "class string, chrom string, rsid string, flag int")
+    writers.write_annotations(a, str(tmp_path / "a"))
+    back = spark.read.csv(str(tmp_path / "a"), sep="\t", header=True, schema="rsid string, flag int, class string, chrom string")
+    assert sorted(map(tuple, back.select("class", "chrom", "rsid", "flag").collect())) == sorted(map(tuple, a.collect()))
+    assert list((tmp_path / "a" / "class=c1" / "chrom=chr1").glob("*.csv.gz"))
+    p = spark.createDataFrame([("chr1", 10)], "chrom string, pos long")
+    assert tuple(writers.to_bed(p, "chrom", "pos").first()) == ("chr1", 10, 11) and tuple(writers.to_bed(p, "chrom", "pos", True).first()) == ("chr1", 9, 10)
+    t = spark.createDataFrame([("v", 100, 2, 1.0, 3.0), ("v", 100, 2, 2.0, 2.0)], "variant string, s long, bin int, ref double, alt double")
+    assert tuple(writers.prediction_bedgraph(t, "variant", "bin", "ref", "alt", "s", 32).first()) == ("v", 164, 196, 1.5, 2.5, 1.0)
+    preds, snps = spark.createDataFrame([(0, "g", [0.1, 0.2])], "snp_index int, gene string, logsed array<double>"), spark.createDataFrame([(0, "rs1")], "snp_index int, snp string")
+    assert tuple(readers.prediction_long(preds, snps).first()) == ("rs1", "g", [0.1, 0.2])
