@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from locusweave.llm import bpe, embeddings, langmodel, lines, minhash, mixing, sharding, syncmers, toxicity
+from locusweave.llm import bpe, embeddings, fillmiddle, langmodel, lines, minhash, mixing, sharding, syncmers, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,3 +191,31 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_language_model"] = op7_language_model
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts cut in code points and put together for filling in the middle, and the texts made from that again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fillmiddle.fill_in_middle(docs, "doc_id")
+    restored = fillmiddle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+QUERIES["op11_fill_in_middle"] = op11_fill_in_middle
+ORACLE_SQL["op11_fill_in_middle"] = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(cast(doc_id AS varchar), '')) AS h FROM documents),
+d AS (
+  SELECT doc_id, t, length(t) AS n, cast('0x' || h[1:8] AS bigint) AS h1, cast('0x' || h[9:16] AS bigint) AS h2, cast('0x' || h[17:24] AS bigint) AS h3, cast('0x' || h[25:32] AS bigint) AS h4 FROM h),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || left(t, i) || '<S>' || substring(t, j + 1) || '<M>' || substring(t, i + 1, j - i)
+    ELSE '<S>' || substring(t, j + 1) || '<P>' || left(t, i) || '<M>' || substring(t, i + 1, j - i) END AS output
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(t) AS restored_sha256
+FROM o"""
