@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from locusweave.llm import bpe, embeddings, fillmiddle, langmodel, lines, minhash, mixing, sharding, syncmers, toxicity
+from locusweave.llm import bpe, embeddings, fillmiddle, langmodel, lines, merkle, minhash, mixing, sharding, syncmers, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -219,3 +221,62 @@ o AS (
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
        sha256(output) AS output_sha256, sha256(t) AS restored_sha256
 FROM o"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle tree over all documents, a proof for each, and which of the tampered ones it finds."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    id_text = F.col("doc_id").cast("string")
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    tampered = F.when(F.crc32(id_text.cast("binary")) % 5 == 0, merkle.digest(*fields[:-1], F.translate("text", upper, lower)))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", merkle.digest(*fields).alias("leaf_digest"), tampered.alias("tampered"))
+    tree = merkle.manifest(docs, "doc_id", "source", "leaf_digest", carry=("tampered",))
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    out = tree.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES["op12_merkle_manifest"] = op12_merkle_manifest
+
+
+def _merkle_sql(source_levels: int = 4, group_levels: int = 3) -> str:
+    """SQL for op12_merkle_manifest, level by level: it holds for 16^4 documents a source and 16^3 sources, the SQL check's tables and many times more."""
+    field = lambda c: f"coalesce(strlen(cast({c} AS varchar)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    crc = """list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(k) + 1), lambda i: ascii(substring(k, i, 1))::bigint)),
+         lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::bigint[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::bigint) ELSE x >> 1 END))"""
+    with_ = [
+        f"""doc AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS s, {leaf('text')} AS leaf,
+         {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lower_leaf, cast(doc_id AS varchar) AS k FROM documents)""",
+        f"""crc AS (SELECT *, coalesce(xor({crc}, 4294967295::bigint) % 5 = 0, false) AS tampered FROM doc)""",
+        """leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM crc)""",
+        "a0 AS (SELECT s, i, n, leaf AS d FROM leaves)",
+        "pa0 AS (SELECT doc_id, s, i, n, leaf, '' AS proof, CASE WHEN tampered THEN lower_leaf ELSE leaf END AS fold FROM leaves)",
+    ]
+
+    def level(name: str, k: int, keep: str) -> None:
+        at, up = f"{name}{k}", f"{name}{k + 1}"
+        with_.extend([
+            f"f{at} AS (SELECT s, i // 16 AS g, n, list(d ORDER BY i) AS ds FROM {at} WHERE n > 1 GROUP BY ALL)",
+            f"{up} AS (SELECT * FROM {at} WHERE n = 1 UNION ALL SELECT s, g, (n + 15) // 16, sha256(array_to_string(ds, '')) FROM f{at})",
+            f"""p{up} AS (
+  SELECT {keep}, p.s, CASE WHEN f.g IS NULL THEN p.i ELSE f.g END AS i, CASE WHEN f.g IS NULL THEN p.n ELSE (p.n + 15) // 16 END AS n, leaf,
+         CASE WHEN f.g IS NULL THEN proof ELSE proof || array_to_string(ds[1:p.i % 16], '') || array_to_string(ds[p.i % 16 + 2:], '') END AS proof,
+         CASE WHEN f.g IS NULL THEN fold ELSE sha256(array_to_string(ds[1:p.i % 16], '') || fold || array_to_string(ds[p.i % 16 + 2:], '')) END AS fold
+  FROM p{at} p LEFT JOIN f{at} f ON f.s = p.s AND f.g = p.i // 16 AND p.n > 1)""",
+        ])
+
+    for k in range(source_levels):
+        level("a", k, "doc_id")
+    with_.append(f"subroots AS (SELECT s AS source, d AS subroot, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n FROM a{source_levels})")
+    with_.append("b0 AS (SELECT '' AS s, i, n, subroot AS d FROM subroots)")
+    with_.append(f"pb0 AS (SELECT doc_id, subroot, '' AS s, r.i, r.n, leaf, proof, fold FROM pa{source_levels} p JOIN subroots r ON r.source = p.s)")
+    for k in range(group_levels):
+        level("b", k, "doc_id, subroot")
+    return f"""WITH {", ".join(with_)}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = d AS verified FROM pb{group_levels}, b{group_levels}"""
+
+
+ORACLE_SQL["op12_merkle_manifest"] = _merkle_sql()
