@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from locusweave.llm import bpe, embeddings, fillmiddle, langmodel, lines, merkle, minhash, mixing, sharding, syncmers, toxicity
+from locusweave.llm import bpe, embeddings, fillmiddle, langmodel, licenses, lines, merkle, minhash, mixing, sharding, syncmers, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -280,3 +280,36 @@ SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, fold AS
 
 
 ORACLE_SQL["op12_merkle_manifest"] = _merkle_sql()
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    out = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def _licenses_sql(percent: int = 80) -> str:
+    """SQL for op13_licenses: every block against every notice of its size."""
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    notices = [(label, licenses._split(text)) for label, text in licenses.NOTICES]
+    values = ", ".join(f"({k}, '{label}', {licenses.stride(len(w))}, {licenses.needed(len(set(w)), percent)}, {quoted(sorted(set(w)))})" for k, (label, w) in enumerate(notices))
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
+    return rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.WORD}') AS w, row_number() OVER () AS r FROM documents),
+notice(k, label, stride, least, words) AS (VALUES {values}),
+phrase(p, label) AS (VALUES {phrases}),
+place AS (SELECT r, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS spot FROM w, phrase),
+base AS (SELECT r, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS base_labels FROM place GROUP BY r),
+block AS (SELECT r, stride, list_distinct(w[start * stride + 1:start * stride + 2 * stride]) AS held
+  FROM (SELECT r, w, stride, unnest(range(0, (len(w) + stride - 1) // stride)) AS start FROM w, (SELECT DISTINCT stride FROM notice))),
+near AS (SELECT DISTINCT r, label, len(list_intersect(held, words)) / len(words)::double AS share FROM block JOIN notice USING (stride) WHERE len(list_intersect(held, words)) >= least),
+best AS (SELECT r, list(DISTINCT label) AS near_labels, max(share) AS share FROM near GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base_labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(base_labels, near_labels))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::double AS score
+FROM w LEFT JOIN base ON base.r = w.r LEFT JOIN best ON best.r = w.r"""
+
+
+QUERIES["op13_licenses"] = op13_licenses
+ORACLE_SQL["op13_licenses"] = _licenses_sql()
