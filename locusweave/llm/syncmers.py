@@ -7,22 +7,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from locusweave.llm.naming import free_names
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Texts up to so many code points are cut in code points, longer ones in words; up to TINY, k-mers are shorter.  Shorter texts are
-#: cut in the coarser ways too, to be compared with longer ones.
-SHORT = 512
-TINY = 48
-#: (k, s): tokens in a k-mer and in the inner substrings that are compared.
+#: What texts of every length and script are cut in: up to four letters or digits of a run, counted from its start, or one other character; white space only separates.
+TOKEN = r"[\p{L}\p{N}]{1,4}|[^\p{L}\p{N}\x20\x09-\x0D]"
+#: (k, s): tokens in a k-mer and in the inner substrings that are compared; WORDS is that of ``positional_matches``, whose tokens are words.
+SIZE = (10, 2)
 WORDS = (6, 2)
-CODE_POINTS = (9, 3)
-FEW = (4, 1)
 #: Ranges of ids at most, when the next document is looked for.
 RANGES = 1024
 
 
 def tokens(text: Column) -> Column:
-    """Code points of a short text, words of a longer one; none of a text of white space alone."""
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    return F.when((F.length(text) <= SHORT) & text.rlike(r"[^\x20\x09-\x0D]"), F.split(text, "")).otherwise(words)
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def anchors(hashes: str, inner: str, size: tuple[int, int]) -> Column:
@@ -49,35 +44,15 @@ def _sketch(hashes: str, inner: str, size: tuple[int, int]) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``name``: sketches (array of int) in short k-mers of code points, in k-mers of code points and in words.
+    """Add ``name``, the fingerprint (array of int): the 32-bit hashes of all distinct anchors of the whole text, in its order.
 
-    A text has that of its length and all coarser ones, null before; ``own`` is the first that it has.  So any two texts can be
-    compared in the kind that the longer one's length asks for.  A text of fewer tokens than a k-mer has one anchor, all of it;
-    an empty or null text, or one of only white space, none.  Every token of the text is looked at.
+    All texts are cut in the same tokens and k-mers, so any two fingerprints can be compared.  A text of fewer tokens than a k-mer has one anchor,
+    all of it; an empty or null text, or one of only white space, none.
     """
-    h, w, few, some, s = free_names(docs, "sync_points", "sync_words", "sync_few", "sync_some", "sync_inner")
-    short, tiny = F.length(text) <= SHORT, F.length(text) <= TINY
-    points = F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.split(text, "")).otherwise(F.array().cast("array<string>"))
-    words = F.filter(F.split(text, SPACE), lambda x: x != "")
-    out = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumns({h: F.when(short, F.transform(points, lambda x: F.xxhash64(x))), w: F.transform(words, lambda x: F.xxhash64(x))})
-    pair = F.transform(w, lambda x, i: F.xxhash64(x, F.get(F.col(w), i + 1)))
-    triple = F.transform(h, lambda x, i: F.xxhash64(x, F.get(F.col(h), i + 1), F.get(F.col(h), i + 2)))
-    out = out.withColumns({few: F.when(tiny, F.transform(h, lambda x: F.xxhash64(F.lit(1), x))), some: F.when(short, triple), s: pair})
-    sketches = F.array(F.when(tiny, _sketch(h, few, FEW)), F.when(short, _sketch(h, some, CODE_POINTS)), _sketch(w, s, WORDS))
-    return out.withColumn(name, sketches).drop(h, w, few, some, s)
-
-
-def own(sketches: str) -> Column:
-    """The sketch of the kind that the text's length asks for."""
-    return F.coalesce(*[F.get(F.col(sketches), F.lit(k)) for k in range(3)])
-
-
-def near(a: str, b: str) -> Column:
-    """``likeness`` in the finest kind that both have, which is that of the longer text."""
-    x, y = ([F.get(F.col(c), F.lit(k)) for k in range(3)] for c in (a, b))
-    both = [p.isNotNull() & q.isNotNull() for p, q in zip(x, y)]
-    return F.when(both[0], likeness(x[0], y[0])).when(both[1], likeness(x[1], y[1])).otherwise(likeness(x[2], y[2]))
+    h, s = free_names(docs, "sync_tokens", "sync_inner")
+    out = docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn(h, F.transform(tokens(F.col(text)), lambda x: F.xxhash64(x)))
+    out = out.withColumn(s, F.transform(h, lambda x, i: F.xxhash64(x, F.get(F.col(h), i + 1))))
+    return out.withColumn(name, _sketch(h, s, SIZE)).drop(h, s)
 
 
 def as_text(sketch: str) -> Column:
@@ -85,7 +60,7 @@ def as_text(sketch: str) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: str, b: str) -> Column:
     """0 to 1: the share of common anchors (Dice) among all of both; 1 for two empty ones."""
     all_ = F.size(a) + F.size(b)
     return F.when(all_ == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / all_)
@@ -150,7 +125,7 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     The edited text has its last third (rounded down, in code points) replaced by as many first code points, or all, of the
     next document by descending ``doc_id``.  Returns doc_id, n_chars, edited (the text), sketch, edited_sketch, near_edited,
-    near_next, next_id, next_n_chars.  A null text is an empty one; a null doc_id comes last; equal doc_ids are ordered by a hash; rows equal in
+    near_next, next_id, next_n_chars; both likenesses are of the fingerprints returned.  A null text is an empty one; a null doc_id comes last; equal doc_ids are ordered by a hash; rows equal in
     doc_id and text are one document with one next document, and a document alone is its own next.  Other columns are not kept.
 
     Texts are shuffled once by a hash of the row, which both the row and its neighbour use; a neighbour is sent the part of
@@ -171,7 +146,7 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     out = out.withColumn("edited", F.concat(head, "tail"))
     out = fingerprints(out, "edited", "edited_prints")
     return out.select(
-        F.col("id").alias(doc_id), F.col("n").alias("n_chars"), "edited", own("prints").alias("sketch"), own("edited_prints").alias("edited_sketch"),
-        near("prints", "edited_prints").alias("near_edited"), near("prints", "next_prints").alias("near_next"),
+        F.col("id").alias(doc_id), F.col("n").alias("n_chars"), "edited", F.col("prints").alias("sketch"), F.col("edited_prints").alias("edited_sketch"),
+        likeness("prints", "edited_prints").alias("near_edited"), likeness("prints", "next_prints").alias("near_next"),
         F.col("next_id"), F.col("next_n_chars"),
     )

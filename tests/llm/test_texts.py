@@ -1,3 +1,5 @@
+import ctypes
+import functools
 import hashlib
 import math
 import random
@@ -5,6 +7,8 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from locusweave.llm import bpe, langmodel, lines, minhash, mixing, sharding, syncmers, toxicity
@@ -108,16 +112,36 @@ def test_fingerprints(spark):
     assert syncmers.edited_likeness(df.where("false")).count() == 0
 
 
-def test_syncmers_match_their_definition(spark):
-    """Which k-mers are chosen, held against the definition on the same hashes."""
-    text = " ".join(f"w{(k * k) % 23}" for k in range(60)) + " " + "tail " * 150
-    df = spark.createDataFrame([(1, text)], DOCS)
-    k, s = syncmers.WORDS
-    rows = df.select(F.transform(syncmers.tokens(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    rows = rows.select("h", F.transform("h", lambda x, i: F.xxhash64(x, F.get(F.col("h"), i + 1))).alias("s"))
-    r = rows.select("s", syncmers.anchors("h", "s", syncmers.WORDS).alias("a")).first()
-    want = [i for i in range(len(r["s"]) - k + 1) if min(r["s"][i], r["s"][i + k - s]) <= min(r["s"][i + 1 : i + k - s])]
-    assert [a["pos"] for a in r["a"]] == want
+def _fingerprint(text):
+    """Distinct 32-bit hashes of the closed syncmers of a text, in order."""
+    step = lambda seed, x: ctypes.c_int64(xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed % 2**64)).value
+    chain = lambda xs: functools.reduce(step, xs, 42)
+    h = [ctypes.c_int64(xxhash.xxh64_intdigest(t.encode(), 42)).value for t in regex.findall(syncmers.TOKEN, text)]
+    k, s = syncmers.SIZE
+    kmers = [h[i : i + k] for i in range(len(h) - k + 1)] if len(h) >= k else [h] if h else []
+    inner = lambda m: [chain(m[j : j + s]) for j in range(k - s + 1)]
+    kept = [m for m in kmers if len(m) < k or min(inner(m)) in (inner(m)[0], inner(m)[-1])]
+    return list(dict.fromkeys(chain(m) >> 32 for m in kept))
+
+
+def _dice(a, b):
+    return 2 * len(set(a) & set(b)) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_fingerprints_and_likeness_are_those_of_the_definition(spark):
+    rnd = random.Random(31)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 9))) for _ in range(n))[:n]
+    texts = [prose(n) for n in (48, 49, 512, 513, 693, 20, 5000)] + ["".join(rnd.choice("漢字仮名交文章作語日本") for _ in range(3000)), "".join(rnd.choice("abcXYZ019+/") for _ in range(3000)), "a" * 900, "- " * 300, "", None, " \n", "x"]
+    docs = [(k, t) for k, t in enumerate(texts)]
+    edited = _edited(docs)
+    order = sorted((k for k, _ in docs), reverse=True)
+    after = {k: texts[order[(i + 1) % len(order)]] or "" for i, k in enumerate(order)}
+    for r in syncmers.edited_likeness(spark.createDataFrame(docs, DOCS)).collect():
+        own, other, following = (_fingerprint(t) for t in (texts[r["doc_id"]] or "", edited[r["doc_id"]], after[r["doc_id"]]))
+        assert (r["sketch"], r["edited_sketch"]) == (own, other)
+        assert r["near_edited"] == pytest.approx(_dice(own, other)) and r["near_next"] == pytest.approx(_dice(own, following))
+        if len(own) > 20:  # two thirds are as they were
+            assert r["near_edited"] > 0.5
 
 
 def test_next_in_order_with_repeated_ids(spark):
