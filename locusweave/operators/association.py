@@ -1,18 +1,27 @@
 """Gene-level association by the score identity: no variant-by-variant matrix is made.
 
 With standardised genotypes z and weights w, w'Rw is the mean over samples of the squared score s = sum of w z, and
-R w is the mean over samples of z s.  So every step is a sum over (gene, sample).
+R w is the mean over samples of z s.  So every step is a product of a gene's matrices, made in blocks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from locusweave.operators.matrices import BLOCK, in_blocks, largest_correlations, marginal_signs, weighted_sums
+from locusweave.operators.storage import stored
+
 
 def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
+def mean_square(xs: str) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x * x) / F.size(xs)
+
+
 def allele_frequency(dosages: str) -> Column:
     """Sum of dosages by twice the samples."""
     d = F.transform(dosages, lambda x: x.cast("double"))
@@ -55,52 +64,60 @@ def ld_pairs(genotypes: DataFrame, gene: str, variant: str, most: int) -> DataFr
     return pairs.select(gene, "v1", "v2", (_sum(F.zip_with("s1", "s2", lambda x, y: x * y)) / F.size("s1")).alias("r"))
 
 
-def gene_scores(df: DataFrame, by: list[str], weight: str) -> DataFrame:
-    """(by, sample, score): sum over variants of weight times standardised genotype."""
-    each = df.select(*by, F.col(weight).alias("w"), F.posexplode("std").alias("sample", "g"))
-    return each.groupBy(*by, "sample").agg(F.sum(F.col("w") * F.col("g")).alias("score"))
+def complete(df: DataFrame, values: list[str], weights: str | None = None) -> DataFrame:
+    """Rows whose values, and whose weights, are all known and finite."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    tests = [finite(F.col(c).cast("double")) for c in values]
+    if weights:
+        tests.append(F.col(weights).isNotNull() & F.forall(weights, lambda x: finite(x.cast("double"))))
+    return df.where(reduce(lambda a, b: a & b, tests))
 
 
 def twas(df: DataFrame, gene: str, weight: str, z: str, min_variants: int = 1) -> DataFrame:
     """(gene, n_variants, twas_z): w'z by the root of w'Rw, from rows (gene, weight, z, std)."""
-    top = df.groupBy(gene).agg(F.count(F.lit(1)).alias("n_variants"), F.sum(F.col(weight) * F.col(z)).alias("wz"))
-    var = gene_scores(df, [gene], weight).groupBy(gene).agg(F.avg(F.col("score") * F.col("score")).alias("wrw"))
-    out = top.where(F.col("n_variants") >= min_variants).join(var, gene)
-    return out.select(gene, "n_variants", F.try_divide(F.col("wz"), F.sqrt("wrw")).alias("twas_z"), "wrw")
+    rows = in_blocks(df.withColumn("weights", F.array(weight)), gene, "std")
+    top = df.groupBy(gene).agg(F.count(F.lit(1)).alias("n_variants")).where(F.col("n_variants") >= min_variants)
+    sums = weighted_sums(rows, gene, "weights", "std", [z]).select(gene, F.col(z).alias("wz"), mean_square("scores").alias("wrw"))
+    return top.join(sums, gene).select(gene, "n_variants", F.try_divide(F.col("wz"), F.sqrt("wrw")).alias("twas_z"), "wrw")
 
 
 def twas_replicates(df: DataFrame, gene: str, weights: str, z: str) -> DataFrame:
     """(gene, twas_bs): the statistic of each replicate of the weights (an array), in order; rank p-values follow from it."""
-    each = df.select(gene, F.col(z).alias("z"), "std", F.posexplode(weights).alias("rep", "w"))
-    top = each.groupBy(gene, "rep").agg(F.sum(F.col("w") * F.col("z")).alias("wz"))
-    var = gene_scores(each, [gene, "rep"], "w").groupBy(gene, "rep").agg(F.avg(F.col("score") * F.col("score")).alias("wrw"))
-    both = top.join(var, [gene, "rep"]).withColumn("t", F.try_divide(F.col("wz"), F.sqrt("wrw")))
-    return both.groupBy(gene).agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "t"))), lambda x: x["t"]).alias("twas_bs"))
+    sums = weighted_sums(in_blocks(df, gene, "std"), gene, weights, "std", [z])
+    each = sums.select(gene, "kind", F.try_divide(F.col(z), F.sqrt(mean_square("scores"))).alias("t"))
+    return each.groupBy(gene).agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "t"))), lambda x: x["t"]).alias("twas_bs"))
+
 
+def twas_ensemble(df: DataFrame, gene: str, variant: str, weight: str, replicates: str, z: str, min_variants: int = 10) -> DataFrame:
+    """Per gene, the association of an ensemble of predicted effects: n_variants, twas_z, twas_p, uncertainty_z, twas_bs.
 
-def expression_correlation(df: DataFrame, gene: str, weight: str, beta: str, z: str | None = None, p: str | None = None) -> DataFrame:
-    """Per gene, how predicted effects w of its variants agree with measured marginal effects b, R being the variants' correlation.
+    ``df`` has a row per variant: the mean prediction, its replicates (an array), the association's z-score and the standardised genotype ``std``.  twas_z is w'z by the
+    root of w'Rw for the mean prediction w, twas_bs the same for each replicate and twas_p its rank p.  uncertainty_z weighs by what the replicates
+    disagree on: m'z, m being the mean of the replicates, by the root of the mean over replicates u of u'Ru.
 
-    ``df`` has a row per variant: gene, w, b, standardised genotype ``std`` and, where given, the z-score and the predictions' p-value.
-    Returns n_variants, signal_variance (w'Rw), expression_correlation (w'b / root of w'Rw), max_abs_effect, max_abs_beta, max_abs_z,
-    min_p, best_marginal (b of the variant with the smallest p, signed as w), and sign_agreement (share of variants where w and b have one sign).
-    w'Rw is the mean square of per-sample scores, so R is never made.
+    Variants without a finite z or with a replicate that is not finite are left out, then genes with fewer than ``min_variants``.  Where a root is 0 or its square not
+    finite the statistic is null, and a null one counts on neither side of the rank p.  One pass over the variants makes all of it.
     """
-    w, b = F.col(weight), F.col(beta)
-    var = gene_scores(df, [gene], weight).groupBy(gene).agg(F.avg(F.col("score") * F.col("score")).alias("signal_variance"))
-    none = F.lit(None).cast("double")
-    top = df.groupBy(gene).agg(
-        F.count(F.lit(1)).alias("n_variants"), F.sum(w * b).alias("wb"), F.max(F.abs(w)).alias("max_abs_effect"), F.max(F.abs(b)).alias("max_abs_beta"),
-        (F.max(F.abs(F.col(z))) if z else none).alias("max_abs_z"), (F.min(F.col(p)) if p else none).alias("min_p"),
-        (F.min_by(b * F.signum(w), F.struct(F.col(p), -F.abs(w), -F.abs(b), b)) if p else none).alias("best_marginal"),
-        F.avg((F.signum(w) == F.signum(b)).cast("double")).alias("sign_agreement"),
+    from locusweave.operators.replicates import rank_pvalue
+
+    rows = complete(df, [z, weight], replicates).withColumn("weights", F.concat(F.array(F.col(weight).cast("double")), F.col(replicates).cast("array<double>")))
+    rows = in_blocks(rows.select(gene, variant, "weights", "std", z), gene, variant)
+    top = rows.groupBy(gene).agg(F.count(F.lit(1)).alias("n_variants")).where(F.col("n_variants") >= min_variants)
+    sums = weighted_sums(rows, gene, "weights", "std", [z]).select(gene, "kind", F.col(z).alias("wz"), mean_square("scores").alias("wrw"))
+    usable = (F.col("wrw") > 0) & ~F.isnan("wrw") & (F.col("wrw") != float("inf"))
+    sums = sums.withColumn("t", F.when(usable, F.col("wz") / F.sqrt("wrw")))
+    replicate = F.col("kind") > 0
+    found = sums.groupBy(gene).agg(
+        F.max(F.when(~replicate, F.col("t"))).alias("twas_z"), F.avg(F.when(replicate, F.col("wz"))).alias("mean_wz"), F.avg(F.when(replicate, F.col("wrw"))).alias("mean_wrw"),
+        F.transform(F.array_sort(F.collect_list(F.when(replicate, F.struct("kind", "t")))), lambda x: x["t"]).alias("twas_bs"),
     )
-    return top.join(var, gene).withColumn("expression_correlation", F.try_divide(F.col("wb"), F.sqrt("signal_variance"))).drop("wb")
+    total = F.when((F.col("mean_wrw") > 0) & ~F.isnan("mean_wrw"), F.col("mean_wz") / F.sqrt("mean_wrw"))
+    return top.join(found, gene).select(gene, "n_variants", "twas_z", rank_pvalue(F.col("twas_bs")).alias("twas_p"), total.alias("uncertainty_z"), "twas_bs")
 
 
 def correlation_suite(
     df: DataFrame, gene: str, variant: str, weight: str, beta: str, z: str, replicates: str,
-    alpha: float = 0.05, alpha_variant: float = 0.025, most_r: float = 0.8, ridge: float = 1e-10, block: int = 1000,
+    alpha: float = 0.05, alpha_variant: float = 0.025, most_r: float = 0.8, ridge: float = 1e-10, block: int = BLOCK,
 ) -> DataFrame:
     """Per gene, thirteen figures on how an ensemble of predicted effects agrees with measured marginal effects b, R being the variants' correlation.
 
@@ -114,45 +131,37 @@ def correlation_suite(
     correlation_best_marginal only variants whose marginal predictions R u have a rank p under ``alpha``, correlation_sign_weighted w / (1 + variance / w^2),
     and correlation_low_ld only variants with a rank p under ``alpha_variant`` and |r| under ``most_r`` with each other one.
 
-    R itself is only made for the largest |r| of each variant.  A gene's scores, replicates by samples, are one array: its size does not grow with the variants.
+    The input is stored once.  One pass of block products makes all sums that do not depend on marginal predictions or correlations between variants, one
+    pass each makes those, and a last one the two weightings that follow; of R only each variant's largest |r| leaves a tile.
     """
     from locusweave.operators.replicates import rank_pvalue
 
-    rows = df.select(F.col(gene).alias("gene"), F.col(variant).alias("variant"), F.col(weight).alias("w"), F.col(beta).alias("b"), F.col(z).alias("z"), F.col(replicates).alias("bs"), "std")
+    rows = df.select(F.col(gene).alias("gene"), F.col(variant).alias("variant"), F.col(weight).cast("double").alias("w"), F.col(beta).cast("double").alias("b"), F.col(z).alias("z"), F.col(replicates).cast("array<double>").alias("bs"), "std")
     rows = rows.select("*", F.inline(F.array(F.struct((_sum(F.col("bs")) / F.size("bs")).alias("bs_mean"), rank_pvalue(F.col("bs")).alias("p")))))
     rows = rows.select("*", F.inline(F.array(F.struct((_sum(F.transform("bs", lambda x: F.pow(x - F.col("bs_mean"), 2))) / F.size("bs")).alias("bs_var")))))
-
-    each = rows.select("gene", "b", "std", F.posexplode("bs").alias("rep", "w"))
-    tops = each.groupBy("gene", "rep").agg(F.sum(F.col("w") * F.col("b")).alias("wb"))
-    scores = gene_scores(each, ["gene", "rep"], "w").groupBy("gene", "rep")
-    scores = scores.agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "score"))), lambda x: x["score"]).alias("scores"), F.avg(F.col("score") * F.col("score")).alias("wrw"))
-    ensembles = scores.join(tops, ["gene", "rep"]).groupBy("gene").agg(
-        F.collect_list("scores").alias("scores"), F.sum("wrw").alias("sum_wrw"), F.count(F.lit(1)).alias("reps"),
-        rank_pvalue(F.collect_list(F.try_divide(F.col("wb"), F.sqrt("wrw")))).alias("correlation_p"),
-    )
-
-    marginal = F.transform("scores", lambda s: _sum(F.zip_with(s, "std", lambda x, y: x * y)))
-    marginals = rows.select("gene", "variant", "std").join(ensembles.select("gene", "scores"), "gene").select("gene", "variant", F.inline(F.array(F.struct(marginal.alias("marginal")))))
-    marginals = marginals.select("gene", "variant", rank_pvalue(F.col("marginal")).alias("marginal_p"))
-    pairs = ld_pairs(rows, "gene", "variant", block).select("gene", F.explode(F.array("v1", "v2")).alias("variant"), F.abs("r").alias("r"))
-    rows = rows.join(marginals, ["gene", "variant"]).join(pairs.groupBy("gene", "variant").agg(F.max("r").alias("max_r")), ["gene", "variant"], "left")
-
     w, mean, var = F.col("w"), F.col("bs_mean"), F.col("bs_var")
-    changed = F.array(
-        w, mean, F.coalesce(F.try_divide(mean, F.sqrt(var)), F.lit(0.0)), mean * ridge / (ridge + var), F.when(F.col("marginal_p") < alpha, w).otherwise(0.0),
-        F.when(w == 0, 0.0).otherwise(w / (1 + var / (w * w))), F.when((F.col("p") < alpha_variant) & (F.coalesce("max_r", F.lit(0.0)) < most_r), w).otherwise(0.0),
-    )
-    named = ["expression_correlation", "mean", "correlation_z_scored", "correlation_ridge", "correlation_best_marginal", "correlation_sign_weighted", "correlation_low_ld"]
-    each = rows.select("gene", "b", "std", F.posexplode(changed).alias("kind", "w"))
-    tops = each.groupBy("gene", "kind").agg(F.sum(F.col("w") * F.col("b")).alias("wb"))
-    kinds = gene_scores(each, ["gene", "kind"], "w").groupBy("gene", "kind").agg(F.avg(F.col("score") * F.col("score")).alias("wrw")).join(tops, ["gene", "kind"])
+    first = ["expression_correlation", "mean", "correlation_z_scored", "correlation_ridge", "correlation_sign_weighted"]
+    changed = F.array(w, mean, F.coalesce(F.try_divide(mean, F.sqrt(var)), F.lit(0.0)), mean * ridge / (ridge + var), F.when(w == 0, 0.0).otherwise(w / (1 + var / (w * w))))
+    rows = stored(rows.select("gene", "variant", "w", "b", "z", "p", "std", F.concat(changed, "bs").alias("weights")))
+    rows = in_blocks(rows, "gene", "variant", block)
+
+    sums = stored(weighted_sums(rows, "gene", "weights", "std", ["b"]).withColumn("wrw", mean_square("scores")))
+    replicate = F.col("kind") >= len(first)
+    ratio = F.try_divide(F.col("b"), F.sqrt("wrw"))
     of = lambda k, c: F.max(F.when(F.col("kind") == k, c))
-    found = kinds.groupBy("gene").agg(
-        *[of(k, F.try_divide(F.col("wb"), F.sqrt("wrw"))).alias(name) for k, name in enumerate(named) if name != "mean"],
-        of(0, F.col("wb")).alias("wb"), of(0, F.col("wrw")).alias("signal_variance"), of(1, F.col("wrw")).alias("mean_wrw"),
+    found = sums.groupBy("gene").agg(
+        *[of(k, ratio).alias(name) for k, name in enumerate(first) if name != "mean"], of(0, F.col("b")).alias("wb"), of(0, F.col("wrw")).alias("signal_variance"), of(1, F.col("wrw")).alias("mean_wrw"),
+        F.sum(F.when(replicate, F.col("wrw"))).alias("sum_wrw"), F.count_if(replicate).alias("reps"), rank_pvalue(F.collect_list(F.when(replicate, ratio))).alias("correlation_p"),
     )
+    signs = marginal_signs(rows, sums.where(replicate), "gene", "variant", "std").select("gene", "variant", (2 * (1 + F.least("up", "down")) / (1 + F.col("kinds"))).alias("marginal_p"))
+    others = largest_correlations(rows, "gene", "variant", "std")
+    named = ["correlation_best_marginal", "correlation_low_ld"]
+    chosen = rows.join(signs, ["gene", "variant"]).join(others, ["gene", "variant"])
+    kept = F.array(F.when(F.col("marginal_p") < alpha, w).otherwise(0.0), F.when((F.col("p") < alpha_variant) & (F.coalesce("max_r", F.lit(0.0)) < most_r), w).otherwise(0.0))
+    last = weighted_sums(chosen.select("gene", "block", "b", "std", kept.alias("kept")), "gene", "kept", "std", ["b"]).withColumn("wrw", mean_square("scores"))
+    last = last.groupBy("gene").agg(*[of(k, ratio).alias(name) for k, name in enumerate(named)])
     plain = rows.groupBy("gene").agg(F.count(F.lit(1)).alias("n_variants"), F.max(F.abs("w")).alias("max_abs_effect"), F.max(F.abs("z")).alias("max_abs_z"), F.min("p").alias("min_p"))
-    out = plain.join(found, "gene").join(ensembles.drop("scores"), "gene").withColumns({
+    out = plain.join(found, "gene").join(last, "gene").withColumns({
         "noise_variance": F.try_divide(F.col("sum_wrw") - F.col("reps") * F.col("mean_wrw"), F.col("reps") - 1),
         "correlation_uncertainty": F.try_divide(F.col("wb"), F.sqrt(F.col("sum_wrw") / F.col("reps"))),
     })

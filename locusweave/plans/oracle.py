@@ -228,6 +228,14 @@ a AS (SELECT *, 'z' AS kind, mean / sqrt(nullif(var, 0)) AS w FROM k UNION ALL S
 u AS (SELECT * FROM a WHERE w IS NOT NULL), l AS (SELECT kind, gene, w, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM u), s AS (SELECT kind, gene, i, sum(w * g) AS s FROM l GROUP BY ALL), q AS (SELECT kind, gene, avg(s * s) AS wrw FROM s GROUP BY ALL),
 t AS (SELECT kind, gene, count(*) AS n, sum(w * z) AS wz FROM u GROUP BY ALL HAVING count(*) >= 5)
 SELECT kind, gene, n AS n_variants, round(wz / sqrt(nullif(wrw, 0)), 5) AS twas_z FROM t JOIN q USING (kind, gene)""",
+    "q13_twas_ensemble": f"""WITH {GENO}, c AS (SELECT p_partkey AS key, (CASE WHEN p_size < 25.5 THEN -1 ELSE 1 END) * (CASE WHEN p_partkey % 2 = 1 THEN -1 ELSE 1 END) * sqrt((p_size % 9 - 1)::double) AS zz FROM part WHERE p_size % 9 > 1),
+f AS (SELECT key, gene, list_sum(d) / 128 AS p FROM g), v AS (SELECT std.key, std.gene, std.z AS g, list_transform(bs, lambda x: x * sqrt(2 * p * (1 - p))) AS bs, c.zz FROM std JOIN f ON f.key = std.key AND f.gene = std.gene JOIN c ON c.key = std.key WHERE std.gene IS NOT NULL),
+n AS (SELECT gene, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 5), w AS (SELECT key, gene, zz, g, list_prepend(list_avg(bs), bs) AS ws FROM v),
+g1 AS (SELECT key, gene, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM w), r AS (SELECT key, gene, zz, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS k FROM w),
+s AS (SELECT r.gene, k, i, sum(w * g) AS s FROM r JOIN g1 ON r.key = g1.key AND r.gene = g1.gene GROUP BY ALL), q AS (SELECT gene, k, avg(s * s) AS wrw FROM s GROUP BY ALL), a AS (SELECT gene, k, sum(w * zz) AS wz FROM r GROUP BY ALL),
+t AS (SELECT gene, k, wz, wrw, wz / sqrt(nullif(wrw, 0)) AS t FROM a JOIN q USING (gene, k))
+SELECT gene, any_value(n) AS n_variants, round(any_value(t) FILTER (k = 0), 6) + 0.0 AS twas_z, round(2.0 * (1 + least(count(*) FILTER (k > 0 AND t >= 0), count(*) FILTER (k > 0 AND t <= 0))) / (1 + count(*) FILTER (k > 0)), 6) + 0.0 AS twas_p,
+       round(avg(wz) FILTER (k > 0) / sqrt(avg(wrw) FILTER (k > 0)), 6) + 0.0 AS uncertainty_z FROM t JOIN n USING (gene) GROUP BY gene""",
     "q17_fine_map_and_lift": f"""WITH {VARIANTS}, {EFFECTS}, m AS (SELECT gene, key, round(avg(beta), 6) AS beta, round(avg(se), 6) AS se FROM e GROUP BY ALL),
 a AS (SELECT gene, key, beta, 0.5 * ln(1 - 0.01 / (se * se + 0.01)) + 0.5 * (0.01 / (se * se + 0.01)) * beta * beta / (se * se) AS l FROM m),
 w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY gene)) AS w FROM a), p AS (SELECT gene, key, beta, round(w / sum(w) OVER (PARTITION BY gene), 9) AS pip FROM w),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from locusweave.functions import columns as C
 from locusweave.functions.special import normal_p, sign_test_table
 from locusweave.operators import association, concordance, effects, enrichment, expression, filters, finemap, intervals, joins, ranking, replicates, resample, shrinkage
+from locusweave.operators.storage import stored
 from locusweave.plans import proxies as P
 
 QUERIES = {}
@@ -417,8 +418,10 @@ def e_twas_replicates(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def e_expression_correlation(spark: SparkSession, sf: str) -> DataFrame:
     d = _standardized(spark, sf).withColumn("measured", F.col("z") / 10)
+    out = association.twas(d, "gene", "w", "measured").withColumnsRenamed({"twas_z": "expression_correlation", "wrw": "signal_variance"})
     d = d.withColumn("p", (F.col("key") % 97 + 1) / 98.0)
-    out = association.expression_correlation(d, "gene", "w", "measured", "z", "p")
+    top = finemap.extremes(d, "gene", "z", "w", "p").join(d.groupBy("gene").agg(F.max(F.abs("measured")).alias("max_abs_beta"), F.avg((F.signum("w") == F.signum("z")).cast("double")).alias("sign_agreement")), "gene")
+    out = out.join(top.withColumnsRenamed({"max_z": "max_abs_z", "max_effect": "max_abs_effect"}), "gene")
     return out.select("gene", "n_variants", *[r6(c).alias(c) for c in ("signal_variance", "expression_correlation", "max_abs_effect", "max_abs_beta", "max_abs_z", "min_p", "sign_agreement")])
 
 
@@ -810,7 +813,7 @@ def q11_class_annotations(spark: SparkSession, sf: str) -> DataFrame:
 def q13_twas(spark: SparkSession, sf: str) -> DataFrame:
     """Gene-level association from uncertain effects: three weightings of predicted effects, association z and genotypes."""
     g = association.standardize(P.genotypes(spark, sf), "dosages").select("key", "gene", "std")
-    rows = g.join(_gwas_effects(spark, sf), ["key", "gene"])
+    rows = stored(g.join(_gwas_effects(spark, sf), ["key", "gene"]))
     out = None
     for kind in ("z", "ridge", "sign"):
         one = association.twas(rows.withColumn("w", C.effect_weights(kind, F.col("mean"), F.col("var"), 0.001)).where("w is not null"), "gene", "w", "z", 5)
@@ -819,6 +822,20 @@ def q13_twas(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@query
+def q13_twas_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    """Gene-level association with uncertainty: signed z of an association table met in either orientation, effects and their replicates per standardised genotype, the
+    statistic of the mean, its rank p over the replicates and the one weighed by what the replicates disagree on."""
+    g = P.genotypes(spark, sf).where("gene is not null").withColumn("af", association.allele_frequency("dosages"))
+    g = association.standardize(g, "dosages")
+    g = g.withColumn("bs", F.transform("bs", lambda x: C.standardize_effect(x, F.col("af")))).withColumn("w", F.aggregate("bs", F.lit(0.0), lambda a, x: a + x) / F.size("bs"))
+    beta, chisq = F.col("p_size") - 25.5, (F.col("p_size") % 9 - 1).cast("double")
+    table = P.variants(spark, sf, True).select("chrom", "pos", "a1", "a2", C.signed_z(beta, chisq).alias("z")).where("z is not null")
+    z = joins.join_variants(P.variants(spark, sf).select("chrom", "pos", "a1", "a2", "key"), table).select("key", F.when(F.col("flipped"), -F.col("z")).otherwise(F.col("z")).alias("z"))
+    out = association.twas_ensemble(stored(g.join(z, "key").select("gene", "key", "w", "bs", "z", "std")), "gene", "key", "w", "bs", "z", 5)
+    return out.select("gene", "n_variants", *[(r6(c) + 0.0).alias(c) for c in ("twas_z", "twas_p", "uncertainty_z")])
+
+
 @query
 def q17_fine_map_and_lift(spark: SparkSession, sf: str) -> DataFrame:
     """Best variant of each gene with its posterior, a frequency where a panel has one, lifted over and turned to the reference base."""

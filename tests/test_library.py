@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from locusweave.functions import columns as C
 from locusweave.functions.special import fisher_p, normal_p, sign_test_table
-from locusweave.operators import association, concordance, enrichment, expression, filters, finemap, intervals, joins, ranking, replicates, resample, shrinkage
+from locusweave.operators import association, concordance, enrichment, expression, filters, finemap, intervals, joins, matrices, ranking, replicates, resample, shrinkage
 from locusweave.sources import readers, writers
 
 
@@ -377,3 +377,52 @@ def test_sinks(spark, tmp_path):
     assert tuple(writers.prediction_bedgraph(t, "variant", "bin", "ref", "alt", "s", 32).first()) == ("v", 164, 196, 1.5, 2.5, 1.0)
     preds, snps = spark.createDataFrame([(0, "g", [0.1, 0.2])], "snp_index int, gene string, logsed array<double>"), spark.createDataFrame([(0, "rs1")], "snp_index int, snp string")
     assert tuple(readers.prediction_long(preds, snps).first()) == ("rs1", "g", [0.1, 0.2])
+
+
+def _ensemble(seed, sizes, samples=30, replicates=11):
+    """Rows (gene, variant, w, bs, z, std) of random genotypes."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for gene, n in sizes.items():
+        g = rng.integers(0, 3, (n, samples)).astype(float)
+        g[:, 0], g[:, 1] = 0, 2
+        std = (g - g.mean(1, keepdims=True)) / g.std(1, keepdims=True)
+        bs = rng.normal(0.2, 1.0, (n, replicates))
+        rows += [(gene, k, float(bs[k].mean()), bs[k].tolist(), float(rng.normal()), std[k].tolist()) for k in range(n)]
+    return rows
+
+
+def test_twas_ensemble_is_the_matrix_formula(spark):
+    """Means, replicates and uncertainty against R itself, a gene in many blocks, unknown values left out."""
+    rows = _ensemble(5, {"hot": 900, "cold": 12, "few": 3})
+    rows += [("hot", 1000, 1.0, [1.0] * 11, None, [1.0] * 30), ("hot", 1001, 1.0, [1.0] * 10 + [float("nan")], 2.0, [1.0] * 30), ("cold", 1002, 1.0, None, 2.0, [1.0] * 30), ("cold", 1003, 1.0, [1.0] * 11, float("inf"), [1.0] * 30)]
+    df = spark.createDataFrame(rows, "gene string, v long, w double, bs array<double>, z double, std array<double>").repartition(5)
+    got = {r["gene"]: r for r in association.twas_ensemble(df, "gene", "v", "w", "bs", "z", 10).collect()}
+    assert set(got) == {"hot", "cold"}
+    for gene, n in (("hot", 900), ("cold", 12)):
+        mine = [r for r in rows if r[0] == gene][:n]
+        w, u, z, s = (np.array([r[k] for r in mine]) for k in (2, 3, 4, 5))
+        r = s @ s.T / 30
+        each = np.array([x @ z / np.sqrt(x @ r @ x) for x in u.T])
+        found = got[gene]
+        assert found["n_variants"] == n and found["twas_z"] == pytest.approx(w @ z / np.sqrt(w @ r @ w))
+        assert np.allclose(found["twas_bs"], each) and found["twas_p"] == pytest.approx(2 * (1 + min((each >= 0).sum(), (each <= 0).sum())) / 12)
+        assert found["uncertainty_z"] == pytest.approx(z @ u.mean(1) / np.sqrt(np.mean([x @ r @ x for x in u.T])))
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_block_products_do_not_depend_on_blocks(spark, block):
+    rows = _ensemble(6, {"a": 40, None: 9, "one": 1})
+    df = matrices.in_blocks(spark.createDataFrame(rows, "gene string, v long, w double, bs array<double>, z double, std array<double>").repartition(4), "gene", "v", block)
+    sums = matrices.weighted_sums(df, "gene", "bs", "std", ["z"])
+    got = {(r["gene"], r["kind"]): r for r in sums.collect()}
+    most = {(r["gene"], r["v"]): r["max_r"] for r in matrices.largest_correlations(df, "gene", "v", "std").collect()}
+    for gene in ("a", None, "one"):
+        mine = [r for r in rows if r[0] == gene]
+        u, z, s = (np.array([r[k] for r in mine]) for k in (3, 4, 5))
+        for k in range(11):
+            assert got[gene, k]["z"] == pytest.approx(u[:, k] @ z) and np.allclose(got[gene, k]["scores"], u[:, k] @ s)
+        r = np.abs(s @ s.T / 30)
+        np.fill_diagonal(r, -1)
+        assert all(most[gene, v] == (pytest.approx(r[v].max()) if len(mine) > 1 else None) for v in range(len(mine)))
+    assert matrices.weighted_sums(df.where("false"), "gene", "bs", "std", ["z"]).count() == 0
