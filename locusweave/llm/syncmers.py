@@ -36,18 +36,18 @@ def anchors(hashes: str, inner: str, size: tuple[int, int]) -> Column:
 
 
 def _sketch(hashes: str, inner: str, size: tuple[int, int]) -> Column:
-    """32-bit hashes of the distinct anchors, in the order of the text; fewer tokens than a k-mer are one anchor."""
-    few = F.when(F.size(hashes) > 0, F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(hashes).alias("hash"))))
-    found = F.when(F.size(hashes) < size[0], few).otherwise(anchors(hashes, inner, size))
-    cut = F.transform(found, lambda a: F.shiftright(a["hash"], 32).cast("int"))
-    return F.coalesce(F.array_distinct(cut), F.array().cast("array<int>"))
+    """32-bit hashes of the distinct anchors, in the order of the text; a text of tokens without an anchor is one itself."""
+    whole = F.array(F.shiftright(F.xxhash64(hashes), 32).cast("int"))
+    found = F.when(F.size(hashes) >= size[0], F.transform(anchors(hashes, inner, size), lambda a: F.shiftright(a["hash"], 32).cast("int")))
+    none = F.array().cast("array<int>")
+    return F.filter(F.array(F.array_distinct(found), F.when(F.size(hashes) > 0, whole), none), lambda x: x.isNotNull() & ((F.size(x) > 0) | (F.size(hashes) == 0)))[0]
 
 
 def fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
     """Add ``name``, the fingerprint (array of int): the 32-bit hashes of all distinct anchors of the whole text, in its order.
 
-    All texts are cut in the same tokens and k-mers, so any two fingerprints can be compared.  A text of fewer tokens than a k-mer has one anchor,
-    all of it; an empty or null text, or one of only white space, none.
+    All texts are cut in the same tokens and k-mers, so any two fingerprints can be compared.  A text too short to hold an anchor (under 18 tokens there may be none)
+    is one itself; an empty or null text, or one of only white space, none.
     """
     h, s = free_names(docs, "sync_tokens", "sync_inner")
     out = docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn(h, F.transform(tokens(F.col(text)), lambda x: F.xxhash64(x)))

@@ -121,7 +121,7 @@ def _fingerprint(text):
     kmers = [h[i : i + k] for i in range(len(h) - k + 1)] if len(h) >= k else [h] if h else []
     inner = lambda m: [chain(m[j : j + s]) for j in range(k - s + 1)]
     kept = [m for m in kmers if len(m) < k or min(inner(m)) in (inner(m)[0], inner(m)[-1])]
-    return list(dict.fromkeys(chain(m) >> 32 for m in kept))
+    return list(dict.fromkeys(chain(m) >> 32 for m in kept)) or ([chain(h) >> 32] if h else [])
 
 
 def _dice(a, b):
@@ -373,14 +373,15 @@ def test_scores_match_a_coder_that_goes_bit_by_bit(spark, monkeypatch):
     assert cut == [b"x" * 64 + b"\t", b"x" * 64 + b"\t", b"xx", b"ab"] and all(c > 0 for c in langmodel.Coder(mixer).costs([cut]))
 
 
-def test_likeness_across_the_borders_of_length(spark):
+def test_likeness_of_short_and_long_texts(spark):
     rnd = random.Random(10)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
-    long, tiny = " ".join(word() for _ in range(120)), " ".join(word() for _ in range(10))
-    docs = [(9, long[:584]), (8, word()), (7, long[:515]), (6, long[:509]), (5, tiny[:50]), (4, tiny[:47]), (3, "other words of no text")]
+    long, tiny = " ".join(word() for _ in range(120)), [" ".join(word() for _ in range(9)) for _ in range(20)]
+    docs = [(99, long[:584]), (98, word()), (97, long[:515]), (96, long[:509]), *[(90 - k, t) for k, t in enumerate(tiny)], (3, "other words of no text"), (2, "other words of no text")]
     by = {r["doc_id"]: r for r in syncmers.edited_likeness(spark.createDataFrame(docs, DOCS)).collect()}
-    assert by[9]["near_edited"] > 0.5 and by[7]["near_next"] > 0.9 and by[5]["near_next"] > 0.7
-    assert by[6]["near_next"] < 0.2 and by[4]["near_next"] < 0.2
+    assert by[99]["near_edited"] > 0.5 and by[97]["near_next"] > 0.9 and by[3]["near_next"] == 1.0
+    assert by[96]["near_next"] < 0.2
+    assert all(by[90 - k]["sketch"] and by[90 - k]["near_next"] < 0.5 for k in range(20))  # short, different texts are not alike
 
 
 def test_passages_are_matched_by_position(spark):
