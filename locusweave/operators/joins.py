@@ -63,15 +63,26 @@ def triple_lookup(left: DataFrame, right: DataFrame, keys: list[str], on_duplica
     return left.join(one, keys).select(*[left[c] if c not in keys else F.col(c) for c in left.columns], "row.*")
 
 
-def window_join(variants: DataFrame, genes: DataFrame, dist: int, pos: str = "pos", tss: str = "tss", chrom: str = "chrom") -> DataFrame:
-    """All (variant, gene) pairs of one chromosome with |pos - tss| <= dist.
+def window_join(variants: DataFrame, genes: DataFrame, dist: int, pos: str = "pos", tss: str = "tss", chrom: str = "chrom", dense: int | None = None) -> DataFrame:
+    """All (variant, gene) pairs of one chromosome with |pos - tss| <= dist; rows with a null position or chromosome have none.
 
-    Positions fall in buckets as wide as the distance; each gene is sent to its own and both neighbours, so the join is on
-    (chrom, bucket) and a variant meets only genes nearby.
+    Positions fall in buckets as wide as the distance (1 at least); each gene is sent to its own and both neighbours, so the join is on (chrom, bucket) and a variant meets only
+    genes nearby.  Buckets are counted first: one with more than ``dense`` variants (unless given, an eighth of a shuffle partition's mean) is cut in parts of about
+    that many by a hash of the variant's row, and its genes are sent to each part, so a locus with most of the variants makes no large task.
     """
-    v = variants.withColumn("bucket", F.floor(F.col(pos) / dist))
-    g = genes.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col(tss) / dist) + k)))
-    return v.join(g, [chrom, "bucket"]).where(F.abs(F.col(pos) - F.col(tss)) <= dist).drop("bucket")
+    width = max(dist, 1)
+    v = variants.where(F.col(pos).isNotNull() & F.col(chrom).isNotNull()).withColumn("bucket", F.floor(F.col(pos) / width))
+    counts = v.groupBy(chrom, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    if dense is None:
+        rows = v.count()
+        dense = max(1000, rows // (8 * int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # at most rows / dense of them
+    crowded = F.broadcast(counts.where(F.col("n") > dense).select(chrom, "bucket", F.ceil(F.col("n") / dense).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    v = v.join(crowded, [chrom, "bucket"], "left").withColumn("part", F.pmod(F.xxhash64(*variants.columns), parts)).drop("parts")
+    g = genes.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col(tss) / width) + k)))
+    g = g.join(crowded, [chrom, "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return v.join(g, [chrom, "bucket", "part"]).where(F.abs(F.col(pos) - F.col(tss)) <= dist).drop("bucket", "part")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, width: int, chrom: str = "chrom", start: str = "start", end: str = "end", right_start: str = "r_start", right_end: str = "r_end") -> DataFrame:

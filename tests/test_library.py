@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from locusweave.functions import columns as C
 from locusweave.functions.special import fisher_p, normal_p, sign_test_table
-from locusweave.operators import association, concordance, enrichment, expression, filters, finemap, intervals, joins, matrices, ranking, replicates, resample, shrinkage
+from locusweave.operators import association, concordance, effects, enrichment, expression, filters, finemap, intervals, joins, matrices, quantiles, ranking, replicates, resample, shrinkage, sweep
 from locusweave.sources import readers, writers
 
 
@@ -232,15 +232,15 @@ def test_track_statistics_by_hand(spark):
 def test_expression_correlation_by_hand(spark):
     genotype = [[-1.0, 1.0, -1.0, 1.0], [-1.0, -1.0, 1.0, 1.0]]
     df = spark.createDataFrame([("g", 1.0, 0.5, 2.0, 0.1, genotype[0]), ("g", -2.0, 0.25, -3.0, 0.01, genotype[1])], "gene string, w double, b double, z double, p double, std array<double>")
-    got = association.expression_correlation(df, "gene", "w", "b", "z", "p").first()
-    assert got["signal_variance"] == pytest.approx(5.0) and got["expression_correlation"] == pytest.approx((0.5 - 0.5) / math.sqrt(5))
-    assert (got["max_abs_effect"], got["max_abs_z"], got["min_p"], got["best_marginal"], got["sign_agreement"]) == (2.0, 3.0, 0.01, -0.25, 0.5)
+    got = association.twas(df, "gene", "w", "b").first()
+    assert got["wrw"] == pytest.approx(5.0) and got["twas_z"] == pytest.approx((0.5 - 0.5) / math.sqrt(5))
+    assert tuple(finemap.extremes(df, "gene", "z", "w", "p").first()) == ("g", 3.0, 2.0, 0.01)
 
 
 def test_coverage_in_both_forms(spark):
     cov = spark.createDataFrame([("t", "c", k, float(v)) for k, v in enumerate([3, 5, 7, 100])], "track string, chrom string, pos long, cov double")
     black = spark.createDataFrame([("c", 3, 4)], "chrom string, r_start long, r_end long")
-    new = {r["bin"]: r["cov"] for r in intervals.pool_coverage(cov, 2, black, 3.0, 4.0).collect()}
+    new = {r["bin"]: r["cov"] for r in intervals.pool_coverage(cov, 2, black, 3.0, 4.0, buffer=0).collect()}
     assert new[0] == pytest.approx(4.0) and new[1] == pytest.approx(4.0 - 1 + math.sqrt(math.sqrt(1 + 3 * 13) - 1 - 4 + 1))
     old = {r["bin"]: r["cov"] for r in intervals.pool_coverage(cov, 2, None, 2.0, 10.0, old=True).collect()}
     assert old[0] == pytest.approx(2 * 8**0.75) and old[1] == pytest.approx(2 * (10 + math.sqrt(107**0.75 - 10)))
@@ -426,3 +426,96 @@ def test_block_products_do_not_depend_on_blocks(spark, block):
         np.fill_diagonal(r, -1)
         assert all(most[gene, v] == (pytest.approx(r[v].max()) if len(mine) > 1 else None) for v in range(len(mine)))
     assert matrices.weighted_sums(df.where("false"), "gene", "bs", "std", ["z"]).count() == 0
+
+
+@pytest.mark.parametrize("bins, gather", [(4096, 2000), (128, 20)])
+def test_exact_percentiles_are_those_of_a_sorted_copy(spark, bins, gather):
+    rng = np.random.default_rng(7)
+    groups = {
+        "even": rng.uniform(size=3000), "heavy": np.r_[np.zeros(2000), rng.normal(size=50)], "wide": np.exp(rng.normal(0, 100, 500)), "one": np.array([3.5]), "same": np.full(40, -2.0),
+        "ends": np.array([-1.7e308, 0.0, 1.7e308]), None: rng.integers(0, 5, 300).astype(float), "close": 1 + np.arange(200) * 2.0**-52,
+    }
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("even", None), ("even", float("nan")), ("unknown", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    points = [0.0, 0.001, 0.25, 0.5, 0.77, 0.999, 1.0]
+    got = {(r["g"], r["at"]): r["value"] for r in quantiles.exact_percentiles(df, ["g"], "v", points, bins, gather).collect()}
+    assert len(got) == len(groups) * len(points)
+    for g, x in groups.items():
+        x = np.sort(x)
+        for at, p in enumerate(points):
+            place = p * (len(x) - 1)
+            i, j = math.floor(place), math.ceil(place)
+            assert got[g, at] == (x[i] if i == j else pytest.approx((j - place) * x[i] + (place - i) * x[j], rel=1e-12)), (g, p)
+    assert quantiles.exact_percentiles(df.where("false"), ["g"], "v", points).count() == 0
+    whole = [r["value"] for r in quantiles.exact_percentiles(df.where("g = 'one'"), [], "v", [0.5]).collect()]
+    assert whole == [3.5]
+
+
+def test_sketches_merge_within_their_error(spark):
+    df = spark.range(60_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).alias("day"), F.pow(F.rand(5), 3.0).alias("v"))
+    sketches = quantiles.merge_sketches(quantiles.quantile_sketches(df, ["g", "day"], "v"), ["g"])
+    points = [0.0, 0.01, 0.3, 0.5, 0.9, 1.0]
+    for g in (0, 1):
+        x = np.sort([r["v"] for r in df.where(F.col("g") == g).collect()])
+        got = [r["value"] for r in quantiles.sketch_percentiles(sketches.where(F.col("g") == g), ["g"], points).orderBy("at").collect()]
+        assert all(abs(np.searchsorted(x, v) / len(x) - p) < 0.002 for v, p in zip(got, points))
+    assert effects.percentile_table(df, ["g"], "v", points, exact=False).count() == 12
+
+
+def _union(rows):
+    out = []
+    for s, e in sorted(rows):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 211])
+def test_merged_intervals_do_not_depend_on_ranges(spark, ranges):
+    rng = np.random.default_rng(8)
+    rows = [("all", int(s), int(s + n)) for s, n in zip(rng.integers(0, 20_000, 1500), rng.choice([0, 1, 3, 10, 40], 1500))]
+    rows += [("all", 6000, 9000), ("all", 8000, 8001), ("all", 15_000, 15_900)] + [(None, 5, 9), (None, 9, 12), ("b", 1, 100_000), ("b", 50, 60)]
+    df = spark.createDataFrame(rows + [("all", None, 5), ("all", 5, None), ("b", 900_000, 7), (None, None, None)], "chrom string, start long, end long").repartition(7)
+    got = sorted(map(tuple, intervals.merge_intervals(df, ["chrom"], ranges=ranges).collect()), key=repr)
+    want = [(g, s, e) for g in {r[0] for r in rows} for s, e in _union([r[1:] for r in rows if r[0] == g])]
+    assert got == sorted(want, key=repr)
+    assert intervals.merge_intervals(df.where("false"), ["chrom"], ranges=ranges).count() == 0
+
+
+@pytest.mark.parametrize("ranges, rows", [(1, 50_000), (13, 50_000), (5, 20)])
+def test_sweep_join_is_every_overlap(spark, ranges, rows):
+    rng = np.random.default_rng(9)
+    draw = lambda n, k: [(str(rng.choice(["c1", "c2"])), int(s), int(s + e), i) for i, (s, e) in enumerate(zip(rng.integers(0, 900, n), rng.choice([0, 1, 5, 30, 800], n)))] + [("c1", 100, 110, 1000 + i) for i in range(k)]
+    left, right = draw(300, 40), draw(200, 30)
+    a = spark.createDataFrame([*left, (None, 1, 5, 7), ("c1", None, 5, 8)], "chrom string, start long, end long, a long")
+    b = spark.createDataFrame([*right, ("c1", 5, None, 9)], "chrom string, r_start long, r_end long, b long")
+    got = sorted((r["a"], r["b"]) for r in sweep.sweep_join(a, b, ranges=ranges, rows=rows).collect())
+    want = sorted((x[3], y[3]) for x in left for y in right if x[0] == y[0] and x[1] < y[2] and y[1] < x[2] and x[1] < x[2] and y[1] < y[2])
+    assert got == want
+    assert sweep.sweep_join(a.where("false"), b, ranges=ranges).count() == 0
+
+
+@pytest.mark.parametrize("dist", [0, 25])
+def test_window_join_with_a_crowded_locus(spark, dist):
+    """Half of the variants at one place: the parts of its bucket are even, and the pairs are all there."""
+    v = [("c", 1000 + k % 3 if k < 3000 else k * 7, k) for k in range(6000)] + [(None, 1, 9000), ("c", None, 9001)]
+    g = [("c", t, t) for t in (1000, 1001, 1030, 21_000, 30_002)] + [("c", None, -1)]
+    a, b = spark.createDataFrame(v, "chrom string, pos long, v long"), spark.createDataFrame(g, "chrom string, tss long, g long")
+    for dense in (None, 100):
+        got = sorted((r["v"], r["g"]) for r in joins.window_join(a, b, dist, dense=dense).collect())
+        assert got == sorted((x[2], y[2]) for x in v for y in g if x[0] == y[0] and None not in (x[1], y[1]) and abs(x[1] - y[1]) <= dist)
+
+
+def test_coverage_buffer_and_unknown(spark):
+    """The buffer widens the blacklist from 0 up; unknown coverage is the median of the known; the end of half precision holds."""
+    values = [9.0, 1.0, 2.0, 3.0, 4.0, float("nan"), None, 1e12]
+    cov = spark.createDataFrame([("t", "c", k, v) for k, v in enumerate(values)] + [("u", "c", 0, float("nan"))], "track string, chrom string, pos long, cov double")
+    black = spark.createDataFrame([("c", 2, 3)], "chrom string, r_start long, r_end long")
+    got = {(r["track"], r["bin"]): r["cov"] for r in intervals.pool_coverage(cov, 1, black, buffer=2).collect()}
+    known = [9.0, 1.0, 2.0, 3.0, 4.0, 1e12]
+    base = float(np.median(known))
+    plain = [min(v, base) if k < 5 else base if k < 7 else v for k, v in enumerate(values)]
+    assert all(got["t", k] == pytest.approx(min(math.sqrt(1 + x) - 1, 65504)) for k, x in enumerate(plain))
+    assert got["u", 0] == 0.0
