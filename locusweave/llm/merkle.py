@@ -10,12 +10,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from locusweave.llm.naming import free_names
+from locusweave.llm.runs import blocks_of
 from locusweave.llm.storage import stored
 
 LEVELS = 2  # that a task climbs within one block of leaves
@@ -72,29 +72,10 @@ def sweep_back(families: list[tuple[int, int, list[str]]], rest: list, top: tupl
     return {place: proof for (_, place), proof in proofs.items()}
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
-    """Batches that end where a block ends, and the rows (from, to) of each of their blocks; rows come sorted, blocks are runs of equal first two columns."""
-    held = None
-    for batch in batches:
-        if held is not None and held.num_rows:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        at, runs = 0, []
-        for _, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            n = sum(1 for _ in rows)
-            runs.append((at, at + n))
-            at += n
-        if runs:
-            held = batch.slice(runs[-1][0])
-            if len(runs) > 1:
-                yield batch, runs[:-1]
-    if held is not None and held.num_rows:
-        yield held, [(0, held.num_rows)]
-
-
 def _upward(fan_out: int):
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (group, block, place, n, digest) of a level to one row a block, some levels up."""
-        for batch, runs in _blocks(batches):
+        for batch, runs in blocks_of(batches):
             place, n, digests = (batch.column(k).to_pylist() for k in (2, 3, 4))
             tops = [sweep(place[i], digests[i:j], _height(n[i], fan_out), fan_out)[0] for i, j in runs]
             at = pa.array([i for i, _ in runs])
@@ -107,7 +88,7 @@ def _upward(fan_out: int):
 def _downward(fan_out: int, names: list[str]):
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (group, block, place, n, digest, subroot, root, proof, ...) where a block's message, at place -1, comes before its nodes; gives the nodes with what follows from it."""
-        for batch, runs in _blocks(batches):
+        for batch, runs in blocks_of(batches):
             place, n, digests = (batch.column(k).to_pylist() for k in (2, 3, 4))
             for i, j in runs:
                 message = batch.slice(i, 1)

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from locusweave.llm.components import connected_components
+from locusweave.llm.runs import blocks_of
 from locusweave.llm.storage import stored
 
 WIDTH = 5
@@ -23,7 +24,7 @@ LOW_BITS = 2
 MARGIN = 0.15
 #: Rounds in which every document still apart is compared with one other.
 ROUNDS = 2
-#: Documents that a task compares with so many others after that.
+#: Documents of a bucket that are compared with so many others after that, side by side.
 TILE = 256
 #: Shingles that are worked on at once.
 BLOCK = 1 << 16
@@ -142,36 +143,96 @@ def _confirm(percent: int):
     return confirm
 
 
-def _compared(percent: int):
-    def compare(tile: pa.Table) -> pa.Table:
-        """Links between the two sides of a tile (all pairs where there is one side) that join different components, best estimates first."""
-        node, component, side = (np.array(tile[c]) for c in ("node", "component", "side"))
-        bits = np.array(tile["bits"].to_pylist(), dtype=np.int64).view(np.uint64)
-        sets = [np.frombuffer(x, np.uint64) for x in tile["shingles"].to_pylist()]
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        one = not len(b)
-        b = a if one else b
-        rows = []
-        for i in a:
-            differ = bits[b] ^ bits[i]
-            differ = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1)
-            like = 1 - differ / (MINIMA * (1 - 0.5**LOW_BITS))
-            fit = np.flatnonzero((like >= percent / 100 - MARGIN) & (component[b] != component[i]) & ((b > i) | (not one)))
-            rows += [(-like[k], i, b[k]) for k in fit]
-        root: dict[int, int] = {}
-
-        def top(c: int) -> int:
-            while c in root:
-                c = root[c]
-            return c
-
-        links = []
-        for _, i, j in sorted(rows):
-            x, y = top(component[i]), top(component[j])
-            if x != y and _linked(sets[i], sets[j], percent):
-                root[max(x, y)] = min(x, y)
-                links.append((node[i], node[j]))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets a[k] and b[k].  Where each set is in many pairs, by products of incidence matrices, some thousand shingles at a time."""
+    rows, cols = np.unique(a), np.unique(b)
+    if len(a) * 4 < len(rows) * len(cols) or len(a) < 64:
+        return np.fromiter((len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)), np.int64, len(a))
+    left, right = ([sets[k] for k in side] for side in (rows, cols))
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(rows), len(cols)))
+    for start in range(0, len(both), 4096):
+        some = both[start : start + 4096]
+
+        def incidence(side: list[np.ndarray]) -> np.ndarray:
+            m = np.zeros((len(side), len(some)), np.float32)
+            for k, s in enumerate(side):
+                mine = s[np.searchsorted(s, some[0]) : np.searchsorted(s, some[-1], "right")]
+                at = np.searchsorted(some, mine)
+                m[k, at[some[at] == mine]] = 1
+            return m
+
+        out += incidence(left) @ incidence(right).T
+    return out[np.searchsorted(rows, a), np.searchsorted(cols, b)].astype(np.int64)
+
+
+def _candidates(nth: int, side: np.ndarray, component: np.ndarray, bits: np.ndarray, bands: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a tile in different components, and their estimates from ``least`` up; only those that share no band before the nth.  With one side, all are compared with each other."""
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    one = not len(b)
+    b = a if one else b
+    found = []
+    for x, i in enumerate(a):
+        rest = b[x + 1 :] if one else b
+        rest = rest[component[rest] != component[i]]
+        differ = bits[rest] ^ bits[i]
+        differ = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1)
+        like = 1 - differ / (MINIMA * (1 - 0.5**LOW_BITS))
+        fit = like >= least
+        if nth and fit.any():
+            fit[fit] = ~(bands[rest[fit], :nth] == bands[i, :nth]).any(axis=1)
+        found.append((np.full(fit.sum(), i), rest[fit], like[fit]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 3
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], least: float):
+    """For each tile, (batch, from, to, i, j, like) with its candidates.  Batches have t1, t2, nth, side, node, component, bits, bands first, rows of one tile side by side."""
+    for batch, runs in blocks_of(batches):
+        nth, side, component = (batch.column(k).to_numpy() for k in (2, 3, 5))
+        matrix = lambda k: batch.column(k).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)  # noqa: B023, E731
+        bits, bands = matrix(6), matrix(7)
+        for lo, hi in runs:
+            yield batch, lo, hi, *_candidates(int(nth[lo]), side[lo:hi], component[lo:hi], bits[lo:hi], bands[lo:hi], least)
+
+
+def _hopeful(least: float):
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of tiles that are in a candidate pair, without signatures."""
+        for batch, lo, _, i, j, _ in _tiles(batches, least):
+            if len(i):
+                yield batch.take(pa.array(lo + np.union1d(i, j))).select(range(6))
+
+    return look
+
+
+def _compared(least: float, percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links (a, b) of each tile that join different components, best estimates first; the shingles come last."""
+        for batch, lo, hi, i, j, like in _tiles(batches, least):
+            node, component = (batch.column(k).to_numpy()[lo:hi] for k in (4, 5))
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(8).slice(lo, hi - lo).to_pylist()]
+            size = np.array([len(x) for x in sets])
+            order = np.argsort(-like, kind="stable")
+            i, j = i[order], j[order]
+            fit = np.minimum(size[i], size[j]) * 100 >= percent * np.maximum(size[i], size[j])
+            i, j = i[fit], j[fit]
+            both = _overlaps(sets, i, j)
+            linked = 100 * both >= percent * (size[i] + size[j] - both)
+            root: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while c in root:  # noqa: B023
+                    c = root[c]  # noqa: B023
+                return c
+
+            links = []
+            for x, y in zip(i[linked], j[linked]):
+                p, q = top(component[x]), top(component[y])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    links.append((node[x], node[y]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     return compare
 
@@ -218,11 +279,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # joins that grow with the documents are merge joins at every size
     one = known.join(classes.hint("merge"), ["k1", "k2"]).where("id = node").dropDuplicates(["k1", "k2"])
-    bands = one.select("node", F.explode("bands").alias("key"))
+    bands = one.select("node", F.posexplode("bands").alias("nth", "key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     bucket = stored(bands.join(shared.hint("merge"), "key", "left_semi"))
     nodes = bucket.select("node").distinct()
-    bits = stored(one.join(nodes.hint("merge"), "node", "left_semi").select("node", "bits"))
+    looks = stored(one.join(nodes.hint("merge"), "node", "left_semi").select("node", "bits", "bands"))
+    bits = looks.select("node", "bits")
     sets = given.join(nodes.withColumnRenamed("node", "id").hint("merge"), "id", "left_semi").mapInArrow(_full_sets, "id long, shingles binary")
     sets = stored(sets.withColumnRenamed("id", "node"))
 
@@ -242,23 +304,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         still = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         placed = stored(placed.join(still, "key", "left_semi"))
 
-    # clumps: documents that open buckets hold together
-    heads = placed.groupBy("key").agg(F.min("node").alias("head"))
-    clumps = connected_components(placed.join(heads, "key").select(F.col("head").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "clump")
-    inside = placed.select("node", "component").distinct().join(clumps, "node")
-    sizes = inside.groupBy("clump", "component").agg(F.count(F.lit(1)).alias("n"))
-    mains = sizes.groupBy("clump").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_minor"))
-    inside = inside.join(mains, "clump").withColumn("minor", (F.col("component") != F.col("main")).cast("int"))
-    blocks = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("minor") == 1, blocks("n_minor")).otherwise(blocks("n_main"))).cast("int"))
-    minors, majors = F.sequence(F.lit(0), blocks("n_minor") - 1), F.sequence(F.lit(0), blocks("n_main") - 1)
-    cell = lambda row, main, col, side: F.struct(row.alias("row"), F.lit(main).alias("main_col"), col.alias("col"), side.alias("side"))
-    own = F.transform(minors, lambda x: cell(F.least(x, "block"), False, F.greatest(x, "block"), (F.col("block") > x).cast("int")))
-    across = F.transform(majors, lambda x: cell(F.col("block"), True, x, F.lit(0)))
-    there = F.transform(minors, lambda x: cell(x, True, F.col("block"), F.lit(1)))
-    tiles = inside.withColumn("tile", F.explode(F.when(F.col("minor") == 1, F.concat(own, across)).otherwise(there)))
-    tiles = tiles.select("node", "component", "clump", "tile.*").join(bits, "node").join(sets, "node")
-    more = tiles.groupBy("clump", "row", "main_col", "col").applyInArrow(_compared(threshold_percent), "a long, b long")
+    # what open buckets still hold is compared within each bucket, in tiles; a pair counts in the first bucket that it shares
+    crowds = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    seats = placed.join(crowds, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("row"), F.greatest(x, "block").alias("col"), (F.col("block") > x).cast("int").alias("side")))
+    seats = seats.select("key", "nth", "node", "component", F.inline(others))
+    names = [F.xxhash64(F.lit(k), "key", "row", "col").alias(f"t{k}") for k in (1, 2)]
+    seats = seats.select(*names, "nth", "side", "node", "component")
+    together = lambda df: df.repartition("t1", "t2").sortWithinPartitions("t1", "t2")
+    hopeful = together(seats.join(looks, "node").select(*seats.columns, "bits", "bands")).mapInArrow(_hopeful(least), seats.schema)
+    hopeful = stored(hopeful).join(looks, "node").join(sets, "node").select(*seats.columns, "bits", "bands", "shingles")
+    more = together(hopeful).mapInArrow(_compared(least, threshold_percent), "a long, b long")
     found = connected_components(links.union(more))
 
     # rows, classes and components together
