@@ -27,11 +27,18 @@ def unversioned(gene: Column) -> Column:
     return F.substring_index(gene, ".", 1)
 
 
+#: Normalised names that other tables spell with a hyphen.
+TISSUE_EXCEPTIONS = {
+    "Cells_EBV_transformed_lymphocytes": "Cells_EBV-transformed_lymphocytes",
+    "Brain_Spinal_cord_cervical_c_1": "Brain_Spinal_cord_cervical_c-1",
+}
+
+
 def tissue_name(col: Column, exceptions: dict[str, str] | None = None) -> Column:
-    """Brackets go and runs of blanks and hyphens between words become one underscore; ``exceptions`` name some outright."""
-    out = F.regexp_replace(F.regexp_replace(col, r"\)", ""), r"\s+-\s+|\s*\(|\s+", "_")
-    for given, wanted in (exceptions or {}).items():
-        out = F.when(col == given, wanted).otherwise(out)
+    """Closing brackets go; an opening one with the blanks before it, and any run of spaces and hyphens, become one underscore.  ``exceptions`` (``TISSUE_EXCEPTIONS`` unless given) replace some of the results."""
+    plain = out = F.regexp_replace(F.regexp_replace(col, r"\)", ""), r"\s*\(|[ -]+", "_")
+    for given, wanted in (TISSUE_EXCEPTIONS if exceptions is None else exceptions).items():
+        out = F.when(plain == given, wanted).otherwise(out)
     return out
 
 

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from locusweave.operators.matrices import BLOCK, in_blocks, largest_correlations, marginal_signs, weighted_sums
+from locusweave.operators.matrices import BLOCK, in_blocks, largest_correlations, marginal_signs, pair_correlations, weighted_sums
 from locusweave.operators.storage import stored
 
 
@@ -53,15 +53,9 @@ def standardize(df: DataFrame, dosages: str, flipped: str | None = None, keep_mo
     return out.drop("dose_mean", "dose_sd")
 
 
-def ld_pairs(genotypes: DataFrame, gene: str, variant: str, most: int) -> DataFrame:
-    """(gene, v1, v2, r) for pairs within a gene, v1 < v2.  Genes over ``most`` variants are cut in blocks of about so many, and each pair of blocks is joined by itself."""
-    sizes = genotypes.groupBy(gene).agg(F.ceil(F.count(F.lit(1)) / most).alias("blocks"))
-    mine = genotypes.select(gene, F.col(variant).alias("v"), "std").join(sizes, gene).withColumn("block", F.pmod(F.xxhash64("v"), "blocks"))
-    tiles = mine.select(gene, "v", "std", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    tiles = tiles.select(gene, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "v", "std")
-    a, b = (tiles.select(gene, "lo", "hi", F.col("block").alias(f"b{k}"), F.col("v").alias(f"v{k}"), F.col("std").alias(f"s{k}")) for k in (1, 2))
-    pairs = a.join(b, [gene, "lo", "hi"]).where((F.col("v1") < F.col("v2")) & (F.least("b1", "b2") == F.col("lo")) & (F.greatest("b1", "b2") == F.col("hi")))
-    return pairs.select(gene, "v1", "v2", (_sum(F.zip_with("s1", "s2", lambda x, y: x * y)) / F.size("s1")).alias("r"))
+def ld_pairs(genotypes: DataFrame, gene: str, variant: str, most: int = BLOCK) -> DataFrame:
+    """(gene, v1, v2, r) for pairs within a gene, v1 < v2, in tiles of blocks of about ``most`` variants."""
+    return pair_correlations(in_blocks(genotypes, gene, variant, most), gene, variant, "std")
 
 
 def complete(df: DataFrame, values: list[str], weights: str | None = None) -> DataFrame:

@@ -29,12 +29,38 @@ def rare(af: Column, most: float = 0.01) -> Column:
     return (af <= most) | (af >= 1 - most)
 
 
-def well_formed(df: DataFrame, line: str, n_fields: int, sep: str = "\t", equal: dict[int, str] | None = None) -> DataFrame:
-    """Fields of lines with exactly ``n_fields`` of them, and given values where ``equal`` says so."""
-    out = df.withColumn("fields", F.split(line, sep)).where(F.size("fields") == n_fields)
+def _form(line: str, n_fields: int, sep: str, equal: dict[int, str] | None) -> tuple[Column, Column, Column]:
+    """Fields of a line; whether their number is right; whether the given ones have their values."""
+    fields = F.split(line, sep)
+    same = F.lit(True)
     for k, v in (equal or {}).items():
-        out = out.where(F.get("fields", F.lit(k)) == v)
-    return out
+        same = same & F.coalesce(F.get(fields, F.lit(k)) == v, F.lit(False))
+    return fields, F.coalesce(F.size(fields) == n_fields, F.lit(False)), same
+
+
+def well_formed(df: DataFrame, line: str, n_fields: int, sep: str = "\t", equal: dict[int, str] | None = None, observation: Observation | None = None) -> DataFrame:
+    """Fields of lines with exactly ``n_fields`` of them, and given values where ``equal`` says so.
+
+    ``observation`` counts what it sees while the rows pass, in the same job: lines, malformed (null or another number of fields), other (well formed, without the given values).
+    """
+    fields, formed, same = _form(line, n_fields, sep, equal)
+    out = df if observation is None else df.observe(observation, F.count(F.lit(1)).alias("lines"), F.count_if(~formed).alias("malformed"), F.count_if(formed & ~same).alias("other"))
+    return out.where(formed & same).withColumn("fields", fields)
+
+
+def reject_counts(df: DataFrame, line: str, n_fields: int, sep: str = "\t", equal: dict[int, str] | None = None) -> DataFrame:
+    """(lines, malformed, other): the same counts as a table."""
+    _, formed, same = _form(line, n_fields, sep, equal)
+    return df.agg(F.count(F.lit(1)).alias("lines"), F.count_if(~formed).alias("malformed"), F.count_if(formed & ~same).alias("other"))
+
+
+def refuse(df: DataFrame, bad: Column, message: Column | str, observation: Observation | None = None) -> DataFrame:
+    """``df``, failing when a row with ``bad`` is made; with an ``observation`` such rows go and are counted as ``refused`` instead."""
+    bad = F.coalesce(bad, F.lit(False))
+    if observation is not None:
+        return df.observe(observation, F.count_if(bad).alias("refused")).where(~bad)
+    said = F.raise_error(message if isinstance(message, Column) else F.lit(message)).cast("boolean")
+    return df.where(F.when(bad, said).otherwise(F.lit(True)))
 
 
 def named_tests(df: DataFrame, name: str, prefix: str) -> DataFrame:
@@ -64,10 +90,21 @@ def bonferroni_top(df: DataFrame, p: str, size: str, most: int, alpha: float = 0
     return hits.orderBy(F.abs(size).desc(), p, *df.columns).limit(most)
 
 
-def aligned_significance(df: DataFrame, p_left: str, p_right: str, mode: str, alpha: float = 0.05) -> DataFrame:
-    """Rows significant on the left, the right, either or both sides."""
+def aligned_significance(df: DataFrame, p_left: str, p_right: str, mode: str, alpha: float = 0.05, values: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Rows significant on the left, the right, either or both sides.
+
+    Rows whose p-values, or ``values``, are not all finite are left out.  With ``most``, the first rows by the smaller p, the larger one, then the sizes of the values from the
+    largest, then all columns, as far as there are five such keys.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
     left, right = F.col(p_left) <= alpha, F.col(p_right) <= alpha
-    return df.where({"left": left, "right": right, "either": left | right, "both": left & right}[mode])
+    out = df.where({"left": left, "right": right, "either": left | right, "both": left & right}[mode])
+    for c in (p_left, p_right, *(values or [])):
+        out = out.where(finite(c))
+    if most is None:
+        return out
+    order = [F.least(p_left, p_right), F.greatest(p_left, p_right), *[F.abs(v).desc() for v in (values or [])], *[F.col(c) for c in df.columns]]
+    return out.orderBy(*order[:5]).limit(most)
 
 
 def discordant(df: DataFrame, p: str, a: str, b: str, alpha: float = 0.05) -> DataFrame:

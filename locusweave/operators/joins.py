@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from locusweave.functions.columns import orient_to_reference
+from locusweave.operators.filters import refuse
 
 
 def oriented(df: DataFrame) -> DataFrame:
@@ -32,6 +33,19 @@ def ambiguous_variants(df: DataFrame) -> DataFrame:
     return both.where("x <> y").drop("x", "y")
 
 
+def one_orientation(left: DataFrame, right: DataFrame, flips: bool = True, observation: Observation | None = None) -> DataFrame:
+    """``join_variants`` of which no variant of the left side may meet the right side in both orientations, nor, without ``flips``, in the other one.
+
+    A row that does fails the job when it is made; with an ``observation`` the variants' rows go and are counted as ``refused``.  The right side's two spellings are
+    told by an aggregate of it, so the check adds one shuffle of the right side and no row to the join.
+    """
+    both = oriented(right).groupBy("chrom", "pos", "lo", "hi").agg((F.min("a1") != F.max("a1")).alias("both_spellings"))
+    out = join_variants(left, oriented(right).join(both, ["chrom", "pos", "lo", "hi"]).drop("lo", "hi"))
+    bad = F.col("both_spellings") if flips else F.col("both_spellings") | F.col("flipped")
+    said = F.concat(F.lit("variant met in another orientation: "), F.concat_ws("_", "chrom", "pos", "a1", "a2"))
+    return refuse(out, bad, said, observation).drop("both_spellings")
+
+
 def require_all(left: DataFrame, dim: DataFrame, key: str, value: str) -> DataFrame:
     """A lookup in which every row must find its value; one that does not raises an error when the rows are made."""
     out = left.join(dim, key, "left")

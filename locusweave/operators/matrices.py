@@ -75,6 +75,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def added(parts: DataFrame) -> DataFrame:
+    """Rows (gene, kind, sums) to one of each gene and kind, its arrays summed."""
+    return parts.repartition("gene", "kind").sortWithinPartitions("gene", "kind").mapInArrow(_added, parts.schema)
+
+
 def weighted_sums(rows: DataFrame, gene: str, weights: str, std: str, targets: list[str]) -> DataFrame:
     """(gene, kind, targets, scores): for each kind of weights, its products with the targets and, per sample, with the genotypes.
 
@@ -86,8 +91,7 @@ def weighted_sums(rows: DataFrame, gene: str, weights: str, std: str, targets: l
     kind = given.schema["gene"].dataType.simpleString()
     schema = f"gene {kind}, kind int, sums array<double>"
     parts = given.groupBy("gene", "block").applyInArrow(_block_sums([f"target_{k}" for k in range(len(targets))]), schema)
-    whole = parts.repartition("gene", "kind").sortWithinPartitions("gene", "kind").mapInArrow(_added, schema)
-    n = len(targets)
+    whole, n = added(parts), len(targets)
     return whole.select(F.col("gene").alias(gene), "kind", *[F.get("sums", F.lit(k)).alias(t) for k, t in enumerate(targets)], F.slice("sums", F.lit(n + 1), F.size("sums") - n).alias("scores"))
 
 
@@ -141,3 +145,95 @@ def largest_correlations(rows: DataFrame, gene: str, variant: str, std: str) ->
     types = {f.name: f.dataType.simpleString() for f in given.schema.fields}
     found = tiles.groupBy("gene", "lo", "hi").applyInArrow(_tile_maximum, f"gene {types['gene']}, variant {types['variant']}, max_r double")
     return found.groupBy("gene", "variant").agg(F.max("max_r").alias("max_r")).withColumnsRenamed({"gene": gene, "variant": variant})
+
+
+def _tile_pairs(key: tuple, table: pa.Table) -> pa.Table:
+    """All correlations of a tile: pairs of one block with the other, or of a block with itself, the smaller variant first."""
+    lo, hi = key[1].as_py(), key[2].as_py()
+    block, std, variant = table["block"].to_numpy(), matrix(table["std"]), table["variant"].combine_chunks()
+    order = np.argsort(np.array(variant.to_pylist(), dtype=object) if len(variant) else np.zeros(0), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    i, j = np.meshgrid(x, y, indexing="ij")
+    keep = rank[i] < rank[j] if lo == hi else np.ones(i.shape, bool)
+    r = (std[x] @ std[y].T / max(std.shape[1], 1))[keep]
+    i, j = i[keep], j[keep]
+    first, second = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+    gene = table["gene"].combine_chunks().take(pa.array(first, pa.int64()))
+    return pa.table({"gene": gene, "v1": variant.take(pa.array(first, pa.int64())), "v2": variant.take(pa.array(second, pa.int64())), "r": pa.array(r)})
+
+
+def pair_correlations(rows: DataFrame, gene: str, variant: str, std: str) -> DataFrame:
+    """(gene, v1, v2, r) for all pairs of distinct variants of a gene, v1 < v2, by a matrix product a tile; genotypes are shuffled once for each of the gene's blocks."""
+    given = rows.select(F.col(gene).alias("gene"), F.col(variant).alias("variant"), F.col(std).cast("array<double>").alias("std"), "block", "blocks")
+    types = {f.name: f.dataType.simpleString() for f in given.schema.fields}
+    found = _tiles(given, "gene", "variant", "std").groupBy("gene", "lo", "hi").applyInArrow(_tile_pairs, f"gene {types['gene']}, v1 {types['variant']}, v2 {types['variant']}, r double")
+    return found.where("v1 <> v2").withColumnRenamed("gene", gene)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, dosages, to two bits a sample, side by side: 0 to 2, and 3 for an unknown one."""
+    for batch in batches:
+        x = matrix(batch.column(batch.num_columns - 1)) if batch.num_rows else np.zeros((0, 1))
+        code = np.where(np.isin(x, (0, 1, 2)), x, 3).astype(np.uint8)
+        bits = np.packbits(np.stack([code >> 1, code & 1], axis=2).reshape(len(code), 2 * code.shape[1]), axis=1)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([code.shape[1]] * len(code), pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary())], [*batch.schema.names[:-1], "samples", "packed"])
+
+
+def _unpacked(table: pa.Table) -> np.ndarray:
+    """Standardised genotypes of packed rows; unknown dosages are the mean, a variant without variation is 0."""
+    n = table["samples"][0].as_py()
+    bits = np.unpackbits(np.frombuffer(b"".join(table["packed"].to_pylist()), np.uint8).reshape(len(table), -1), axis=1)[:, : 2 * n].reshape(len(table), n, 2)
+    x = (bits[:, :, 0] * 2 + bits[:, :, 1]).astype(np.float32)
+    known = x != 3
+    count = np.maximum(known.sum(1, keepdims=True), 1)
+    x = np.where(known, x - np.where(known, x, 0).sum(1, keepdims=True) / count, 0)
+    sd = np.sqrt((x * x).mean(1, keepdims=True))
+    return np.divide(x, sd, out=np.zeros_like(x), where=sd > 0)
+
+
+def _band(dist: int, least: float):
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        """Pairs of a tile within the distance: variants of one cell, or of it and the next."""
+        std, pos, side = _unpacked(table), table["pos"].to_numpy(), table["side"].to_numpy()
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        one = key[3].as_py() == key[4].as_py()
+        y = x if one else y
+        r = std[x] @ std[y].T / std.shape[1]
+        near = (np.abs(pos[x][:, None] - pos[y][None, :]) <= dist) & (np.abs(r) >= least)
+        if one:
+            near &= np.arange(len(x))[:, None] < np.arange(len(x))[None, :]
+        i, j = np.nonzero(near)
+        variant = table["variant"].combine_chunks()
+        take = lambda k: variant.take(pa.array(k, pa.int64()))
+        return pa.table({"chrom": pa.array([key[0].as_py()] * len(i), table.schema.field("chrom").type), "v1": take(x[i]), "v2": take(y[j]), "r": pa.array(r[i, j].astype(np.float64))})
+
+    return compare
+
+
+def ld_band(genotypes: DataFrame, dist: int, least: float = 0.0, chrom: str = "chrom", pos: str = "pos", variant: str = "variant", dosages: str = "dosages", block: int = BLOCK) -> DataFrame:
+    """(chrom, v1, v2, r) for pairs of variants of a chromosome at most ``dist`` apart and |r| >= ``least``, v1 < v2: the band of the correlation matrix.
+
+    Dosages travel as two bits a sample.  Positions fall in cells as wide as the distance; a cell meets itself and the next one, in tiles of about ``block`` variants a side
+    (counted first), one matrix product each, in single precision.  Unknown dosages (null, NaN, other than 0, 1, 2) count as the variant's mean; variants that do not vary have r 0.
+    """
+    given = genotypes.where(F.col(pos).isNotNull() & F.col(chrom).isNotNull()).select(F.col(chrom).alias("chrom"), F.col(pos).cast("long").alias("pos"), F.col(variant).alias("variant"), F.col(dosages).cast("array<double>").alias("dosages"))
+    packed = given.mapInArrow(_packed, given.drop("dosages").schema.add("samples", "int").add("packed", "binary"))
+    packed = packed.withColumn("cell", F.floor(F.col("pos") / max(dist, 1)))
+    sizes = packed.groupBy("chrom", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    after = sizes.select("chrom", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("after"))
+    before = sizes.select("chrom", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("before"))
+    sizes = sizes.join(after, ["chrom", "cell"], "left").join(before, ["chrom", "cell"], "left")
+    rows = packed.join(sizes, ["chrom", "cell"]).withColumn("part", F.pmod(F.xxhash64("variant"), "blocks").cast("int"))
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    at = lambda low, first, other, second, side: F.struct(low.alias("low"), F.lit(other).alias("next"), first.alias("x"), second.alias("y"), side.alias("side"))
+    own = F.transform(upto(F.col("blocks")), lambda k: at(F.col("cell"), F.least("part", k), False, F.greatest("part", k), (F.col("part") > k).cast("int")))
+    ahead = F.transform(upto(F.col("after")), lambda k: at(F.col("cell"), F.col("part"), True, k, F.lit(0)))
+    behind = F.transform(upto(F.col("before")), lambda k: at(F.col("cell") - 1, k, True, F.col("part"), F.lit(1)))
+    tiles = rows.select("chrom", "pos", "variant", "samples", "packed", F.inline(F.concat(own, ahead, behind)))
+    # a tile of a block with itself has equal marks; between cells the marks differ whatever the blocks' numbers
+    tiles = tiles.select("chrom", "low", "next", "pos", "variant", "samples", "packed", "side", F.col("x").cast("string").alias("x"), F.concat(F.when(F.col("next"), "next ").otherwise(""), F.col("y").cast("string")).alias("y"))
+    types = {f.name: f.dataType.simpleString() for f in given.schema.fields}
+    found = tiles.groupBy("chrom", "low", "next", "x", "y").applyInArrow(_band(dist, least), f"chrom {types['chrom']}, v1 {types['variant']}, v2 {types['variant']}, r double")
+    return found.select("chrom", F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), "r")

@@ -57,7 +57,7 @@ FROM e GROUP BY gene""",
   round(sum((power((CASE WHEN l_quantity > 10 THEN 9.0::double + power(l_quantity - 9, 2) ELSE l_quantity END) + 1, 2) - 1) / 2), 6) AS "new",
   round(sum(power(CASE WHEN l_quantity / 2 > 20 THEN power(l_quantity / 2 - 20, 2) + 20 ELSE l_quantity / 2 END, 1 / 0.75::double)), 6) AS old
 FROM lineitem GROUP BY 1""",
-    "b_tissue_names": r"""SELECT p_partkey, regexp_replace(replace(p_brand || ' - ' || p_type, ')', ''), '\s+-\s+|\s*\(|\s+', '_', 'g') AS tissue, split_part(p_brand || '.' || p_type, '.', 1) AS sample, split_part(p_name || '.7', '.', 1) AS gene FROM part""",
+    "b_tissue_names": r"""SELECT p_partkey, regexp_replace(replace(p_brand || ' - ' || p_type, ')', ''), '\s*\(|[ -]+', '_', 'g') AS tissue, split_part(p_brand || '.' || p_type, '.', 1) AS sample, split_part(p_name || '.7', '.', 1) AS gene FROM part""",
     "b_array_codec": """WITH v AS (SELECT vec_id AS key, cast(embedding AS double[]) AS bs FROM embeddings),
 c AS (SELECT key, list_avg(bs) AS m, list_stddev_pop(bs) AS sp, list_stddev_samp(bs) AS ss, len(bs) AS n, len(list_filter(bs, lambda x: x >= 0)) AS up, len(list_filter(bs, lambda x: x <= 0)) AS down,
   len(list_filter(bs, lambda x: x >= -0.01)) AS up1, len(list_filter(bs, lambda x: x <= 0.01)) AS down1, len(list_filter(bs, lambda x: abs(x - list_avg(bs)) >= abs(list_avg(bs)))) AS far,

@@ -34,3 +34,22 @@ def prediction_bedgraph(predictions: DataFrame, variant: str, bin_: str, ref: st
     means = predictions.groupBy(variant, seq_start, bin_).agg(F.avg(ref).alias("ref"), F.avg(alt).alias("alt"))
     start = F.col(seq_start) + F.col(bin_) * stride
     return means.select(variant, start.alias("start"), (start + stride).alias("end"), "ref", "alt", (F.col("alt") - F.col("ref")).alias("diff"))
+
+
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, path: str | None = None) -> DataFrame:
+    """``df`` as a table of the catalog, hashed by ``keys`` into buckets, sorted in each; returns it as read back.
+
+    Tables with equal keys and as many buckets join and aggregate on them without an exchange, and merge joins without sorting where a bucket is one file: rows are
+    brought together by bucket before they are written.  ``path`` puts the files outside the warehouse.
+    """
+    ready = df.repartition(buckets, *keys)
+    writer = ready.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def write_bedgraph(tracks: DataFrame, path: str, chrom: str = "chrom", start: str = "start", end: str = "end", value: str = "value") -> DataFrame:
+    """Tab-separated text without header, sorted by place in each file, files in order; returns what is written."""
+    out = tracks.select(chrom, start, end, value).repartitionByRange(chrom, start).sortWithinPartitions(chrom, start, end)
+    out.write.csv(path, sep="\t", mode="overwrite")
+    return out

@@ -519,3 +519,118 @@ def test_coverage_buffer_and_unknown(spark):
     plain = [min(v, base) if k < 5 else base if k < 7 else v for k, v in enumerate(values)]
     assert all(got["t", k] == pytest.approx(min(math.sqrt(1 + x) - 1, 65504)) for k, x in enumerate(plain))
     assert got["u", 0] == 0.0
+
+
+def test_tissue_names_by_hand(spark):
+    names = {"A-B": "A_B", "Brain - Spinal cord (cervical c-1)": "Brain_Spinal_cord_cervical_c-1", "Skin - Sun Exposed (Lower leg)": "Skin_Sun_Exposed_Lower_leg", "a  -- b(c)": "a_b_c", "x (y) z": "x_y_z", None: None}
+    df = spark.createDataFrame([(k,) for k in names], "t string")
+    assert {r[0]: r[1] for r in df.select("t", C.tissue_name(F.col("t"))).collect()} == names
+    assert one(df.limit(1), C.tissue_name(F.lit("A-B"), {"A_B": "z"})) == "z"
+
+
+def test_reject_counts_are_observed(spark):
+    from pyspark.sql import Observation
+
+    lines = ["a\tx\t1", "b\ty\t2", "short\tx", "c\tx\t3\t4", None, "d\t\t5"]
+    df = spark.createDataFrame([(t,) for t in lines], "line string").repartition(3)
+    seen = Observation("lines")
+    kept = filters.well_formed(df, "line", 3, equal={1: "x"}, observation=seen)
+    assert [r["fields"] for r in kept.collect()] == [["a", "x", "1"]]
+    assert seen.get == {"lines": 6, "malformed": 3, "other": 2}
+    assert filters.reject_counts(df, "line", 3, equal={1: "x"}).first().asDict() == seen.get
+
+
+def test_variants_met_twice_are_refused_or_counted(spark):
+    from pyspark.sql import Observation
+
+    left = spark.createDataFrame([("c", 1, "A", "G", "ok"), ("c", 2, "A", "G", "flip"), ("c", 3, "A", "G", "twice")], "chrom string, pos long, a1 string, a2 string, v string")
+    right = spark.createDataFrame([("c", 1, "A", "G", 1), ("c", 2, "G", "A", 2), ("c", 3, "A", "G", 3), ("c", 3, "G", "A", 4)], "chrom string, pos long, a1 string, a2 string, n int")
+    with pytest.raises(Exception, match="c_3_A_G"):
+        joins.one_orientation(left, right).collect()
+    with pytest.raises(Exception, match="c_2_A_G"):
+        joins.one_orientation(left.where("v <> 'twice'"), right, flips=False).collect()
+    for flips, want, refused in ((True, {"ok": 1, "flip": 2}, 2), (False, {"ok": 1}, 3)):
+        seen = Observation(f"refused {flips}")
+        assert {r["v"]: r["n"] for r in joins.one_orientation(left, right, flips, seen).collect()} == want
+        assert seen.get == {"refused": refused}
+
+
+@pytest.mark.parametrize("dist, block", [(0, 1000), (50, 1000), (50, 5), (1000, 7)])
+def test_ld_band_is_the_matrix_within_the_distance(spark, dist, block):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(120):
+        d = rng.integers(0, 3, 37).astype(float)
+        known = [None if rng.random() < 0.05 else v for v in d.tolist()] if k % 3 == 0 else d.tolist()
+        rows.append(("c1" if k % 4 else "c2", int(rng.integers(0, 400)), k, known))
+    rows += [("c1", 7, 500, [1.0] * 37), ("c1", None, 501, [1.0] * 37)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, variant long, dosages array<double>").repartition(5)
+    got = {(r["chrom"], r["v1"], r["v2"]): r["r"] for r in matrices.ld_band(df, dist, block=block).collect()}
+
+    def z(d):
+        x = np.array([np.nan if v is None else v for v in d])
+        x = np.where(np.isnan(x), np.nanmean(x), x) - np.nanmean(x)
+        return x / x.std() if x.std() > 0 else x * 0
+
+    want = {(a[0], *sorted((a[2], b[2]))): float(z(a[3]) @ z(b[3]) / 37) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and None not in (a[1], b[1]) and abs(a[1] - b[1]) <= dist}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_components_by_subspace_iteration_are_numpys(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 3)) @ (rng.normal(size=(3, 60)) * [[5], [3], [2]]) + rng.normal(size=(300, 60)) * 0.3
+    df = spark.createDataFrame([(k, x[k].tolist()) for k in range(300)], "g int, x array<double>").repartition(6)
+    got = expression.principal_components(df, "x", 60, 3, extra=5)
+    want = np.linalg.svd(x, full_matrices=False)[2][:3].T
+    assert got.shape == (60, 3) and np.allclose(np.abs(np.sum(got * want, axis=0)), 1, atol=1e-8)
+    assert expression.principal_components(df.where("false"), "x", 60, 3).shape == (60, 3)
+
+
+def test_shrinkage_over_bins_is_em_over_rows(spark):
+    rng = np.random.default_rng(13)
+    s = np.exp(rng.normal(-3, 0.5, 3000))
+    b = np.where(rng.random(3000) < 0.7, 0, rng.normal(0, 0.3, 3000)) + rng.normal(size=3000) * s
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(b, s)] + [(None, 1.0), (1.0, 0.0)], "b double, s double")
+    out, weights = shrinkage.adaptive_shrinkage(df, "b", "s", 0.02, 1.0)
+    grid, w = np.array([g for g, _ in weights]), np.full(len(weights), 1 / len(weights))
+    total = s[:, None] ** 2 + grid[None]
+    like = np.exp(-0.5 * b[:, None] ** 2 / total) / np.sqrt(total)
+    for _ in range(20_000):
+        r = like * w
+        w = (r / r.sum(1, keepdims=True)).mean(0)
+    assert np.abs(w - [x for _, x in weights]).max() < 0.02  # neighbouring variances trade weight freely; what follows from them does not
+    r = like * w
+    r /= r.sum(1, keepdims=True)
+    mean = (r * (b[:, None] * grid / total)).sum(1)
+    rows = out.collect()
+    assert len(rows) == 3000
+    got = {round(x["b"], 12): x["posterior_mean"] for x in rows}
+    assert max(abs(got[round(float(x), 12)] - m) for x, m in zip(b, mean)) < 0.002 * s.max()
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    rows = spark.range(2000).select((F.col("id") % 500).alias("variant"), (F.col("id") % 7).alias("gene"), F.col("id").alias("x"))
+    a = writers.write_bucketed(rows, "bucketed_left", ["variant", "gene"], 4, str(tmp_path / "a"))
+    b = writers.write_bucketed(rows.withColumnRenamed("x", "y"), "bucketed_right", ["variant", "gene"], 4, str(tmp_path / "b"))
+    joined = a.hint("merge").join(b, ["variant", "gene"])
+    grouped = a.groupBy("variant", "gene").agg(F.sum("x"))
+    for df in (joined, grouped):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == rows.join(rows.withColumnRenamed("x", "y"), ["variant", "gene"]).count()
+    spark.sql("drop table bucketed_left")
+    spark.sql("drop table bucketed_right")
+
+
+def test_concordance_regression_finds_the_slope(spark):
+    rng = np.random.default_rng(14)
+    effect, p = rng.normal(size=4000), rng.uniform(0.001, 1, 4000)
+    z = 0.3 + 0.9 * np.abs(effect) + 0.5 * -np.log10(p)
+    agree = (rng.random(4000) < 1 / (1 + np.exp(-z))).astype(int)
+    df = spark.createDataFrame([(float(e), float(e if a else -e), float(x)) for a, e, x in zip(agree, effect, p)], "effect double, other double, p double")
+    got = concordance.concordance_regression(df, "effect", "other", "p")
+    x = np.column_stack([np.ones(4000), np.abs(effect), -np.log10(p)])
+    w = np.zeros(3)
+    for _ in range(30):  # Newton's method
+        m = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve(x.T @ (x * (m * (1 - m))[:, None]), x.T @ (agree - m))
+    assert [got.intercept, *got.coefficients] == pytest.approx(w.tolist(), abs=1e-4)
