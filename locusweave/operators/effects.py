@@ -7,17 +7,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from locusweave.operators.quantiles import exact_percentiles, quantile_sketches, sketch_percentiles
 
 
-def sed_stats(df: DataFrame, by: list[str], ref: str, alt: str, pseudo: Column | float | None = None) -> DataFrame:
+def window_pseudocount(tracks: DataFrame, by: list[str], ref: str, share: float = 0.25) -> DataFrame:
+    """Adds ``pseudo``: the percentile of the reference track over the whole predicted window and target (``by``), before bins are chosen; a window has some thousand bins."""
+    return tracks.join(tracks.groupBy(*by).agg(F.percentile(ref, share).alias("pseudo")), by)
+
+
+def sed_stats(df: DataFrame, by: list[str], ref: str, alt: str, pseudo: Column | float) -> DataFrame:
     """Per variant, gene and target (``by``) over its bins: sums, differences and distances of the two tracks.
 
     Logarithms are log2(x + 1), of bins and of sums.  Normalised tracks are (x + c) / sum(x + c): nD2 and nDi are the root of the summed
     squares and the largest of their differences, JS half the sum of the relative entropies both ways.  ``pseudo`` gives c, a number or a
-    column that is constant in each group, such as the 25th percentile of the whole predicted window; without it c is that of the
-    group's own reference bins.
+    column that is constant in each group, such as that of ``window_pseudocount``.
     """
     r, a = F.col(ref), F.col(alt)
-    c = F.percentile(r, 0.25) if pseudo is None else F.first(pseudo) if isinstance(pseudo, Column) else F.lit(float(pseudo))
+    c = F.first(pseudo) if isinstance(pseudo, Column) else F.lit(float(pseudo))
+    df = df.drop("pseudo") if not isinstance(pseudo, Column) else df
     base = df.groupBy(*by).agg(F.sum(r).alias("sum_ref"), F.sum(a).alias("sum_alt"), c.alias("pseudo"), F.count(F.lit(1)).alias("bins"))
+    df = df.drop("pseudo")
     rows = df.join(base, by)
     lr, la = F.log2(r + 1), F.log2(a + 1)
     pr = (r + F.col("pseudo")) / (F.col("sum_ref") + F.col("bins") * F.col("pseudo"))

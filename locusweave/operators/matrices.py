@@ -219,7 +219,7 @@ def ld_band(genotypes: DataFrame, dist: int, least: float = 0.0, chrom: str = "c
     (counted first), one matrix product each, in single precision.  Unknown dosages (null, NaN, other than 0, 1, 2) count as the variant's mean; variants that do not vary have r 0.
     """
     given = genotypes.where(F.col(pos).isNotNull() & F.col(chrom).isNotNull()).select(F.col(chrom).alias("chrom"), F.col(pos).cast("long").alias("pos"), F.col(variant).alias("variant"), F.col(dosages).cast("array<double>").alias("dosages"))
-    packed = given.mapInArrow(_packed, given.drop("dosages").schema.add("samples", "int").add("packed", "binary"))
+    packed = given.mapInArrow(_packed, given.drop("dosages").schema.add("samples", "integer").add("packed", "binary"))
     packed = packed.withColumn("cell", F.floor(F.col("pos") / max(dist, 1)))
     sizes = packed.groupBy("chrom", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     after = sizes.select("chrom", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("after"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 REPS = "reps AS (SELECT l_partkey AS key, l_discount - 0.02 AS value FROM lineitem)"
 RANKP = "2.0 * (1 + least(count(*) FILTER (value >= 0), count(*) FILTER (value <= 0))) / (1 + count(value))"
 VARIANTS = """v0 AS (
@@ -42,6 +44,30 @@ gl AS (SELECT DISTINCT vec_id AS key, label AS gene FROM embeddings WHERE label
 ge AS (SELECT gm.key, gene, mean, var, CASE WHEN gm.key % 2 = 1 THEN -(p_size - 25) / 10.0::double ELSE (p_size - 25) / 10.0::double END + 0.0 AS z FROM gm JOIN part ON p_partkey = gm.key JOIN gl ON gl.key = gm.key WHERE p_size > 5)"""
 
 
+def fisher(table: str, keys: str) -> str:
+    """Two-sided Fisher's p of the counts a, b, c, d of ``table``, as CTEs that end in fisher(keys, fisher_p)."""
+    return f"""fk AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS i FROM {table}),
+fh AS (SELECT *, -(lgamma(i + 1) + lgamma(a + b - i + 1) + lgamma(a + c - i + 1) + lgamma(d - a + i + 1)) AS lp, -(lgamma(a + 1) + lgamma(b + 1) + lgamma(c + 1) + lgamma(d + 1)) AS lo FROM fk),
+fj AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY {keys})) AS weight FROM fh),
+fisher AS (SELECT {keys}, least(sum(weight) FILTER (lp <= lo + 1e-7) / sum(weight), 1.0) AS fisher_p FROM fj GROUP BY {keys})"""
+
+
+ODDS = "round((a + 0.1::double) * (d + 0.1) / ((b + 0.1) * (c + 0.1)), 6) AS odds"
+CELLS = "count(*) FILTER (e AND o) AS a, count(*) FILTER (e AND NOT o) AS b, count(*) FILTER (NOT e AND o) AS c, count(*) FILTER (NOT e AND NOT o) AS d"
+
+
+def binomial_p(n: int) -> str:
+    """VALUES (k, p): two-sided sign-test p for k of n at one half."""
+    tails = [sum(math.comb(n, j) for j in range(k + 1)) for k in range(n // 2 + 1)]
+    return ", ".join(f"({k}, {min(1.0, 2 * t / 2**n)!r}::double)" for k, t in enumerate(tails))
+
+
+def normal_tail(z: str) -> str:
+    """Two-sided normal p of z >= 0 by the series of the middle, exact to six decimals."""
+    series = f"(1 - sqrt(2 / pi()) * exp(-{z} * {z} / 2) * list_sum(list_transform(range(0, 100), lambda k: exp((2 * k + 1) * ln(greatest({z}, 1e-300)) - list_sum(list_transform(range(0, k + 1), lambda j: ln(2 * j + 1.0)))))))"
+    return series
+
+
 def rounded(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
@@ -156,7 +182,7 @@ SELECT variant, target, round(any_value(sr), 4) AS sum_ref_stat, round(any_value
 FROM x GROUP BY variant, target""",
     "e_coverage": """WITH o AS (SELECT o_orderpriority AS track, cast(date_diff('day', DATE '1970-01-01', cast(o_orderdate AS date)) AS bigint) AS pos, sum(o_totalprice)::double AS cov FROM orders GROUP BY ALL),
 m AS (SELECT track, quantile_cont(cov, 0.5) AS base FROM o GROUP BY 1), b AS (SELECT DISTINCT pos // 90 * 90 AS lo FROM o),
-k AS (SELECT o.track, pos // 7 AS bin, CASE WHEN pos - pos // 90 * 90 < 14 THEN greatest(least(cov, base), -base) ELSE cov END AS cov FROM o JOIN m USING (track)),
+k AS (SELECT o.track, pos // 7 AS bin, CASE WHEN EXISTS (SELECT 1 FROM b WHERE pos >= lo - 20 AND pos < lo + 34) THEN greatest(least(cov, base), -base) ELSE cov END AS cov FROM o JOIN m USING (track)),
 y AS (SELECT track, bin, sqrt(1 + sum(cov * 0.001)) - 1 AS y FROM k GROUP BY ALL)
 SELECT track, bin, round(least(CASE WHEN y > 20 THEN 19 + sqrt(y - 19) ELSE y END, 100), 4) AS cov FROM y""",
     "e_allele_frequency": f"WITH {GENO} SELECT key, round(list_sum(d) / 128, 6) AS af FROM g",
@@ -192,16 +218,14 @@ SELECT variant, cast(ntile(4) OVER (ORDER BY pos, variant) AS int) AS part_no FR
 SELECT key, gene, tissue, round(avg(value), 6) + 0.0 AS mean, count(*) AS n, round({RANKP}, 6)::double AS p FROM r GROUP BY key, gene, tissue""",
     "q4_fine_mapped_effects": f"""WITH {VARIANTS}, {REPS}, m AS (SELECT key, avg(value) AS mean, stddev_samp(value) AS sd FROM reps GROUP BY key), g AS (SELECT p_brand, min(p_partkey * 97) AS tss, CASE WHEN min(p_size) % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part GROUP BY 1)
 SELECT key, round(mean, 6) AS mean, round(sd, 6) AS sd, CASE WHEN strand = '+' THEN pos - tss ELSE tss - pos END AS dist FROM v JOIN m USING (key) JOIN g USING (p_brand) WHERE p_size <= 10""",
-    "q5_annotation_enrichment": f"""WITH {REPS}, p AS (SELECT key, {RANKP} AS p FROM reps GROUP BY key), x AS (SELECT p_type AS annotation, p <= 0.4 AS e, p_size <= 10 AS o FROM p JOIN part ON p_partkey = key),
-t AS (SELECT annotation, count(*) FILTER (e AND o) AS a, count(*) FILTER (e AND NOT o) AS b, count(*) FILTER (NOT e AND o) AS c, count(*) FILTER (NOT e AND NOT o) AS d FROM x GROUP BY 1),
-k AS (SELECT *, unnest(range(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1)) AS i FROM t),
-h AS (SELECT *, -(lgamma(i + 1) + lgamma(a + b - i + 1) + lgamma(a + c - i + 1) + lgamma(d - a + i + 1)) AS lp, -(lgamma(a + 1) + lgamma(b + 1) + lgamma(c + 1) + lgamma(d + 1)) AS lo FROM k),
-f AS (SELECT annotation, sum(exp(lp - lo)) FILTER (exp(lp - lo) <= 1 + 1e-7) / sum(exp(lp - lo)) AS fp FROM h GROUP BY 1),
-n AS (SELECT t.*, least(fp, 1.0) AS fp, {ENRICH} AS fold, sqrt(1.0::double / nullif(a, 0) - 1.0::double / nullif(a + b, 0) + 1.0::double / nullif(c, 0) - 1.0::double / nullif(c + d, 0)) AS se FROM t JOIN f USING (annotation))
-SELECT annotation, a, b, c, d, round(fold, 6) AS enrichment, round(se, 6) AS log_se, round(fold * exp(-1.96 * se), 6) AS lower, round(fold * exp(1.96 * se), 6) AS upper, round((a + 0.1::double) * (d + 0.1) / ((b + 0.1) * (c + 0.1)), 6) AS odds, round(fp, 6) AS fisher_p FROM n""",
+    "q5_annotation_enrichment": f"""WITH {REPS}, p AS (SELECT key, {RANKP} AS p FROM reps GROUP BY key), y AS (SELECT p_type AS annotation, p <= 0.4 AS e, p_size::double AS value FROM p JOIN part ON p_partkey = key WHERE p_retailprice <= 1700),
+m AS (SELECT annotation, avg(value) AS cut, count(*) FILTER (value NOT IN (0, 1)) AS other FROM y GROUP BY 1), x AS (SELECT annotation, e, CASE WHEN other > 0 THEN value > cut ELSE value = 1 END AS o FROM y JOIN m USING (annotation)),
+t AS (SELECT annotation, {CELLS} FROM x GROUP BY 1), {fisher("t", "annotation")},
+n AS (SELECT t.*, fisher_p, {ENRICH} AS fold, sqrt(1.0::double / nullif(a, 0) - 1.0::double / nullif(a + b, 0) + 1.0::double / nullif(c, 0) - 1.0::double / nullif(c + d, 0)) AS se FROM t JOIN fisher USING (annotation))
+SELECT annotation, a, b, c, d, round(fold, 6) AS enrichment, round(se, 6) AS log_se, round(fold * exp(-1.96 * se), 6) AS lower, round(fold * exp(1.96 * se), 6) AS upper, {ODDS}, round(fisher_p, 6) AS fisher_p FROM n""",
     "q8_cross_tissue": f"""WITH {SUPPLIED}, p AS (SELECT key, tissue AS t1, {RANKP} <= 0.7 AS e FROM s GROUP BY ALL), q AS (SELECT key, tissue AS t2, max(l_quantity) > 40 AS o FROM s GROUP BY ALL),
-t AS (SELECT t1, t2, count(*) FILTER (e AND o) AS a, count(*) FILTER (e AND NOT o) AS b, count(*) FILTER (NOT e AND o) AS c, count(*) FILTER (NOT e AND NOT o) AS d FROM p JOIN q USING (key) GROUP BY ALL)
-SELECT t1, t2, a, b, c, d, round((a::double / nullif(a + b, 0)) / nullif(c::double / nullif(c + d, 0), 0), 6) AS enrichment, round((a + 0.1::double) * (d + 0.1) / ((b + 0.1) * (c + 0.1)), 6) AS odds FROM t""",
+t AS (SELECT t1, t2, {CELLS} FROM p JOIN q USING (key) GROUP BY ALL), {fisher("t", "t1, t2")}
+SELECT t1, t2, a, b, c, d, round({ENRICH}, 6) AS enrichment, {ODDS}, round(fisher_p, 6) AS fisher_p FROM t JOIN fisher USING (t1, t2)""",
     "q9_tss_summary": f"""WITH {PART_EFFECTS} SELECT p <= 0.4 AS label, cast(floor((dist + 1000) / 100) AS int) AS bin, count(*) AS n FROM pe WHERE p <= 0.4 OR {mix('key', '3')} % 5 = 0 GROUP BY ALL""",
     "q18_mutagenesis": f"""WITH {VARIANTS}, {REPS}, m AS (SELECT key, avg(value) AS predicted FROM reps GROUP BY key),
 x AS (SELECT CASE split_part(p_type, ' ', 1) WHEN 'STANDARD' THEN 'liver' WHEN 'SMALL' THEN 'lung' WHEN 'MEDIUM' THEN 'brain' WHEN 'PROMO' THEN 'skin' WHEN 'ECONOMY' THEN 'heart' WHEN 'LARGE' THEN 'colon' END AS tissue, predicted * (p_retailprice - 1400) >= 0 AS ok FROM v JOIN m USING (key) WHERE p_size / 50.0::double <= 0.5),
@@ -215,12 +239,12 @@ SELECT p_partkey, gene, CASE kind WHEN 'NoPAS' THEN 'none' ELSE kind END AS kind
     "d_gwas_effects": f"""WITH {GWAS} SELECT key, gene, round(mean, 6) AS mean, z FROM ge""",
     "q7_cell_type_odds": f"""WITH {VARIANTS}, {REPS}, p AS (SELECT key, {RANKP} <= 0.4 AS e FROM reps GROUP BY key),
 x AS (SELECT p_brand, e, CASE WHEN key % 10 = 5 THEN p_size > 40 ELSE p_size <= 10 END AS o FROM p JOIN v USING (key) WHERE key % 9 <> 0),
-t AS (SELECT p_brand, count(*) FILTER (e AND o) AS a, count(*) FILTER (e AND NOT o) AS b, count(*) FILTER (NOT e AND o) AS c, count(*) FILTER (NOT e AND NOT o) AS d FROM x GROUP BY 1)
-SELECT p_brand, a, b, c, d, round((a + 0.1::double) * (d + 0.1) / ((b + 0.1) * (c + 0.1)), 6) AS odds FROM t""",
+t AS (SELECT p_brand, {CELLS} FROM x GROUP BY 1), {fisher("t", "p_brand")}
+SELECT p_brand, a, b, c, d, {ODDS}, round(fisher_p, 6) AS fisher_p FROM t JOIN fisher USING (p_brand)""",
     "q10_tissue_overlap": f"""WITH {SUPPLIED}, r AS (SELECT key, gene, tissue, l_linenumber, round(avg(value), 9) AS value FROM s GROUP BY ALL), h AS (SELECT key, gene, tissue FROM r GROUP BY ALL HAVING {RANKP} <= 0.7), n AS (SELECT tissue, count(*) AS n FROM h GROUP BY 1),
 m AS (SELECT a.tissue AS t1, b.tissue AS t2, count(*) AS shared FROM h a JOIN h b ON a.key = b.key AND a.gene = b.gene AND a.tissue < b.tissue GROUP BY ALL)
 SELECT a.tissue AS t1, b.tissue AS t2, coalesce(shared, 0) AS shared, round(coalesce(shared, 0)::double / (a.n + b.n - coalesce(shared, 0)), 6) AS jaccard FROM n a JOIN n b ON a.tissue < b.tissue LEFT JOIN m ON m.t1 = a.tissue AND m.t2 = b.tissue""",
-    "q11_class_annotations": f"""WITH {VARIANTS}, {SUPPLIED}, p AS (SELECT key, tissue, {RANKP} AS p FROM s GROUP BY ALL), r AS (SELECT key, min(p)::double AS min_p FROM p WHERE key % 3 <> 0 GROUP BY key)
+    "q11_class_annotations": f"""WITH {VARIANTS}, {SUPPLIED}, p AS (SELECT key, tissue, {RANKP} AS p FROM s GROUP BY ALL), r AS (SELECT key, min(p)::double AS min_p FROM p JOIN part ON p_partkey = key WHERE p_size > 16 GROUP BY key)
 SELECT chrom, pos, 'rs' || v.key AS rsid, p_size AS cm, coalesce(cast(min_p <= 0.3 AS int), 0) AS class1, coalesce(cast(min_p > 0.3 AND min_p <= 0.5 AS int), 0) AS class2, coalesce(cast(min_p > 0.5 AND min_p <= 0.8 AS int), 0) AS class3, coalesce(cast(min_p > 0.8 AS int), 0) AS class4
 FROM v LEFT JOIN r ON r.key = v.key""",
     "q13_twas": f"""WITH {GENO}, {GWAS}, k AS (SELECT ge.key, ge.gene, ge.z, std.z AS g, mean, var FROM ge JOIN std ON std.key = ge.key AND std.gene = ge.gene),
@@ -242,12 +266,17 @@ w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY gene)) AS w FROM a), p AS (SEL
 o AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY pip DESC, key) AS rk FROM p),
 r AS (SELECT gene, key, chrom, key % 5000 + 4 AS pos, a1, a2, beta, pip, CASE WHEN p_size > 25 THEN p_size / 100.0::double END AS maf, substr('ACGT', cast((key % 5000 + 3) % 4 + 1 AS int), 1) AS base FROM o JOIN v USING (key) WHERE rk = 1 AND (key % 5000 + 1) % 50 <> 0)
 SELECT gene, key, chrom, pos, CASE WHEN a1 = base THEN a1 ELSE a2 END AS a1, CASE WHEN a1 = base THEN a2 ELSE a1 END AS a2, round(CASE WHEN a1 = base THEN beta ELSE -beta END, 6) + 0.0 AS beta, round(pip, 6) AS pip, maf FROM r WHERE (a1 = base OR a2 = base) AND pos <= 5200""",
-    "q19_effect_scores": f"""WITH t AS (SELECT l_partkey AS variant, l_linenumber - 1 AS bin, l_returnflag AS target, {undone("(l_quantity / 3.1415926::double)")} AS r, {undone("(l_quantity / 3.1415926::double * (1 - l_discount))")} AS a FROM lineitem),
-x AS (SELECT t.*, p_brand AS gene FROM t JOIN part ON p_partkey = variant WHERE bin >= p_partkey % 4 AND bin < ceil(p_partkey % 4 + 2.5)),
-b AS (SELECT variant, gene, target, sum(r) AS sr, sum(a) AS sa, count(*) AS n FROM x GROUP BY ALL)
+    "q19_effect_scores": f"""WITH {VARIANTS}, tr AS (SELECT l_partkey AS variant, l_linenumber - 1 AS bin, l_returnflag AS target, {undone("(l_quantity / 3.1415926::double)")} AS r, {undone("(l_quantity / 3.1415926::double * (1 - l_discount))")} AS a FROM lineitem),
+ps AS (SELECT variant, target, quantile_cont(r, 0.25) AS c FROM tr GROUP BY ALL),
+wn AS (SELECT key AS variant, chrom, greatest(0, pos - 35) AS s, pos + 35 AS e FROM v), ex AS (SELECT chrom, pos - p_size AS s, pos - p_size + CASE WHEN p_size = 50 THEN 40000 ELSE 10 + p_size END AS e, p_brand AS gene FROM v),
+ov AS (SELECT variant, gene, wn.chrom, wn.s AS seq_start, greatest(cast(floor((ex.s - wn.s) / 10) AS bigint), 0) AS lo, least(cast(ceil((ex.e - wn.s) / 10) AS bigint), 7) AS hi FROM wn JOIN ex ON ex.chrom = wn.chrom AND ex.s < wn.e AND wn.s < ex.e),
+bn AS (SELECT DISTINCT variant, gene, chrom, seq_start, unnest(range(lo, hi)) AS bin FROM ov WHERE hi > lo),
+x AS (SELECT tr.*, gene, c FROM tr JOIN bn ON bn.variant = tr.variant AND bn.bin = tr.bin JOIN ps ON ps.variant = tr.variant AND ps.target = tr.target),
+b AS (SELECT variant, gene, target, sum(r) AS sr, sum(a) AS sa, count(*) AS n FROM x GROUP BY ALL),
+y AS (SELECT x.*, sr, sa, (r + c) / (sr + n * c) AS pr, (a + c) / (sa + n * c) AS pa FROM x JOIN b USING (variant, gene, target))
 SELECT variant, gene, target, round(any_value(sr), 4) AS sum_ref_stat, round(any_value(sa), 4) AS sum_alt_stat, round(any_value(log2(sa + 1) - log2(sr + 1)), 4) + 0.0 AS logsed_stat, round(sum(abs(a - r)), 4) AS d1_stat,
-       round(sqrt(sum((log2(a + 1) - log2(r + 1)) ** 2)), 4) AS logd2_stat, round(max(abs((a + 1) / (sa + n) - (r + 1) / (sr + n))), 4) AS ndi_stat
-FROM x JOIN b USING (variant, gene, target) GROUP BY variant, gene, target""",
+       round(sqrt(sum((log2(a + 1) - log2(r + 1)) ** 2)), 4) AS logd2_stat, round(max(abs(pa - pr)), 4) AS ndi_stat, round((sum(pr * ln(pr / pa)) + sum(pa * ln(pa / pr))) / 2, 4) AS js_stat
+FROM y GROUP BY variant, gene, target""",
     "q21_block_bootstrap": f"""WITH g AS (SELECT c_custkey, cast(round(c_acctbal * 100) AS bigint) AS tss, ntile(50) OVER (ORDER BY c_nationkey, cast(round(c_acctbal * 100) AS bigint), c_custkey) - 1 AS fold FROM customer),
 slots AS (SELECT range AS slot, seed FROM range(50), (SELECT unnest([1, 2, 3]) AS seed)), d AS (SELECT seed, {mix("slot", "seed")} % 50 AS fold, CASE WHEN slot >= 40 THEN 'valid' ELSE 'train' END AS role FROM slots),
 k AS (SELECT * FROM d WHERE role = 'train' OR NOT EXISTS (SELECT 1 FROM d t WHERE t.role = 'train' AND t.seed = d.seed AND t.fold = d.fold))
@@ -274,13 +303,13 @@ d AS (SELECT n, iter, rep FROM c QUALIFY row_number() OVER (PARTITION BY n, iter
 v AS (SELECT vec_id AS key, vec_id % 9 - 4.0::double AS truth, unnest(cast(embedding AS double[])) AS value, generate_subscripts(embedding, 1) - 1 AS rep FROM embeddings),
 r AS (SELECT n, iter, key, truth, avg(value) AS mean, count(*) FILTER (value > 0) AS up, count(*) FILTER (value < 0) AS down FROM v JOIN d USING (rep) GROUP BY ALL)
 SELECT cast(n AS int) AS n, cast(iter AS int) AS iter, count(*) AS hits, round(corr(mean, truth), 6) AS corr, round(avg(cast(mean * truth >= 0 AS int)), 6) AS concordance FROM r WHERE up = 0 OR down = 0 GROUP BY 1, 2""",
-    "q6_binarised_enrichment": """WITH v AS (SELECT p_size <= 10 AS e, 'size' AS annotation, p_size::double AS value FROM part UNION ALL SELECT p_size <= 10, 'price', p_retailprice::double FROM part UNION ALL SELECT p_size <= 10, 'even', (p_partkey % 2)::double FROM part),
-m AS (SELECT annotation, avg(value) AS cut, count(*) FILTER (value NOT IN (0, 1)) AS other FROM v GROUP BY 1), x AS (SELECT annotation, e, CASE WHEN other > 0 THEN value > cut ELSE value = 1 END AS o FROM v JOIN m USING (annotation)),
-t AS (SELECT annotation, count(*) FILTER (e AND o) AS a, count(*) FILTER (e AND NOT o) AS b, count(*) FILTER (NOT e AND o) AS c, count(*) FILTER (NOT e AND NOT o) AS d FROM x GROUP BY 1),
-k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS i FROM t),
-h AS (SELECT *, -(lgamma(i + 1) + lgamma(a + b - i + 1) + lgamma(a + c - i + 1) + lgamma(d - a + i + 1)) AS lp, -(lgamma(a + 1) + lgamma(b + 1) + lgamma(c + 1) + lgamma(d + 1)) AS lo FROM k),
-j AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY annotation)) AS p FROM h)
-SELECT annotation, a, b, c, d, round((a + 0.1::double) * (d + 0.1) / ((b + 0.1) * (c + 0.1)), 6) AS odds, round(least(sum(p) FILTER (lp <= lo + 1e-7) / sum(p), 1.0), 6) AS fisher_p FROM j GROUP BY annotation, a, b, c, d""",
+    "q6_binarised_enrichment": f"""WITH f AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_discount >= 0.1), t AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_quantity > 49),
+w AS (SELECT p_partkey AS key, p_partkey IN (SELECT key FROM f) AS e, p_size, p_retailprice FROM part WHERE (CASE WHEN p_size / 50.0::double > 0.5 THEN 1 - p_size / 50.0::double ELSE p_size / 50.0::double END) >= 0.05),
+g AS (SELECT 'all' AS among, * FROM w UNION ALL SELECT 'tested', * FROM w WHERE key IN (SELECT key FROM t)),
+v AS (SELECT among, e, 'size' AS annotation, p_size::double AS value FROM g UNION ALL SELECT among, e, 'price', p_retailprice::double FROM g UNION ALL SELECT among, e, 'even', (key % 2)::double FROM g),
+m AS (SELECT among, annotation, avg(value) AS cut, count(*) FILTER (value NOT IN (0, 1)) AS other FROM v GROUP BY ALL), x AS (SELECT among, annotation, e, CASE WHEN other > 0 THEN value > cut ELSE value = 1 END AS o FROM v JOIN m USING (among, annotation)),
+c AS (SELECT among, annotation, {CELLS} FROM x GROUP BY ALL), {fisher("c", "among, annotation")}
+SELECT among, annotation, a, b, c, d, {ODDS}, round(fisher_p, 6) AS fisher_p FROM c JOIN fisher USING (among, annotation)""",
     "q12_meta_of_enrichment": f"""WITH {PART_EFFECTS}, x AS (SELECT p_brand, p_type, p <= 0.4 AS e, p_size <= 20 AS o FROM pe),
 t AS (SELECT p_brand, p_type, count(*) FILTER (e AND o)::double AS a, count(*) FILTER (e AND NOT o)::double AS b, count(*) FILTER (NOT e AND o)::double AS c, count(*) FILTER (NOT e AND NOT o)::double AS d FROM x GROUP BY ALL),
 f AS (SELECT p_type, (a / nullif(a + b, 0)) / nullif(c / nullif(c + d, 0), 0) AS fold, sqrt(1 / nullif(a, 0) - 1 / nullif(a + b, 0) + 1 / nullif(c, 0) - 1 / nullif(c + d, 0)) AS se FROM t),
@@ -312,8 +341,38 @@ SELECT 'concordance' AS part, 0.0::double AS low, cut AS high, n, round(k, 6) AS
 UNION ALL SELECT 'concordance ' || layer, low, high, n, round(k, 6), round(greatest(k - 196 * sqrt(k / 100 * (1 - k / 100) / n), 0), 6), round(least(k + 196 * sqrt(k / 100 * (1 - k / 100) / n), 100), 6) FROM s
 UNION ALL SELECT 'power', l_low, l_high, count(*), round(avg(cast(p <= 0.4 AS double)), 6), NULL, NULL FROM g JOIN l ON apart >= l_low AND apart < l_high GROUP BY l_low, l_high
 UNION ALL SELECT 'top by_p', 0, top, n, round(by_p, 6), NULL, NULL FROM t UNION ALL SELECT 'top by_effect', 0, top, n, round(by_effect, 6), NULL, NULL FROM t""",
-    "q16_burden": f"""WITH {REPS}, t AS (SELECT p_brand AS gene, p_type AS trait, min(p_size) / 50.0::double AS pv, min(p_partkey) AS row FROM part GROUP BY 1, 2),
+    "q16_burden": f"""WITH {REPS}, t AS (SELECT p_brand AS gene, p_type AS trait, min(p_size) / 50.0::double AS pv, min(p_partkey) AS row FROM part WHERE p_size > 2 GROUP BY 1, 2),
 g AS (SELECT gene, min(trait) AS trait FROM t WHERE pv <= 0.1 GROUP BY 1), s AS (SELECT p_brand AS gene, min(p_partkey) AS tss FROM part GROUP BY 1), m AS (SELECT key, avg(value) AS mean FROM reps GROUP BY 1),
 v AS (SELECT p_partkey AS pos FROM part WHERE p_partkey % 101 / 100.0::double <= 0.01 OR p_partkey % 101 / 100.0::double >= 0.99)
-SELECT gene, trait, count(*) AS n, round(avg(mean), 6) AS mean FROM v JOIN s ON abs(pos - tss) <= 250 JOIN g USING (gene) JOIN m ON m.key = pos GROUP BY ALL""",
+SELECT gene, trait, count(*) AS n, round(avg(mean), 6) AS mean, min(pos + 3) AS first FROM v JOIN s ON abs(pos - tss) <= 250 JOIN g USING (gene) JOIN m ON m.key = pos WHERE pos % 50 <> 0 GROUP BY ALL""",
+    "q8_matched_tissues": f"""WITH {SUPPLIED}, p AS (SELECT key, tissue AS t1, {RANKP} <= 0.7 AS e FROM s GROUP BY ALL), q AS (SELECT key, tissue AS t2, max(l_quantity) > 40 AS o FROM s GROUP BY ALL),
+t AS (SELECT t1, t2, {CELLS} FROM p JOIN q USING (key) GROUP BY ALL),
+y AS (SELECT t1, t2, {ENRICH} AS value FROM t WHERE a > 0 AND a + c > 20), f AS (SELECT t1, max(value) FILTER (t1 = t2) AS matched, quantile_cont(value, 0.5) FILTER (t1 <> t2) AS median_other FROM y GROUP BY t1)
+SELECT t1, round(matched, 6) AS matched, round(median_other, 6) AS median_other, round(matched - median_other, 6) AS gain FROM f""",
+    "q12_aligned_enrichment": f"""WITH {PART_EFFECTS}, k AS (SELECT p_brand, p_type AS kind, p_size FROM part),
+r AS (SELECT p_brand, kind, round(avg(p_size), 6) / 25 AS f, 0.5 / sqrt(count(*)) AS se FROM k GROUP BY ALL),
+g AS (SELECT lower(kind) AS label, sum(f / (se * se)) / sum(1 / (se * se)) AS gwas, sqrt(1 / sum(1 / (se * se))) AS se FROM r GROUP BY kind HAVING count(*) >= 2),
+x AS (SELECT lower(p_type) AS label, p <= 0.4 AS e, p_size <= 20 AS o FROM pe), t AS (SELECT label, {CELLS} FROM x GROUP BY 1), {fisher("t", "label")},
+b AS (SELECT label, round(gwas, 6) AS gwas, round(exp(-abs(gwas - 1) / se), 6) AS gwas_p, round({ENRICH}, 6) AS own, round(fisher_p, 6) AS own_p FROM g JOIN t USING (label) JOIN fisher USING (label))
+SELECT * FROM b WHERE (gwas_p <= 0.5 OR own_p <= 0.5) AND own IS NOT NULL AND gwas IS NOT NULL""",
+    "q19_tracks": f"""WITH {VARIANTS}, tr AS (SELECT l_partkey AS variant, l_linenumber - 1 AS bin, l_returnflag AS target, {undone("(l_quantity / 3.1415926::double)")} AS r, {undone("(l_quantity / 3.1415926::double * (1 - l_discount))")} AS a FROM lineitem),
+ps AS (SELECT variant, target, quantile_cont(r, 0.25) AS c FROM tr GROUP BY ALL),
+wn AS (SELECT key AS variant, chrom, greatest(0, pos - 35) AS s, pos + 35 AS e FROM v), ex AS (SELECT chrom, pos - p_size AS s, pos - p_size + CASE WHEN p_size = 50 THEN 40000 ELSE 10 + p_size END AS e, p_brand AS gene FROM v),
+ov AS (SELECT variant, gene, wn.chrom, wn.s AS seq_start, greatest(cast(floor((ex.s - wn.s) / 10) AS bigint), 0) AS lo, least(cast(ceil((ex.e - wn.s) / 10) AS bigint), 7) AS hi FROM wn JOIN ex ON ex.chrom = wn.chrom AND ex.s < wn.e AND wn.s < ex.e),
+bn AS (SELECT DISTINCT variant, gene, chrom, seq_start, unnest(range(lo, hi)) AS bin FROM ov WHERE hi > lo), u AS (SELECT DISTINCT variant, chrom, seq_start, bin FROM bn)
+SELECT chrom, seq_start + bin * 10 AS start, seq_start + bin * 10 + 10 AS "end", round(avg(a) - avg(r), 6) AS diff FROM tr JOIN u USING (variant, bin) GROUP BY variant, chrom, seq_start, bin""",
+    "e_ld_band": f"""WITH {GENO}, p AS (SELECT std.key, std.z, 'chr' || (std.key % 5) AS chrom, std.key * 7 % 5003 AS pos FROM std), q AS (SELECT vec_id AS key, 'chr' || (vec_id % 5) AS chrom, vec_id * 7 % 5003 AS pos FROM embeddings),
+w AS (SELECT q.*, p.z FROM q LEFT JOIN p ON p.key = q.key), r AS (SELECT x.key AS a, y.key AS b, coalesce(list_inner_product(x.z, y.z) / 64, 0) AS r FROM w x JOIN w y ON x.chrom = y.chrom AND abs(x.pos - y.pos) <= 150 AND x.key <> y.key)
+SELECT a AS variant, count(*) AS n, round(max(r), 3) + 0.0 AS max_r, round(min(r), 3) + 0.0 AS min_r FROM r GROUP BY a""",
+    "d_sweep_join": """WITH o AS (SELECT o_orderpriority || ' ' || (o_custkey % 50) AS c, date_diff('day', DATE '1970-01-01', o_orderdate::date) AS s, o_orderkey AS k, CASE WHEN o_totalprice > 300000 THEN 1460 ELSE 10 END AS n FROM orders)
+SELECT a.k AS o_orderkey, count(*) AS n, cast(sum(b.k) AS bigint) AS total FROM o a JOIN o b ON a.c = b.c AND a.s < b.s + 3 AND b.s < a.s + a.n AND a.k <> b.k GROUP BY 1""",
+    "d_one_orientation": """SELECT p_partkey AS key, p_partkey % 2 = 1 AS flipped, p_size FROM part WHERE p_size <= 40 OR p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, false, p_size FROM part WHERE p_size > 40 AND p_partkey % 2 = 0""",
+    "c_reject_counts": """WITH l AS (SELECT string_split(p_type || ' ' || p_name || CASE WHEN p_size > 25 THEN ' x' ELSE '' END, ' ') AS f FROM part)
+SELECT count(*) AS lines, count(*) FILTER (len(f) <> 6) AS malformed, count(*) FILTER (len(f) = 6 AND f[6] <> 'x') AS other FROM l""",
+    "g_sorted_variants": f"""WITH {VARIANTS} SELECT chrom, pos, concat_ws('_', chrom, pos, a1, a2, 'b38') AS variant FROM v""",
+    "e_sign_test": f"""WITH v AS (SELECT vec_id AS key, cast(embedding AS double[]) AS bs FROM embeddings), k AS (SELECT key, least(len(list_filter(bs, lambda x: x > 0)), len(list_filter(bs, lambda x: x < 0)))::bigint AS k FROM v)
+SELECT key, k.k, round(p, 6) AS p FROM k JOIN (VALUES {binomial_p(64)}) t(k, p) ON t.k = k.k""",
+    "b_normal_p": f"""WITH {EFFECTS}, m AS (SELECT gene, max(abs(beta / se)) AS z FROM e GROUP BY gene), p AS (SELECT gene, z, {normal_tail("z")} AS p FROM m)
+SELECT gene, round(z, 6) AS z, round(p, 6) AS p, round(-log10(p), 6) AS log_p FROM p""",
 }

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from locusweave.functions import columns as C
 from locusweave.functions.special import normal_p, sign_test_table
-from locusweave.operators import association, concordance, effects, enrichment, expression, filters, finemap, intervals, joins, ranking, replicates, resample, shrinkage
-from locusweave.operators.storage import stored
+from locusweave.operators import association, concordance, effects, enrichment, expression, filters, finemap, intervals, joins, matrices, ranking, replicates, resample, shrinkage, sweep
+from locusweave.operators.storage import shared_folder, stored
 from locusweave.plans import proxies as P
+from locusweave.sources import readers, writers
 
 QUERIES = {}
 
@@ -196,6 +199,36 @@ def d_window_join(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("pos") - F.col("tss"))).alias("total"))
 
 
+@query
+def d_sweep_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of orders of up to four years, for each how many short spans of other orders of the priority it overlaps: many lie over one another."""
+    o = P.table(spark, sf, "orders").select(F.concat_ws(" ", "o_orderpriority", (F.col("o_custkey") % 50).cast("string")).alias("chrom"), P.days(F.col("o_orderdate")).alias("start"), "o_orderkey", "o_totalprice")
+    left = o.withColumn("end", F.col("start") + F.when(F.col("o_totalprice") > 300_000, 1460).otherwise(10))
+    right = o.select("chrom", F.col("start").alias("r_start"), (F.col("start") + 3).alias("r_end"), F.col("o_orderkey").alias("r_key"))
+    return sweep.sweep_join(left, right).where("o_orderkey <> r_key").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("r_key").alias("total"))
+
+
+@query
+def d_one_orientation(spark: SparkSession, sf: str) -> DataFrame:
+    """Variants met in one orientation only; those that a panel holds in both are taken out and counted."""
+    panel = P.variants(spark, sf, True).select("chrom", "pos", "a1", "a2", "p_size").union(P.variants(spark, sf).where("p_size > 40").select("chrom", "pos", "a1", "a2", "p_size"))
+    kept = joins.one_orientation(P.variants(spark, sf).select("chrom", "pos", "a1", "a2", "key"), panel, observation=Observation("met twice"))
+    return kept.select("key", "flipped", "p_size")
+
+
+@query
+def c_reject_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of comments by words: how many have not six of them, and how many of the others do not end as asked."""
+    lines = P.table(spark, sf, "part").select(F.concat_ws(" ", "p_type", "p_name", F.when(F.col("p_size") > 25, "x")).alias("line"))
+    return filters.reject_counts(lines, "line", 6, " ", {5: "x"})
+
+
+@query
+def g_sorted_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Variants by chromosome and position, in the order files are written in."""
+    return ranking.sorted_by_position(P.variants(spark, sf).select("chrom", "pos", "variant"))
+
+
 @query
 def d_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
     """Customers' order windows that overlap windows of other orders of theirs, and the bins covered."""
@@ -425,6 +458,15 @@ def e_expression_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("gene", "n_variants", *[r6(c).alias(c) for c in ("signal_variance", "expression_correlation", "max_abs_effect", "max_abs_beta", "max_abs_z", "min_p", "sign_agreement")])
 
 
+@query
+def e_ld_band(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlations of variants at most 150 apart on a chromosome, from packed dosages: how many each variant has, and the strongest."""
+    g = P.genotypes(spark, sf).select(F.concat(F.lit("chr"), (F.col("key") % 5).cast("string")).alias("chrom"), (F.col("key") * 7 % 5003).alias("pos"), F.col("key").alias("variant"), "dosages")
+    band = matrices.ld_band(g, 150, 0.0)
+    ends = band.select(F.explode(F.array("v1", "v2")).alias("variant"), "r")
+    return ends.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), (F.round(F.max("r"), 3) + 0.0).alias("max_r"), (F.round(F.min("r"), 3) + 0.0).alias("min_r"))
+
+
 @query
 def e_allele_frequency(spark: SparkSession, sf: str) -> DataFrame:
     g = P.genotypes(spark, sf)
@@ -433,7 +475,9 @@ def e_allele_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def e_sed_stats(spark: SparkSession, sf: str) -> DataFrame:
-    out = effects.sed_stats(P.predictions(spark, sf), ["variant", "target"], "ref", "alt")
+    """Over the whole window, its 25th percentile as pseudocount."""
+    tracks = effects.window_pseudocount(P.predictions(spark, sf), ["variant", "target"], "ref")
+    out = effects.sed_stats(tracks, ["variant", "target"], "ref", "alt", F.col("pseudo"))
     return out.select("variant", "target", *[F.round(c, 4).alias(c.lower() + "_stat") for c in ("sum_ref", "sum_alt", "SED", "logSED", "D1", "D2", "Di", "logD1", "logD2", "JS", "nD2", "nDi")])
 
 
@@ -657,32 +701,55 @@ def q4_fine_mapped_effects(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q5_annotation_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    """Enrichment of significant variants in the annotated set, by kind of part: fold, odds, interval, Fisher's p."""
+    """Enrichment of significant variants in a continuous annotation cut at its mean, by kind: variants meet a panel in either orientation, coding ones go; fold, odds, interval, Fisher's p."""
     pairs = replicates.rank_pvalues(P.replicates(spark, sf), ["key"], "value")
-    rolled = replicates.roll_up(pairs, "key", "p", 0.4)
-    part = P.table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("annotation"), (F.col("p_size") <= 10).cast("int").alias("label"))
-    cells = enrichment.contingency(part.join(rolled, "key"), ["annotation"], "any_significant", "label")
+    left = P.variants(spark, sf).join(replicates.roll_up(pairs, "key", "p", 0.4), "key").select("chrom", "pos", "a1", "a2", "any_significant")
+    panel = P.variants(spark, sf, True).withColumn("rsid", F.concat(F.lit("rs"), F.col("key")))
+    notes = panel.select("rsid", F.col("p_type").alias("annotation"), F.col("p_size").cast("double").alias("value"), (F.col("p_retailprice") > 1700).cast("int").alias("coding"))
+    rows = filters.without_coding(joins.first_orientation(left, panel.select("chrom", "pos", "a1", "a2", "rsid"), notes), ["coding"])
+    cells = enrichment.contingency(enrichment.binarise(rows, "annotation", "value"), ["annotation"], "any_significant", "flag")
     out = enrichment.enrichment(cells)
     return out.select("annotation", "a", "b", "c", "d", *[r6(c).alias(c) for c in ("enrichment", "log_se", "lower", "upper", "odds", "fisher_p")])
 
 
 @query
 def q6_binarised_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    """The same for continuous annotations, cut at their means."""
-    part = P.table(spark, sf, "part")
-    long = part.select("p_partkey", (F.col("p_size") <= 10).cast("int").alias("label"), F.expr("stack(3, 'size', cast(p_size as double), 'price', p_retailprice, 'even', cast(p_partkey % 2 as double)) as (annotation, value)"))
-    cells = enrichment.contingency(enrichment.binarise(long, "annotation", "value"), ["annotation"], "label", "flag")
-    return enrichment.enrichment(cells).select("annotation", "a", "b", "c", "d", *[r6(c).alias(c) for c in ("odds", "fisher_p")])
+    """Enrichment of fine-mapped variants among common ones, and among the common ones that were tested, in annotations cut at their means; variants meet the panel in either orientation."""
+    v = P.variants(spark, sf).withColumn("maf", C.folded_maf(F.col("p_size") / 50.0)).where(filters.common(F.col("maf")))
+    mapped = P.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.max("l_discount").alias("pip")).where("pip >= 0.1")
+    v = joins.label_members(v, mapped, ["key"]).select("chrom", "pos", "a1", "a2", "key", "label")
+    tested = P.variants(spark, sf, True).join(P.table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("key")), "key", "left_semi")
+    both = v.withColumn("among", F.lit("all")).union(joins.join_variants(v, tested.select("chrom", "pos", "a1", "a2"), "left_semi").select(*v.columns, F.lit("tested")))
+    panel = P.variants(spark, sf, True).withColumn("rsid", F.concat(F.lit("rs"), F.col("key")))
+    notes = panel.select("rsid", F.expr("stack(3, 'size', cast(p_size as double), 'price', p_retailprice, 'even', cast(key % 2 as double)) as (annotation, value)"))
+    out = None
+    for among in ("all", "tested"):
+        rows = joins.first_orientation(both.where(F.col("among") == among).select("chrom", "pos", "a1", "a2", "label"), panel.select("chrom", "pos", "a1", "a2", "rsid"), notes)
+        cells = enrichment.enrichment(enrichment.contingency(enrichment.binarise(rows, "annotation", "value"), ["annotation"], "label", "flag"))
+        cells = cells.select(F.lit(among).alias("among"), "annotation", "a", "b", "c", "d", *[r6(c).alias(c) for c in ("odds", "fisher_p")])
+        out = cells if out is None else out.union(cells)
+    return out
 
 
-@query
-def q8_cross_tissue(spark: SparkSession, sf: str) -> DataFrame:
-    """Replication of one tissue's significant parts in every other tissue, in one job."""
+def _cross_tissue(spark: SparkSession, sf: str) -> DataFrame:
     s = P.supplied(spark, sf).select("key", "tissue", "value", "l_quantity")
     pred = replicates.rank_pvalues(s, ["key", "tissue"], "value").select("key", F.col("tissue").alias("t1"), (F.col("p") <= 0.7).cast("int").alias("hit"))
     eqtl = s.groupBy("key", F.col("tissue").alias("t2")).agg((F.max("l_quantity") > 40).cast("int").alias("label"))
-    cells = enrichment.contingency(pred.join(eqtl, "key"), ["t1", "t2"], "hit", "label")
-    return enrichment.enrichment(cells, fisher=False).select("t1", "t2", "a", "b", "c", "d", r6("enrichment").alias("enrichment"), r6("odds").alias("odds"))
+    return enrichment.enrichment(enrichment.contingency(pred.join(eqtl, "key"), ["t1", "t2"], "hit", "label"))
+
+
+@query
+def q8_cross_tissue(spark: SparkSession, sf: str) -> DataFrame:
+    """Replication of one tissue's significant parts in every other tissue, in one job."""
+    return _cross_tissue(spark, sf).select("t1", "t2", "a", "b", "c", "d", *[r6(c).alias(c) for c in ("enrichment", "odds", "fisher_p")])
+
+
+@query
+def q8_matched_tissues(spark: SparkSession, sf: str) -> DataFrame:
+    """How much more a tissue's significant parts are enriched in their own tissue than in the middle one of the others, over tissues with power."""
+    cells = _cross_tissue(spark, sf).where("a > 0").withColumn("cases", F.col("a") + F.col("c"))
+    out = enrichment.matched_less_unmatched(cells, "t1", "t2", "enrichment", "cases", 20)
+    return out.select("t1", *[r6(c).alias(c) for c in ("matched", "median_other", "gain")])
 
 
 @query
@@ -704,6 +771,22 @@ def q12_meta_of_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("p_type", "n_studies", r6("meta").alias("meta"), r6("meta_se").alias("meta_se"))
 
 
+@query
+def q12_aligned_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """Enrichments of traits' heritability as result files have them, renamed, pooled over traits, and set beside the kinds' own enrichment where either is significant."""
+    names = {k: k.lower() for k in ("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO")}
+    part = P.table(spark, sf, "part").withColumn("kind", F.col("p_type"))
+    results = part.groupBy(F.col("p_brand").alias("trait"), "kind").agg(F.avg("p_size").alias("mean"), F.count(F.lit(1)).alias("n"))
+    results = results.select("trait", F.concat(F.col("kind"), F.lit("L2_0")).alias("category"), (F.round("mean", 6) / 25).alias("enrichment"), (F.lit(0.5) / F.sqrt("n")).alias("enrichment_se"))
+    read = C.remap(readers.heritability(results), "annotation", names, "label")
+    pooled = enrichment.meta_analyze(read, ["label"], "enrichment", "enrichment_se", 2).select("label", F.col("meta").alias("gwas"), F.exp(-F.abs(F.col("meta") - 1) / F.col("meta_se")).alias("gwas_p"))
+    g = _part_effects(spark, sf)
+    cells = enrichment.contingency(g.select(F.col("p_type").alias("kind"), (F.col("p") <= 0.4).cast("int").alias("hit"), (F.col("p_size") <= 20).cast("int").alias("label")), ["kind"], "hit", "label")
+    own = C.remap(enrichment.enrichment(cells), "kind", names, "label").select("label", F.col("enrichment").alias("own"), F.col("fisher_p").alias("own_p"))
+    both = pooled.join(own, "label").select("label", *[r6(c).alias(c) for c in ("gwas", "gwas_p", "own", "own_p")])
+    return filters.aligned_significance(both, "gwas_p", "own_p", "either", 0.5, ["gwas", "own"])
+
+
 @query
 def q14_expression_correlation(spark: SparkSession, sf: str) -> DataFrame:
     """Predicted effects with replicates joined to measured ones, genes with five variants or more, thirteen figures per gene."""
@@ -742,15 +825,18 @@ def q15_concordance_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q16_burden(spark: SparkSession, sf: str) -> DataFrame:
-    """Significant genes by the first of ordered traits, rare variants near them, and their mean effect."""
+    """Burden tests by name, significant genes by the first of ordered traits, rare variants near them, lifted over, and their mean effect."""
     part = P.table(spark, sf, "part")
-    tests = part.groupBy(F.col("p_brand").alias("gene"), F.col("p_type").alias("trait")).agg((F.min("p_size") / 50.0).alias("pv"), F.min("p_partkey").alias("row"))
+    named = part.withColumn("name", F.concat_ws("_", F.when(F.col("p_size") > 2, "burden").otherwise("skat"), F.lit("0.01"), "p_brand"))
+    tests = filters.named_tests(named, "name", "burden").groupBy("gene", F.col("p_type").alias("trait")).agg((F.min("p_size") / 50.0).alias("pv"), F.min("p_partkey").alias("row"))
     genes = ranking.first_source(tests.where("pv <= 0.1"), "gene", "trait", "row")
     tss = part.groupBy(F.col("p_brand").alias("gene")).agg(F.min("p_partkey").alias("tss")).join(genes, "gene").withColumn("chrom", F.lit("chr1"))
     v = part.select(F.lit("chr1").alias("chrom"), F.col("p_partkey").alias("pos"), ((F.col("p_partkey") % 101) / 100.0).alias("af")).where(filters.rare(F.col("af")))
-    pairs = joins.window_join(v, tss, 250)
-    means = P.replicates(spark, sf).groupBy(F.col("key").alias("pos")).agg(F.avg("value").alias("mean"))
-    return pairs.join(means, "pos").groupBy("gene", "trait").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("mean")).alias("mean"))
+    lifted = v.select("chrom", "pos", F.when(F.col("pos") % 50 == 0, "chrX").otherwise(F.col("chrom")).alias("new_chrom"), (F.col("pos") + 3).alias("new_pos"))
+    pairs = joins.lift_over(joins.window_join(v, tss, 250).withColumn("key", F.col("pos")), lifted)
+    means = P.replicates(spark, sf).groupBy("key").agg(F.avg("value").alias("mean"))
+    out = pairs.join(means, "key").groupBy("gene", "trait").agg(F.count(F.lit(1)).alias("n"), F.avg("mean").alias("mean"), F.min("pos").alias("first"))
+    return out.select("gene", "trait", "n", r6("mean").alias("mean"), "first")
 
 
 @query
@@ -786,8 +872,8 @@ def q7_cell_type_odds(spark: SparkSession, sf: str) -> DataFrame:
     two = two.withColumns({"rsid": F.concat(F.lit("rs"), F.col("key"), F.lit("b")), "label": (F.col("p_size") > 40).cast("int")})
     panel = one.select(cols).union(two.select(cols))
     rows = joins.first_orientation(left, panel.drop("p_brand", "label"), panel.select("rsid", "p_brand", "label"))
-    cells = enrichment.enrichment(enrichment.contingency(rows, ["p_brand"], "any_significant", "label"), fisher=False)
-    return cells.select("p_brand", "a", "b", "c", "d", r6("odds").alias("odds"))
+    cells = enrichment.enrichment(enrichment.contingency(rows, ["p_brand"], "any_significant", "label"))
+    return cells.select("p_brand", "a", "b", "c", "d", r6("odds").alias("odds"), r6("fisher_p").alias("fisher_p"))
 
 
 @query
@@ -802,8 +888,8 @@ def q10_tissue_overlap(spark: SparkSession, sf: str) -> DataFrame:
 def q11_class_annotations(spark: SparkSession, sf: str) -> DataFrame:
     """Every variant of a panel with its significance classes, all 0 where no effect is predicted."""
     pairs = replicates.rank_pvalues(P.supplied(spark, sf), ["key", "tissue"], "value")
-    rolled = replicates.roll_up(pairs, "key", "p", 0.4).where("key % 3 <> 0")  # effects are not predicted for all of the panel
-    left = P.variants(spark, sf).join(rolled, "key").select("chrom", "pos", "a1", "a2", "min_p")
+    rolled = replicates.roll_up(pairs, "key", "p", 0.4)
+    left = P.variants(spark, sf).where("p_size > 16").join(rolled, "key").select("chrom", "pos", "a1", "a2", "min_p")
     panel = P.variants(spark, sf, True).withColumn("rsid", F.concat(F.lit("rs"), F.col("key")))
     rows = joins.first_orientation(left, panel.select("chrom", "pos", "a1", "a2", "rsid"), panel.select("rsid", F.col("p_size").alias("cm")), outer=True)
     return replicates.significance_classes(rows, "min_p", (0.3, 0.5, 0.8)).select("chrom", "pos", "rsid", "cm", "class1", "class2", "class3", "class4")
@@ -852,16 +938,42 @@ def q17_fine_map_and_lift(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("gene", "key", "chrom", "pos", "a1", "a2", (r6("beta") + 0.0).alias("beta"), r6("pip").alias("pip"), "maf")
 
 
-@query
-def q19_effect_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Predicted tracks with squashing undone, over the bins of each variant's gene: sums, their log ratio and distances."""
+WINDOW, STRIDE = 70, 10  # the length of a predicted sequence and of its bins
+
+
+def _scored_windows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Predicted tracks with squashing undone (variant, bin, target, ref, alt, pseudo), and the bins of each variant's window that exons cover (variant, gene, chrom, seq_start, bin)."""
     li = P.table(spark, sf, "lineitem")
     x = F.col("l_quantity") / 3.1415926  # sums of plain quantities would lie midway between rounded values
     tracks = li.select(F.col("l_partkey").alias("variant"), (F.col("l_linenumber") - 1).cast("bigint").alias("bin"), F.col("l_returnflag").alias("target"), C.untransform(x, clip=10.0, scale=2.0).alias("ref"), C.untransform(x * (1 - F.col("l_discount")), clip=10.0, scale=2.0).alias("alt"))
-    genes = P.table(spark, sf, "part").select(F.col("p_partkey").alias("variant"), F.col("p_brand").alias("gene"), F.lit(0).cast("bigint").alias("seq_start"), (F.col("p_partkey") % 4 * 10).alias("start"))
-    bins = joins.bin_range(genes.withColumn("end", F.col("start") + 25), "seq_start", "start", "end", 10, 7).select("variant", "gene", "bin")
-    out = effects.sed_stats(tracks.join(bins, ["variant", "bin"]), ["variant", "gene", "target"], "ref", "alt", 1.0)
-    return out.select("variant", "gene", "target", *[F.round(c, 4).alias(c.lower() + "_stat") for c in ("sum_ref", "sum_alt", "logSED", "D1", "logD2", "nDi")])
+    tracks = effects.window_pseudocount(tracks, ["variant", "target"], "ref")
+    v = P.variants(spark, sf)
+    low, high = joins.sequence_window(F.col("pos"), F.col("a1"), F.lit(1), WINDOW)
+    windows = v.select("chrom", low.alias("start"), high.alias("end"), F.col("key").alias("variant"), low.alias("seq_start"))
+    # exons of some bases, and a few genes without introns that are hundreds of windows long
+    size = F.when(F.col("p_size") == 50, 40_000).otherwise(10 + F.col("p_size"))
+    exons = v.select("chrom", (F.col("pos") - F.col("p_size")).alias("r_start"), (F.col("pos") - F.col("p_size") + size).alias("r_end"), F.col("p_brand").alias("gene"))
+    bins = joins.bin_range(sweep.sweep_join(windows, exons), "seq_start", "r_start", "r_end", STRIDE, WINDOW // STRIDE)
+    return tracks, bins.select("variant", "gene", "chrom", "seq_start", "bin").distinct()
+
+
+@query
+def q19_effect_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted tracks over the exons that each variant's window meets, by gene and target: sums, their log ratio and distances, the pseudocount being that of the whole window."""
+    tracks, bins = _scored_windows(spark, sf)
+    out = effects.sed_stats(tracks.join(bins, ["variant", "bin"]), ["variant", "gene", "target"], "ref", "alt", F.col("pseudo"))
+    return out.select("variant", "gene", "target", *[F.round(c, 4).alias(c.lower() + "_stat") for c in ("sum_ref", "sum_alt", "logSED", "D1", "logD2", "nDi", "JS")])
+
+
+@query
+def q19_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean predicted tracks of the bins that exons cover, written as a text track file and read back."""
+    tracks, bins = _scored_windows(spark, sf)
+    rows = tracks.join(bins.select("variant", "chrom", "seq_start", "bin").distinct(), ["variant", "bin"])
+    means = writers.prediction_bedgraph(rows, "variant", "bin", "ref", "alt", "seq_start", STRIDE).join(bins.select("variant", "chrom").distinct(), "variant")
+    folder = f"{shared_folder(spark).rstrip('/')}/locusweave-{uuid.uuid4().hex}"
+    writers.write_bedgraph(means.withColumn("diff", F.round("diff", 6)), folder, value="diff")
+    return spark.read.csv(folder, sep="\t", schema="chrom string, start long, end long, diff double")
 
 
 @query

@@ -74,11 +74,16 @@ def read_replicates(spark: SparkSession, path: str, schema: StructType | str) ->
     return df.withColumns({"replicate": file_part(name).cast("int"), "part": file_part(name, 2).cast("int")})
 
 
+def heritability(raw: DataFrame, traits: list[str] | None = None) -> DataFrame:
+    """(trait, annotation, enrichment, enrichment_se) from rows of result files: the baseline row goes, ``L2_0`` is cut off names."""
+    rows = raw.where("category <> 'baseL2_0'").select("trait", F.substring_index("category", "L2", 1).alias("annotation"), "enrichment", "enrichment_se")
+    return rows.where(F.col("trait").isin(traits)) if traits else rows
+
+
 def read_heritability(spark: SparkSession, path: str, traits: list[str] | None = None) -> DataFrame:
-    """(trait, annotation, enrichment, enrichment_se) from one result file per trait; the baseline row goes, ``L2_0`` is cut off names."""
+    """``heritability`` of one result file per trait, named after it."""
     raw = spark.read.csv(path, sep="\t", header=True, schema="category string, prop_snps double, prop_h2 double, prop_h2_se double, enrichment double, enrichment_se double, enrichment_p double")
-    raw = raw.where("category <> 'baseL2_0'").select(file_part(r"([^/.]+)[^/]*$").alias("trait"), F.substring_index("category", "L2", 1).alias("annotation"), "enrichment", "enrichment_se")
-    return raw.where(F.col("trait").isin(traits)) if traits else raw
+    return heritability(raw.withColumn("trait", file_part(r"([^/.]+)[^/]*$")), traits)
 
 
 def prediction_long(predictions: DataFrame, snps: DataFrame) -> DataFrame:

@@ -225,8 +225,8 @@ def test_track_statistics_by_hand(spark):
     # logs of bins are 1 and 2; normalised tracks with 1 added are (1/3, 2/3) and (2/3, 1/3)
     assert (got["SED"], got["D1"], got["Di"], got["logD1"], got["refLog"]) == (0.0, 4.0, 2.0, 2.0, pytest.approx(math.log2(5)))
     assert got["nDi"] == pytest.approx(1 / 3) and got["nD2"] == pytest.approx(math.sqrt(2) / 3) and got["JS"] == pytest.approx(math.log(2) / 3) and got["logD2"] == pytest.approx(math.sqrt(2))
-    own = effects.sed_stats(df, ["v"], "r", "a").first()
-    assert own["pseudo"] == 1.5
+    own = effects.window_pseudocount(df, ["v"], "r").where("r > 1")
+    assert effects.sed_stats(own, ["v"], "r", "a", F.col("pseudo")).first()["pseudo"] == 1.5  # of the window, though one bin is left
 
 
 def test_expression_correlation_by_hand(spark):
@@ -634,3 +634,18 @@ def test_concordance_regression_finds_the_slope(spark):
         m = 1 / (1 + np.exp(-x @ w))
         w += np.linalg.solve(x.T @ (x * (m * (1 - m))[:, None]), x.T @ (agree - m))
     assert [got.intercept, *got.coefficients] == pytest.approx(w.tolist(), abs=1e-4)
+
+
+def test_sorted_files_are_in_order(spark, tmp_path):
+    rows = [(f"chr{k % 7}", k * 7919 % 1000, k) for k in range(700)]
+    ranking.sorted_by_position(spark.createDataFrame(rows, "chrom string, pos long, k long").repartition(5)).write.csv(str(tmp_path / "out"))
+    lines = [tuple(line.split(",")[:2]) for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [(c, int(p)) for c, p in lines] == sorted((c, p) for c, p, _ in rows)
+
+
+def test_aligned_significance_orders_and_cuts(spark):
+    rows = [("a", 0.01, 0.9, 1.0), ("b", 0.9, 0.01, -3.0), ("c", 0.01, 0.5, 2.0), ("d", 0.01, float("nan"), 9.0), ("e", 0.3, 0.3, 9.0), ("f", 0.02, 0.02, float("inf")), ("g", 0.01, 0.9, 1.0)]
+    df = spark.createDataFrame(rows, "k string, p double, q double, x double")
+    got = filters.aligned_significance(df, "p", "q", "either", 0.05, ["x"], 4)
+    assert [r["k"] for r in got.collect()] == ["c", "b", "a", "g"]
+    assert {r["k"] for r in filters.aligned_significance(df, "p", "q", "both").collect()} == {"f"}
