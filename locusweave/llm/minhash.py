@@ -304,12 +304,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         still = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         placed = stored(placed.join(still, "key", "left_semi"))
 
-    # what open buckets still hold is compared within each bucket, in tiles; a pair counts in the first bucket that it shares
-    crowds = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    seats = placed.join(crowds, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("row"), F.greatest(x, "block").alias("col"), (F.col("block") > x).cast("int").alias("side")))
-    seats = seats.select("key", "nth", "node", "component", F.inline(others))
-    names = [F.xxhash64(F.lit(k), "key", "row", "col").alias(f"t{k}") for k in (1, 2)]
+    # what open buckets still hold is compared within each bucket, in tiles: documents outside its largest component with each other and with that
+    # component; a pair counts in the first bucket that it shares
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda n: F.ceil(n / TILE).cast("int")
+    mains = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), blocks(F.max("n")).alias("main_blocks"), blocks(F.sum("n") - F.max("n")).alias("minor_blocks"))
+    seats = placed.join(mains, "key").withColumn("minor", F.col("component") != F.col("main"))
+    seats = seats.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minor_blocks")).otherwise(F.col("main_blocks"))).cast("int"))
+    minors, majors = F.sequence(F.lit(0), F.col("minor_blocks") - 1), F.sequence(F.lit(0), F.col("main_blocks") - 1)
+    cell = lambda row, main, col, side: F.struct(row.alias("row"), F.lit(main).alias("across"), col.alias("col"), side.alias("side"))
+    own = F.transform(minors, lambda x: cell(F.least(x, "block"), False, F.greatest(x, "block"), (F.col("block") > x).cast("int")))
+    across = F.transform(majors, lambda x: cell(F.col("block"), True, x, F.lit(0)))
+    there = F.transform(minors, lambda x: cell(x, True, F.col("block"), F.lit(1)))
+    seats = seats.select("key", "nth", "node", "component", F.inline(F.when(F.col("minor"), F.concat(own, across)).otherwise(there)))
+    names = [F.xxhash64(F.lit(k), "key", "row", "across", "col").alias(f"t{k}") for k in (1, 2)]
     seats = seats.select(*names, "nth", "side", "node", "component")
     together = lambda df: df.repartition("t1", "t2").sortWithinPartitions("t1", "t2")
     hopeful = together(seats.join(looks, "node").select(*seats.columns, "bits", "bands")).mapInArrow(_hopeful(least), seats.schema)
