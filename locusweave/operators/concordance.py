@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from locusweave.operators.ranking import global_rank
 
@@ -38,18 +38,21 @@ def smallest_p_concordance(df: DataFrame, p: str, x: str, y: str, key: str, cuts
     return left.join(right, "cut")
 
 
+def _in_bins(df: DataFrame, value: str, bins: list[tuple[float, float]], low: str, high: str, right_closed: bool) -> DataFrame:
+    """A row for each of the bins, which may overlap, that the value lies in: picked from a list of the program's own in the row itself, without a join."""
+    x, listed = F.col(value), F.array(*[F.struct(F.lit(float(a)).alias(low), F.lit(float(b)).alias(high)) for a, b in bins])
+    inside = (lambda b: (x > b[low]) & (x <= b[high])) if right_closed else (lambda b: (x >= b[low]) & (x < b[high]))
+    return df.select("*", F.inline(F.filter(listed, inside)))
+
+
 def binned_concordance(df: DataFrame, x: str, y: str, bin_on: str, bins: list[tuple[float, float]], strata_on: str | None = None, strata: list[tuple[float, float]] | None = None) -> DataFrame:
     """Percentage of agreeing signs by bin (left open, right closed) and stratum (left closed, right open), interval cut to [0, 100].
 
-    Bins and strata are tables, so they may be nested or overlap; one range join and one aggregation.
+    Bins and strata may be nested or overlap; one aggregation makes all.
     """
-    table = _table(df, [(float(a), float(b)) for a, b in bins], "bin_from double, bin_to double")
-    rows = df.join(table, (F.col(bin_on) > F.col("bin_from")) & (F.col(bin_on) <= F.col("bin_to")))
-    by = ["bin_from", "bin_to"]
+    rows, by = _in_bins(df, bin_on, bins, "bin_from", "bin_to", True), ["bin_from", "bin_to"]
     if strata_on:
-        layers = _table(df, [(float(a), float(b)) for a, b in strata], "stratum_from double, stratum_to double")
-        rows = rows.join(layers, (F.col(strata_on) >= F.col("stratum_from")) & (F.col(strata_on) < F.col("stratum_to")))
-        by += ["stratum_from", "stratum_to"]
+        rows, by = _in_bins(rows, strata_on, strata, "stratum_from", "stratum_to", False), [*by, "stratum_from", "stratum_to"]
     out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (100 * F.avg((F.col(x) * F.col(y) >= 0).cast("double"))).alias("percent"))
     se = 100 * F.sqrt(F.col("percent") / 100 * (1 - F.col("percent") / 100) / F.col("n"))
     return out.withColumns({"lower": F.greatest(F.col("percent") - 1.96 * se, F.lit(0.0)), "upper": F.least(F.col("percent") + 1.96 * se, F.lit(100.0))})
@@ -57,27 +60,26 @@ def binned_concordance(df: DataFrame, x: str, y: str, bin_on: str, bins: list[tu
 
 def power_by_bin(df: DataFrame, p: str, alpha: float, bin_on: str, bins: list[tuple[float, float]]) -> DataFrame:
     """Share of rows with p <= alpha by bin (left closed, right open)."""
-    table = _table(df, [(float(a), float(b)) for a, b in bins], "bin_from double, bin_to double")
-    rows = df.join(table, (F.col(bin_on) >= F.col("bin_from")) & (F.col(bin_on) < F.col("bin_to")))
+    rows = _in_bins(df, bin_on, bins, "bin_from", "bin_to", False)
     return rows.groupBy("bin_from", "bin_to").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(p) <= alpha).cast("double")).alias("power"))
 
 
 def topn_compare(df: DataFrame, p: str, x: str, y: str, key: str, sizes: list[int]) -> DataFrame:
     """For each N: concordance of the N rows with the smallest p, of the N with the largest |x|, and how many are in both.
 
-    Only the largest N rows of either order go on from the two top-k steps.
+    Only the largest N rows of either order go on from the two top-k steps, so ranks are made in one piece; each order reads the input once.
     """
     most = max(sizes)
     agree = (F.col(x) * F.col(y) >= 0).cast("double")
-    by_p = df.select(key, agree.alias("agree"), F.col(p).alias("o")).orderBy("o", key).limit(most)
-    by_x = df.select(key, agree.alias("agree"), (-F.abs(x)).alias("o")).orderBy("o", key).limit(most)
-    by_p, by_x = (global_rank(t, "o", [key], pieces=2).drop("o") for t in (by_p, by_x))
-    n = _table(df, [(k,) for k in sizes], "top int")
-    left = by_p.join(n, F.col("rank") <= F.col("top")).groupBy("top").agg(F.avg("agree").alias("by_p"))
-    right = by_x.join(n, F.col("rank") <= F.col("top")).groupBy("top").agg(F.avg("agree").alias("by_effect"))
-    both = by_p.select(key, "rank").join(by_x.select(key, F.col("rank").alias("rank2")), key)
-    both = both.join(n, F.greatest("rank", "rank2") <= F.col("top")).groupBy("top").agg(F.count(F.lit(1)).alias("shared"))
-    return left.join(right, "top").join(both, "top", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+
+    def top(order: Column, rank: str, flag: str) -> DataFrame:
+        rows = df.select(key, agree.alias(flag), order.alias("o")).orderBy("o", key).limit(most)
+        return rows.withColumn(rank, F.row_number().over(Window.orderBy("o", key))).drop("o")
+
+    both = top(F.col(p), "rank", "agree").join(top(-F.abs(x), "rank2", "agree2"), key, "full")
+    each = both.withColumn("top", F.explode(F.array(*[F.lit(int(k)) for k in sizes])))
+    left, right = F.coalesce(F.col("rank") <= F.col("top"), F.lit(False)), F.coalesce(F.col("rank2") <= F.col("top"), F.lit(False))
+    return each.groupBy("top").agg(F.avg(F.when(left, F.col("agree"))).alias("by_p"), F.avg(F.when(right, F.col("agree2"))).alias("by_effect"), F.count_if(left & right).alias("shared"))
 
 
 def mean_sem_by_threshold(df: DataFrame, value: str, p: str, cuts: list[float]) -> DataFrame:

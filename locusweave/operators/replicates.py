@@ -9,6 +9,11 @@ def _mean(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
 
 
+def _known(value: Column, f) -> Column:
+    """f(value) with the value made once a row, though f uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _count(xs: Column, test) -> Column:
     return F.size(F.filter(xs, test))
 
@@ -16,9 +21,9 @@ def _count(xs: Column, test) -> Column:
 def organize_replicates(predictions: DataFrame, targets: DataFrame, keys: list[str], values: str = "values") -> DataFrame:
     """Predictions (keys, replicate, array over targets) to (keys, tissue, mean, bs): the mean over a tissue's targets in each replicate, then over replicates.
 
-    ``targets`` (idx, tissue) has one row a target of the model, some thousands at most.
+    ``targets`` (idx, tissue) has one row a target of the model: Spark broadcasts it where it is as small as that.
     """
-    each = predictions.select(*keys, "replicate", F.posexplode(values).alias("idx", "value")).join(F.broadcast(targets.select("idx", "tissue")), "idx")
+    each = predictions.select(*keys, "replicate", F.posexplode(values).alias("idx", "value")).join(targets.select("idx", "tissue"), "idx")
     by_rep = each.groupBy(*keys, "tissue", "replicate").agg(F.avg("value").alias("v"))
     vec = F.transform(F.array_sort(F.collect_list(F.struct("replicate", "v"))), lambda x: x["v"])
     return by_rep.groupBy(*keys, "tissue").agg(F.avg("v").alias("mean"), vec.alias("bs"))
@@ -27,7 +32,7 @@ def organize_replicates(predictions: DataFrame, targets: DataFrame, keys: list[s
 def bootstrap_moments(bs: Column) -> tuple[Column, Column, Column]:
     """Mean, population and sample standard deviation of an array."""
     mean = _mean(bs)
-    square = F.aggregate(F.transform(bs, lambda x: F.pow(x - mean, 2)), F.lit(0.0), lambda a, x: a + x)
+    square = _known(mean, lambda m: F.aggregate(bs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
     return mean, F.sqrt(square / F.size(bs)), F.sqrt(F.try_divide(square, F.size(bs) - 1))
 
 
@@ -46,8 +51,7 @@ def rank_pvalues(df: DataFrame, by: list[str], value: str, margin: float = 0.0)
 
 def centred_pvalue(bs: Column) -> Column:
     """(#{|x - mean| >= |mean|} + 1) / (B + 1)."""
-    mean = _mean(bs)
-    return (_count(bs, lambda x: F.abs(x - mean) >= F.abs(mean)) + 1) / (F.size(bs) + 1)
+    return (_known(_mean(bs), lambda m: _count(bs, lambda x: F.abs(x - m) >= F.abs(m))) + 1) / (F.size(bs) + 1)
 
 
 def sign_interval(df: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
@@ -96,9 +100,9 @@ def flat_mean(df: DataFrame, by: list[str], values: str) -> DataFrame:
 def replicate_curves(long: DataFrame, draws: DataFrame, key: str, replicate: str, value: str, truth: str) -> DataFrame:
     """For draws (n, iter, rep) of replicates: rows whose drawn values agree in sign, and how their mean correlates and agrees with ``truth``.
 
-    The draws are a table of the program's own, so they are broadcast; two aggregations follow.
+    The draws are a small table of the program's own, which Spark broadcasts by its size; two aggregations follow.
     """
-    picked = long.join(F.broadcast(draws), long[replicate] == draws["rep"])
+    picked = long.join(draws, long[replicate] == draws["rep"])
     rows = picked.groupBy("n", "iter", key, truth).agg(F.avg(value).alias("mean"), F.count_if(F.col(value) > 0).alias("up"), F.count_if(F.col(value) < 0).alias("down"))
     agree = rows.where((F.col("up") == 0) | (F.col("down") == 0))
     return agree.groupBy("n", "iter").agg(F.count(F.lit(1)).alias("hits"), F.corr("mean", truth).alias("corr"), F.avg((F.col("mean") * F.col(truth) >= 0).cast("int")).alias("concordance"))

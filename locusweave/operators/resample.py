@@ -31,7 +31,7 @@ def bootstrap_folds(spark: SparkSession, n: int, seeds: list[int], allow_overlap
 
 def apply_folds(sequences: DataFrame, folds: DataFrame, fold: str = "fold") -> DataFrame:
     """Each sequence once per draw of its fold."""
-    out = sequences.join(F.broadcast(folds), fold)  # a row for each fold and seed
+    out = sequences.join(folds, fold)  # a row for each fold and seed
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("multiplicity"))))
 
 
@@ -50,7 +50,7 @@ def block_bootstrap(genes: DataFrame, chrom: str, pos: str, tie: list[str], bloc
     placed = genes.withColumn("block_at", F.col(chrom).cast("double") * 10_000_000_000 + F.col(pos))
     placed = split_even(placed, blocks, "block_at", tie, "fold").withColumn("fold", F.col("fold") - 1).drop("block_at")
     folds = bootstrap_folds(genes.sparkSession, blocks, seeds, False, int(train * blocks))
-    return placed.join(F.broadcast(folds), "fold").drop("fold")  # a row for each block and seed
+    return placed.join(folds, "fold").drop("fold")  # a row for each block and seed
 
 
 def cross_fold(df: DataFrame, fold: str, n: int, test: int, shift: int = 0) -> DataFrame:

@@ -801,7 +801,7 @@ def q14_expression_correlation(spark: SparkSession, sf: str) -> DataFrame:
 def q15_concordance_report(spark: SparkSession, sf: str) -> DataFrame:
     """Replicates to rank p with a margin, then concordance by p, by bin of p and distance, power by distance, and the top lists, as one table."""
     p = replicates.rank_pvalues(P.replicates(spark, sf), ["key"], "value", 0.01).select("key", "p")
-    g = _part_effects(spark, sf).drop("p").join(p, "key").withColumn("apart", F.abs("dist"))
+    g = stored(_part_effects(spark, sf).drop("p").join(p, "key").withColumn("apart", F.abs("dist")))
     cuts = F.explode(F.array(*[F.lit(c) for c in (0.2, 0.4, 0.6, 2.0)]))
     by_p = concordance.sign_concordance(g.withColumn("cut", cuts).where(F.col("p") < F.col("cut")), ["cut"], "m", "other")
     bins, layers = [(0, 0.4), (0.4, 2.0)], [(0, 250), (250, 500), (500, 1001)]
