@@ -10,7 +10,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: What texts of every length and script are cut in: up to four letters or digits of a run, counted from its start, or one other character; white space only separates.
 TOKEN = r"[\p{L}\p{N}]{1,4}|[^\p{L}\p{N}\x20\x09-\x0D]"
 #: (k, s): tokens in a k-mer and in the inner substrings that are compared; WORDS is that of ``positional_matches``, whose tokens are words.
-SIZE = (12, 2)
+SIZE = (11, 2)
 WORDS = (6, 2)
 #: Ranges of ids at most, when the next document is looked for.
 RANGES = 1024
@@ -46,7 +46,7 @@ def _sketch(hashes: str, inner: str, size: tuple[int, int]) -> Column:
 def fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
     """Add ``name``, the fingerprint (array of int): the 32-bit hashes of all distinct anchors of the whole text, in its order.
 
-    All texts are cut in the same tokens and k-mers, so any two fingerprints can be compared.  A text too short to hold an anchor (under 22 tokens there may be none)
+    All texts are cut in the same tokens and k-mers, so any two fingerprints can be compared.  A text too short to hold an anchor (under 20 tokens there may be none)
     is one itself; an empty or null text, or one of only white space, none.
     """
     h, s = free_names(docs, "sync_tokens", "sync_inner")
