@@ -172,3 +172,33 @@ def test_lines_near_filter_loses_no_pair(spark):
     got = {r["doc_id"]: r["n_near"] for r in lines.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
     want = _clean(docs)
     assert got == {k: v[2] for k, v in want.items()} and sum(got.values()) >= 5
+
+
+def test_minhash_recall_near_the_threshold(spark):
+    """400 pairs of documents, each pair alone, with similarities from 0.75 to 0.80: nearly all are linked; 200 from 0.70 to 0.75 are not."""
+    rnd = random.Random(23)
+    docs, similar, apart = [], 0, 0
+    while similar < 400 or apart < 200:
+        n = len(docs)
+        base = [f"p{n}_{k}" for k in range(rnd.randrange(60, 300))]
+        other = list(base)
+        for k in rnd.sample(range(2, len(base) - 2), max(1, round(len(base) * rnd.uniform(0.02, 0.05)))):
+            other[k] = f"q{n}_{k}"
+        a, b = helpers.shingles(" ".join(base)), helpers.shingles(" ".join(other))
+        s = len(a & b) / len(a | b)
+        if 0.75 <= s <= 0.8 and similar < 400:
+            similar += 1
+        elif 0.7 <= s < 0.75 and apart < 200:
+            apart += 1
+        else:
+            continue
+        docs += [(n, " ".join(base)), (n + 1, " ".join(other))]
+    links = 0
+    sets = {d: helpers.shingles(t) for d, t in docs}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
+    for d in range(0, len(docs), 2):
+        linked = 100 * len(sets[d] & sets[d + 1]) >= 75 * len(sets[d] | sets[d + 1])
+        assert linked or got[d] != got[d + 1]
+        links += linked and got[d] == got[d + 1]
+    assert links >= 398  # of 400
+    print("linked", links)
