@@ -4,35 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from locusweave.operators.storage import stored
+
 
 def global_rank(df: DataFrame, value: str, tie: list[str], descending: bool = False, name: str = "rank", pieces: int | None = None) -> DataFrame:
-    """Adds the rank (from 1) of each row by ``value``, then by ``tie``; nulls last.
+    """Adds the rank (from 1) of each row by ``value``, of any orderable type, then by ``tie``; nulls last.
 
-    Rows are cut in pieces at quantiles of the value and ranked inside each; the counts of the pieces before
-    are added.  The pieces are as many as there are shuffle partitions, so the table of counts that is broadcast is small.
-    A value heavier than a piece, and null, is cut once more, at some values of the first ``tie`` column.  Where cuts lie
-    decides how even the pieces are, not the ranks.
+    The rows are sorted in ranges of (value, tie), so one value may hold most of them, and stored with their place in their range, so the input is read once and a
+    rerun gives the same places; the counts of the ranges before are added.  ``pieces`` is the number of ranges, as many as shuffle partitions unless given; it
+    decides how even they are, not the ranks.
     """
-    n = pieces or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [k / n for k in range(1, n)], 10 * n)).first()[0] or []
-    heavy = sorted({x for x, y in zip(cuts, cuts[1:]) if x == y})
-    x = F.col(value).cast("double")
-    below = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < x)) if cuts else F.lit(0)
-    alone = x.isin(heavy) if heavy else F.lit(False)
-    piece = F.when(x.isNull(), 2 * len(set(cuts)) + 3).otherwise(2 * below + alone.cast("int"))
-    # values up to a cut and the cut itself share a count of smaller cuts: a heavy cut's own piece comes after them
-    piece = F.when(x.isNull(), piece).otherwise(-piece if descending else piece)
-    some = df.where(alone | x.isNull()).select(tie[0]).where(F.col(tie[0]).isNotNull()).orderBy(F.xxhash64(tie[0])).limit(64).collect()
-    bounds = sorted({r[0] for r in some})
-    part = F.when(alone | x.isNull(), F.size(F.filter(F.array(*map(F.lit, bounds)), lambda c: c < F.col(tie[0])))).otherwise(0) if bounds else F.lit(0)
-    cut = df.withColumns({"rank_piece": piece, "rank_part": part.cast("int")})
-    counts = cut.groupBy("rank_piece", "rank_part").agg(F.count(F.lit(1)).alias("rank_n"))
-    order = Window.orderBy("rank_piece", "rank_part")
-    counts = counts.select("rank_piece", "rank_part", (F.sum("rank_n").over(order) - F.col("rank_n")).alias("rank_before"))
-    by = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    inside = F.row_number().over(Window.partitionBy("rank_piece", "rank_part").orderBy(by, *tie))
-    out = cut.withColumn("rank_in", inside).join(F.broadcast(counts), ["rank_piece", "rank_part"])
-    return out.withColumn(name, (F.col("rank_in") + F.col("rank_before")).cast("bigint")).drop("rank_piece", "rank_part", "rank_in", "rank_before")
+    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last(), *[F.col(c) for c in tie]]
+    lined = stored(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("rank_line", F.monotonically_increasing_id()))
+    lined = lined.withColumn("rank_piece", F.shiftright("rank_line", 33))
+    counts = lined.groupBy("rank_piece").agg(F.count(F.lit(1)).alias("rank_n"), F.min("rank_line").alias("rank_first"))  # a row a range
+    counts = counts.select("rank_piece", (F.sum("rank_n").over(Window.orderBy("rank_piece")) - F.col("rank_n") - F.col("rank_first")).alias("rank_before"))
+    return lined.join(F.broadcast(counts), "rank_piece").withColumn(name, F.col("rank_line") + F.col("rank_before") + 1).drop("rank_piece", "rank_line", "rank_before")
 
 
 def split_even(df: DataFrame, k: int, value: str, tie: list[str], name: str = "block") -> DataFrame:

@@ -674,11 +674,12 @@ def q1_fine_mapped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q2_common_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct common variants over tissues, in four contiguous parts by position."""
+    """Distinct common SNVs over tissues, in four contiguous parts by chromosome and position."""
     s = P.supplied(spark, sf).select("key", "tissue").distinct()
     v = P.variants(spark, sf).withColumn("af", (F.col("key") % 101) / 100.0).where(filters.common(F.col("af")))
-    v = v.join(s.select("key").distinct(), "key", "left_semi").select("chrom", "pos", "variant")
-    return ranking.split_even(v, 4, "pos", ["variant"], "part_no").select("variant", "part_no")
+    v = v.where(filters.is_snv(F.col("a1"), F.col("a2"))).join(s.select("key").distinct(), "key", "left_semi")
+    v = v.select(F.substring("chrom", 4, 2).cast("int").alias("number"), "pos", "variant")
+    return ranking.split_even(v, 4, "number", ["pos", "variant"], "part_no").select("variant", "part_no")
 
 
 @query

@@ -649,3 +649,26 @@ def test_aligned_significance_orders_and_cuts(spark):
     got = filters.aligned_significance(df, "p", "q", "either", 0.05, ["x"], 4)
     assert [r["k"] for r in got.collect()] == ["c", "b", "a", "g"]
     assert {r["k"] for r in filters.aligned_significance(df, "p", "q", "both").collect()} == {"f"}
+
+
+def test_window_join_parts_are_even(spark):
+    """One locus with half of all variants: rows of the parts that the join is made on differ by less than three times."""
+    from collections import Counter
+
+    v = spark.range(40_000).select(F.lit("c").alias("chrom"), F.when(F.col("id") % 2 == 0, F.lit(500)).otherwise(F.col("id") * 13).alias("pos"), F.col("id").alias("v"))
+    g = spark.range(0, 520_000, 50).select(F.lit("c").alias("chrom"), F.col("id").alias("tss"))
+    joined = joins.window_join(v, g, 1000, dense=500)
+    assert joined.count() == sum(r["n"] for r in v.groupBy("pos").count().withColumnRenamed("count", "n").join(g, F.abs(F.col("pos") - F.col("tss")) <= 1000).collect())
+    width, dense = 1000, 500
+    buckets = Counter(r["pos"] // width for r in v.select("pos").collect())
+    parts = [n / -(-n // dense) for n in buckets.values() if n > dense]
+    assert parts and max(parts) <= dense and min(parts) > dense / 3
+
+
+def test_ranks_of_texts(spark):
+    rows = [(k, None if k % 9 == 0 else f"t{k * 31 % 50:02d}") for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(5)
+    got = {r["k"]: r["rank"] for r in ranking.global_rank(df, "t", ["k"], pieces=7).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0]))
+    assert got == {k: i + 1 for i, (k, _) in enumerate(order)}
+    assert ranking.global_rank(df.where("false"), "t", ["k"]).count() == 0
