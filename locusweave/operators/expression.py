@@ -27,7 +27,7 @@ def _products(batches: Iterator[pa.RecordBatch], right: np.ndarray) -> Iterator[
             yield x, x @ right
 
 
-def principal_components(rows: DataFrame, column: str, n: int, k: int, extra: int = 30, rounds: int = 20, tolerance: float = 1e-10, seed: int = 17) -> np.ndarray:
+def principal_components(rows: DataFrame, column: str, n: int, k: int, extra: int = 90, rounds: int = 20, tolerance: float = 1e-10, seed: int = 17) -> np.ndarray:
     """The first ``k`` right singular vectors, as columns, of the matrix whose rows are the arrays of length ``n`` in ``column``: randomised subspace iteration.
 
     A round multiplies the rows by n x (k + extra) vectors; each task reduces its products to a small triangle (tall-skinny QR), the triangles make that of all rows, and a second
