@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from locusweave.functions import columns as C
 from locusweave.functions.special import fisher_p, normal_p, sign_test_table
 from locusweave.operators import association, concordance, effects, enrichment, expression, filters, finemap, intervals, joins, matrices, quantiles, ranking, replicates, resample, shrinkage, sweep
+from locusweave.plans import queries
 from locusweave.sources import readers, writers
 
 
@@ -497,6 +498,34 @@ def test_sweep_join_is_every_overlap(spark, ranges, rows):
     assert sweep.sweep_join(a.where("false"), b, ranges=ranges).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 13])
+def test_overlap_sums_are_those_of_the_pairs(spark, ranges):
+    rng = np.random.default_rng(10)
+    draw = lambda n: [(str(rng.choice(["c1", "c2"])), int(s), int(s + e), i) for i, (s, e) in enumerate(zip(rng.integers(-50, 900, n), rng.choice([0, 1, 5, 30, 800], n)))]
+    left, right = draw(300) + [("c1", 5000, 5001, 300), ("c3", 1, 9, 301)], draw(200) + [("c1", 100, 110, 7)] * 3
+    a = spark.createDataFrame([*left, (None, 1, 5, 302), ("c1", None, 5, 303)], "chrom string, start long, end long, a long")
+    b = spark.createDataFrame([*right, ("c1", 5, None, 9), (None, 1, 5, 9)], "chrom string, r_start long, r_end long, b long")
+    got = {r["a"]: (r["n"], r["b"]) for r in sweep.overlap_sums(a, b, ["b"], ranges=ranges).collect()}
+    met = {x[3]: [y[3] for y in right if x[0] == y[0] and x[1] < y[2] and y[1] < x[2] and x[1] < x[2] and y[1] < y[2]] for x in left}
+    assert got == {k: (len(v), sum(v)) for k, v in met.items() if v}
+    assert sweep.overlap_sums(a, b.where("false"), ["b"], ranges=ranges).count() == 0
+
+
+def test_sweep_query_makes_no_pairs(spark, tmp_path):
+    """Twice 3,000 orders of one priority and customer: the query is right, and its plan has no step that makes pairs."""
+    rows = [(k, 7, 400_000.0 if k % 3 else 1.0, f"2001-01-{k % 28 + 1:02d}", "1-URGENT") for k in range(3000)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, day string, o_orderpriority string")
+    orders.withColumn("o_orderdate", F.to_timestamp("day")).write.parquet(str(tmp_path / "orders.parquet"))
+    out = queries.QUERIES["d_sweep_join"](spark, str(tmp_path))
+    assert "MapInArrow" not in (plan := out._jdf.queryExecution().toString()) and "FlatMapCoGroupsInArrow" not in plan
+    day = np.array([k % 28 for k in range(3000)])
+    for r in out.where("o_orderkey < 40").collect():
+        k = r["o_orderkey"]
+        met = (day < day[k] + (1460 if k % 3 else 10)) & (day[k] < day + 3)
+        met[k] = False
+        assert (r["n"], r["total"]) == (met.sum(), np.arange(3000)[met].sum())
+
+
 @pytest.mark.parametrize("dist", [0, 25])
 def test_window_join_with_a_crowded_locus(spark, dist):
     """Half of the variants at one place: the parts of its bucket are even, and the pairs are all there."""
