@@ -55,13 +55,16 @@ def centred_pvalue(bs: Column) -> Column:
 
 
 def sign_interval(df: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
-    """Plain sign p, percentile interval and whether it leaves 0 out, from one row a replicate."""
-    tail = (1 - level) / 2
+    """Plain sign p, percentile interval and whether it leaves 0 out, from one row a replicate.
+
+    A bound within 1e-12 of the group's largest magnitude is 0: it lies between values that cancel, and only their rounding errors are left.
+    """
+    tail = round((1 - level) / 2, 12)  # 0.025 and not 0.025000000000000022, whose place lies behind a whole rank
     out = df.groupBy(*by).agg(
         (2 * F.least(F.count_if(F.col(value) >= 0), F.count_if(F.col(value) <= 0)) / F.count(value)).alias("sign_p"),
-        F.percentile(value, tail).alias("lower"), F.percentile(value, 1 - tail).alias("upper"),
+        F.percentile(value, tail).alias("lower"), F.percentile(value, 1 - tail).alias("upper"), (F.max(F.abs(value)) * 1e-12).alias("zero"),
     )
-    return out.withColumn("excludes_zero", (F.col("lower") > 0) | (F.col("upper") < 0))
+    return out.withColumn("excludes_zero", (F.col("lower") > F.col("zero")) | (F.col("upper") < -F.col("zero"))).drop("zero")
 
 
 def minority_sign(bs: Column) -> Column:

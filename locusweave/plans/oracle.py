@@ -129,8 +129,8 @@ SELECT key, count(*) AS n, round(arg_min(value, rep), 6) AS first, round(arg_max
 r AS (SELECT gene, CASE WHEN idx % 3 <> 0 THEN 'liver' ELSE 'lung' END AS tissue, rep, avg(v) AS v FROM x GROUP BY ALL)
 SELECT gene, tissue, round(avg(v), 6) AS mean, count(*) AS n, round(arg_min(v, rep), 6) AS first FROM r GROUP BY ALL""",
     "e_rank_pvalues": f"WITH {REPS} SELECT key, count(value) AS n, round({RANKP}, 6)::double AS p FROM reps GROUP BY key",
-    "e_sign_interval": f"""WITH {REPS}, q AS (SELECT key, 2.0::double * least(count(*) FILTER (value >= 0), count(*) FILTER (value <= 0)) / count(value) AS sp, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM reps GROUP BY key)
-SELECT key, round(sp, 6) AS sign_p, round(lo, 6) AS lower, round(hi, 6) AS upper, lo > 0 OR hi < 0 AS excludes_zero FROM q""",
+    "e_sign_interval": f"""WITH {REPS}, q AS (SELECT key, 2.0::double * least(count(*) FILTER (value >= 0), count(*) FILTER (value <= 0)) / count(value) AS sp, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, max(abs(value)) * 1e-12 AS zero FROM reps GROUP BY key)
+SELECT key, round(sp, 6) AS sign_p, round(lo, 6) + 0.0 AS lower, round(hi, 6) + 0.0 AS upper, lo > zero OR hi < -zero AS excludes_zero FROM q""",
     "e_roll_up_classes": f"""WITH {SUPPLIED}, p AS (SELECT key, tissue, {RANKP} AS p FROM s GROUP BY ALL), r AS (SELECT key, max(cast(p <= 0.4 AS int)) AS any_significant, min(p)::double AS min_p FROM p GROUP BY key)
 SELECT key, any_significant, round(min_p, 6) AS min_p, cast(min_p <= 0.3 AS int) AS class1, cast(min_p > 0.3 AND min_p <= 0.5 AS int) AS class2, cast(min_p > 0.5 AND min_p <= 0.8 AS int) AS class3, cast(min_p > 0.8 AS int) AS class4 FROM r""",
     "e_flat_mean": "WITH x AS (SELECT label AS gene, cast(unnest(embedding) AS double) AS v FROM embeddings) SELECT gene, round(avg(v), 6) AS mean FROM x GROUP BY gene",

@@ -41,6 +41,16 @@ def test_other_replicate_statistics(spark):
     assert one(zeros, replicates.same_sign(F.col("bs"), zeros_negative=False)) is True
 
 
+def test_sign_interval_that_touches_zero_does_not_exclude_it(spark):
+    """With 41 replicates the bounds are the second value of each end; with 11, cancelling neighbours leave a rounding error."""
+    at_zero = [0.0, 0.0] + [0.01] * 39
+    cancelling = [0.01 - 0.02, 0.05 - 0.02] + [0.1] * 9
+    rows = [(k, x) for k, xs in (("zero", at_zero), ("cancel", cancelling), ("above", [0.01] * 41)) for x in xs]
+    got = {r["k"]: r for r in replicates.sign_interval(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert {k: r["excludes_zero"] for k, r in got.items()} == {"zero": False, "cancel": False, "above": True}
+    assert got["zero"]["lower"] == 0.0 and abs(got["cancel"]["lower"]) < 1e-15
+
+
 def test_columns(spark):
     v = spark.createDataFrame([("chr1_10_A_G_b38",)], "v string")
     assert one(v, C.swap_alleles(F.col("v"))) == "chr1_10_G_A_b38"
