@@ -211,7 +211,7 @@ SELECT cast(seed AS int) AS seed, role, count(*) AS sequences, cast(sum(cast(rou
     "i_share_split": f"SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY {mix('c_custkey', '5')}, c_custkey) <= floor((SELECT count(*) FROM customer) * 0.8) THEN 'train' ELSE 'test' END AS role FROM customer",
     "i_background_sample": f"SELECT p_partkey, p_size FROM part WHERE p_size <= 5 OR {mix('p_partkey', '11')} % 20 = 0",
     "q1_fine_mapped": f"""WITH {VARIANTS}, l AS (SELECT l_partkey AS key, max(l_discount) AS pip, avg(l_tax) AS af FROM lineitem GROUP BY 1)
-SELECT chrom, pos, variant, p_brand, CASE WHEN af * 12 > 0.5 THEN a1 ELSE a2 END AS minor, round(pip, 6) AS pip FROM v JOIN l USING (key) WHERE pip >= 0.09""",
+SELECT chrom, pos, variant, p_brand, CASE WHEN round(af * 12, 9) > 0.5 THEN a1 ELSE a2 END AS minor, round(pip, 6) AS pip FROM v JOIN l USING (key) WHERE pip >= 0.09""",
     "q2_common_variants": f"""WITH {VARIANTS}, c AS (SELECT cast(substr(chrom, 4) AS int) AS number, pos, variant FROM v WHERE least((key % 101) / 100.0::double, 1 - (key % 101) / 100.0::double) >= 0.05 AND key IN (SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey))
 SELECT variant, cast(ntile(4) OVER (ORDER BY number, pos, variant) AS int) AS part_no FROM c""",
     "q3_organize": f"""WITH {SUPPLIED}, r AS (SELECT key, gene, tissue, l_linenumber AS rep, round(avg(value), 9) AS value FROM s GROUP BY ALL)

@@ -508,6 +508,24 @@ def test_sweep_join_is_every_overlap(spark, ranges, rows):
     assert sweep.sweep_join(a.where("false"), b, ranges=ranges).count() == 0
 
 
+def test_minor_allele_at_a_half_does_not_depend_on_the_order_of_lines(spark, tmp_path):
+    """24 lines with taxes that sum to 1 have a frequency of one half, which is not over one half, whatever errors their sum has."""
+    rng, taxes, orders = np.random.default_rng(11), np.array([0.08] * 6 + [0.07] * 2 + [0.04, 0.03, 0.02] * 4 + [0.01] * 2 + [0.0] * 2), {}
+    for _ in range(1000):
+        mixed = rng.permutation(taxes)
+        total = 0.0
+        for x in mixed:
+            total += x
+        orders[total / 24 * 12 > 0.5] = [float(x) for x in mixed]
+    assert round(float(taxes.sum()), 9) == 1 and len(orders) == 2
+    part = [(k, f"Brand#{k}", "t", 5, 1.0) for k in (0, 12)]  # the same alleles, A and C
+    spark.createDataFrame(part, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    lines = [(k, 0.1, x) for k, over in ((0, True), (12, False)) for x in orders[over]]
+    spark.createDataFrame(lines, "l_partkey long, l_discount double, l_tax double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = queries.QUERIES["q1_fine_mapped"](spark, str(tmp_path)).collect()
+    assert [(r["variant"].split("_")[2:4], r["minor"]) for r in got] == [(["A", "C"], "C")] * 2
+
+
 @pytest.mark.parametrize("ranges", [1, 13])
 def test_overlap_sums_are_those_of_the_pairs(spark, ranges):
     rng = np.random.default_rng(10)
