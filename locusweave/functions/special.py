@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -17,14 +18,23 @@ def normal_p(z: pd.Series) -> pd.Series:
 
 
 def _fisher(a: int, b: int, c: int, d: int) -> float:
+    """Terms that are nothing beside the largest one (under e^-745 of it) are left out: what is left has some tens of standard deviations, however large the counts are."""
     n, row, col = a + b + c + d, a + b, a + c
     if n == 0:
         return 1.0
-    ks = np.arange(max(0, row + col - n), min(row, col) + 1)
-    lg = np.frompyfunc(math.lgamma, 1, 1)
-    log_p = -(lg(ks + 1) + lg(row - ks + 1) + lg(col - ks + 1) + lg(n - row - col + ks + 1)).astype(float)
-    p = np.exp(log_p - log_p.max())
-    return min(1.0, float(p[p <= p[ks == a][0] * (1 + 1e-7)].sum() / p.sum()))
+    low, high, other = max(0, row + col - n), min(row, col), n - row - col
+    log_p = lambda k: -(math.lgamma(k + 1) + math.lgamma(row - k + 1) + math.lgamma(col - k + 1) + math.lgamma(other + k + 1))
+    mode = min(max((row + 1) * (col + 1) // (n + 2), low), high)
+    least = log_p(mode) - 746
+    # log_p rises up to the mode and falls behind it
+    first = bisect.bisect_left(range(low, mode), True, key=lambda k: log_p(k) >= least) + low
+    last = bisect.bisect_left(range(mode + 1, high + 1), True, key=lambda k: log_p(k) < least) + mode
+    if not first <= a <= last:
+        return 0.0
+    k = np.arange(first, last, dtype=np.float64)
+    p = np.concatenate([[0.0], np.cumsum(np.log((row - k) * (col - k) / ((k + 1) * (other + k + 1))))])
+    p = np.exp(p - p.max())
+    return min(1.0, float(p[p <= p[a - first] * (1 + 1e-7)].sum() / p.sum()))
 
 
 @F.pandas_udf(DoubleType())

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from locusweave.functions.special import fisher_p
@@ -13,6 +18,42 @@ def contingency(df: DataFrame, by: list[str], exposure: str, outcome: str) -> Da
     return df.groupBy(*by).agg(F.count_if(e & o).alias("a"), F.count_if(e & ~o).alias("b"), F.count_if(~e & o).alias("c"), F.count_if(~e & ~o).alias("d"))
 
 
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of a batch as rows of four 0/1 matrices over groups, multiplied."""
+    for batch in batches:
+        cells = batch.column(0)
+        key = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy(zero_copy_only=False))
+        group, exposed, outcome = cells.flatten().flatten()
+        group = group.dictionary_encode(null_encoding="encode")
+        at, n = (key, group.indices.to_numpy()), len(group.dictionary)
+
+        def marks(flags):
+            out = np.zeros((len(cells), n))
+            out[at] = flags
+            return out
+
+        def equal(column, value):
+            return pc.fill_null(pc.equal(column, value), False).to_numpy(zero_copy_only=False)
+
+        (e, not_e), (o, not_o) = ((marks(equal(x, 1)), marks(equal(x, 0))) for x in (exposed, outcome))
+        there = marks(1.0)
+        one, two = (x.ravel() for x in np.indices((n, n)))
+        counts = [pa.array((x.T @ y).ravel().astype(np.int64)) for x, y in ((e, o), (e, not_o), (not_e, o), (not_e, not_o), (there, there))]
+        yield pa.RecordBatch.from_arrays([group.dictionary.take(pa.array(one)), group.dictionary.take(pa.array(two)), *counts], ["t1", "t2", *"abcd", "met"])
+
+
+def cross_contingency(df: DataFrame, keys: list[str], group: str, exposure: str, outcome: str) -> DataFrame:
+    """(t1, t2, a, b, c, d): exposures (0/1) in one group against outcomes (0/1) in another, for all pairs of groups, over the keys that both have.
+
+    ``df`` has one row per key and group; groups are some tens (tissues).  A task multiplies the indicator matrices of its keys, so no row is made per key and pair of groups.
+    """
+    known = df.dropna(subset=keys)
+    cells = F.collect_list(F.struct(F.col(group).alias("group"), F.col(exposure).cast("int").alias("exposed"), F.col(outcome).cast("int").alias("outcome"))).alias("cells")
+    kind = df.schema[group].dataType.simpleString()
+    parts = known.groupBy(*keys).agg(cells).select("cells").mapInArrow(_crossed, f"t1 {kind}, t2 {kind}, a long, b long, c long, d long, met long").where("met > 0")
+    return parts.groupBy("t1", "t2").agg(*[F.sum(x).alias(x) for x in "abcd"])
+
+
 def odds_ratio(a: Column, b: Column, c: Column, d: Column, add: float = 0.1) -> Column:
     return (a + add) * (d + add) / ((b + add) * (c + add))
 

@@ -43,10 +43,11 @@ def rank_pvalue(bs: Column, margin: float = 0.0, cap: bool = False) -> Column:
     return F.least(p, F.lit(1.0)) if cap else p
 
 
-def rank_pvalues(df: DataFrame, by: list[str], value: str, margin: float = 0.0) -> DataFrame:
-    """(by, n, p): the same from one row a replicate; counts combine before the shuffle."""
-    counts = df.groupBy(*by).agg(F.count(value).alias("n"), F.count_if(F.col(value) >= -margin).alias("up"), F.count_if(F.col(value) <= margin).alias("down"))
-    return counts.select(*by, "n", (2 * (1 + F.least("up", "down")) / (1 + F.col("n"))).alias("p"))
+def rank_pvalues(df: DataFrame, by: list[str], value: str, margin: float = 0.0, also: dict[str, Column] | None = None) -> DataFrame:
+    """(by, n, p): the same from one row a replicate; counts combine before the shuffle.  ``also`` names more aggregates of the groups, made in the same pass."""
+    more = [c.alias(name) for name, c in (also or {}).items()]
+    counts = df.groupBy(*by).agg(F.count(value).alias("n"), F.count_if(F.col(value) >= -margin).alias("up"), F.count_if(F.col(value) <= margin).alias("down"), *more)
+    return counts.select(*by, "n", (2 * (1 + F.least("up", "down")) / (1 + F.col("n"))).alias("p"), *(also or {}))
 
 
 def centred_pvalue(bs: Column) -> Column:
