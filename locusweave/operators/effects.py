@@ -12,19 +12,45 @@ def window_pseudocount(tracks: DataFrame, by: list[str], ref: str, share: float
     return tracks.join(tracks.groupBy(*by).agg(F.percentile(ref, share).alias("pseudo")), by)
 
 
+def window_tracks(tracks: DataFrame, variant: str, target: str, bin: str, ref: str, alt: str, share: float = 0.25) -> DataFrame:
+    """(variant, target, pseudo, track): a window's bins and tracks as one array, with the percentile that ``window_pseudocount`` gives.  Rows are shuffled once, by variant; a window has some thousand bins."""
+    rows = tracks.dropna(subset=[variant, target]).select(variant, target, F.struct(F.col(bin).alias("bin"), F.col(ref).cast("double").alias("ref"), F.col(alt).cast("double").alias("alt")).alias("x"))
+    out = rows.repartition(variant).groupBy(variant, target).agg(F.collect_list("x").alias("track"))
+    out = out.select("*", F.inline(F.array(F.struct(F.array_sort(F.filter(F.transform("track", lambda x: x["ref"]), lambda x: x.isNotNull())).alias("refs")))))
+    place = (F.size("refs") - 1) * share
+    low, high = F.floor(place), F.ceil(place)
+    at = lambda k: F.get("refs", k.cast("int"))
+    return out.select(variant, target, "track", F.when(low == high, at(low)).otherwise((high - place) * at(low) + (place - low) * at(high)).alias("pseudo"))
+
+
+def covered_tracks(windows: DataFrame, bins: DataFrame, variant: str, gene: str, bin: str) -> DataFrame:
+    """Rows of ``window_tracks`` by gene, with the bins that the gene covers (``bins``: variant, gene, bin, repeated or not); none where it covers none."""
+    covered = bins.dropna(subset=[gene, bin]).groupBy(variant, gene).agg(F.collect_set(bin).alias("covered"))
+    out = windows.join(covered, variant).withColumn("track", F.filter("track", lambda x: F.array_contains("covered", x["bin"])))
+    return out.where(F.size("track") > 0).drop("covered")
+
+
 def sed_stats(df: DataFrame, by: list[str], ref: str, alt: str, pseudo: Column | float) -> DataFrame:
-    """Per variant, gene and target (``by``) over its bins: sums, differences and distances of the two tracks.
+    """Per variant, gene and target (``by``) over its bins, a row each: the figures of ``track_stats``, from one shuffle.
 
-    Logarithms are log2(x + 1), of bins and of sums.  Normalised tracks are (x + c) / sum(x + c): nD2 and nDi are the root of the summed
-    squares and the largest of their differences, JS half the sum of the relative entropies both ways.  ``pseudo`` gives c, a number or a
-    column that is constant in each group, such as that of ``window_pseudocount``.
+    ``pseudo`` gives c, a number or a column that is constant in each group, such as that of ``window_pseudocount``.
     """
-    r, a = F.col(ref), F.col(alt)
     c = F.first(pseudo) if isinstance(pseudo, Column) else F.lit(float(pseudo))
-    df = df.drop("pseudo") if not isinstance(pseudo, Column) else df
-    base = df.groupBy(*by).agg(F.sum(r).alias("sum_ref"), F.sum(a).alias("sum_alt"), c.alias("pseudo"), F.count(F.lit(1)).alias("bins"))
-    df = df.drop("pseudo")
-    rows = df.join(base, by)
+    bins = F.collect_list(F.struct(F.col(ref).cast("double").alias("ref"), F.col(alt).cast("double").alias("alt")))
+    return track_stats(df.dropna(subset=by).groupBy(*by).agg(c.alias("pseudo"), bins.alias("track")), by)
+
+
+def track_stats(df: DataFrame, by: list[str]) -> DataFrame:
+    """Sums, differences and distances of two tracks from rows (by, pseudo, track), ``by`` unique and track an array of bins with ref and alt.
+
+    Logarithms are log2(x + 1), of bins and of sums.  Normalised tracks are (x + c) / sum(x + c), c being ``pseudo``: nD2 and nDi are the root of the summed
+    squares and the largest of their differences, JS half the sum of the relative entropies both ways.
+    """
+    total = lambda name: F.aggregate(F.transform("track", lambda x: x[name]), F.lit(None).cast("double"), lambda s, x: F.coalesce(s + x, s, x))
+    df = df.select(*by, "pseudo", "track", F.size("track").alias("bins"), F.inline(F.array(F.struct(total("ref").alias("sum_ref"), total("alt").alias("sum_alt")))))
+    # the bins' rows lie where their group does, so the aggregation needs no shuffle
+    rows = df.select(*by, "pseudo", "bins", "sum_ref", "sum_alt", F.explode("track").alias("x"))
+    r, a = F.col("x.ref"), F.col("x.alt")
     lr, la = F.log2(r + 1), F.log2(a + 1)
     pr = (r + F.col("pseudo")) / (F.col("sum_ref") + F.col("bins") * F.col("pseudo"))
     pa = (a + F.col("pseudo")) / (F.col("sum_alt") + F.col("bins") * F.col("pseudo"))

@@ -269,6 +269,23 @@ def test_track_statistics_by_hand(spark):
     assert effects.sed_stats(own, ["v"], "r", "a", F.col("pseudo")).first()["pseudo"] == 1.5  # of the window, though one bin is left
 
 
+def test_windows_with_their_bins_make_the_statistics_of_joined_rows(spark):
+    """The pseudocount is the percentile of the window, repeated bins count as often as they come, and one exchange by variant serves aggregation, join and statistics."""
+    rng = np.random.default_rng(13)
+    rows = [(v, t, int(b), float(x), float(y)) for v in range(40) for t in "RA" for b, x, y in zip(rng.integers(0, 7, 12), rng.gamma(2, 3, 12), rng.gamma(2, 3, 12))] + [(None, "R", 1, 1.0, 1.0), (1, None, 1, 1.0, 1.0)]
+    tracks = spark.createDataFrame(rows, "v long, t string, bin long, r double, a double")
+    bins = spark.createDataFrame([(v, g, b) for v in range(38) for g in ("g", "h") for b in ((1, 2, 2, 3) if g == "g" else (v % 9,))], "v long, g string, bin long")
+    windows = effects.window_tracks(tracks, "v", "t", "bin", "r", "a")
+    got = effects.track_stats(effects.covered_tracks(windows, bins, "v", "g", "bin"), ["v", "g", "t"])
+    plain = effects.window_pseudocount(tracks, ["v", "t"], "r").join(bins.distinct(), ["v", "bin"])
+    want = {(r["v"], r["g"], r["t"]): r for r in effects.sed_stats(plain, ["v", "g", "t"], "r", "a", F.col("pseudo")).collect()}
+    found = {(r["v"], r["g"], r["t"]): r for r in got.collect()}
+    assert found.keys() == want.keys() and len(found) > 100
+    for k, r in found.items():
+        assert all(r[c] == pytest.approx(want[k][c], rel=1e-9) for c in got.columns[3:])
+    assert windows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_expression_correlation_by_hand(spark):
     genotype = [[-1.0, 1.0, -1.0, 1.0], [-1.0, -1.0, 1.0, 1.0]]
     df = spark.createDataFrame([("g", 1.0, 0.5, 2.0, 0.1, genotype[0]), ("g", -2.0, 0.25, -3.0, 0.01, genotype[1])], "gene string, w double, b double, z double, p double, std array<double>")
