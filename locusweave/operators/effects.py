@@ -15,7 +15,8 @@ def window_pseudocount(tracks: DataFrame, by: list[str], ref: str, share: float
 def window_tracks(tracks: DataFrame, variant: str, target: str, bin: str, ref: str, alt: str, share: float = 0.25) -> DataFrame:
     """(variant, target, pseudo, track): a window's bins and tracks as one array, with the percentile that ``window_pseudocount`` gives.  Rows are shuffled once, by variant; a window has some thousand bins."""
     rows = tracks.dropna(subset=[variant, target]).select(variant, target, F.struct(F.col(bin).alias("bin"), F.col(ref).cast("double").alias("ref"), F.col(alt).cast("double").alias("alt")).alias("x"))
-    out = rows.repartition(variant).groupBy(variant, target).agg(F.collect_list("x").alias("track"))
+    parts = int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as said, so that Spark does not merge them by their packed size: arrays and statistics cost more than bytes
+    out = rows.repartition(parts, variant).groupBy(variant, target).agg(F.collect_list("x").alias("track"))
     out = out.select("*", F.inline(F.array(F.struct(F.array_sort(F.filter(F.transform("track", lambda x: x["ref"]), lambda x: x.isNotNull())).alias("refs")))))
     place = (F.size("refs") - 1) * share
     low, high = F.floor(place), F.ceil(place)
