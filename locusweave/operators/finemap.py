@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from locusweave.operators.ranking import best_per_group, until_sum
 
 
 def single_causal_pips(df: DataFrame, gene: str, beta: str, se: str, prior: float = 0.01) -> DataFrame:
-    """Adds log_abf (Wakefield, prior variance W) and pip, the softmax of the log Bayes factors within a gene."""
+    """Adds log_abf (Wakefield, prior variance W) and pip, the softmax of the log Bayes factors within a gene.
+
+    One sort by gene and two running figures; a gene with more variants than memory holds is spilled.  Where ``df`` is dealt by gene (``storage.dealt``) nothing is shuffled.
+    """
     v, b = F.col(se) * F.col(se), F.col(beta)
     r = F.lit(prior) / (v + prior)
-    out = df.withColumn("log_abf", 0.5 * F.log(1 - r) + 0.5 * r * b * b / v)
-    top = out.groupBy(gene).agg(F.max("log_abf").alias("top"))
-    out = out.join(top, gene).withColumn("weight", F.exp(F.col("log_abf") - F.col("top")))
-    total = out.groupBy(gene).agg(F.sum("weight").alias("total"))
-    return out.join(total, gene).withColumn("pip", F.col("weight") / F.col("total")).drop("top", "weight", "total")
+    within = Window.partitionBy(gene)
+    out = df.dropna(subset=[gene]).withColumn("log_abf", 0.5 * F.log(1 - r) + 0.5 * r * b * b / v)
+    out = out.withColumn("weight", F.exp(F.col("log_abf") - F.max("log_abf").over(within)))
+    return out.withColumn("pip", F.col("weight") / F.sum("weight").over(within)).drop("weight")
 
 
 def best_variants(pips: DataFrame, gene: str, tie: list[str], least: float) -> DataFrame:

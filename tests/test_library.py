@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locusweave.functions import columns as C
 from locusweave.functions.special import _fisher, fisher_p, normal_p, sign_test_table
 from locusweave.operators import association, concordance, effects, enrichment, expression, filters, finemap, intervals, joins, matrices, quantiles, ranking, replicates, resample, shrinkage, sweep
+from locusweave.operators.storage import dealt
 from locusweave.plans import queries
 from locusweave.sources import readers, writers
 
@@ -118,6 +119,17 @@ def test_finemap(spark):
     assert finemap.best_variants(rows, "g", ["k"], 0.7).count() == 0
 
 
+def test_fine_mapping_is_dealt_by_rows_and_shuffled_once(spark):
+    """More rows make more parts, not larger ones, and posteriors and credible sets need no shuffle after that."""
+    rows = spark.range(20_000).select((F.col("id") % 100).alias("g"), F.col("id").alias("k"), (F.col("id") % 13 / 100).alias("b"), F.lit(0.1).alias("s"))
+    few, many = dealt(rows, ["g"], 50_000), dealt(rows, ["g"], 1_000)
+    assert few.rdd.getNumPartitions() == 4 and many.rdd.getNumPartitions() == 20
+    pips = finemap.single_causal_pips(many.union(spark.createDataFrame([(None, 1, 0.1, 0.1)], many.schema)).where("g is not null"), "g", "b", "s")
+    assert pips.agg(F.sum("pip")).first()[0] == pytest.approx(100)
+    chosen = finemap.credible_set(finemap.single_causal_pips(many, "g", "b", "s"), "g", ["k"])
+    assert chosen._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_orientation_join_is_invariant(spark):
     a = spark.createDataFrame([("chr1", 10, "A", "G")], "chrom string, pos long, a1 string, a2 string")
     for x, y, flipped in (("A", "G", False), ("G", "A", True)):
