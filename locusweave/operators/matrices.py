@@ -7,14 +7,21 @@ the variants, are summed kind by kind.  So neither one row per variant, kind and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from locusweave.operators.ranking import global_rank
+
 BLOCK = 1024
+RUN = 512  # like variants a side of a piece of a tile of pairs
+STRIPE = 64  # of them, in one range of ranks
+PAIRS = 4_000_000  # pairs of a task
 
 
 def in_blocks(df: DataFrame, gene: str, variant: str, block: int = BLOCK) -> DataFrame:
@@ -147,29 +154,76 @@ def largest_correlations(rows: DataFrame, gene: str, variant: str, std: str) ->
     return found.groupBy("gene", "variant").agg(F.max("max_r").alias("max_r")).withColumnsRenamed({"gene": gene, "variant": variant})
 
 
-def _tile_pairs(key: tuple, table: pa.Table) -> pa.Table:
-    """All correlations of a tile: pairs of one block with the other, or of a block with itself, the smaller variant first."""
-    lo, hi = key[1].as_py(), key[2].as_py()
-    block, std, variant = table["block"].to_numpy(), matrix(table["std"]), table["variant"].combine_chunks()
-    order = np.argsort(np.array(variant.to_pylist(), dtype=object) if len(variant) else np.zeros(0), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    i, j = np.meshgrid(x, y, indexing="ij")
-    keep = rank[i] < rank[j] if lo == hi else np.ones(i.shape, bool)
-    r = (std[x] @ std[y].T / max(std.shape[1], 1))[keep]
-    i, j = i[keep], j[keep]
-    first, second = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
-    gene = table["gene"].combine_chunks().take(pa.array(first, pa.int64()))
-    return pa.table({"gene": gene, "v1": variant.take(pa.array(first, pa.int64())), "v2": variant.take(pa.array(second, pa.int64())), "r": pa.array(r)})
+def in_runs(df: DataFrame, gene: str, variant: str, std: str) -> DataFrame:
+    """(gene, variant, std, place, n): a gene's variants in an order that puts like genotypes side by side, from 0, and how many there are.
 
+    The order is by the least and the largest standardised genotype, then by the variant: variants with as many carriers have both the same, and correlations between two sets of such
+    variants take few values.  Rows without a gene or variant, which pair with nothing, are left out.
+    """
+    given = df.where(F.col(gene).isNotNull() & F.col(variant).isNotNull()).select(F.col(gene).alias("gene"), F.col(variant).alias("variant"), F.col(std).cast("array<double>").alias("std"))
+    like = F.struct("gene", F.round(F.array_min("std"), 9), F.round(F.array_max("std"), 9))
+    ranked = global_rank(given.withColumn("like", like), "like", ["variant"]).drop("like")
+    sizes = ranked.groupBy("gene").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    return ranked.join(sizes, "gene").select("gene", "variant", "std", (F.col("rank") - F.col("first")).alias("place"), "n")
+
+
+def _tile_pairs(block: int):
+    def multiply(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All correlations of a tile: pairs of one block with the other, or of a block with itself, the smaller variant first.
+
+        A run of ``RUN`` neighbours meets another one, or itself, at a time.  Both are cut in stripes of about ``STRIPE`` by the variant's rank in the tile, and a stripe meets those from its
+        own on: between two different stripes all pairs have one direction, so their product is given row by row as it is.
+        """
+        table = pa.Table.from_batches(batches)
+        table = table.take(pc.sort_indices(table["place"]))
+        lo, hi = key[1].as_py(), key[2].as_py()
+        std, variant, place = matrix(table["std"]), table["variant"].combine_chunks(), table["place"].to_numpy()
+        rank = pc.rank(variant, tiebreaker="dense").to_numpy().astype(np.int64)
+        stripes = RUN // STRIPE
+        stripe = (rank - 1) * stripes // rank.max()
+
+        def runs(of: int) -> list[list[np.ndarray]]:
+            own = np.flatnonzero(place // block == of)
+            return [[r[stripe[r] == k] for k in range(stripes)] for r in (own[at : at + RUN] for at in range(0, len(own), RUN))]
+
+        def pairs(these: list[np.ndarray], those: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for p in range(stripes):
+                for q in range(p, stripes):
+                    i, j = these[p], those[q]
+                    r = (std[i] @ std[j].T / max(std.shape[1], 1)).ravel()
+                    i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+                    if p == q:
+                        keep = rank[i] < rank[j]
+                        i, j, r = i[keep], j[keep], r[keep]
+                    if len(r):
+                        yield pa.RecordBatch.from_arrays([pa.repeat(key[0], len(r)), variant.take(pa.array(i)), variant.take(pa.array(j)), pa.array(r)], ["gene", "v1", "v2", "r"])
+
+        for m, one in enumerate(runs(lo)):
+            for n, other in enumerate(runs(hi)):
+                if lo < hi or m < n:
+                    yield from pairs(one, other)
+                    yield from pairs(other, one)
+                elif m == n:
+                    yield from pairs(one, one)
 
-def pair_correlations(rows: DataFrame, gene: str, variant: str, std: str) -> DataFrame:
-    """(gene, v1, v2, r) for all pairs of distinct variants of a gene, v1 < v2, by a matrix product a tile; genotypes are shuffled once for each of the gene's blocks."""
-    given = rows.select(F.col(gene).alias("gene"), F.col(variant).alias("variant"), F.col(std).cast("array<double>").alias("std"), "block", "blocks")
-    types = {f.name: f.dataType.simpleString() for f in given.schema.fields}
-    found = _tiles(given, "gene", "variant", "std").groupBy("gene", "lo", "hi").applyInArrow(_tile_pairs, f"gene {types['gene']}, v1 {types['variant']}, v2 {types['variant']}, r double")
-    return found.where("v1 <> v2").withColumnRenamed("gene", gene)
+    return multiply
+
+
+def pair_correlations(runs: DataFrame, gene: str, block: int = BLOCK) -> DataFrame:
+    """(gene, v1, v2, r) for all pairs of distinct variants of a gene, v1 < v2, from the rows of ``in_runs``, by matrix products.
+
+    A tile is two blocks of ``block`` neighbours, or one with itself; genotypes are shuffled once for each block of their gene, and a task takes about ``PAIRS`` pairs of neighbouring tiles
+    and gives them piece by piece.  Its pairs have few different correlations and their variants repeat evenly, so what is written of them is small once encoded.
+    """
+    sizes = runs.groupBy("gene").agg(F.first("n").cast("double").alias("n"))
+    pairs = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / PAIRS))
+    own, last = F.floor(F.col("place") / block), F.floor((F.col("n") - 1) / block)
+    each = runs.select("gene", "variant", "std", "place", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    tiles = each.select("gene", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "variant", "std", "place").repartitionByRange(parts, "gene", "lo", "hi")
+    types = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
+    found = tiles.groupBy("gene", "lo", "hi").applyInArrow(_tile_pairs(block), f"gene {types['gene']}, v1 {types['variant']}, v2 {types['variant']}, r double")
+    return found.withColumnRenamed("gene", gene)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -787,3 +787,26 @@ def test_ranks_of_texts(spark):
     order = sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0]))
     assert got == {k: i + 1 for i, (k, _) in enumerate(order)}
     assert ranking.global_rank(df.where("false"), "t", ["k"]).count() == 0
+
+
+def test_ld_pairs_are_given_in_an_order_that_encodes_small(spark, tmp_path):
+    # 3,000 variants whose keys say nothing of their genotypes, one key met twice, rows without a gene or a key
+    dose = np.random.default_rng(7).choice(3, (3000, 24), p=[0.8, 0.15, 0.05]).astype(float)
+    dose[:, :2] = [0, 2]
+    key = [int(k) for k in np.random.default_rng(8).permutation(3000)]
+    key[5] = key[6]
+    rows = [("g", k, d.tolist()) for k, d in zip(key, dose)] + [(None, 1, dose[0].tolist()), (None, 2, dose[1].tolist()), ("g", None, dose[2].tolist())]
+    given = association.standardize(spark.createDataFrame(rows, "gene string, v long, dosages array<double>"), "dosages")
+    association.ld_pairs(given, "gene", "v", 1000).withColumn("r", F.round("r", 6) + 0.0).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).toArrow()
+    v1, v2 = got["v1"].to_numpy(), got["v2"].to_numpy()
+    assert len(got) == 3000 * 2999 // 2 - 1 and set(got["gene"].unique().to_pylist()) == {"g"} and (v1 < v2).all()
+    z = (dose - dose.mean(1, keepdims=True)) / dose.std(1, keepdims=True)
+    of = {k: i for i, k in enumerate(key) if i not in (5, 6)}
+    at = np.array([of.get(k, -1) for k in range(3000)])
+    i, j, r = at[v1], at[v2], got["r"].to_numpy()
+    once = (i >= 0) & (j >= 0)
+    assert len(np.unique(v1[once] * 3000 + v2[once])) == once.sum() == 2998 * 2997 // 2
+    assert np.abs((z[i[once]] * z[j[once]]).sum(1) / 24 - r[once]).max() < 1e-6
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size < 2 * len(got), f"{size / len(got):.2f} bytes a pair"
