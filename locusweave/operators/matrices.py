@@ -21,7 +21,7 @@ from locusweave.operators.ranking import global_rank
 BLOCK = 1024
 RUN = 512  # like variants a side of a piece of a tile of pairs
 STRIPE = 64  # of them, in one range of ranks
-PAIRS = 4_000_000  # pairs of a task
+PAIRS = 2_000_000  # pairs of a task
 
 
 def in_blocks(df: DataFrame, gene: str, variant: str, block: int = BLOCK) -> DataFrame:
