@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from locusweave.operators.matrices import BLOCK, in_blocks, in_runs, largest_correlations, marginal_signs, pair_correlations, weighted_sums
+from locusweave.operators.matrices import BLOCK, in_blocks, largest_correlations, marginal_signs, pair_correlations, weighted_sums
 from locusweave.operators.storage import stored
 
 
@@ -55,7 +55,7 @@ def standardize(df: DataFrame, dosages: str, flipped: str | None = None, keep_mo
 
 def ld_pairs(genotypes: DataFrame, gene: str, variant: str, most: int = BLOCK) -> DataFrame:
     """(gene, v1, v2, r) for pairs within a gene, v1 < v2, in tiles of ``most`` variants a side, like ones side by side."""
-    return pair_correlations(in_runs(genotypes, gene, variant, "std"), gene, most)
+    return pair_correlations(genotypes, gene, variant, "std", most)
 
 
 def complete(df: DataFrame, values: list[str], weights: str | None = None) -> DataFrame:

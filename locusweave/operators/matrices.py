@@ -22,6 +22,7 @@ BLOCK = 1024
 RUN = 512  # like variants a side of a piece of a tile of pairs
 STRIPE = 64  # of them, in one range of ranks
 PAIRS = 2_000_000  # pairs of a task
+GENES = 100_000  # rows (gene, two numbers) that are sent to all tasks
 
 
 def in_blocks(df: DataFrame, gene: str, variant: str, block: int = BLOCK) -> DataFrame:
@@ -154,17 +155,15 @@ def largest_correlations(rows: DataFrame, gene: str, variant: str, std: str) ->
     return found.groupBy("gene", "variant").agg(F.max("max_r").alias("max_r")).withColumnsRenamed({"gene": gene, "variant": variant})
 
 
-def in_runs(df: DataFrame, gene: str, variant: str, std: str) -> DataFrame:
-    """(gene, variant, std, place, n): a gene's variants in an order that puts like genotypes side by side, from 0, and how many there are.
+def by_likeness(df: DataFrame, gene: str, variant: str, std: str) -> DataFrame:
+    """(gene, variant, std, rank): all variants ranked by gene, then in an order that puts like genotypes side by side.
 
     The order is by the least and the largest standardised genotype, then by the variant: variants with as many carriers have both the same, and correlations between two sets of such
     variants take few values.  Rows without a gene or variant, which pair with nothing, are left out.
     """
     given = df.where(F.col(gene).isNotNull() & F.col(variant).isNotNull()).select(F.col(gene).alias("gene"), F.col(variant).alias("variant"), F.col(std).cast("array<double>").alias("std"))
     like = F.struct("gene", F.round(F.array_min("std"), 9), F.round(F.array_max("std"), 9))
-    ranked = global_rank(given.withColumn("like", like), "like", ["variant"]).drop("like")
-    sizes = ranked.groupBy("gene").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
-    return ranked.join(sizes, "gene").select("gene", "variant", "std", (F.col("rank") - F.col("first")).alias("place"), "n")
+    return global_rank(given.withColumn("like", like), "like", ["variant"]).drop("like")
 
 
 def _tile_pairs(block: int):
@@ -209,15 +208,19 @@ def _tile_pairs(block: int):
     return multiply
 
 
-def pair_correlations(runs: DataFrame, gene: str, block: int = BLOCK) -> DataFrame:
-    """(gene, v1, v2, r) for all pairs of distinct variants of a gene, v1 < v2, from the rows of ``in_runs``, by matrix products.
+def pair_correlations(df: DataFrame, gene: str, variant: str, std: str, block: int = BLOCK) -> DataFrame:
+    """(gene, v1, v2, r) for all pairs of distinct variants of a gene, v1 < v2, by matrix products.
 
-    A tile is two blocks of ``block`` neighbours, or one with itself; genotypes are shuffled once for each block of their gene, and a task takes about ``PAIRS`` pairs of neighbouring tiles
-    and gives them piece by piece.  Its pairs have few different correlations and their variants repeat evenly, so what is written of them is small once encoded.
+    A gene's variants, by likeness, are cut in blocks of ``block``; a tile is two blocks, or one with itself.  Genotypes are shuffled once for each block of their gene, and a task takes about
+    ``PAIRS`` pairs of neighbouring tiles and gives them piece by piece.  Its pairs have few different correlations and their variants repeat evenly, so what is written of them is small once
+    encoded.
     """
-    sizes = runs.groupBy("gene").agg(F.first("n").cast("double").alias("n"))
-    pairs = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / PAIRS))
+    ranked = by_likeness(df, gene, variant, std)
+    sizes = ranked.groupBy("gene").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    genes, pairs = sizes.agg(F.count(F.lit(1)), F.sum(F.col("n") * (F.col("n").cast("double") - 1) / 2)).first()
+    # counted, so that a gene's rows need not meet in one task
+    runs = ranked.join(F.broadcast(sizes) if genes <= GENES else sizes, "gene").withColumn("place", F.col("rank") - F.col("first"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((pairs or 0) / PAIRS))
     own, last = F.floor(F.col("place") / block), F.floor((F.col("n") - 1) / block)
     each = runs.select("gene", "variant", "std", "place", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
     tiles = each.select("gene", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "variant", "std", "place").repartitionByRange(parts, "gene", "lo", "hi")
